@@ -41,3 +41,282 @@ def q_cohort_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("cohort_funnel")
 def q_cohort_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.cohort_funnel(fixture_tables(spark, sf_dir))
+
+
+# ------------------------------------------------------------ cohort block
+from pyspark.sql import functions as F  # noqa: E402
+
+from ..functions.frames import r6  # noqa: E402
+from ..functions.timecols import parse_number, temporal_features  # noqa: E402
+from ..operators import labels as LB  # noqa: E402
+from ..operators import labs as LS  # noqa: E402
+from ..operators.triage import TRIAGE_FEATURE_COLS, extract_triage_features  # noqa: E402
+from ..sources.fixtures import (d_labitems_from, labevents_with_unmapped,  # noqa: E402
+                                read_driver)
+from ..sources.readers import scan_labevents  # noqa: E402
+from .tabular import featured_stays, labelled_stays  # noqa: E402
+
+JOINED_COLS = COHORT_COLS[:20]
+COST_COLS = ["lab_time_cost_sequential", "lab_time_cost_parallel", "lab_time_cost_mixed",
+             "lab_time_cost_hours", "lab_time_pct_of_los"]
+LAB_FEATURE_COLS = LS.WIDE_COLS + LS.FLAG_COLS + ["total_lab_groups_ordered"]
+LABELLED_COLS = (COHORT_COLS + TRIAGE_FEATURE_COLS + LAB_FEATURE_COLS + COST_COLS
+                 + ["icu_transfer_12h", "critical_outcome"])
+VITALS = ["temperature", "heartrate", "resprate", "o2sat", "sbp", "dbp"]
+
+
+def _cost_cols() -> list:
+    return [r6(c).alias(c) for c in COST_COLS]
+
+
+@query("join_stays_patients")
+def q_join_stays_patients(spark, sf_dir):
+    t = fixture_tables(spark, sf_dir)
+    return C.join_patients(t.edstays, t.patients).select(*COHORT_COLS[:8])
+
+
+@query("join_stays_admissions")
+def q_join_stays_admissions(spark, sf_dir):
+    t = fixture_tables(spark, sf_dir)
+    return (C.join_patients(t.edstays, t.patients).transform(C.join_admissions, t.admissions)
+            .select(*COHORT_COLS[:11]))
+
+
+@query("join_stays_triage")
+def q_join_stays_triage(spark, sf_dir):
+    return C.merge_initial(fixture_tables(spark, sf_dir)).select(*JOINED_COLS)
+
+
+@query("cohort_admitted")
+def q_cohort_admitted(spark, sf_dir):
+    return C.merge_initial(fixture_tables(spark, sf_dir)).transform(C.filter_admitted).select(*JOINED_COLS)
+
+
+@query("cohort_adults")
+def q_cohort_adults(spark, sf_dir):
+    return (C.merge_initial(fixture_tables(spark, sf_dir)).transform(C.filter_admitted)
+            .transform(C.filter_adults).select(*JOINED_COLS, "age_at_ed"))
+
+
+@query("cohort_triage_complete")
+def q_cohort_triage_complete(spark, sf_dir):
+    return (C.merge_initial(fixture_tables(spark, sf_dir)).transform(C.filter_admitted)
+            .transform(C.filter_adults).transform(C.filter_complete_triage)
+            .select(*JOINED_COLS, "age_at_ed", "triage_completeness"))
+
+
+@query("ed_los")
+def q_ed_los(spark, sf_dir):
+    return C.apply_filters(fixture_tables(spark, sf_dir)).select("stay_id", "intime", "outtime", "ed_los_hours")
+
+
+@query("stay_flags")
+def q_stay_flags(spark, sf_dir):
+    return C.apply_filters(fixture_tables(spark, sf_dir)).select(
+        "stay_id", "ed_los_hours", "lengthened_ed_stay", "hospital_expire_flag", "hospital_death")
+
+
+@query("age_bands")
+def q_age_bands(spark, sf_dir):
+    return C.apply_filters(fixture_tables(spark, sf_dir)).select("stay_id", "age_at_ed", "age_group")
+
+
+@query("pain_numeric")
+def q_pain_numeric(spark, sf_dir):
+    t = fixture_tables(spark, sf_dir)
+    return t.triage.select("stay_id", "pain", parse_number("pain").alias("pain_numeric"))
+
+
+@query("triage_features")
+def q_triage_features(spark, sf_dir):
+    return extract_triage_features(C.apply_filters(fixture_tables(spark, sf_dir))).select(
+        "stay_id", *TRIAGE_FEATURE_COLS)
+
+
+@query("vital_zscores")
+def q_vital_zscores(spark, sf_dir):
+    df = C.vital_zscores(C.apply_filters(fixture_tables(spark, sf_dir)))
+    return df.select("stay_id", *[r6(f"{c}_zscore").alias(f"{c}_zscore") for c in VITALS],
+                     *[f"{c}_abnormal" for c in VITALS])
+
+
+@query("vital_risk_score")
+def q_vital_risk_score(spark, sf_dir):
+    df = C.apply_filters(fixture_tables(spark, sf_dir)).transform(C.vital_zscores).transform(C.vital_risk_score)
+    return df.select("stay_id", "vital_risk_score")
+
+
+@query("temporal_features")
+def q_temporal_features(spark, sf_dir):
+    return temporal_features(C.apply_filters(fixture_tables(spark, sf_dir))).select(
+        "stay_id", "intime", "hour_of_day", "day_of_week", "is_weekend", "is_night")
+
+
+@query("semi_admissions")
+def q_semi_admissions(spark, sf_dir):
+    """Admissions of cohort stays, by semi join (ids stay distributed)."""
+    t = fixture_tables(spark, sf_dir)
+    cohort = C.apply_filters(t)
+    return t.admissions.join(cohort.select("subject_id", "hadm_id"), ["subject_id", "hadm_id"], "left_semi")
+
+
+@query("distinct_ids")
+def q_distinct_ids(spark, sf_dir):
+    """Distinct patients of the cohort."""
+    return C.apply_filters(fixture_tables(spark, sf_dir)).select("subject_id").distinct()
+
+
+@query("cohort_summary")
+def q_cohort_summary(spark, sf_dir):
+    from ..operators.profile import cohort_summary
+    return cohort_summary(C.apply_filters(fixture_tables(spark, sf_dir)))
+
+
+# -------------------------------------------------------------- labs block
+
+@query("lab_scan_filtered")
+def q_lab_scan_filtered(spark, sf_dir):
+    t = fixture_tables(spark, sf_dir)
+    return scan_labevents(t.labevents, patients=t.patients, strategy="filtered")
+
+
+def _labs(spark, sf_dir, hours=12.0):
+    t = fixture_tables(spark, sf_dir)
+    cohort = C.apply_filters(t)
+    return LS.prepare_labs(t.labevents, cohort, t.extra["lab_dim"], hours)
+
+
+@query("labs_in_window")
+def q_labs_in_window(spark, sf_dir):
+    return _labs(spark, sf_dir).select("stay_id", "subject_id", "hadm_id", "itemid", "charttime",
+                                       "valuenum", "hours_from_ed")
+
+
+@query("lab_group_lookup")
+def q_lab_group_lookup(spark, sf_dir):
+    t = fixture_tables(spark, sf_dir)
+    dim = t.extra["lab_dim"]
+    labs = labevents_with_unmapped(read_driver(spark, sf_dir, "lineitem"), t.edstays, dim)
+    g = LS.assign_lab_groups(labs, dim, keep_unknown=True)
+    return g.groupBy("itemid", "lab_group", "group_minutes").agg(F.count(F.lit(1)).alias("n_results"))
+
+
+@query("labs_first_value")
+def q_labs_first_value(spark, sf_dir):
+    return LS.first_values_long(_labs(spark, sf_dir))
+
+
+@query("labs_mean_value")
+def q_labs_mean_value(spark, sf_dir):
+    df = LS.mean_values_long(_labs(spark, sf_dir))
+    return df.select("stay_id", "lab_group", r6("valuenum").alias("valuenum"), "hours_from_ed")
+
+
+@query("labs_wide")
+def q_labs_wide(spark, sf_dir):
+    return LS.labs_wide(_labs(spark, sf_dir))
+
+
+@query("lab_utilization")
+def q_lab_utilization(spark, sf_dir):
+    return featured_stays(fixture_tables(spark, sf_dir)).select(
+        "stay_id", *LS.FLAG_COLS, "total_lab_groups_ordered")
+
+
+@query("lab_features")
+def q_lab_features(spark, sf_dir):
+    return featured_stays(fixture_tables(spark, sf_dir)).select("stay_id", *LAB_FEATURE_COLS)
+
+
+@query("lab_time_costs")
+def q_lab_time_costs(spark, sf_dir):
+    return featured_stays(fixture_tables(spark, sf_dir)).select("stay_id", "ed_los_hours", *_cost_cols())
+
+
+@query("lab_items_missing")
+def q_lab_items_missing(spark, sf_dir):
+    t = fixture_tables(spark, sf_dir)
+    return LS.lab_items_missing(d_labitems_from(read_driver(spark, sf_dir, "part"), t.extra["lab_dim"]))
+
+
+# ------------------------------------------------------------ labels block
+
+def _labelled(spark, sf_dir):
+    return labelled_stays(fixture_tables(spark, sf_dir))
+
+
+@query("hospital_death")
+def q_hospital_death(spark, sf_dir):
+    return LB.hospital_death(C.apply_filters(fixture_tables(spark, sf_dir))).select("stay_id", "hospital_death")
+
+
+@query("icu_transfer_12h")
+def q_icu_transfer(spark, sf_dir):
+    t = fixture_tables(spark, sf_dir)
+    return LB.icu_transfer(C.apply_filters(t), t.icustays).select("stay_id", "outtime", "icu_transfer_12h")
+
+
+@query("critical_outcome")
+def q_critical_outcome(spark, sf_dir):
+    return _labelled(spark, sf_dir).select("stay_id", "hospital_death", "icu_transfer_12h", "critical_outcome")
+
+
+@query("lengthened_ed_stay")
+def q_lengthened_ed_stay(spark, sf_dir):
+    t = fixture_tables(spark, sf_dir)
+    # O4 on stays without the clamped LOS column: raw LOS fallback
+    df = C.merge_initial(t).transform(C.filter_admitted)
+    return LB.lengthened_stay(df).select("stay_id", "lengthened_ed_stay")
+
+
+@query("all_labels")
+def q_all_labels(spark, sf_dir):
+    return _labelled(spark, sf_dir).select("stay_id", *LB.LABEL_COLS)
+
+
+@query("labelled_stays")
+def q_labelled_stays(spark, sf_dir):
+    df = _labelled(spark, sf_dir)
+    return df.select(*[r6(c).alias(c) if c in COST_COLS else F.col(c) for c in LABELLED_COLS])
+
+
+@query("label_summary")
+def q_label_summary(spark, sf_dir):
+    return LB.label_summary(_labelled(spark, sf_dir))
+
+
+@query("label_overlap")
+def q_label_overlap(spark, sf_dir):
+    return LB.label_overlap(_labelled(spark, sf_dir))
+
+
+@query("crosstab_margins")
+def q_crosstab_margins(spark, sf_dir):
+    return LB.crosstab_margins(_labelled(spark, sf_dir))
+
+
+@query("crosstab_normalized")
+def q_crosstab_normalized(spark, sf_dir):
+    return LB.crosstab_normalized(_labelled(spark, sf_dir))
+
+
+@query("label_rate_check")
+def q_label_rate_check(spark, sf_dir):
+    return LB.label_rate_check(_labelled(spark, sf_dir))
+
+
+CORR_FEATURES = (["anchor_age", "hospital_expire_flag", "temperature", "heartrate", "resprate",
+                  "o2sat", "sbp", "dbp", "acuity", "age_at_ed", "triage_completeness", "ed_los_hours"]
+                 + [c for c in TRIAGE_FEATURE_COLS if c != "triage_chief_complaint"]
+                 + LAB_FEATURE_COLS + COST_COLS)
+
+
+@query("label_correlations")
+def q_label_correlations(spark, sf_dir):
+    return LB.label_correlations(_labelled(spark, sf_dir), features=CORR_FEATURES)
+
+
+@query("run_stats")
+def q_run_stats(spark, sf_dir):
+    from ..operators.profile import run_stats
+    return run_stats(_labelled(spark, sf_dir))

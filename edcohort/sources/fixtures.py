@@ -149,3 +149,28 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
         notes=notes_from(read_driver(spark, sf_dir, "documents"), stays),
         extra={"lab_dim": dim},
     )
+
+
+def labevents_with_unmapped(lineitem: DataFrame, edstays: DataFrame, dim: DataFrame) -> DataFrame:
+    """Variant of the lab mapping that keeps line items whose part has no
+    configured item: they get item id 99999 (for the 'UNKNOWN' group rule)."""
+    li = lineitem.select(F.col("l_orderkey").alias("stay_id"),
+                         (F.col("l_partkey") % 58).cast("int").alias("pos"),
+                         "l_linenumber", "l_quantity", "l_tax")
+    joined = (li.join(edstays.select("stay_id", "subject_id", "hadm_id", "intime"), "stay_id")
+                .join(F.broadcast(dim.select("pos", "itemid")), "pos", "left"))
+    return joined.select(
+        "subject_id", "hadm_id", F.coalesce("itemid", F.lit(99999)).alias("itemid"),
+        _hours("intime", F.col("l_linenumber") * 3 - 4).alias("charttime"),
+        F.when(F.col("l_tax") == 0.08, F.lit(None).cast("double"))
+         .otherwise(F.col("l_quantity")).alias("valuenum"))
+
+
+def d_labitems_from(part: DataFrame, dim: DataFrame) -> DataFrame:
+    """An item dictionary derived from the part table: the configured item
+    at position ``p_partkey % 58`` of every part of size 1 or 2 (so, at small
+    scale, some configured items are absent from the dictionary)."""
+    p = part.where(F.col("p_size") <= 2).select(
+        (F.col("p_partkey") % 58).cast("int").alias("pos"), F.col("p_name").alias("label"))
+    return (p.join(F.broadcast(dim.select("pos", "itemid")), "pos")
+             .groupBy("itemid").agg(F.min("label").alias("label")))
