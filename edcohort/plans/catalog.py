@@ -320,3 +320,251 @@ def q_label_correlations(spark, sf_dir):
 def q_run_stats(spark, sf_dir):
     from ..operators.profile import run_stats
     return run_stats(_labelled(spark, sf_dir))
+
+
+# -------------------------------------------------------------- text block
+from ..functions.text import clean_text as _clean, segment_text, token_count  # noqa: E402,F401
+from ..operators import fusion as FU  # noqa: E402
+from ..operators import notes as NO  # noqa: E402
+from ..operators import sequence as SQ  # noqa: E402
+from ..operators.split import modular_order, split_validation  # noqa: E402
+from . import text as TX  # noqa: E402
+
+NOTE_COLS = ["note_id", "subject_id", "hadm_id", "note_type", "note_category", "category_priority",
+             "charttime", "text"]
+
+
+def _notes(spark, sf_dir):
+    return TX.non_empty_notes(fixture_tables(spark, sf_dir).notes)
+
+
+def _prepared(spark, sf_dir):
+    t = fixture_tables(spark, sf_dir)
+    return TX.prepared_notes(t.notes, C.apply_filters(t))
+
+
+def _multimodal(spark, sf_dir):
+    t = fixture_tables(spark, sf_dir)
+    return TX.multimodal(labelled_stays(t), C.apply_filters(t), t)
+
+
+def _split(spark, sf_dir):
+    return TX.split_multimodal(_multimodal(spark, sf_dir), order=modular_order())
+
+
+@query("notes_load")
+def q_notes_load(spark, sf_dir):
+    return _notes(spark, sf_dir).select(*NOTE_COLS)
+
+
+@query("notes_temporal")
+def q_notes_temporal(spark, sf_dir):
+    t = fixture_tables(spark, sf_dir)
+    return NO.filter_temporal(TX.non_empty_notes(t.notes), t.edstays, 0.0).select(
+        "note_id", "subject_id", "hadm_id", "note_category", "charttime", r6("time_from_admission_min")
+        .alias("time_from_admission_min"))
+
+
+@query("notes_temporal_hybrid")
+def q_notes_temporal_hybrid(spark, sf_dir):
+    t = fixture_tables(spark, sf_dir)
+    return TX.available_notes(t.notes, t.edstays).select(
+        "note_id", "subject_id", "hadm_id", "note_category", "charttime",
+        r6("time_from_admission_min").alias("time_from_admission_min"))
+
+
+@query("notes_for_stay")
+def q_notes_for_stay(spark, sf_dir):
+    """J14 for the admission with the most notes (ties: smallest id)."""
+    notes = _notes(spark, sf_dir)
+    busiest = (notes.where(F.col("hadm_id").isNotNull()).groupBy("subject_id", "hadm_id")
+               .agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "hadm_id").limit(1))
+    return NO.notes_for_stay(notes, busiest).select("note_id", "subject_id", "hadm_id", "note_category",
+                                                   "charttime", F.length("text").alias("text_length"))
+
+
+@query("clean_text")
+def q_clean_text(spark, sf_dir):
+    n = fixture_tables(spark, sf_dir).notes
+    return n.select("note_id", _clean("text").alias("cleaned_text"),
+                    _clean("text", remove_special_chars=True, lowercase=True).alias("cleaned_strict"))
+
+
+@query("clean_notes")
+def q_clean_notes(spark, sf_dir):
+    n = NO.preprocess_notes(fixture_tables(spark, sf_dir).notes)
+    return n.select("note_id", "original_length", "cleaned_length", "is_valid")
+
+
+@query("notes_valid")
+def q_notes_valid(spark, sf_dir):
+    return _prepared(spark, sf_dir).select("note_id", "subject_id", "hadm_id", "note_category",
+                                           "cleaned_length")
+
+
+@query("segment_text")
+def q_segment_text(spark, sf_dir):
+    n = NO.preprocess_notes(_notes(spark, sf_dir))
+    seg = n.select("note_id", F.posexplode(segment_text("cleaned_text")).alias("seg_no", "segment"))
+    return seg.select("note_id", "seg_no", F.length("segment").alias("seg_length"), "segment")
+
+
+@query("top_keywords")
+def q_top_keywords(spark, sf_dir):
+    return NO.top_keywords(_notes(spark, sf_dir))
+
+
+@query("notes_stats")
+def q_notes_stats(spark, sf_dir):
+    return NO.notes_stats(_notes(spark, sf_dir))
+
+
+@query("time_coverage")
+def q_time_coverage(spark, sf_dir):
+    return NO.time_coverage(_notes(spark, sf_dir))
+
+
+@query("retention_sweep")
+def q_retention_sweep(spark, sf_dir):
+    t = fixture_tables(spark, sf_dir)
+    return NO.retention_sweep(TX.non_empty_notes(t.notes), t.edstays)
+
+
+@query("retention_by_category")
+def q_retention_by_category(spark, sf_dir):
+    t = fixture_tables(spark, sf_dir)
+    return NO.retention_by_category(TX.non_empty_notes(t.notes), t.edstays)
+
+
+@query("notes_per_outcome")
+def q_notes_per_outcome(spark, sf_dir):
+    return NO.notes_per_outcome(_notes(spark, sf_dir), _labelled(spark, sf_dir))
+
+
+@query("text_reduction")
+def q_text_reduction(spark, sf_dir):
+    t = fixture_tables(spark, sf_dir)
+    return NO.text_reduction(NO.preprocess_notes(TX.available_notes(t.notes, C.apply_filters(t))))
+
+
+@query("note_priority")
+def q_note_priority(spark, sf_dir):
+    return FU.note_by_priority(_prepared(spark, sf_dir))
+
+
+@query("note_first")
+def q_note_first(spark, sf_dir):
+    return FU.note_first(_prepared(spark, sf_dir))
+
+
+@query("note_last")
+def q_note_last(spark, sf_dir):
+    return FU.note_last(_prepared(spark, sf_dir))
+
+
+@query("note_concat")
+def q_note_concat(spark, sf_dir):
+    return FU.note_concat(_prepared(spark, sf_dir))
+
+
+@query("stays_with_notes")
+def q_stays_with_notes(spark, sf_dir):
+    t = fixture_tables(spark, sf_dir)
+    cohort = C.apply_filters(t)
+    return FU.associate_notes_to_stays(cohort, TX.prepared_notes(t.notes, cohort)).select(
+        "stay_id", "subject_id", "hadm_id", "cleaned_text", "note_type")
+
+
+MM_COLS = ["subject_id", "hadm_id", "stay_id", "cleaned_text", "outcome", "lengthened_ed_stay",
+           "has_text"]
+
+
+@query("multimodal_dataset")
+def q_multimodal_dataset(spark, sf_dir):
+    mm = _multimodal(spark, sf_dir)
+    feats = [c for c in mm.columns if c.startswith("triage_") or c.startswith("lab_")]
+    return mm.select(*MM_COLS, *[r6(c).alias(c) if c in COST_COLS else F.col(c) for c in feats])
+
+
+@query("integration_stats")
+def q_integration_stats(spark, sf_dir):
+    t = fixture_tables(spark, sf_dir)
+    cohort = C.apply_filters(t)
+    return FU.integration_stats(FU.associate_notes_to_stays(labelled_stays(t), TX.prepared_notes(t.notes, cohort)))
+
+
+@query("outcome_by_text")
+def q_outcome_by_text(spark, sf_dir):
+    return FU.outcome_by_text(_multimodal(spark, sf_dir))
+
+
+@query("stratified_split")
+def q_stratified_split(spark, sf_dir):
+    return _split(spark, sf_dir).select("stay_id", "outcome", "has_text", "split")
+
+
+@query("split_validation")
+def q_split_validation(spark, sf_dir):
+    return split_validation(_split(spark, sf_dir))
+
+
+def _examples(spark, sf_dir):
+    return SQ.training_examples(_split(spark, sf_dir))
+
+
+def _joined_arrays(df):
+    return df.select(*[F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+                       if c in ("lab_groups", "time_costs", "eos_positions", "lab_group_labels") else F.col(c)
+                       for c in df.columns])
+
+
+@query("linearize_triage")
+def q_linearize_triage(spark, sf_dir):
+    mm = _multimodal(spark, sf_dir)
+    return mm.select("stay_id", SQ.linearize_triage(mm).alias("triage_text"))
+
+
+@query("performed_groups")
+def q_performed_groups(spark, sf_dir):
+    mm = _multimodal(spark, sf_dir)
+    p = SQ.performed_groups(mm)
+    return mm.select("stay_id", F.array_join(F.transform(p, lambda x: x["group"]), ",").alias("groups"),
+                     F.array_join(F.transform(p, lambda x: F.coalesce(x["time"].cast("string"), F.lit("-"))),
+                                  ",").alias("times"))
+
+
+@query("linearize_sequence")
+def q_linearize_sequence(spark, sf_dir):
+    seq = SQ.linearize_sequence(_multimodal(spark, sf_dir))
+    return _joined_arrays(seq.select("stay_id", "text_sequence", "lab_groups", "time_costs", "eos_positions",
+                                     "total_time_cost", "num_labs"))
+
+
+@query("training_examples")
+def q_training_examples(spark, sf_dir):
+    return _joined_arrays(_examples(spark, sf_dir))
+
+
+@query("lab_label_vector")
+def q_lab_label_vector(spark, sf_dir):
+    ex = SQ.lab_label_vector(_examples(spark, sf_dir))
+    return _joined_arrays(ex.select("stay_id", "lab_group_labels", "num_labs"))
+
+
+@query("lab_group_frequency")
+def q_lab_group_frequency(spark, sf_dir):
+    return SQ.lab_group_frequency(_examples(spark, sf_dir))
+
+
+@query("sequence_stats")
+def q_sequence_stats(spark, sf_dir):
+    return SQ.sequence_stats(_examples(spark, sf_dir))
+
+
+@query("linearize_dict_value")
+def q_linearize_dict_value(spark, sf_dir):
+    """F14 on a real serialized-dict column: event properties rendered as a
+    lab-group style segment."""
+    ev = read_driver(spark, sf_dir, "events")
+    item = F.struct(F.col("event_type").alias("group"), F.col("props").alias("value"))
+    return ev.select("event_id", SQ.lab_group_text(item).alias("segment_text"))
