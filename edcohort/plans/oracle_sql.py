@@ -72,6 +72,8 @@ SELECT 3, 'triage_complete', n3 FROM f""")
     q.update(tabular_queries())
     from .catalog import CORR_FEATURES
     q["label_correlations"] = correlation_sql(CORR_FEATURES)
+    from .oracle_text import text_queries
+    q.update(text_queries())
     return q
 
 
