@@ -69,7 +69,9 @@ def feature_summary(df: DataFrame, cols: list[str]) -> DataFrame:
     rows = [(c, F.col(f"`{c}|nn`"), F.col(f"`{c}|mean`"), F.col(f"`{c}|std`"),
              F.col(f"`{c}|min`"), F.col(f"`{c}|max`")) for c in cols]
     long = to_long(wide, rows, ["feature", "non_null", "mean", "std", "min", "max"], keep=["__n"])
-    return long.select("feature", r6(F.col("non_null") * 100.0 / F.col("__n")).alias("completeness_pct"),
+    kind = F.when(F.col("feature").startswith("triage_"), F.lit("Triage")).otherwise(F.lit("Laboratory"))
+    return long.select("feature", kind.alias("kind"),
+                       r6(F.col("non_null") * 100.0 / F.col("__n")).alias("completeness_pct"),
                        r6("mean").alias("mean"), r6("std").alias("std"), r6("min").alias("min"),
                        r6("max").alias("max"))
 
@@ -106,8 +108,8 @@ def value_counts(df: DataFrame, col: str, normalize: bool = False) -> DataFrame:
     """Counts per value (nulls dropped, as pandas does)."""
     out = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
     if normalize:
-        from pyspark.sql import Window
-        out = out.withColumn("share", r6(F.col("n") / F.sum("n").over(Window.partitionBy())))
+        total = df.where(F.col(col).isNotNull()).select(F.count(F.lit(1))).scalar()
+        out = out.withColumn("share", r6(F.col("n") / total))
     return out
 
 

@@ -568,3 +568,115 @@ def q_linearize_dict_value(spark, sf_dir):
     ev = read_driver(spark, sf_dir, "events")
     item = F.struct(F.col("event_type").alias("group"), F.col("props").alias("value"))
     return ev.select("event_id", SQ.lab_group_text(item).alias("segment_text"))
+
+
+# ----------------------------------------------------------- profile block
+from ..operators import profile as PR  # noqa: E402
+from ..sources.readers import sample_tables  # noqa: E402
+from ..sources.sinks import run_manifest  # noqa: E402
+
+FEATURE_SUMMARY_COLS = ([c for c in TRIAGE_FEATURE_COLS if c != "triage_chief_complaint"]
+                        + [c for c in LS.WIDE_COLS if c.endswith("_value")])
+COMPLETENESS_COLS = ["temperature", "heartrate", "resprate", "o2sat", "sbp", "dbp", "acuity", "pain",
+                     "chiefcomplaint", "gender", "anchor_age", "ed_los_hours"]
+EXPECTED_ABSENT = ["anchor_year_group", "dod", "deathtime"]
+MANIFEST_CONFIG = {"strategy": "priority", "buffers": {"radiology": 0, "discharge": 12},
+                   "min_text_length": 50, "ratios": [0.8, 0.1, 0.1], "order": "modular 7919 % 10007",
+                   "lab_window_hours": 12}
+
+
+def _fixture_dict(t):
+    return {k: v for k, v in t.items() if k in ("edstays", "patients", "triage", "admissions", "icustays",
+                                                  "labevents", "notes")}
+
+
+@query("feature_summary")
+def q_feature_summary(spark, sf_dir):
+    return PR.feature_summary(_labelled(spark, sf_dir), FEATURE_SUMMARY_COLS)
+
+
+@query("los_describe")
+def q_los_describe(spark, sf_dir):
+    return PR.describe(_labelled(spark, sf_dir), ["ed_los_hours"])
+
+
+@query("note_length_describe")
+def q_note_length_describe(spark, sf_dir):
+    t = fixture_tables(spark, sf_dir)
+    notes = NO.preprocess_notes(TX.available_notes(t.notes, C.apply_filters(t)))
+    return PR.describe(notes, ["cleaned_length", "original_length"], by="note_category")
+
+
+@query("table_inventory")
+def q_table_inventory(spark, sf_dir):
+    return PR.table_inventory(_fixture_dict(fixture_tables(spark, sf_dir)))
+
+
+@query("value_counts")
+def q_value_counts(spark, sf_dir):
+    return PR.value_counts(C.apply_filters(fixture_tables(spark, sf_dir)), "age_group", normalize=True)
+
+
+@query("outcome_means")
+def q_outcome_means(spark, sf_dir):
+    """Means by outcome (age, LOS, lab groups)."""
+    df = _labelled(spark, sf_dir)
+    return df.groupBy("critical_outcome").agg(
+        F.count(F.lit(1)).alias("n"), r6(F.avg("age_at_ed")).alias("age_mean"),
+        r6(F.avg("ed_los_hours")).alias("los_mean"),
+        r6(F.avg("total_lab_groups_ordered")).alias("lab_groups_mean"))
+
+
+@query("completeness")
+def q_completeness(spark, sf_dir):
+    return PR.completeness(C.apply_filters(fixture_tables(spark, sf_dir)), COMPLETENESS_COLS, EXPECTED_ABSENT)
+
+
+@query("column_metadata")
+def q_column_metadata(spark, sf_dir):
+    return PR.column_metadata(C.apply_filters(fixture_tables(spark, sf_dir)), COHORT_COLS)
+
+
+@query("lab_utilization_pct")
+def q_lab_utilization_pct(spark, sf_dir):
+    from ..sources.labdim import LAB_GROUPS
+    return PR.lab_utilization_pct(_labelled(spark, sf_dir), LAB_GROUPS)
+
+
+@query("histogram")
+def q_histogram(spark, sf_dir):
+    """A31 with the P20 display filter (LOS ≤ 100 h)."""
+    df = _labelled(spark, sf_dir).where(F.col("ed_los_hours") <= 100)
+    return PR.histogram(df, "ed_los_hours", 50)
+
+
+@query("box_stats")
+def q_box_stats(spark, sf_dir):
+    return PR.box_stats(_labelled(spark, sf_dir), "ed_los_hours", "critical_outcome")
+
+
+@query("row_loss")
+def q_row_loss(spark, sf_dir):
+    t = fixture_tables(spark, sf_dir)
+    return PR.row_loss([("stays", t.edstays), ("joined", C.merge_initial(t)), ("cohort", C.apply_filters(t)),
+                        ("labelled", labelled_stays(t))])
+
+
+@query("source_profile")
+def q_source_profile(spark, sf_dir):
+    n = fixture_tables(spark, sf_dir).notes
+    srcs = {c: n.where(F.col("note_category") == c).drop("note_category") for c in ("discharge", "radiology")}
+    return PR.source_profile(srcs)
+
+
+@query("sampled_tables")
+def q_sampled_tables(spark, sf_dir):
+    """The first 500 stays in key order with their dependent rows."""
+    s = sample_tables(fixture_tables(spark, sf_dir), 500)
+    return PR.table_inventory({k: v for k, v in s.items() if k in ("edstays", "patients", "triage",
+                                                                   "admissions", "icustays")})
+
+
+@query("run_manifest")
+def q_run_manifest(spark, sf_dir):
+    return run_manifest(_split(spark, sf_dir), MANIFEST_CONFIG)

@@ -74,6 +74,8 @@ SELECT 3, 'triage_complete', n3 FROM f""")
     q["label_correlations"] = correlation_sql(CORR_FEATURES)
     from .oracle_text import text_queries
     q.update(text_queries())
+    from .oracle_profile import profile_queries
+    q.update(profile_queries())
     return q
 
 
