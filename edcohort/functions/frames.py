@@ -20,3 +20,13 @@ def to_long(df: DataFrame, rows: list[tuple], names: list[str], keep: list[str]
 def r6(c: Column | str) -> Column:
     """Round a computed double to 6 places (for cross-engine comparison)."""
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
+
+
+def melt(df: DataFrame, cols: list[str], keep: list[str] | None = None,
+         name: str = "feature", value: str = "x") -> DataFrame:
+    """Unpivot ``cols`` (cast to double) into (name, value) rows, carrying
+    ``keep``. Used before per-feature statistics so the aggregate stays narrow
+    (a few buffers per group) instead of hundreds of columns wide; partial
+    aggregation collapses the multiplied rows inside each task."""
+    pairs = F.array(*[F.struct(F.lit(c).alias(name), F.col(c).cast("double").alias(value)) for c in cols])
+    return df.select(*(keep or []), F.inline(pairs))

@@ -13,6 +13,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # --- fixed values: characters Python's str.isspace() treats as whitespace ---
+WS_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+            + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000")
+# The same set as a regex class: Java's Unicode \s plus the four separators
+# U+001C..U+001F (used with the (?U) flag at the start of a Spark pattern) ...
+WS_SPARK = r"[\s\x1C-\x1F]"
+# ... and spelled out for engines without Unicode classes (the SQL oracle).
 WS_CLASS = (r"\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
             r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}")
 WS = f"[{WS_CLASS}]"
@@ -20,7 +26,10 @@ WS = f"[{WS_CLASS}]"
 REDACTION_PATTERN = r"\[\*\*[^\]]+\*\*\]"
 REDACTION_TOKEN = " [REDACTED] "
 SPECIAL_CHARS_PATTERN = f"[^a-zA-Z0-9{WS_CLASS}.,:;\\-]"
-SENTENCE_SPLIT = f"(?<=[.!?]){WS}+"
+SPARK_SPECIAL_CHARS = r"(?U)[^a-zA-Z0-9\s\x1C-\x1F.,:;\-]"
+SPARK_WS_RUN = f"(?U){WS_SPARK}+"
+SPARK_SENTENCE_SPLIT = f"(?U)(?<=[.!?]){WS_SPARK}+"
+SPARK_TOKEN = r"(?U)[^\s\x1C-\x1F]+"
 KEYWORD_PATTERN = r"(?U)\b[a-z]{4,}\b"
 CHARS_PER_TOKEN = 4
 
@@ -30,8 +39,9 @@ def _c(c: str | Column) -> Column:
 
 
 def strip_ws(c: str | Column) -> Column:
-    """Python ``str.strip()``: remove leading/trailing Unicode whitespace."""
-    return F.regexp_replace(_c(c), f"^{WS}+|{WS}+$", "")
+    """Python ``str.strip()``: remove leading/trailing Unicode whitespace
+    (a character-set trim, no regex)."""
+    return F.btrim(_c(c), F.lit(WS_CHARS))
 
 
 def clean_text(c: str | Column, remove_special_chars: bool = False, lowercase: bool = False) -> Column:
@@ -41,9 +51,9 @@ def clean_text(c: str | Column, remove_special_chars: bool = False, lowercase: b
     the redaction token."""
     t = F.coalesce(_c(c), F.lit(""))
     t = F.regexp_replace(t, REDACTION_PATTERN, REDACTION_TOKEN)
-    t = F.regexp_replace(t, f"{WS}+", " ")
+    t = F.regexp_replace(t, SPARK_WS_RUN, " ")
     if remove_special_chars:
-        t = F.regexp_replace(t, SPECIAL_CHARS_PATTERN, "")
+        t = F.regexp_replace(t, SPARK_SPECIAL_CHARS, "")
     if lowercase:
         t = F.lower(t)
     return strip_ws(t)
@@ -56,7 +66,7 @@ def segment_text(c: str | Column, max_tokens: int = 512) -> Column:
     row (no shuffle, no Python)."""
     t = _c(c)
     max_chars = max_tokens * CHARS_PER_TOKEN
-    sentences = F.split(t, SENTENCE_SPLIT)
+    sentences = F.split(t, SPARK_SENTENCE_SPLIT)
     init = F.struct(F.array().cast("array<string>").alias("segs"), F.lit("").alias("cur"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -77,8 +87,9 @@ def segment_text(c: str | Column, max_tokens: int = 512) -> Column:
 
 
 def token_count(c: str | Column) -> Column:
-    """Python ``len(s.split())``: whitespace-separated tokens, 0 for ''."""
-    return F.size(F.filter(F.split(_c(c), f"{WS}+"), lambda x: x != ""))
+    """Python ``len(s.split())``: the number of maximal non-whitespace
+    runs (one regex pass, no array), 0 for ''."""
+    return F.regexp_count(_c(c), F.lit(SPARK_TOKEN))
 
 
 def keywords(c: str | Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.frames import r6, to_long
+from ..functions.frames import melt, r6, to_long
 from ..functions.timecols import hours_between, parse_timestamp
 from ..sources.schemas import has
 
@@ -48,12 +48,13 @@ def icu_matches(stays: DataFrame, icustays: DataFrame, hours: float = ICU_WINDOW
 
 
 def icu_transfer(df: DataFrame, icustays: DataFrame | None, hours: float = ICU_WINDOW_HOURS,
-                 anchor: str = "outtime") -> DataFrame:
+                 anchor: str = "outtime", keys: DataFrame | None = None) -> DataFrame:
     """O2: ``icu_transfer_12h`` = 1 when such an ICU stay exists (no fan-out:
-    the matches are distinct stays before the join back)."""
+    the matches are distinct stays before the join back). ``keys`` is an
+    optional narrow frame of the same stays for the existence join."""
     if icustays is None:
         return df.withColumn("icu_transfer_12h", F.lit(0))
-    hits = icu_matches(df, icustays, hours, anchor).withColumn("__hit", F.lit(1))
+    hits = icu_matches(keys if keys is not None else df, icustays, hours, anchor).withColumn("__hit", F.lit(1))
     return (df.join(hits, "stay_id", "left")
               .withColumn("icu_transfer_12h", F.coalesce("__hit", F.lit(0))).drop("__hit"))
 
@@ -78,9 +79,9 @@ def lengthened_stay(df: DataFrame) -> DataFrame:
 
 
 def create_all_labels(df: DataFrame, icustays: DataFrame | None,
-                      icu_hours: float = ICU_WINDOW_HOURS) -> DataFrame:
+                      icu_hours: float = ICU_WINDOW_HOURS, keys: DataFrame | None = None) -> DataFrame:
     """All labels."""
-    return (df.transform(hospital_death).transform(icu_transfer, icustays, icu_hours)
+    return (df.transform(hospital_death).transform(icu_transfer, icustays, icu_hours, "outtime", keys)
               .transform(critical_outcome).transform(lengthened_stay))
 
 
@@ -156,11 +157,10 @@ def label_correlations(df: DataFrame, labels: list[str] | None = None, top: int
     from pyspark.sql import Window
     labels = [c for c in (labels or ["critical_outcome", "lengthened_ed_stay"]) if has(df, c)]
     feats = features or numeric_features(df)
-    aggs = [F.corr(F.col(f).cast("double"), F.col(lbl).cast("double")).alias(f"{lbl}|{f}")
-            for lbl in labels for f in feats]
-    wide = df.agg(*aggs)
-    rows = [(lbl, f, F.col(f"`{lbl}|{f}`")) for lbl in labels for f in feats]
-    long = to_long(wide, rows, ["label", "feature", "corr"]).where(F.col("corr").isNotNull())
+    pairs = melt(df.select(*feats, *[F.col(l).cast("double").alias(l) for l in labels]), feats, keep=labels)
+    per_feature = pairs.groupBy("feature").agg(*[F.corr("x", l).alias(l) for l in labels])
+    rows = [(lbl, F.col(lbl)) for lbl in labels]
+    long = to_long(per_feature, rows, ["label", "corr"], keep=["feature"]).where(F.col("corr").isNotNull())
     long = long.withColumn("corr", r6("corr")).withColumn("abs_corr", F.abs("corr"))
     key = F.col("corr").desc() if signed else F.col("abs_corr").desc()
     w = Window.partitionBy("label").orderBy(key, F.col("feature"))

@@ -148,12 +148,16 @@ def prepare_labs(labevents: DataFrame, stays: DataFrame, dim: DataFrame,
 
 def extract_lab_features(df: DataFrame, labevents: DataFrame | None,
                          dim: DataFrame | None = None, time_window_hours: float = 12.0,
-                         use_first_value: bool = True, spark: SparkSession | None = None) -> DataFrame:
-    """J4 → J13 → A1/A2 → A3 → J5 → A4 on the cohort frame."""
+                         use_first_value: bool = True, spark: SparkSession | None = None,
+                         keys: DataFrame | None = None) -> DataFrame:
+    """J4 → J13 → A1/A2 → A3 → J5 → A4 on the cohort frame. ``keys``
+    (stay_id, subject_id, hadm_id, intime of the same stays) is the narrow
+    side of the window join; by default it is projected from ``df``."""
     if labevents is None:
         return add_empty_lab_features(df)
     dim = dim if dim is not None else lab_dim(spark or df.sparkSession)
-    labs = prepare_labs(labevents, df, dim, time_window_hours)
+    stays = keys if keys is not None else df.select("stay_id", "subject_id", "hadm_id", "intime")
+    labs = prepare_labs(labevents, stays, dim, time_window_hours)
     wide = labs_wide(labs, use_first_value)
     return df.join(wide, "stay_id", "left").transform(add_utilization_flags)
 

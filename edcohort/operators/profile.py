@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.frames import r6, to_long
+from ..functions.frames import melt, r6, to_long
 from ..sources.schemas import has
 
 PCTS = [0.25, 0.5, 0.75, 0.95]
@@ -58,17 +58,12 @@ def run_stats(df: DataFrame, outcome: str = "critical_outcome") -> DataFrame:
 
 
 def feature_summary(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Per feature completeness %, mean, sample std, min, max."""
-    n = F.count(F.lit(1)).alias("__n")
-    aggs = [n]
-    for c in cols:
-        x = F.col(c).cast("double")
-        aggs += [F.count(x).alias(f"{c}|nn"), F.avg(x).alias(f"{c}|mean"),
-                 F.stddev_samp(x).alias(f"{c}|std"), F.min(x).alias(f"{c}|min"), F.max(x).alias(f"{c}|max")]
-    wide = df.agg(*aggs)
-    rows = [(c, F.col(f"`{c}|nn`"), F.col(f"`{c}|mean`"), F.col(f"`{c}|std`"),
-             F.col(f"`{c}|min`"), F.col(f"`{c}|max`")) for c in cols]
-    long = to_long(wide, rows, ["feature", "non_null", "mean", "std", "min", "max"], keep=["__n"])
+    """Per feature completeness %, mean, sample std, min, max (long
+    form first, so one narrow aggregate keyed by feature)."""
+    n = df.select(F.count(F.lit(1))).scalar()
+    long = melt(df, cols).groupBy("feature").agg(
+        F.count("x").alias("non_null"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"),
+        F.min("x").alias("min"), F.max("x").alias("max")).withColumn("__n", n)
     kind = F.when(F.col("feature").startswith("triage_"), F.lit("Triage")).otherwise(F.lit("Laboratory"))
     return long.select("feature", kind.alias("kind"),
                        r6(F.col("non_null") * 100.0 / F.col("__n")).alias("completeness_pct"),

@@ -340,12 +340,13 @@ def _notes(spark, sf_dir):
 
 def _prepared(spark, sf_dir):
     t = fixture_tables(spark, sf_dir)
-    return TX.prepared_notes(t.notes, C.apply_filters(t))
+    return TX.prepared_notes(t.notes, C.apply_filters(t), only_valid=False)
 
 
 def _multimodal(spark, sf_dir):
     t = fixture_tables(spark, sf_dir)
-    return TX.multimodal(labelled_stays(t), C.apply_filters(t), t)
+    cohort = C.apply_filters(t)
+    return TX.multimodal(labelled_stays(t, cohort=cohort), cohort, t)
 
 
 def _split(spark, sf_dir):
@@ -398,7 +399,8 @@ def q_clean_notes(spark, sf_dir):
 
 @query("notes_valid")
 def q_notes_valid(spark, sf_dir):
-    return _prepared(spark, sf_dir).select("note_id", "subject_id", "hadm_id", "note_category",
+    t = fixture_tables(spark, sf_dir)
+    return TX.prepared_notes(t.notes, C.apply_filters(t)).select("note_id", "subject_id", "hadm_id", "note_category",
                                            "cleaned_length")
 
 
@@ -471,7 +473,7 @@ def q_note_concat(spark, sf_dir):
 def q_stays_with_notes(spark, sf_dir):
     t = fixture_tables(spark, sf_dir)
     cohort = C.apply_filters(t)
-    return FU.associate_notes_to_stays(cohort, TX.prepared_notes(t.notes, cohort)).select(
+    return FU.associate_notes_to_stays(cohort, TX.prepared_notes(t.notes, cohort, only_valid=False)).select(
         "stay_id", "subject_id", "hadm_id", "cleaned_text", "note_type")
 
 
@@ -490,7 +492,8 @@ def q_multimodal_dataset(spark, sf_dir):
 def q_integration_stats(spark, sf_dir):
     t = fixture_tables(spark, sf_dir)
     cohort = C.apply_filters(t)
-    return FU.integration_stats(FU.associate_notes_to_stays(labelled_stays(t), TX.prepared_notes(t.notes, cohort)))
+    return FU.integration_stats(FU.associate_notes_to_stays(labelled_stays(t, cohort=cohort),
+                                                            TX.prepared_notes(t.notes, cohort, only_valid=False)))
 
 
 @query("outcome_by_text")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..functions.text import REDACTION_PATTERN, REDACTION_TOKEN, SPECIAL_CHARS_PATTERN, WS
+from ..functions.text import REDACTION_PATTERN, REDACTION_TOKEN, SPECIAL_CHARS_PATTERN, WS, WS_CHARS
 from ..operators.sequence import ONE_DECIMAL_FIELDS, TRIAGE_FIELDS
 from ..sources.labdim import GROUP_CLASS_ID, GROUP_MINUTES, SEQUENCE_GROUPS
 from .oracle import with_mapping
@@ -11,7 +11,8 @@ from .oracle_sql import (COHORT, COST_COLS, FLAG_COLS, TRIAGE_FEATURE_COLS, WIDE
 
 
 def _strip(x: str) -> str:
-    return f"regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g')"
+    chars = WS_CHARS.replace("'", "''")
+    return f"trim({x}, '{chars}')"
 
 
 def sql_clean(x: str, special: bool = False, lower: bool = False) -> str:

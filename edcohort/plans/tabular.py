@@ -17,16 +17,30 @@ from ..operators.triage import extract_triage_features
 from ..sources.readers import Tables
 
 
-def featured_stays(t: Tables, time_window_hours: float = 12.0, use_first_value: bool = True) -> DataFrame:
-    cohort = apply_filters(t)
+KEY_COLS = ["stay_id", "subject_id", "hadm_id", "intime", "outtime"]
+
+
+def cohort_keys(cohort: DataFrame) -> DataFrame:
+    """The narrow side of the lab, ICU and note joins: only the keys and the
+    two anchor times of each cohort stay."""
+    return cohort.select(*KEY_COLS)
+
+
+def featured_stays(t: Tables, time_window_hours: float = 12.0, use_first_value: bool = True,
+                   cohort: DataFrame | None = None) -> DataFrame:
+    cohort = cohort if cohort is not None else apply_filters(t)
     feats = extract_triage_features(cohort)
     dim = t.extra.get("lab_dim")
-    labs = extract_lab_features(feats, t.labevents, dim, time_window_hours, use_first_value)
+    labs = extract_lab_features(feats, t.labevents, dim, time_window_hours, use_first_value,
+                                keys=cohort_keys(cohort))
     return lab_time_costs(labs)
 
 
 def labelled_stays(t: Tables, time_window_hours: float = 12.0, use_first_value: bool = True,
-                   icu_window_hours: float = 12.0) -> DataFrame:
-    """The labelled stay table (features + four labels), one row per stay."""
-    return create_all_labels(featured_stays(t, time_window_hours, use_first_value), t.icustays,
-                             icu_window_hours)
+                   icu_window_hours: float = 12.0, cohort: DataFrame | None = None) -> DataFrame:
+    """The labelled stay table (features + four labels), one row per stay.
+    The lab window join and the ICU existence join both run on the narrow
+    cohort keys, never on the wide featured frame."""
+    cohort = cohort if cohort is not None else apply_filters(t)
+    feats = featured_stays(t, time_window_hours, use_first_value, cohort)
+    return create_all_labels(feats, t.icustays, icu_window_hours, keys=cohort_keys(cohort))

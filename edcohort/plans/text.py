@@ -29,15 +29,20 @@ def available_notes(notes: DataFrame, stays: DataFrame, buffers: dict[str, float
 
 
 def prepared_notes(notes: DataFrame, stays: DataFrame, buffers: dict[str, float] | None = None,
-                   min_text_length: int = 50) -> DataFrame:
-    """Available, cleaned and valid notes."""
-    return valid_notes(preprocess_notes(available_notes(notes, stays, buffers),
-                                        min_text_length=min_text_length))
+                   min_text_length: int = 50, only_valid: bool = True) -> DataFrame:
+    """Available and cleaned notes; with ``only_valid`` the invalid ones are
+    filtered out. The fusion step honours ``is_valid`` itself, so the text
+    plan passes ``only_valid=False`` and every note is cleaned exactly once
+    (a filter on the cleaned length would be pushed below the cleaning and
+    evaluate the regexes a second time)."""
+    out = preprocess_notes(available_notes(notes, stays, buffers), min_text_length=min_text_length)
+    return valid_notes(out) if only_valid else out
 
 
 def multimodal(labelled: DataFrame, cohort: DataFrame, t: Tables, strategy: str = "priority",
                outcome_column: str = "critical_outcome") -> DataFrame:
-    notes = prepared_notes(t.notes, cohort)
+    notes = prepared_notes(t.notes, cohort.select("subject_id", "hadm_id", "intime", "outtime"),
+                           only_valid=False)
     integrated = associate_notes_to_stays(labelled, notes, strategy)
     return multimodal_dataset(integrated, outcome_column=outcome_column)
 
