@@ -30,3 +30,26 @@ def melt(df: DataFrame, cols: list[str], keep: list[str] | None = None,
     aggregation collapses the multiplied rows inside each task."""
     pairs = F.array(*[F.struct(F.lit(c).alias(name), F.col(c).cast("double").alias(value)) for c in cols])
     return df.select(*(keep or []), F.inline(pairs))
+
+
+def safe_div(num: Column | str, den: Column | str) -> Column:
+    """Division that yields null for a zero divisor (ANSI mode would raise)."""
+    a = F.col(num) if isinstance(num, str) else num
+    b = F.col(den) if isinstance(den, str) else den
+    return F.try_divide(a.cast("double"), b.cast("double"))
+
+
+def pct(num: Column | str, den: Column | str) -> Column:
+    """100·num/den (multiplied first, like ``x * 100.0 / n`` in SQL), null
+    for a zero divisor."""
+    a = F.col(num) if isinstance(num, str) else num
+    return safe_div(a.cast("double") * F.lit(100.0), den)
+
+
+def pearson(x: Column, y: Column) -> Column:
+    """Pearson correlation over the rows where both sides are present, as
+    sample covariance over the product of sample deviations. A constant side
+    gives null (Spark's ``corr`` divides by zero under ANSI mode)."""
+    both = x.isNotNull() & y.isNotNull()
+    xs, ys = F.when(both, x), F.when(both, y)
+    return F.try_divide(F.covar_samp(xs, ys), F.stddev_samp(xs) * F.stddev_samp(ys))

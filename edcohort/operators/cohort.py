@@ -207,24 +207,22 @@ def cohort_funnel(t: Tables) -> DataFrame:
 def vital_zscores(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Z-score of each vital over the whole frame and |z| > 2 flags.
 
-    Mean and sample std come from one global aggregate (a single row) that is
-    joined back by broadcast on a constant key; no unpartitioned window. A
-    zero or undefined std gives a null z and a 0 flag.
+    Mean and sample std come from one global aggregate (a single row) read
+    as scalar subqueries (Spark merges them into one aggregate job); no
+    join and no unpartitioned window. A zero or undefined std gives a null z
+    and a 0 flag.
     """
     cols = available_columns(df, cols or VITAL_COLS)
     if not cols:
         return df
-    stats = df.agg(*[F.avg(c).alias(f"__mean_{c}") for c in cols],
-                   *[F.stddev_samp(c).alias(f"__std_{c}") for c in cols]).withColumn("__k", F.lit(0))
-    joined = df.withColumn("__k", F.lit(0)).join(F.broadcast(stats), "__k")
+    stats = df.agg(*[F.avg(c).alias(f"m_{c}") for c in cols], *[F.stddev_samp(c).alias(f"s_{c}") for c in cols])
     new = {}
     for c in cols:
-        z = F.try_divide(F.col(c) - F.col(f"__mean_{c}"),
-                         F.when(F.col(f"__std_{c}") != 0, F.col(f"__std_{c}")))
+        mean, std = stats.select(f"m_{c}").scalar(), stats.select(f"s_{c}").scalar()
+        z = F.try_divide(F.col(c) - mean, F.when(std != 0, std))
         new[f"{c}_zscore"] = z
         new[f"{c}_abnormal"] = F.coalesce(F.abs(z) > 2, F.lit(False)).cast("int")
-    return joined.withColumns(new).drop("__k", *[f"__mean_{c}" for c in cols],
-                                        *[f"__std_{c}" for c in cols])
+    return df.withColumns(new)
 
 
 def vital_risk_score(df: DataFrame) -> DataFrame:

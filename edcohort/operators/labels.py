@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.frames import melt, r6, to_long
+from ..functions.frames import melt, pearson, r6, to_long
+from ..functions.frames import pct as pct_of
 from ..functions.timecols import hours_between, parse_timestamp
 from ..sources.schemas import has
 
@@ -93,7 +94,7 @@ def label_summary(df: DataFrame) -> DataFrame:
     agg = df.agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in labels])
     rows = [(lbl, F.col(lbl), F.lit(PUBLISHED_PCT[lbl])) for lbl in labels]
     long = to_long(agg, rows, ["label", "n_pos", "paper_pct"], keep=["n"])
-    pct = F.col("n_pos") * 100.0 / F.col("n")
+    pct = pct_of("n_pos", "n")
     return long.select("label", F.col("n_pos").cast("long").alias("n_pos"), r6(pct).alias("pct_pos"),
                        (F.col("n") - F.col("n_pos")).cast("long").alias("n_neg"),
                        r6(F.lit(100.0) - pct).alias("pct_neg"), "paper_pct")
@@ -128,7 +129,7 @@ def crosstab_normalized(df: DataFrame, row: str = "critical_outcome",
     from pyspark.sql import Window
     counts = df.groupBy(row, col).agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy(col)
-    return counts.select(row, col, "n", r6(F.col("n") * 100.0 / F.sum("n").over(w)).alias("pct_of_col"))
+    return counts.select(row, col, "n", r6(pct_of(F.col("n"), F.sum("n").over(w))).alias("pct_of_col"))
 
 
 def label_rate_check(df: DataFrame) -> DataFrame:
@@ -158,7 +159,7 @@ def label_correlations(df: DataFrame, labels: list[str] | None = None, top: int
     labels = [c for c in (labels or ["critical_outcome", "lengthened_ed_stay"]) if has(df, c)]
     feats = features or numeric_features(df)
     pairs = melt(df.select(*feats, *[F.col(l).cast("double").alias(l) for l in labels]), feats, keep=labels)
-    per_feature = pairs.groupBy("feature").agg(*[F.corr("x", l).alias(l) for l in labels])
+    per_feature = pairs.groupBy("feature").agg(*[pearson(F.col("x"), F.col(l)).alias(l) for l in labels])
     rows = [(lbl, F.col(lbl)) for lbl in labels]
     long = to_long(per_feature, rows, ["label", "corr"], keep=["feature"]).where(F.col("corr").isNotNull())
     long = long.withColumn("corr", r6("corr")).withColumn("abs_corr", F.abs("corr"))

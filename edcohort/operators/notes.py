@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.frames import r6, to_long
+from ..functions.frames import pct, r6, to_long
 from ..functions.text import clean_text, keywords
 from ..functions.timecols import add_hours, minutes_between, parse_timestamp
 from ..sources.schemas import has
@@ -119,7 +119,7 @@ def retention_sweep(notes: DataFrame, stays: DataFrame, buffers: list[float] | N
     rows = [(float(b), F.col(f"b{i}")) for i, b in enumerate(buffers)]
     long = to_long(agg, rows, ["buffer_hours", "n_kept"], keep=["n_joined"])
     return long.select("buffer_hours", "n_kept", "n_joined",
-                       r6(F.col("n_kept") * 100.0 / F.col("n_joined")).alias("pct_kept"))
+                       r6(pct("n_kept", "n_joined")).alias("pct_kept"))
 
 
 def retention_by_category(notes: DataFrame, stays: DataFrame, time_buffer_hours: float = 0.0) -> DataFrame:
@@ -132,7 +132,7 @@ def retention_by_category(notes: DataFrame, stays: DataFrame, time_buffer_hours:
          .unionByName(kept.select("note_category", F.lit(0).alias("__in"), F.lit(1).alias("__kept"))))
     out = u.groupBy("note_category").agg(F.sum("__in").cast("long").alias("n_total"),
                                          F.sum("__kept").cast("long").alias("n_retained"))
-    return out.withColumn("retention_pct", r6(F.col("n_retained") * 100.0 / F.col("n_total")))
+    return out.withColumn("retention_pct", r6(pct("n_retained", "n_total")))
 
 
 def notes_per_outcome(notes: DataFrame, outcomes: DataFrame, outcome: str = "critical_outcome",
@@ -158,7 +158,7 @@ def time_coverage(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     rows = [(c, F.col(f"`{c}|nn`"), F.col(f"`{c}|min`").cast("timestamp_ntz"),
              F.col(f"`{c}|max`").cast("timestamp_ntz")) for c in cols]
     long = to_long(wide, rows, ["column", "non_null", "min_time", "max_time"], keep=["__n"])
-    return long.select("column", "non_null", r6(F.col("non_null") * 100.0 / F.col("__n")).alias("pct_non_null"),
+    return long.select("column", "non_null", r6(pct("non_null", "__n")).alias("pct_non_null"),
                        "min_time", "max_time")
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.frames import melt, r6, to_long
+from ..functions.frames import melt, pct, r6, safe_div, to_long
 from ..sources.schemas import has
 
 PCTS = [0.25, 0.5, 0.75, 0.95]
@@ -37,14 +37,14 @@ def cohort_summary(df: DataFrame) -> DataFrame:
         aggs += [r6(F.avg("age_at_ed")).alias("age_mean"), F.min("age_at_ed").alias("age_min"),
                  F.max("age_at_ed").alias("age_max")]
     if has(df, "gender"):
-        aggs += [r6(F.count_if(F.col("gender") == "M") * 100.0 / n).alias("pct_male"),
-                 r6(F.count_if(F.col("gender") == "F") * 100.0 / n).alias("pct_female")]
+        aggs += [r6(pct(F.count_if(F.col("gender") == "M"), n)).alias("pct_male"),
+                 r6(pct(F.count_if(F.col("gender") == "F"), n)).alias("pct_female")]
     if has(df, "ed_los_hours"):
         aggs += [r6(F.avg("ed_los_hours")).alias("los_mean"), r6(F.median("ed_los_hours")).alias("los_median")]
     if has(df, "lengthened_ed_stay"):
-        aggs.append(r6(F.count_if(F.col("lengthened_ed_stay") == 1) * 100.0 / n).alias("pct_lengthened"))
+        aggs.append(r6(pct(F.count_if(F.col("lengthened_ed_stay") == 1), n)).alias("pct_lengthened"))
     if has(df, "hospital_death"):
-        aggs.append(r6(F.count_if(F.col("hospital_death") == 1) * 100.0 / n).alias("pct_death"))
+        aggs.append(r6(pct(F.count_if(F.col("hospital_death") == 1), n)).alias("pct_death"))
     return df.agg(*aggs)
 
 
@@ -66,7 +66,7 @@ def feature_summary(df: DataFrame, cols: list[str]) -> DataFrame:
         F.min("x").alias("min"), F.max("x").alias("max")).withColumn("__n", n)
     kind = F.when(F.col("feature").startswith("triage_"), F.lit("Triage")).otherwise(F.lit("Laboratory"))
     return long.select("feature", kind.alias("kind"),
-                       r6(F.col("non_null") * 100.0 / F.col("__n")).alias("completeness_pct"),
+                       r6(pct("non_null", "__n")).alias("completeness_pct"),
                        r6("mean").alias("mean"), r6("std").alias("std"), r6("min").alias("min"),
                        r6("max").alias("max"))
 
@@ -104,7 +104,7 @@ def value_counts(df: DataFrame, col: str, normalize: bool = False) -> DataFrame:
     out = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
     if normalize:
         total = df.where(F.col(col).isNotNull()).select(F.count(F.lit(1))).scalar()
-        out = out.withColumn("share", r6(F.col("n") / total))
+        out = out.withColumn("share", r6(safe_div(F.col("n"), F.lit(total))))
     return out
 
 
@@ -122,7 +122,7 @@ def completeness(df: DataFrame, cols: list[str] | None = None,
     long = to_long(wide, rows, ["column", "dtype", "non_null", "present"], keep=["__n"])
     return long.select("column", "dtype", "present", F.col("non_null").cast("long").alias("non_null"),
                        (F.col("__n") - F.col("non_null")).cast("long").alias("missing"),
-                       r6(F.col("non_null") * 100.0 / F.col("__n")).alias("completeness_pct"))
+                       r6(pct("non_null", "__n")).alias("completeness_pct"))
 
 
 def column_metadata(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
@@ -144,7 +144,7 @@ def column_metadata(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
              F.col(f"`{c}|max`") if c in num else nul) for c in cols]
     long = to_long(wide, rows, ["column", "dtype", "non_null", "mean", "min", "max"], keep=["__n"])
     return long.select("column", "dtype",
-                       r6((F.col("__n") - F.col("non_null")) * 100.0 / F.col("__n")).alias("null_pct"),
+                       r6(pct(F.col("__n") - F.col("non_null"), "__n")).alias("null_pct"),
                        r6("mean").alias("mean"), r6("min").alias("min"), r6("max").alias("max"))
 
 
@@ -152,16 +152,15 @@ def histogram(df: DataFrame, col: str, bins: int = 50) -> DataFrame:
     """Equal-width histogram over [min, max] with ``bins`` bins (the
     maximum falls in the last bin; a constant column spans ±0.5). All bins
     are returned, empty ones with 0. Min/max come from a one-row aggregate
-    joined back by broadcast on a constant key."""
+    read as scalar subqueries (no join)."""
     x = F.col(col).cast("double")
     stats = df.agg(F.min(x).alias("lo0"), F.max(x).alias("hi0")).select(
         F.when(F.col("lo0") == F.col("hi0"), F.col("lo0") - 0.5).otherwise(F.col("lo0")).alias("lo"),
-        F.when(F.col("lo0") == F.col("hi0"), F.col("hi0") + 0.5).otherwise(F.col("hi0")).alias("hi"),
-    ).withColumn("__k", F.lit(0))
-    vals = df.select(x.alias("v")).where(F.col("v").isNotNull()).withColumn("__k", F.lit(0))
-    b = F.least(F.width_bucket(F.col("v"), F.col("lo"), F.col("hi"), F.lit(bins)), F.lit(bins))
-    counts = (vals.join(F.broadcast(stats), "__k")
-                  .groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n")))
+        F.when(F.col("lo0") == F.col("hi0"), F.col("hi0") + 0.5).otherwise(F.col("hi0")).alias("hi"))
+    lo, hi = stats.select("lo").scalar(), stats.select("hi").scalar()
+    vals = df.select(x.alias("v")).where(F.col("v").isNotNull())
+    b = F.least(F.width_bucket(F.col("v"), lo, hi, F.lit(bins)), F.lit(bins))
+    counts = vals.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     edges = stats.select("lo", "hi", F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"))
     width = (F.col("hi") - F.col("lo")) / bins
     return (edges.join(counts, "bin", "left")
@@ -196,9 +195,8 @@ def row_loss(stages: list[tuple[str, DataFrame]]) -> DataFrame:
     parts = [df.agg(F.count(F.lit(1)).alias("n_rows")).select(
         F.lit(i).alias("stage_no"), F.lit(name).alias("stage"), "n_rows") for i, (name, df) in enumerate(stages)]
     u = reduce(DataFrame.unionByName, parts)
-    first = u.where(F.col("stage_no") == 0).select(F.col("n_rows").alias("n_first"), F.lit(0).alias("__k"))
-    return (u.withColumn("__k", F.lit(0)).join(F.broadcast(first), "__k")
-             .select("stage_no", "stage", "n_rows", (F.col("n_first") - F.col("n_rows")).alias("rows_lost")))
+    n_first = stages[0][1].select(F.count(F.lit(1))).scalar()
+    return u.select("stage_no", "stage", "n_rows", (n_first - F.col("n_rows")).alias("rows_lost"))
 
 
 def lab_utilization_pct(df: DataFrame, groups: list[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fmt import dict_parts, one_decimal, py_str
-from ..functions.frames import r6
+from ..functions.frames import pct, r6
 from ..functions.text import complaint_text, token_count
 from ..sources.labdim import GROUP_CLASS_ID, GROUP_MINUTES, SEQUENCE_GROUPS
 from ..sources.schemas import has
@@ -135,7 +135,7 @@ def lab_group_frequency(df: DataFrame) -> DataFrame:
     total = df.select(F.count(F.lit(1))).scalar()
     counts = df.select(F.explode("lab_groups").alias("lab_group")).groupBy("lab_group").agg(
         F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("pct_of_stays", r6(F.col("n") * 100.0 / total))
+    return counts.withColumn("pct_of_stays", r6(pct(F.col("n"), total)))
 
 
 def sequence_stats(df: DataFrame, max_tokens: int = MAX_SEQUENCE_TOKENS) -> DataFrame:
