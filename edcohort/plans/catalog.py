@@ -683,3 +683,21 @@ def q_sampled_tables(spark, sf_dir):
 @query("run_manifest")
 def q_run_manifest(spark, sf_dir):
     return run_manifest(_split(spark, sf_dir), MANIFEST_CONFIG)
+
+
+# ------------------------------------------------------------- loader / T5
+from ..sources.readers import assemble_tables  # noqa: E402
+
+
+@query("load_table_counts")
+def q_load_table_counts(spark, sf_dir):
+    """The table set as the loader assembles it (filtered lab strategy,
+    labs of loaded patients), reported as rows and columns per table."""
+    t = assemble_tables(fixture_tables(spark, sf_dir), lab_strategy="filtered")
+    return PR.table_inventory(_fixture_dict(t))
+
+
+@query("notes_sample")
+def q_notes_sample(spark, sf_dir):
+    """T5: 1000 notes by seeded hash order (no SQL twin: the hash is Spark's)."""
+    return NO.notes_sample(_notes(spark, sf_dir)).select("note_id", "note_category", F.length("text").alias("text_length"))

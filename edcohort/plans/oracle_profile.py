@@ -58,6 +58,12 @@ def profile_queries() -> dict[str, str]:
     inv = [f"SELECT '{t}' AS \"table\", count(*) AS n_rows, {n} AS n_columns FROM {t}"
            for t, n in TABLE_COLUMNS.items()]
     q["table_inventory"] = m(_union(inv))
+    from .oracle_sql import _relevant_items
+    inv2 = [f"SELECT '{t}' AS \"table\", count(*) AS n_rows, {n} AS n_columns FROM {t}"
+            for t, n in TABLE_COLUMNS.items() if t != "labevents"]
+    inv2.append(f"""SELECT 'labevents', count(*), 5 FROM labevents l WHERE l.valuenum IS NOT NULL
+      AND l.itemid IN ({_relevant_items()}) AND EXISTS (SELECT 1 FROM patients p WHERE p.subject_id = l.subject_id)""")
+    q["load_table_counts"] = m(_union(inv2))
     q["value_counts"] = m(COHORT + f"""
 SELECT age_group, count(*) AS n,
   {_r6('count(*) / (SELECT count(*) FROM cohort WHERE age_group IS NOT NULL)')} AS share

@@ -150,6 +150,25 @@ def load_tables(spark: SparkSession, root: str, fmt: str = "csv",
     return t
 
 
+def assemble_tables(t: Tables, load_labs: bool = True, load_vitals: bool = True,
+                    sample_stays: int | None = None, lab_strategy: str = "filtered",
+                    lab_max_rows: int = 10_000_000) -> Tables:
+    """S2 on already-read sources: optional stay sample (S14), lab events of
+    the loaded patients under the chosen strategy (S3/S3a), vital signs of
+    the loaded stays (S4). Nothing is counted or collected here."""
+    out = sample_tables(t, sample_stays) if sample_stays is not None else t.with_()
+    if not load_vitals:
+        out.vitalsign = None
+    elif out.vitalsign is not None:
+        out.vitalsign = scan_vitalsign(out.vitalsign, out.edstays)
+    if load_labs and t.labevents is not None:
+        out.labevents = scan_labevents(t.labevents, patients=out.patients, strategy=lab_strategy,
+                                       max_rows=lab_max_rows)
+    elif not load_labs:
+        out.labevents = None
+    return out
+
+
 def scan_labevents(labevents: DataFrame, patients: DataFrame | None = None,
                    stays: DataFrame | None = None, strategy: str = "filtered",
                    itemids: list[int] | None = None, max_rows: int = 10_000_000) -> DataFrame:
