@@ -74,3 +74,32 @@ def split_validation(df: DataFrame, outcome: str = "outcome") -> DataFrame:
         F.count_if(F.col(outcome).isNull()).alias("null_outcome"),
         F.count_if(F.col("has_text").isNull()).alias("null_has_text"),
         F.count_if(F.col("has_text") & F.col("cleaned_text").isNull()).alias("has_text_without_text"))
+
+
+# Above this many rows a top-k would gather n rows from every task into one
+# task; the bucketed rank below keeps the work spread out instead.
+TOP_K_MAX_ROWS = 10_000
+
+
+def first_n(df: DataFrame, n: int, order_cols: list[str], buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+    """The first ``n`` rows in ``order_cols`` order (ascending, nulls first),
+    exactly. Small ``n`` is a top-k. Large ``n`` buckets rows by the first
+    (numeric) order column, counts rows per bucket (a small table), turns the
+    counts into offsets, ranks inside each bucket only, and keeps global
+    ranks ≤ n: no task ever holds more than one bucket."""
+    if n <= TOP_K_MAX_ROWS:
+        return df.orderBy(*order_cols).limit(n)
+    first = F.col(order_cols[0]).cast("double")
+    bounds = df.agg(F.min(first).alias("lo"), F.max(first).alias("hi"))
+    lo, hi = bounds.select("lo").scalar(), bounds.select("hi").scalar()
+    span = F.when(hi > lo, hi - lo).otherwise(F.lit(1.0))
+    b = F.when(first.isNull(), F.lit(-1)).otherwise(F.floor((first - lo) / span * (buckets - 1)))
+    keyed = df.withColumn("__b", b.cast("long"))
+    counts = keyed.groupBy("__b").agg(F.count(F.lit(1)).alias("__cnt")).withColumn("__all", F.lit(0))
+    w = Window.partitionBy("__all").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("__b", F.coalesce(F.sum("__cnt").over(w), F.lit(0)).alias("__off"))
+    needed = offsets.where(F.col("__off") < n)
+    ranked = (keyed.join(needed, "__b")
+                   .withColumn("__r", F.col("__off") + F.row_number().over(
+                       Window.partitionBy("__b").orderBy(*order_cols))))
+    return ranked.where(F.col("__r") <= n).drop("__b", "__off", "__r")

@@ -189,7 +189,8 @@ def scan_labevents(labevents: DataFrame, patients: DataFrame | None = None,
         df = df.join(stays.select("subject_id", "hadm_id").distinct(),
                      ["subject_id", "hadm_id"], "left_semi")
     if strategy == "sample":
-        df = df.orderBy("subject_id", "hadm_id", "charttime", "itemid").limit(max_rows)
+        from ..operators.split import first_n
+        df = first_n(df, max_rows, ["subject_id", "hadm_id", "charttime", "itemid", "valuenum"])
     return df
 
 
@@ -255,7 +256,8 @@ def sample_tables(t: Tables, n_stays: int) -> Tables:
     reduced to the sampled stays by semi join, so no sampled stay loses its
     patient. The cap is the feature of this operator.
     """
-    stays = t.edstays.orderBy("stay_id").limit(n_stays)
+    from ..operators.split import first_n
+    stays = first_n(t.edstays, n_stays, ["stay_id"])
     out = t.with_(edstays=stays)
     out.patients = t.patients.join(stays.select("subject_id"), "subject_id", "left_semi")
     if t.triage is not None:

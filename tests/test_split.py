@@ -44,3 +44,17 @@ def test_bucketed_rank_equals_global_rank(spark):
         n_tr, n_va = math.floor(n * 0.8 + 0.5), math.floor(n * 0.1 + 0.5)
         expect = ["train"] * n_tr + ["val"] * n_va + ["test"] * (n - n_tr - n_va)
         assert [r.split for r in members] == expect
+
+
+def test_first_n_large_equals_sorted_limit(spark, monkeypatch):
+    from edcohort.operators import split as S
+    from conftest import SF_SMALL
+    from edcohort.sources.fixtures import fixture_tables
+    labs = fixture_tables(spark, SF_SMALL).labevents.where("valuenum is not null")
+    cols = ["subject_id", "hadm_id", "charttime", "itemid", "valuenum"]
+    expect = [tuple(r) for r in labs.orderBy(*cols).limit(3000).collect()]
+    monkeypatch.setattr(S, "TOP_K_MAX_ROWS", 0)
+    got = [tuple(r) for r in S.first_n(labs, 3000, cols).orderBy(*cols).collect()]
+    assert got == expect
+    plan = S.first_n(labs, 3000, cols)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" not in plan
