@@ -15,6 +15,7 @@ from ..functions.frames import pct, r6, to_long
 from ..functions.text import clean_text, keywords
 from ..functions.timecols import add_hours, minutes_between, parse_timestamp
 from ..sources.schemas import has
+from .quantiles import global_quantiles, quantile_frame
 
 # --- fixed values: hybrid availability buffers (hours) per note category ---
 HYBRID_BUFFERS = {"radiology": 0.0, "discharge": 12.0}
@@ -96,15 +97,22 @@ def notes_stats(notes: DataFrame, exact: bool = True) -> DataFrame:
     range, overall ('All') and per category (ROLLUP)."""
     tc = note_time_column(notes)
     length = F.length("text")
-    med = F.median(length) if exact else F.percentile_approx(length, 0.5, 10000)
     aggs = [F.count(F.lit(1)).alias("n_notes"), F.count_distinct("subject_id").alias("n_patients"),
             F.count_distinct("hadm_id").alias("n_admissions"), r6(F.avg(length)).alias("avg_text_length"),
-            r6(med).alias("median_text_length"), F.grouping("note_category").alias("__g")]
+            F.grouping("note_category").alias("__g")]
     if tc:
         aggs += [F.min(tc).alias("earliest"), F.max(tc).alias("latest")]
     out = notes.rollup("note_category").agg(*aggs)
-    return out.withColumn("note_category", F.when(F.col("__g") == 1, F.lit("All"))
-                          .otherwise(F.col("note_category"))).drop("__g")
+    out = out.withColumn("note_category", F.when(F.col("__g") == 1, F.lit("All"))
+                         .otherwise(F.col("note_category"))).drop("__g")
+    lens = notes.select("note_category", length.alias("__len"))
+    per_cat = quantile_frame(lens, "__len", [0.5], ["note_category"], exact).select(
+        "note_category", F.col("q")[0].alias("__m"))
+    overall = global_quantiles(lens, "__len", [0.5], exact)[0]
+    return (out.join(per_cat, "note_category", "left")
+               .withColumn("median_text_length",
+                           r6(F.when(F.col("note_category") == "All", overall).otherwise(F.col("__m"))))
+               .drop("__m"))
 
 
 def retention_sweep(notes: DataFrame, stays: DataFrame, buffers: list[float] | None = None) -> DataFrame:
@@ -142,11 +150,13 @@ def notes_per_outcome(notes: DataFrame, outcomes: DataFrame, outcome: str = "cri
     o = outcomes.select("subject_id", "hadm_id", F.col(outcome).alias("outcome")).distinct()
     j = notes.join(o, ["subject_id", "hadm_id"], "inner")
     per_adm = j.groupBy("outcome", "subject_id", "hadm_id").agg(F.count(F.lit(1)).alias("k"))
-    med = F.median("k") if exact else F.percentile_approx("k", 0.5, 10000)
+    med = quantile_frame(per_adm, "k", [0.5], ["outcome"], exact).select(
+        "outcome", r6(F.col("q")[0]).alias("median_notes_per_admission"))
     return per_adm.groupBy("outcome").agg(
         F.sum("k").cast("long").alias("n_notes"), F.count(F.lit(1)).alias("n_admissions"),
-        r6(F.avg("k")).alias("mean_notes_per_admission"), r6(med).alias("median_notes_per_admission"),
-        F.min("k").alias("min_notes_per_admission"), F.max("k").alias("max_notes_per_admission"))
+        r6(F.avg("k")).alias("mean_notes_per_admission"),
+        F.min("k").alias("min_notes_per_admission"), F.max("k").alias("max_notes_per_admission")
+    ).join(med, "outcome", "left")
 
 
 def time_coverage(df: DataFrame, cols: list[str] | None = None) -> DataFrame:

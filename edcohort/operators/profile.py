@@ -3,10 +3,9 @@ A29–A34).
 
 Every report is one aggregate (or one grouped aggregate) over the data,
 turned into long form afterwards; no per-column jobs and nothing collected.
-Exact percentiles hold a value→count map per group, which is fine for the
-low-cardinality columns profiled here and for tests; pass ``exact=False`` to
-use ``percentile_approx`` (fixed-size sketch per group) on unbounded
-continuous columns at scale.
+Exact percentiles come from ``quantiles.exact_quantiles`` (bucketed ranks,
+no per-group value map); ``exact=False`` uses ``percentile_approx`` instead
+(a fixed-size sketch per group, one pass fewer).
 """
 
 from __future__ import annotations
@@ -19,14 +18,16 @@ from pyspark.sql import types as T
 
 from ..functions.frames import melt, pct, r6, safe_div, to_long
 from ..sources.schemas import has
+from .quantiles import global_quantiles, quantile_frame
 
 PCTS = [0.25, 0.5, 0.75, 0.95]
 
 
-def _pct(c: Column, ps: list[float], exact: bool = True) -> Column:
-    if exact:
-        return F.percentile(c, F.array(*[F.lit(p) for p in ps]))
-    return F.percentile_approx(c, F.array(*[F.lit(p) for p in ps]), 10000)
+def _quantiles_by(df: DataFrame, col: str, ps: list[float], by: str | None, exact: bool):
+    """Quantile arrays per group (frame) or, without a group, as a scalar."""
+    if by:
+        return quantile_frame(df, col, ps, [by], exact)
+    return global_quantiles(df, col, ps, exact)
 
 
 def cohort_summary(df: DataFrame) -> DataFrame:
@@ -40,7 +41,8 @@ def cohort_summary(df: DataFrame) -> DataFrame:
         aggs += [r6(pct(F.count_if(F.col("gender") == "M"), n)).alias("pct_male"),
                  r6(pct(F.count_if(F.col("gender") == "F"), n)).alias("pct_female")]
     if has(df, "ed_los_hours"):
-        aggs += [r6(F.avg("ed_los_hours")).alias("los_mean"), r6(F.median("ed_los_hours")).alias("los_median")]
+        aggs += [r6(F.avg("ed_los_hours")).alias("los_mean"),
+                 r6(global_quantiles(df, "ed_los_hours", [0.5])[0]).alias("los_median")]
     if has(df, "lengthened_ed_stay"):
         aggs.append(r6(pct(F.count_if(F.col("lengthened_ed_stay") == 1), n)).alias("pct_lengthened"))
     if has(df, "hospital_death"):
@@ -79,8 +81,14 @@ def describe(df: DataFrame, cols: list[str], by: str | None = None, exact: bool
         x = F.col(c).cast("double")
         aggs += [F.count(x).alias(f"{c}|count"), F.avg(x).alias(f"{c}|mean"),
                  F.stddev_samp(x).alias(f"{c}|std"), F.min(x).alias(f"{c}|min"),
-                 F.max(x).alias(f"{c}|max"), _pct(x, PCTS, exact).alias(f"{c}|p")]
+                 F.max(x).alias(f"{c}|max")]
     wide = df.groupBy(by).agg(*aggs) if by else df.agg(*aggs)
+    for c in cols:
+        q = _quantiles_by(df, c, PCTS, by, exact)
+        if by:
+            wide = wide.join(q.withColumnRenamed("q", f"{c}|p"), by, "left")
+        else:
+            wide = wide.withColumn(f"{c}|p", q)
     rows = [(c, F.col(f"`{c}|count`"), F.col(f"`{c}|mean`"), F.col(f"`{c}|std`"), F.col(f"`{c}|min`"),
              F.col(f"`{c}|p`")[0], F.col(f"`{c}|p`")[1], F.col(f"`{c}|p`")[2], F.col(f"`{c}|max`"),
              F.col(f"`{c}|p`")[3]) for c in cols]
@@ -175,7 +183,7 @@ def box_stats(df: DataFrame, value: str, by: str, exact: bool = True) -> DataFra
     the values on the group key."""
     x = F.col(value).cast("double")
     vals = df.select(F.col(by), x.alias("v")).where(F.col("v").isNotNull())
-    q = vals.groupBy(by).agg(_pct(F.col("v"), [0.25, 0.5, 0.75], exact).alias("q"))
+    q = quantile_frame(vals, "v", [0.25, 0.5, 0.75], [by], exact)
     q = q.select(by, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     iqr = F.col("q3") - F.col("q1")
     lo_f, hi_f = F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr

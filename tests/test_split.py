@@ -58,3 +58,20 @@ def test_first_n_large_equals_sorted_limit(spark, monkeypatch):
     assert got == expect
     plan = S.first_n(labs, 3000, cols)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" not in plan
+
+
+def test_exact_quantiles_equal_percentile(spark):
+    from pyspark.sql import functions as F
+    from edcohort.operators.quantiles import exact_quantiles
+    rows = [(g, float(v)) for g in range(3) for v in ([1, 2, 2, 2, 9, 1000, -5, 3.5] * (g + 1))]
+    rows += [(3, 7.0), (4, None)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    ps = [0.0, 0.25, 0.5, 0.75, 0.95, 1.0]
+    got = {r.g: r.q for r in exact_quantiles(df, "v", ps, ["g"], buckets=4).collect()}
+    want = {r.g: r.q for r in df.groupBy("g").agg(F.percentile("v", F.array(*[F.lit(p) for p in ps])).alias("q"))
+            .where("q is not null").collect()}
+    assert set(got) == set(want) == {0, 1, 2, 3}
+    for g in want:
+        assert all(abs(a - b) < 1e-9 for a, b in zip(got[g], want[g])), (g, got[g], want[g])
+    glob = exact_quantiles(df, "v", [0.5]).collect()
+    assert abs(glob[0].q[0] - df.select(F.median("v")).first()[0]) < 1e-9
