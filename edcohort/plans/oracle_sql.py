@@ -137,14 +137,15 @@ def features_ctes(hours: float = 12.0) -> str:
     from ..sources.labdim import GROUP_MINUTES
     flags = ", ".join(f"CAST(w.lab_{g}_value IS NOT NULL AS INTEGER) AS lab_{g}_ordered" for g in LAB_GROUPS)
     total = " + ".join(f"CAST(w.lab_{g}_value IS NOT NULL AS INTEGER)" for g in LAB_GROUPS)
-    terms = [f"CASE WHEN lab_{g}_ordered = 1 THEN {float(m)} ELSE 0.0 END" for g, m in GROUP_MINUTES.items()]
+    terms = [f"CASE WHEN lab_{g}_ordered = 1 THEN CAST({float(m)} AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END"
+             for g, m in GROUP_MINUTES.items()]
     wcols = ", ".join(f"w.lab_{g}_value, w.lab_{g}_time" for g in LAB_GROUPS)
     return COHORT + labs_ctes(hours) + f""",
 tri AS (SELECT *, {TRIAGE_FEATURES} FROM cohort),
 feat AS (SELECT t.*, {wcols}, {flags}, CAST({total} AS INTEGER) AS total_lab_groups_ordered
          FROM tri t LEFT JOIN wide w ON w.stay_id = t.stay_id),
 costs0 AS (SELECT *, ({' + '.join(terms)}) AS lab_time_cost_sequential,
-                 greatest(0.0, {', '.join(terms)}) AS lab_time_cost_parallel FROM feat),
+                 greatest(CAST(0.0 AS DOUBLE), {', '.join(terms)}) AS lab_time_cost_parallel FROM feat),
 costs1 AS (SELECT *, CAST(0.7 AS DOUBLE) * lab_time_cost_parallel + CAST(0.3 AS DOUBLE) * lab_time_cost_sequential
                  AS lab_time_cost_mixed FROM costs0),
 costs AS (SELECT *, lab_time_cost_mixed / 60.0 AS lab_time_cost_hours,
@@ -312,4 +313,4 @@ w AS (SELECT {sel} FROM labelled),
 lg AS (SELECT label, feature, round(c, 6) AS corr FROM ({unions}) u WHERE c IS NOT NULL AND NOT isnan(c)),
 rk AS (SELECT label, feature, corr, abs(corr) AS abs_corr,
          row_number() OVER (PARTITION BY label ORDER BY abs(corr) DESC, feature) AS rank FROM lg)
-SELECT label, rank, feature, corr, abs_corr FROM rk WHERE rank <= {top}""")
+SELECT label, CAST(rank AS INTEGER) AS rank, feature, corr, abs_corr FROM rk WHERE rank <= {top}""")

@@ -144,7 +144,8 @@ SELECT note_id, subject_id, hadm_id, note_category, charttime,
     q["notes_for_stay"] = m(f"""{NOTES_NE},
 busiest AS (SELECT subject_id, hadm_id FROM notes_ne WHERE hadm_id IS NOT NULL
             GROUP BY subject_id, hadm_id ORDER BY count(*) DESC, hadm_id LIMIT 1)
-SELECT n.note_id, n.subject_id, n.hadm_id, n.note_category, n.charttime, length(n.text) AS text_length
+SELECT n.note_id, n.subject_id, n.hadm_id, n.note_category, n.charttime,
+  CAST(length(n.text) AS INTEGER) AS text_length
 FROM notes_ne n JOIN busiest b ON b.subject_id = n.subject_id AND b.hadm_id = n.hadm_id""")
     q["clean_text"] = m(f"""SELECT note_id, {sql_clean('text')} AS cleaned_text,
   {sql_clean('text', True, True)} AS cleaned_strict FROM notes""")
@@ -187,7 +188,7 @@ SELECT 'charttime' AS column, count(charttime) AS non_null,
 j AS (SELECT n.*, s.outtime FROM notes_ne n JOIN edstays s ON s.subject_id = n.subject_id AND s.hadm_id = n.hadm_id
       WHERE n.hadm_id IS NOT NULL AND n.charttime IS NOT NULL AND s.intime IS NOT NULL AND s.outtime IS NOT NULL)"""
     sweep = " UNION ALL ".join(
-        f"SELECT {float(b)} AS buffer_hours, count(*) FILTER (WHERE charttime <= outtime + {b} * INTERVAL '1' HOUR)"
+        f"SELECT CAST({float(b)} AS DOUBLE) AS buffer_hours, count(*) FILTER (WHERE charttime <= outtime + {b} * INTERVAL '1' HOUR)"
         f" AS n_kept, count(*) AS n_joined FROM j" for b in (0, 2, 6, 12, 24))
     q["retention_sweep"] = m(joined + f""",
 sw AS ({sweep})
