@@ -19,6 +19,8 @@ Spark's ``percentile`` (and pandas / SQL ``quantile_cont``).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,9 +33,10 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str]
     quantiles in ``probs`` order). Without ``by``: one row, or none for an
     empty input (read it with ``global_quantiles`` to get nulls then)."""
     by = list(by or [])
-    g = by + ["__g0"]          # a constant key keeps every window partitioned
-    v = df.select(*by, F.col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull()) \
-          .withColumn("__g0", F.lit(0))
+    if not by:
+        return _global_exact(df, value, probs, buckets)
+    g = by
+    v = df.select(*by, F.col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull())
     stats = v.groupBy(*g).agg(F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__lo"),
                               F.max("__v").alias("__hi"))
     span = F.when(F.col("__hi") > F.col("__lo"), F.col("__hi") - F.col("__lo")).otherwise(F.lit(1.0))
@@ -68,8 +71,40 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str]
     q = F.when(lower == higher, F.col("__lv")).otherwise(
         (higher - F.col("__pos")) * F.col("__lv") + (F.col("__pos") - lower) * F.col("__hv"))
     arr = per_q.groupBy(*g).agg(F.array_sort(F.collect_list(F.struct("__i", q.alias("q")))).alias("__qs"))
-    out = arr.select(*g, F.transform("__qs", lambda s: s["q"]).alias("q"))
-    return out.drop("__g0")
+    return arr.select(*g, F.transform("__qs", lambda s: s["q"]).alias("q"))
+
+
+def _global_exact(df: DataFrame, value: str, probs: list[float], buckets: int) -> DataFrame:
+    """Ungrouped variant: count, min and max are scalar subqueries and the
+    target ranks are expressions, so no step joins on a constant key. One
+    output row (nulls for an empty input)."""
+    v = df.select(F.col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull())
+    stats = v.agg(F.count(F.lit(1)).alias("n"), F.min("__v").alias("lo"), F.max("__v").alias("hi"))
+    n, lo, hi = (stats.select(c).scalar() for c in ("n", "lo", "hi"))
+    span = F.when(hi > lo, hi - lo).otherwise(F.lit(1.0))
+    vb = v.withColumn("__b", F.floor((F.col("__v") - lo) / span * (buckets - 1)).cast("long"))
+    counts = vb.groupBy("__b").agg(F.count(F.lit(1)).alias("__cnt"))
+    # the count table has at most ``buckets`` rows; ordering it in one task is cheap
+    w = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("__off", F.coalesce(F.sum("__cnt").over(w), F.lit(0)))
+    pos = [F.lit(float(p)) * (n - 1) for p in probs]
+    ranks = [r for x in pos for r in (F.floor(x), F.ceil(x))]
+    covers = [(r >= F.col("__off")) & (r < F.col("__off") + F.col("__cnt")) for r in ranks]
+    hit = offsets.where(reduce(lambda a, b: a | b, covers))
+    dv = vb.join(hit.select("__b"), "__b", "left_semi").groupBy("__b", "__v").agg(F.count(F.lit(1)).alias("__k"))
+    wv = Window.partitionBy("__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    ranged = dv.join(hit.select("__b", "__off"), "__b") \
+               .withColumn("__end", F.col("__off") + F.sum("__k").over(wv) - 1) \
+               .withColumn("__start", F.col("__end") - F.col("__k") + 1)
+    aggs, qs = [], []
+    for i, x in enumerate(pos):
+        lower, higher = F.floor(x), F.ceil(x)
+        inside = lambda r: (r >= F.col("__start")) & (r <= F.col("__end"))
+        aggs += [F.max(F.when(inside(lower), F.col("__v"))).alias(f"l{i}"),
+                 F.max(F.when(inside(higher), F.col("__v"))).alias(f"h{i}")]
+        qs.append(F.when(lower == higher, F.col(f"l{i}")).otherwise(
+            (higher - x) * F.col(f"l{i}") + (x - lower) * F.col(f"h{i}")))
+    return ranged.agg(*aggs).select(F.array(*qs).alias("q"))
 
 
 def quantile_frame(df: DataFrame, value: str, probs: list[float], by: list[str] | None = None,
