@@ -33,6 +33,8 @@ def dict_parts(value: str | Column) -> Column:
     """a serialized flat dict (JSON, or Python-literal quoting) → array
     of ``"k: v"`` strings in key order of the text; null when it is not a
     flat dict."""
-    text = F.translate(_c(value).cast("string"), "'", '"')
-    parsed = F.from_json(text, "map<string,string>")
+    raw = _c(value).cast("string")
+    text = F.translate(raw, "'", '"')
+    # only text that opens a dict is parsed; plain values skip the JSON parser
+    parsed = F.when(F.startswith(F.ltrim(raw), F.lit("{")), F.from_json(text, "map<string,string>"))
     return F.transform(F.map_entries(parsed), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
