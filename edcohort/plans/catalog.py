@@ -11,9 +11,26 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions.frames import r6
+from ..functions.text import clean_text as _clean
+from ..functions.text import segment_text
+from ..functions.timecols import parse_number, temporal_features
 from ..operators import cohort as C
-from ..sources.fixtures import fixture_tables
+from ..operators import fusion as FU
+from ..operators import labels as LB
+from ..operators import labs as LS
+from ..operators import notes as NO
+from ..operators import profile as PR
+from ..operators import sequence as SQ
+from ..operators.split import modular_order, split_validation
+from ..operators.triage import TRIAGE_FEATURE_COLS, extract_triage_features
+from ..sources.fixtures import d_labitems_from, fixture_tables, labevents_with_unmapped, read_driver
+from ..sources.readers import assemble_tables, sample_tables, scan_labevents
+from ..sources.sinks import run_manifest
+from . import text as TX
+from .tabular import featured_stays, labelled_stays
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, QueryFn] = {}
@@ -44,17 +61,7 @@ def q_cohort_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ------------------------------------------------------------ cohort block
-from pyspark.sql import functions as F  # noqa: E402
-
-from ..functions.frames import r6  # noqa: E402
-from ..functions.timecols import parse_number, temporal_features  # noqa: E402
-from ..operators import labels as LB  # noqa: E402
-from ..operators import labs as LS  # noqa: E402
-from ..operators.triage import TRIAGE_FEATURE_COLS, extract_triage_features  # noqa: E402
-from ..sources.fixtures import (d_labitems_from, labevents_with_unmapped,  # noqa: E402
-                                read_driver)
-from ..sources.readers import scan_labevents  # noqa: E402
-from .tabular import featured_stays, labelled_stays  # noqa: E402
+
 
 JOINED_COLS = COHORT_COLS[:20]
 COST_COLS = ["lab_time_cost_sequential", "lab_time_cost_parallel", "lab_time_cost_mixed",
@@ -323,12 +330,6 @@ def q_run_stats(spark, sf_dir):
 
 
 # -------------------------------------------------------------- text block
-from ..functions.text import clean_text as _clean, segment_text, token_count  # noqa: E402,F401
-from ..operators import fusion as FU  # noqa: E402
-from ..operators import notes as NO  # noqa: E402
-from ..operators import sequence as SQ  # noqa: E402
-from ..operators.split import modular_order, split_validation  # noqa: E402
-from . import text as TX  # noqa: E402
 
 NOTE_COLS = ["note_id", "subject_id", "hadm_id", "note_type", "note_category", "category_priority",
              "charttime", "text"]
@@ -574,9 +575,6 @@ def q_linearize_dict_value(spark, sf_dir):
 
 
 # ----------------------------------------------------------- profile block
-from ..operators import profile as PR  # noqa: E402
-from ..sources.readers import sample_tables  # noqa: E402
-from ..sources.sinks import run_manifest  # noqa: E402
 
 FEATURE_SUMMARY_COLS = ([c for c in TRIAGE_FEATURE_COLS if c != "triage_chief_complaint"]
                         + [c for c in LS.WIDE_COLS if c.endswith("_value")])
@@ -686,7 +684,6 @@ def q_run_manifest(spark, sf_dir):
 
 
 # ------------------------------------------------------------- loader / T5
-from ..sources.readers import assemble_tables  # noqa: E402
 
 
 @query("load_table_counts")
