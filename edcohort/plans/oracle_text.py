@@ -131,6 +131,18 @@ ex AS (SELECT subject_id, hadm_id, stay_id, text_sequence, lab_groups, time_cost
    cleaned_text IS NOT NULL AS has_text, split, groups_list FROM seq)"""
 
 
+# F14 on the event properties: a flat dict renders as "k: v | ...", anything
+# else as the single-value form.
+DICT_SEGMENT_SQL = """
+SELECT event_id,
+  CASE WHEN props IS NULL THEN event_type || ': ordered | [EOS]'
+       WHEN ltrim(props) LIKE '{%' AND json_valid(j) AND json_type(j) = 'OBJECT' AND len(json_keys(j)) > 0
+         THEN event_type || ': ' || array_to_string(list_transform(json_keys(j),
+                lambda k: k || ': ' || json_extract_string(j, '$."' || k || '"')), ' | ') || ' | [EOS]'
+       ELSE event_type || ': ' || props || ' | [EOS]' END AS segment_text
+FROM (SELECT *, replace(props, chr(39), '"') AS j FROM events) e"""
+
+
 def text_queries() -> dict[str, str]:
     q: dict[str, str] = {}
     m = with_mapping
@@ -262,6 +274,7 @@ SELECT stay_id, array_to_string(list_resize(list_transform(groups_list, lambda g
 fr AS (SELECT unnest(groups_list) AS lab_group FROM ex)
 SELECT lab_group, count(*) AS n, {_r6('count(*) * 100.0 / (SELECT count(*) FROM ex)')} AS pct_of_stays
 FROM fr GROUP BY lab_group""")
+    q["linearize_dict_value"] = DICT_SEGMENT_SQL
     tok = sql_tokens("text_sequence")
     q["sequence_stats"] = m(seq_ctes() + f"""
 SELECT count(*) AS n_examples, {_r6(f'avg({tok})')} AS mean_tokens, CAST(max({tok}) AS INTEGER) AS max_tokens,
