@@ -185,11 +185,13 @@ def top_keywords(notes: DataFrame, text_column: str = "text", top: int = 30,
     return counts.orderBy(F.col("n").desc(), F.col("word")).limit(top)
 
 
-def notes_sample(notes: DataFrame, n: int = 1000, seed: int = 42) -> DataFrame:
-    """T5: a reproducible sample of ``n`` notes: the smallest ``n`` seeded
-    hashes of the note id (a top-k, so each task keeps at most ``n`` rows;
-    the cap is the feature of this operator)."""
-    return notes.orderBy(F.xxhash64(F.col("note_id"), F.lit(seed)), "note_id").limit(n)
+def notes_sample(notes: DataFrame, n: int = 1000, seed: int = 42, order: Column | None = None) -> DataFrame:
+    """T5: a reproducible sample of ``n`` notes: the ``n`` smallest values of
+    a pseudo-random order key (by default the seeded hash of the note id),
+    ties by note id. A top-k, so each task keeps at most ``n`` rows; the cap
+    is the feature of this operator."""
+    key = order if order is not None else F.xxhash64(F.col("note_id"), F.lit(seed))
+    return notes.orderBy(key, "note_id").limit(n)
 
 
 def text_reduction(notes: DataFrame) -> DataFrame:

@@ -696,5 +696,8 @@ def q_load_table_counts(spark, sf_dir):
 
 @query("notes_sample")
 def q_notes_sample(spark, sf_dir):
-    """T5: 1000 notes by seeded hash order (no SQL twin: the hash is Spark's)."""
-    return NO.notes_sample(_notes(spark, sf_dir)).select("note_id", "note_category", F.length("text").alias("text_length"))
+    """T5: 1000 notes in an arithmetic pseudo-random order that SQL engines
+    share ((id · 7919) mod 10007, then id)."""
+    order = F.pmod(F.col("note_id").cast("long") * 7919, F.lit(10007))
+    return NO.notes_sample(_notes(spark, sf_dir), order=order).select(
+        "note_id", "note_category", F.length("text").alias("text_length"))

@@ -275,6 +275,9 @@ fr AS (SELECT unnest(groups_list) AS lab_group FROM ex)
 SELECT lab_group, count(*) AS n, {_r6('count(*) * 100.0 / (SELECT count(*) FROM ex)')} AS pct_of_stays
 FROM fr GROUP BY lab_group""")
     q["linearize_dict_value"] = DICT_SEGMENT_SQL
+    q["notes_sample"] = m(f"""{NOTES_NE}
+SELECT note_id, note_category, CAST(length(text) AS INTEGER) AS text_length FROM notes_ne
+ORDER BY (CAST(note_id AS BIGINT) * 7919) % 10007, note_id LIMIT 1000""")
     tok = sql_tokens("text_sequence")
     q["sequence_stats"] = m(seq_ctes() + f"""
 SELECT count(*) AS n_examples, {_r6(f'avg({tok})')} AS mean_tokens, CAST(max({tok}) AS INTEGER) AS max_tokens,
