@@ -76,12 +76,15 @@ def assign_lab_groups(labs: DataFrame, dim: DataFrame, keep_unknown: bool = Fals
                 .withColumn("group_minutes", F.coalesce("group_minutes", F.lit(0))))
 
 
-def _first_pick(group: str | None = None) -> Column:
+def _first_pick(group: str | None = None, require_value: bool = False) -> Column:
     """min_by over the total order (hours, itemid, value): the earliest
     result of the group, ties broken by item id then value."""
     ordering = F.struct("hours_from_ed", "itemid", "valuenum")
     if group is not None:
-        ordering = F.when(F.col("lab_group") == group, ordering)
+        cond = F.col("lab_group") == group
+        if require_value:
+            cond = cond & F.col("valuenum").isNotNull()
+        ordering = F.when(cond, ordering)
     return F.min_by(F.struct(F.col("valuenum").alias("v"), F.col("hours_from_ed").alias("t")), ordering)
 
 
@@ -99,23 +102,28 @@ def mean_values_long(labs: DataFrame) -> DataFrame:
         F.avg("valuenum").alias("valuenum"), F.min("hours_from_ed").alias("hours_from_ed"))
 
 
-def labs_wide(labs: DataFrame, use_first: bool = True) -> DataFrame:
-    """A3: one row per stay with ``lab_<G>_value`` / ``lab_<G>_time`` for the
-    fixed group list, from a single aggregate (see module note)."""
-    aggs = []
+def wide_terms(use_first: bool = True) -> tuple[list[Column], list[Column]]:
+    """Aggregate terms of the lab pivot and the projection that unpacks them.
+    Rows of other groups (or without a value) get a null ordering and are
+    ignored, so other events may share the aggregate."""
     if use_first:
-        labs = labs.where(F.col("valuenum").isNotNull())
-        for g in LAB_GROUPS:
-            aggs.append(_first_pick(g).alias(g))
-        wide = labs.groupBy("stay_id").agg(*aggs)
-        return wide.select("stay_id", *[c for g in LAB_GROUPS for c in
-                                        (F.col(f"`{g}`.v").alias(value_col(g)),
-                                         F.col(f"`{g}`.t").alias(time_col(g)))])
+        aggs = [_first_pick(g, require_value=True).alias(g) for g in LAB_GROUPS]
+        cols = [c for g in LAB_GROUPS for c in (F.col(f"`{g}`.v").alias(value_col(g)),
+                                               F.col(f"`{g}`.t").alias(time_col(g)))]
+        return aggs, cols
+    aggs = []
     for g in LAB_GROUPS:
         inside = F.col("lab_group") == g
         aggs += [F.avg(F.when(inside, F.col("valuenum"))).alias(value_col(g)),
                  F.min(F.when(inside, F.col("hours_from_ed"))).alias(time_col(g))]
-    return labs.groupBy("stay_id").agg(*aggs)
+    return aggs, [F.col(c) for c in WIDE_COLS]
+
+
+def labs_wide(labs: DataFrame, use_first: bool = True) -> DataFrame:
+    """A3: one row per stay with ``lab_<G>_value`` / ``lab_<G>_time`` for the
+    fixed group list, from a single aggregate (see module note)."""
+    aggs, cols = wide_terms(use_first)
+    return labs.groupBy("stay_id").agg(*aggs).select("stay_id", *cols)
 
 
 def add_utilization_flags(df: DataFrame) -> DataFrame:

@@ -2,19 +2,23 @@
 
 One lazy plan from the scans to the write. Shuffles at scale: the three
 cohort joins (AQE may turn the small dimension sides into broadcasts at run
-time from measured sizes), the lab join on the admission key, one aggregate
-keyed by stay (the lab pivot), and the ICU existence join.
+time from measured sizes), one join of all stay events (lab results and ICU
+admissions) on the admission key, and one aggregate keyed by stay that is
+both the lab pivot and the ICU existence test.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..functions.timecols import hours_between, parse_number, parse_timestamp
 from ..operators.cohort import apply_filters
-from ..operators.labels import create_all_labels
-from ..operators.labs import extract_lab_features, lab_time_costs
+from ..operators.labels import create_all_labels, critical_outcome, hospital_death, lengthened_stay
+from ..operators.labs import add_utilization_flags, extract_lab_features, lab_time_costs, wide_terms
 from ..operators.triage import extract_triage_features
-from ..sources.readers import Tables
+from ..sources.labdim import lab_dim
+from ..sources.readers import Tables, scan_labevents
 
 
 KEY_COLS = ["stay_id", "subject_id", "hadm_id", "intime", "outtime"]
@@ -36,11 +40,50 @@ def featured_stays(t: Tables, time_window_hours: float = 12.0, use_first_value:
     return lab_time_costs(labs)
 
 
+def stay_events(keys: DataFrame, labevents: DataFrame, icustays: DataFrame, dim: DataFrame,
+                lab_hours: float = 12.0, icu_hours: float = 12.0, use_first_value: bool = True) -> DataFrame:
+    """Lab features and the ICU flag of each stay from ONE join and ONE
+    aggregate: lab results and ICU admissions are unioned into one event
+    frame, joined once to the cohort keys on the admission key, kept by
+    their own window (labs: 0–``lab_hours`` h after arrival; ICU: 0–
+    ``icu_hours`` h after leaving the ED), and reduced per stay with the lab
+    pivot terms plus an ICU hit term. Equal to running J4–A3 and J6 apart."""
+    k = keys.select("stay_id", "subject_id", "hadm_id", parse_timestamp("intime").alias("__in"),
+                    parse_timestamp("outtime").alias("__out"))
+    labs = scan_labevents(labevents, strategy="filtered").select(
+        "subject_id", "hadm_id", F.col("itemid").cast("int").alias("itemid"),
+        parse_timestamp("charttime").alias("__t"), parse_number("valuenum").alias("valuenum"),
+        F.lit(False).alias("__icu"))
+    icu = icustays.select("subject_id", "hadm_id", F.lit(None).cast("int").alias("itemid"),
+                          parse_timestamp("intime").alias("__t"), F.lit(None).cast("double").alias("valuenum"),
+                          F.lit(True).alias("__icu"))
+    ev = labs.unionByName(icu).join(k, ["subject_id", "hadm_id"])
+    h_lab, h_icu = hours_between("__in", "__t"), hours_between("__out", "__t")
+    lab_ok = ~F.col("__icu") & F.col("__in").isNotNull() & (h_lab >= 0) & (h_lab <= float(lab_hours))
+    icu_ok = F.col("__icu") & F.col("__out").isNotNull() & (h_icu >= 0) & (h_icu <= float(icu_hours))
+    ev = ev.where(F.col("__t").isNotNull() & (lab_ok | icu_ok)) \
+           .withColumn("hours_from_ed", F.when(~F.col("__icu"), h_lab))
+    ev = ev.join(F.broadcast(dim.select("itemid", "lab_group")), "itemid", "left")
+    aggs, cols = wide_terms(use_first_value)
+    return ev.groupBy("stay_id").agg(*aggs, F.max(F.col("__icu").cast("int")).alias("__icu_hit")) \
+             .select("stay_id", *cols, "__icu_hit")
+
+
 def labelled_stays(t: Tables, time_window_hours: float = 12.0, use_first_value: bool = True,
                    icu_window_hours: float = 12.0, cohort: DataFrame | None = None) -> DataFrame:
     """The labelled stay table (features + four labels), one row per stay.
-    The lab window join and the ICU existence join both run on the narrow
-    cohort keys, never on the wide featured frame."""
+    Lab features and the ICU flag come from one event join on the narrow
+    cohort keys (``stay_events``), never from the wide featured frame."""
     cohort = cohort if cohort is not None else apply_filters(t)
-    feats = featured_stays(t, time_window_hours, use_first_value, cohort)
-    return create_all_labels(feats, t.icustays, icu_window_hours, keys=cohort_keys(cohort))
+    if t.labevents is None or t.icustays is None:
+        feats = featured_stays(t, time_window_hours, use_first_value, cohort)
+        return create_all_labels(feats, t.icustays, icu_window_hours, keys=cohort_keys(cohort))
+    dim = t.extra.get("lab_dim")
+    dim = dim if dim is not None else lab_dim(cohort.sparkSession)
+    events = stay_events(cohort_keys(cohort), t.labevents, t.icustays, dim, time_window_hours,
+                         icu_window_hours, use_first_value)
+    feats = (extract_triage_features(cohort).join(events, "stay_id", "left")
+             .transform(add_utilization_flags).transform(lab_time_costs))
+    out = feats.transform(hospital_death) \
+               .withColumn("icu_transfer_12h", F.coalesce(F.col("__icu_hit"), F.lit(0))).drop("__icu_hit")
+    return out.transform(critical_outcome).transform(lengthened_stay)
