@@ -44,7 +44,9 @@ def stratified_split(df: DataFrame, outcome_col: str = "outcome", train_ratio: f
     """Add ``split`` ∈ {train, val, test}. Per stratum of size n:
     n_train = round(n·train), n_val = round(n·val), the rest is test
     (rounding half up). Every row lands in exactly one split, and the result
-    does not depend on the partitioning."""
+    does not depend on the partitioning. The input is read twice (bucket
+    counts, then the ranked rows), so pass a stage table when it comes from
+    an expensive plan."""
     k, b = order if order is not None else hash_order(id_col, seed)
     keyed = df.withColumns({"__k": k, "__b": b, "__s": F.col(outcome_col)})
     counts = keyed.groupBy("__s", "__b").agg(F.count(F.lit(1)).alias("__cnt"))

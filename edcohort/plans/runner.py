@@ -1,9 +1,10 @@
 """End-to-end run: tabular plan → text plan → split → sequences → sinks.
 
 Each heavy intermediate becomes a stage table in the shared checkpoint
-folder (``spark.checkpoint.dir``): the cohort (read by the lab, ICU and note
-joins), the labelled stays (read by the text plan and the reports), and the
-split multimodal dataset (read by the sequence step and the manifest). A
+folder (``spark.checkpoint.dir``): the cohort (read by the event and note
+joins), the labelled stays (read by the text plan and the reports), the
+multimodal dataset (read twice by the split) and the split dataset (read by
+the sequence step and the manifest). A
 lost executor then costs at most the stage it was working on, and no plan
 is recomputed because two consumers read it.
 """
@@ -33,8 +34,9 @@ def run_all(spark: SparkSession, t: Tables, out_dir: str, strategy: str = "prior
     write_summary_csv(label_summary(labelled), os.path.join(out_dir, "label_summary"))
     write_summary_csv(crosstab_margins(labelled), os.path.join(out_dir, "crosstab"))
     write_summary_csv(label_correlations(labelled), os.path.join(out_dir, "label_correlations"))
-    split = write_stage(split_multimodal(multimodal(labelled, cohort, t, strategy), order, seed),
-                        "multimodal_split", spark)
+    # the split reads its input twice (bucket counts, then ranks): stage it first
+    mm = write_stage(multimodal(labelled, cohort, t, strategy), "multimodal", spark)
+    split = write_stage(split_multimodal(mm, order, seed), "multimodal_split", spark)
     write_parquet(split, os.path.join(out_dir, "multimodal"), ["split"])
     seqs = sequences(split)
     write_parquet(seqs, os.path.join(out_dir, "linearized"), ["split"])
