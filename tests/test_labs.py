@@ -75,3 +75,20 @@ def test_unknown_group(spark):
     out = {r.itemid: (r.lab_group, r.group_minutes)
            for r in LS.assign_lab_groups(labs, lab_dim(spark), keep_unknown=True).collect()}
     assert out == {99999: ("UNKNOWN", 0), 51221: ("CBC", 30)}
+
+
+def test_fused_events_equal_separate_operators(spark):
+    from conftest import SF_SMALL
+    from edcohort.operators import labels as LB
+    from edcohort.operators.cohort import apply_filters
+    from edcohort.plans.tabular import cohort_keys, featured_stays, labelled_stays
+    from edcohort.sources.fixtures import fixture_tables
+    t = fixture_tables(spark, SF_SMALL)
+    cohort = apply_filters(t)
+    fused = labelled_stays(t, cohort=cohort)
+    apart = LB.create_all_labels(featured_stays(t, cohort=cohort), t.icustays, keys=cohort_keys(cohort))
+    cols = sorted(fused.columns)
+    assert cols == sorted(apart.columns)
+    a = sorted(tuple(r) for r in fused.select(*cols).collect())
+    b = sorted(tuple(r) for r in apart.select(*cols).collect())
+    assert a == b and len(a) == 882
