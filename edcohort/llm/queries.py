@@ -8,12 +8,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, quality_rules
+from . import line_dedup, minhash, quality_rules
 from .common import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(spark, table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.rules_report(spark, table(spark, sf_dir, "documents"))
 
@@ -23,7 +27,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, QueryFn] = {
-    f.__name__: f for f in (op5_quality_rules, op10_line_dedup)
+    f.__name__: f for f in (op1_minhash, op5_quality_rules, op10_line_dedup)
 }
 
 SQL: dict[str, str] = {
