@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, minhash, quality_rules
+from . import bpe, line_dedup, minhash, packing, quality_rules, secret_scan
 from .common import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -18,16 +18,28 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(spark, table(spark, sf_dir, "documents"))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secrets_report(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.rules_report(spark, table(spark, sf_dir, "documents"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(spark, table(spark, sf_dir, "documents"))
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, QueryFn] = {
-    f.__name__: f for f in (op1_minhash, op5_quality_rules, op10_line_dedup)
+    f.__name__: f for f in (op1_minhash, op4_secret_scan, op5_quality_rules, op6_packing, op7_bpe, op10_line_dedup)
 }
 
 SQL: dict[str, str] = {

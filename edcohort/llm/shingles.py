@@ -5,8 +5,10 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from .cache import Recent
+
 U64 = np.uint64
-#: Entries after which a task's word cache starts anew, so its memory is bounded.
+#: Cached words per generation.
 CACHE_WORDS = 300_000
 
 
@@ -21,16 +23,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(32))
 
 
-class WordHashes(dict):
-    """word (bytes) -> 64-bit hash, computed once per word and task."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
 class Shingler:
     """Distinct ``width``-word shingles of a text: sorted unique 64-bit hashes.
 
@@ -41,7 +33,7 @@ class Shingler:
 
     def __init__(self, width: int):
         self.width = width
-        self.hashes = WordHashes()
+        self.hashes = Recent(xxhash.xxh64_intdigest, CACHE_WORDS)
         self.factors = odd_multipliers(width + 1, 11)
 
     def __call__(self, text: str | None) -> np.ndarray:
