@@ -36,7 +36,7 @@ from .common import id_text
 from .tokens import BYTE_BPE, vocabulary
 
 CACHE_WORDS = 200_000
-CACHE_PAIRS = 500_000
+CACHE_PAIRS = 300_000
 #: The pre-token pattern of the byte-level vocabulary (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -196,6 +196,12 @@ class Encoder:
                         for p in self.split(text) if p)
 
 
+@lru_cache(maxsize=2)
+def encoder_of(path: str = BYTE_BPE) -> Encoder:
+    """One per Python worker, so later tasks of it find filled caches."""
+    return Encoder(path)
+
+
 def decode(ids: np.ndarray, v: Vocabulary) -> bytes:
     """Bytes of the ids, gathered through the offset table."""
     n = v.lengths[ids]
@@ -208,7 +214,7 @@ def decode(ids: np.ndarray, v: Vocabulary) -> bytes:
 def encode_documents(docs: DataFrame, path: str = BYTE_BPE) -> DataFrame:
     """doc_id, ids array<int>."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
         for batch in batches:
             ids = [np.frombuffer(encoder(t.as_py()), "<i4") for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))],
@@ -234,7 +240,7 @@ def round_trip(docs: DataFrame, path: str = BYTE_BPE) -> DataFrame:
     """op7: doc_id, n_tokens, ids_sha256, decoded_sha256 per document. Encoded
     and decoded in one task, so no ids are written or moved."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
         for batch in batches:
             n, ids_sha, text_sha = [], [], []
             for text in batch.column("text"):

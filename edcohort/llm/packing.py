@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Workspace, id_text
-from .tokens import WORD_BPE, WordTokenizer
+from .tokens import WORD_BPE, word_tokenizer
 
 MAX_LEN = 4096
 END_ID = 2
@@ -43,7 +43,7 @@ SEND_RANGES = 1_000_000
 def pieces(docs: DataFrame, tokenizer: str = WORD_BPE, end_id: int = END_ID, max_len: int = MAX_LEN) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, end = WordTokenizer(tokenizer), np.array([end_id], "<u4").tobytes()
+        tok, end = word_tokenizer(tokenizer), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):

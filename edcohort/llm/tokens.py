@@ -8,6 +8,7 @@ bounded cache) and gives only new words to the tokenizers library.
 from __future__ import annotations
 
 import os
+from functools import lru_cache
 
 import numpy as np
 
@@ -68,3 +69,9 @@ class WordTokenizer:
 
     def __call__(self, text: str | None) -> np.ndarray:
         return np.frombuffer(self.joined(text), "<u4")
+
+
+@lru_cache(maxsize=2)
+def word_tokenizer(path: str = WORD_BPE) -> WordTokenizer:
+    """One per Python worker, so later tasks of it find a filled cache."""
+    return WordTokenizer(path)
