@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, line_dedup, minhash, packing, quality_rules, secret_scan
+from . import bpe, line_dedup, minhash, packing, quality_rules, secret_scan, token_files
 from .common import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,10 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(spark, table(spark, sf_dir, "documents"))
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_report(spark, table(spark, sf_dir, "documents"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secrets_report(table(spark, sf_dir, "documents"))
 
@@ -39,7 +43,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, QueryFn] = {
-    f.__name__: f for f in (op1_minhash, op4_secret_scan, op5_quality_rules, op6_packing, op7_bpe, op10_line_dedup)
+    f.__name__: f for f in (op1_minhash, op2_token_files, op4_secret_scan, op5_quality_rules, op6_packing, op7_bpe, op10_line_dedup)
 }
 
 SQL: dict[str, str] = {
