@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language_id, line_dedup, minhash, packing, quality_rules, secret_scan, token_files
+from . import bpe, language_id, line_dedup, minhash, neighbours, packing, quality_rules, secret_scan, token_files
 from .common import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -42,12 +42,16 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_report(table(spark, sf_dir, "documents"))
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(spark, table(spark, sf_dir, "embeddings"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, QueryFn] = {
-    f.__name__: f for f in (op1_minhash, op2_token_files, op4_secret_scan, op5_quality_rules, op6_packing, op7_bpe, op8_language_id, op10_line_dedup)
+    f.__name__: f for f in (op1_minhash, op2_token_files, op4_secret_scan, op5_quality_rules, op6_packing, op7_bpe, op8_language_id, op9_neighbours, op10_line_dedup)
 }
 
 SQL: dict[str, str] = {
