@@ -11,14 +11,16 @@
    merging). The rest keep their ``m - MATCHES + 1`` rarest pairs: two
    classes with ``MATCHES`` equal coordinates share one of these (prefix
    merging).
-4. Candidates from the lists: first each class with the smallest class of the
-   list, then with the largest among those lists that still hold several
-   components, at last all pairs of *different* components in one list. A
-   group of thousands of near copies collapses in the first two rounds, so
-   its pairs are never listed; no pair of different components goes unasked,
-   so no link that could join components is lost.
+4. Candidates from the lists: first each class with the smallest class of its
+   list, which collapses most groups of near copies. What is left to ask are
+   pairs of different components in one list. Lists of up to ``SHORT_LIST``
+   classes give these pairs; longer lists are cut into blocks of
+   ``LIST_BLOCK`` classes, and each pair of blocks is compared inside a task,
+   which returns only links that join components. So no pairs of a large
+   group are ever listed, no task holds more than two blocks, and no link
+   that could join two components is lost.
 5. Every candidate with ``MATCHES`` equal coordinates is confirmed on the full
-   shingle sets.
+   shingle sets (in blocks: on the full sets at once).
 6. Components by contraction of the confirmed links.
 
 With Jaccard similarity 0.8 a pair has at least 34 of 64 equal coordinates
@@ -51,6 +53,10 @@ WIDTH = 4
 PERCENT = 80
 COORDS = 64
 MATCHES = 34
+SHORT_LIST = 16
+LIST_BLOCK = 1024
+#: Columns of the membership matrix that are multiplied at once.
+COLUMNS = 2048
 #: Shingles hashed at once, so that one very long text needs bounded memory.
 CHUNK = 4096
 
@@ -116,6 +122,50 @@ def _confirmed(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
+def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of a few sets: only elements held twice
+    count, so they are numbered and multiplied as a 0/1 matrix, by columns."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, number, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = held[number] > 1
+    owner, (_, number) = owner[shared], np.unique(number[shared], return_inverse=True)
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(number, kind="stable")
+    owner, number = owner[order], number[order]
+    for a in range(0, int(number[-1]) + 1 if len(number) else 0, COLUMNS):
+        lo, hi = np.searchsorted(number, [a, a + COLUMNS])
+        m = np.zeros((len(sets), COLUMNS), np.float32)
+        m[owner[lo:hi], number[lo:hi] - a] = 1
+        out += m @ m.T
+    return out.astype(np.int64)
+
+
+def _joining(t: pa.Table, percent: int) -> pa.Table:
+    """Of one pair of blocks: links (a, b) that join components, no more than
+    are needed to join them."""
+    cls, comp = t["cls"].to_numpy(), t["comp"].to_numpy()
+    a, b = [], []
+    if len(np.unique(comp)) > 1:
+        sets = [np.frombuffer(x, U64) for x in t["shingles"].to_pylist()]
+        n = np.array([len(x) for x in sets])
+        both = _overlaps(sets)
+        linked = (100 * both >= percent * (n[:, None] + n[None, :] - both)) & (comp[:, None] != comp[None, :])
+        root = {c: c for c in comp.tolist()}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        for i, j in zip(*np.nonzero(np.triu(linked)), strict=True):
+            p, q = find(int(comp[i])), find(int(comp[j]))
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                a.append(cls[i])
+                b.append(cls[j])
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
 class NearDuplicates:
     """The steps of the module docstring over one documents table."""
 
@@ -165,33 +215,40 @@ class NearDuplicates:
         sets = self.ws.put(
             shingle_sets(texts, self.width).join(wanted, "set_key")
             .dropDuplicates(["cls", "set_key"]).select("cls", "shingles"), "sets")
-        small = lists.groupBy("v").agg(F.min("cls").alias("lead"))
-        edges = self.links(self._star(lists, small), classes, sets, "first")
+        leads = lists.groupBy("v").agg(F.min("cls").alias("lead"))
+        edges = self.links(self._star(lists, leads), classes, sets, "first")
         roots = components(self.ws, edges, "first")
-        for name in ("second", "rest"):
-            open_lists = self._open(lists, roots, name)
-            if open_lists.isEmpty():
-                break
-            if name == "second":
-                large = open_lists.groupBy("v").agg(F.max("cls").alias("lead"))
-                pairs = self._star(open_lists, large)
-            else:
-                pairs = self._across(open_lists)
-            edges = edges.unionAll(self.links(pairs, classes, sets, name))
-            roots = components(self.ws, edges, name)
-        return roots
+        left = self._open(lists, roots)
+        short = self.links(self._across(left.filter(F.col("size") <= SHORT_LIST)), classes, sets, "short")
+        long = self.ws.put(self._blocks(left.filter(F.col("size") > SHORT_LIST), sets), "long-links")
+        more = short.unionAll(long)
+        return roots if more.isEmpty() else components(self.ws, edges.unionAll(more), "all")
 
     @staticmethod
     def _star(lists: DataFrame, leads: DataFrame) -> DataFrame:
         return (lists.join(leads, "v").filter("cls <> lead")
                 .select(F.least("cls", "lead").alias("a"), F.greatest("cls", "lead").alias("b")))
 
-    def _open(self, lists: DataFrame, roots: DataFrame, name: str) -> DataFrame:
-        """The postings of lists that hold more than one component."""
+    def _open(self, lists: DataFrame, roots: DataFrame) -> DataFrame:
+        """The postings of lists that hold more than one component, with the
+        component and the list's length."""
         seen = lists.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select(
             "v", "cls", "n", F.coalesce("root", "cls").alias("comp"))
-        several = seen.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
-        return self.ws.put(seen.join(several.select("v"), "v"), f"{name}-open")
+        several = (seen.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
+                                         F.count(F.lit(1)).alias("size")).filter("lo < hi").select("v", "size"))
+        return self.ws.put(seen.join(several, "v"), "open")
+
+    def _blocks(self, lists: DataFrame, sets: DataFrame) -> DataFrame:
+        """Links across components in long lists, block by block."""
+        percent = self.percent
+        n = F.ceil(F.col("size") / F.lit(LIST_BLOCK)).cast("int")
+        dealt = lists.withColumn("blocks", n).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+        paired = dealt.select("v", "cls", "comp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+                              .alias("other"))
+        keyed = paired.select("v", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"),
+                              "cls", "comp")
+        return (keyed.join(sets, "cls").groupBy("v", "p", "q")
+                .applyInArrow(lambda t: _joining(t, percent), "a long, b long").distinct())
 
     def _across(self, lists: DataFrame) -> DataFrame:
         p = lists.select("v", F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("comp_a"))
