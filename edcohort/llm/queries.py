@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language_id, line_dedup, minhash, neighbours, packing, quality_rules, secret_scan, token_files
+from . import bpe, language_id, line_dedup, minhash, neighbours, packing, perplexity, quality_rules, secret_scan, token_files
 from .common import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,10 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_report(spark, table(spark, sf_dir, "documents"))
 
 
+def op3_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.quality_report(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secrets_report(table(spark, sf_dir, "documents"))
 
@@ -51,7 +55,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, QueryFn] = {
-    f.__name__: f for f in (op1_minhash, op2_token_files, op4_secret_scan, op5_quality_rules, op6_packing, op7_bpe, op8_language_id, op9_neighbours, op10_line_dedup)
+    f.__name__: f for f in (op1_minhash, op2_token_files, op3_perplexity, op4_secret_scan, op5_quality_rules, op6_packing, op7_bpe, op8_language_id, op9_neighbours, op10_line_dedup)
 }
 
 SQL: dict[str, str] = {
