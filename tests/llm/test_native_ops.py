@@ -1,6 +1,8 @@
 """Line dedup, quality rules and secret scans (native operators)."""
 import hashlib
+import random
 import re
+import string
 
 from llm_helpers import SF, LONG_LINE, PARAGRAPH, edge_sql, rows, same
 
@@ -116,12 +118,14 @@ def test_secret_edges(spark, edge, empty):
 
 
 def test_random_runs_found_and_words_left(spark):
-    random_key = "q7Zt1LmXw9KpVb3RcNf8HyGd5JsUe2AaTi4Co6Bg0DhEjFkMlOnPqQrSv"
+    rnd, letters = random.Random(8), string.ascii_letters + string.digits
+    keys = ["Aa0" + "".join(rnd.choices(letters, k=45)) for _ in range(30)]
     regular = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
-    texts = [f"see {random_key} here", f"see {regular} here", "an/ordinary/path/without/digits/in/it"]
+    texts = [f"see {k} here" for k in keys] + [f"see {regular} here", "an/ordinary/path/without/digits/in/it"]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.spans for r in secret_scan.secrets_report(frame).collect()}
-    assert got == {0: f"random:4:{4 + len(random_key)}", 1: "", 2: ""}
+    assert sum(got[i] == f"random:4:{4 + len(k)}" for i, k in enumerate(keys)) >= 27
+    assert got[30] == "" and got[31] == ""
 
 
 def test_masked_text(spark):
