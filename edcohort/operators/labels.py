@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.frames import melt, pearson, r6, to_long
+from ..functions.frames import pearson, to_long
 from ..functions.frames import pct as pct_of
 from ..functions.timecols import hours_between, parse_timestamp
 from ..sources.schemas import has
@@ -18,6 +20,8 @@ ACCEPTED_DRIFT_POINTS = 5.0
 LABEL_COLS = ["hospital_death", "icu_transfer_12h", "critical_outcome", "lengthened_ed_stay"]
 ID_COLS = ["stay_id", "subject_id", "hadm_id"]
 ICU_WINDOW_HOURS = 12.0
+#: Feature columns of one aggregate.
+CORR_BATCH = 16
 
 
 def hospital_death(df: DataFrame) -> DataFrame:
@@ -95,9 +99,9 @@ def label_summary(df: DataFrame) -> DataFrame:
     rows = [(lbl, F.col(lbl), F.lit(PUBLISHED_PCT[lbl])) for lbl in labels]
     long = to_long(agg, rows, ["label", "n_pos", "paper_pct"], keep=["n"])
     pct = pct_of("n_pos", "n")
-    return long.select("label", F.col("n_pos").cast("long").alias("n_pos"), r6(pct).alias("pct_pos"),
+    return long.select("label", F.col("n_pos").cast("long").alias("n_pos"), pct.alias("pct_pos"),
                        (F.col("n") - F.col("n_pos")).cast("long").alias("n_neg"),
-                       r6(F.lit(100.0) - pct).alias("pct_neg"), "paper_pct")
+                       (F.lit(100.0) - pct).alias("pct_neg"), "paper_pct")
 
 
 def label_overlap(df: DataFrame) -> DataFrame:
@@ -129,7 +133,7 @@ def crosstab_normalized(df: DataFrame, row: str = "critical_outcome",
     from pyspark.sql import Window
     counts = df.groupBy(row, col).agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy(col)
-    return counts.select(row, col, "n", r6(pct_of(F.col("n"), F.sum("n").over(w))).alias("pct_of_col"))
+    return counts.select(row, col, "n", pct_of(F.col("n"), F.sum("n").over(w)).alias("pct_of_col"))
 
 
 def label_rate_check(df: DataFrame) -> DataFrame:
@@ -139,7 +143,7 @@ def label_rate_check(df: DataFrame) -> DataFrame:
     rows = [(lbl, F.col(lbl) * 100.0, F.lit(PUBLISHED_PCT[lbl])) for lbl in labels]
     long = to_long(agg, rows, ["label", "rate_pct", "paper_pct"])
     diff = F.col("rate_pct") - F.col("paper_pct")
-    return long.select("label", r6("rate_pct").alias("rate_pct"), "paper_pct", r6(diff).alias("diff_points"),
+    return long.select("label", "rate_pct", "paper_pct", diff.alias("diff_points"),
                        (F.abs(diff) < ACCEPTED_DRIFT_POINTS).alias("within_tolerance"))
 
 
@@ -153,21 +157,26 @@ def numeric_features(df: DataFrame, exclude: list[str] | None = None) -> list[st
 def label_correlations(df: DataFrame, labels: list[str] | None = None, top: int = 10,
                        features: list[str] | None = None, signed: bool = False) -> DataFrame:
     """Pearson correlation (pairwise complete) of every numeric feature
-    with each label from ONE aggregate, unpivoted, top ``top`` per label by
+    with each label, from wide aggregates of ``CORR_BATCH`` columns (no row is
+    multiplied, and each batch stays inside code generation; the batches read
+    their own columns, so pass a stage table), top ``top`` per label by
     absolute value (ties by name); the notebook variant keeps the sign."""
     from pyspark.sql import Window
     labels = [c for c in (labels or ["critical_outcome", "lengthened_ed_stay"]) if has(df, c)]
     feats = features or numeric_features(df)
-    pairs = melt(df.select(*feats, *[F.col(l).cast("double").alias(l) for l in labels]), feats, keep=labels)
-    per_feature = pairs.groupBy("feature").agg(*[pearson(F.col("x"), F.col(l)).alias(l) for l in labels])
-    rows = [(lbl, F.col(lbl)) for lbl in labels]
-    long = to_long(per_feature, rows, ["label", "corr"], keep=["feature"]).where(F.col("corr").isNotNull())
-    long = long.withColumn("corr", r6("corr")).withColumn("abs_corr", F.abs("corr"))
-    key = F.col("corr").desc() if signed else F.col("abs_corr").desc()
+    parts = []
+    for i in range(0, len(feats), CORR_BATCH):
+        batch = feats[i:i + CORR_BATCH]
+        wide = df.agg(*[pearson(F.col(f).cast("double"), F.col(lbl).cast("double")).alias(f"{j}|{lbl}")
+                        for j, f in enumerate(batch) for lbl in labels])
+        parts.append(to_long(wide, [(lbl, f, F.col(f"`{j}|{lbl}`")) for j, f in enumerate(batch) for lbl in labels],
+                             ["label", "feature", "corr"]))
+    long = reduce(DataFrame.unionByName, parts).where(F.col("corr").isNotNull())
+    long = long.withColumn("abs_corr", F.abs("corr"))
+    # twelve places decide the order (beyond them lies rounding noise of scaled
+    # copies of a feature); the table is features x labels, so one small
+    # partition per label
+    key = F.round("corr" if signed else "abs_corr", 12).desc()
     w = Window.partitionBy("label").orderBy(key, F.col("feature"))
     ranked = long.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
     return ranked.select("label", "rank", "feature", "corr", "abs_corr")
-
-
-def label_cols_present(df: DataFrame) -> list[Column]:
-    return [F.col(c) for c in LABEL_COLS if has(df, c)]

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.frames import pct, r6, to_long
+from ..functions.frames import pct, to_long
 from ..functions.text import clean_text, keywords
 from ..functions.timecols import add_hours, minutes_between, parse_timestamp
 from ..sources.schemas import has
@@ -98,7 +98,7 @@ def notes_stats(notes: DataFrame, exact: bool = True) -> DataFrame:
     tc = note_time_column(notes)
     length = F.length("text")
     aggs = [F.count(F.lit(1)).alias("n_notes"), F.count_distinct("subject_id").alias("n_patients"),
-            F.count_distinct("hadm_id").alias("n_admissions"), r6(F.avg(length)).alias("avg_text_length"),
+            F.count_distinct("hadm_id").alias("n_admissions"), F.avg(length).alias("avg_text_length"),
             F.grouping("note_category").alias("__g")]
     if tc:
         aggs += [F.min(tc).alias("earliest"), F.max(tc).alias("latest")]
@@ -111,7 +111,7 @@ def notes_stats(notes: DataFrame, exact: bool = True) -> DataFrame:
     overall = global_quantiles(lens, "__len", [0.5], exact)[0]
     return (out.join(per_cat, "note_category", "left")
                .withColumn("median_text_length",
-                           r6(F.when(F.col("note_category") == "All", overall).otherwise(F.col("__m"))))
+                           (F.when(F.col("note_category") == "All", overall).otherwise(F.col("__m"))))
                .drop("__m"))
 
 
@@ -127,7 +127,7 @@ def retention_sweep(notes: DataFrame, stays: DataFrame, buffers: list[float] | N
     rows = [(float(b), F.col(f"b{i}")) for i, b in enumerate(buffers)]
     long = to_long(agg, rows, ["buffer_hours", "n_kept"], keep=["n_joined"])
     return long.select("buffer_hours", "n_kept", "n_joined",
-                       r6(pct("n_kept", "n_joined")).alias("pct_kept"))
+                       pct("n_kept", "n_joined").alias("pct_kept"))
 
 
 def retention_by_category(notes: DataFrame, stays: DataFrame, time_buffer_hours: float = 0.0) -> DataFrame:
@@ -140,7 +140,7 @@ def retention_by_category(notes: DataFrame, stays: DataFrame, time_buffer_hours:
          .unionByName(kept.select("note_category", F.lit(0).alias("__in"), F.lit(1).alias("__kept"))))
     out = u.groupBy("note_category").agg(F.sum("__in").cast("long").alias("n_total"),
                                          F.sum("__kept").cast("long").alias("n_retained"))
-    return out.withColumn("retention_pct", r6(pct("n_retained", "n_total")))
+    return out.withColumn("retention_pct", pct("n_retained", "n_total"))
 
 
 def notes_per_outcome(notes: DataFrame, outcomes: DataFrame, outcome: str = "critical_outcome",
@@ -151,10 +151,10 @@ def notes_per_outcome(notes: DataFrame, outcomes: DataFrame, outcome: str = "cri
     j = notes.join(o, ["subject_id", "hadm_id"], "inner")
     per_adm = j.groupBy("outcome", "subject_id", "hadm_id").agg(F.count(F.lit(1)).alias("k"))
     med = quantile_frame(per_adm, "k", [0.5], ["outcome"], exact).select(
-        "outcome", r6(F.col("q")[0]).alias("median_notes_per_admission"))
+        "outcome", F.col("q")[0].alias("median_notes_per_admission"))
     return per_adm.groupBy("outcome").agg(
         F.sum("k").cast("long").alias("n_notes"), F.count(F.lit(1)).alias("n_admissions"),
-        r6(F.avg("k")).alias("mean_notes_per_admission"),
+        F.avg("k").alias("mean_notes_per_admission"),
         F.min("k").alias("min_notes_per_admission"), F.max("k").alias("max_notes_per_admission")
     ).join(med, "outcome", "left")
 
@@ -168,7 +168,7 @@ def time_coverage(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     rows = [(c, F.col(f"`{c}|nn`"), F.col(f"`{c}|min`").cast("timestamp_ntz"),
              F.col(f"`{c}|max`").cast("timestamp_ntz")) for c in cols]
     long = to_long(wide, rows, ["column", "non_null", "min_time", "max_time"], keep=["__n"])
-    return long.select("column", "non_null", r6(pct("non_null", "__n")).alias("pct_non_null"),
+    return long.select("column", "non_null", pct("non_null", "__n").alias("pct_non_null"),
                        "min_time", "max_time")
 
 
@@ -200,6 +200,6 @@ def text_reduction(notes: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_notes"),
         F.sum("original_length").cast("long").alias("original_chars"),
         F.sum("cleaned_length").cast("long").alias("cleaned_chars"),
-        r6(F.lit(1.0) - F.try_divide(F.sum("cleaned_length").cast("double"),
+        (F.lit(1.0) - F.try_divide(F.sum("cleaned_length").cast("double"),
                                      F.sum("original_length").cast("double"))).alias("reduction_ratio"),
-        r6(F.avg(F.col("is_valid").cast("double")) * 100.0).alias("valid_pct"))
+        (F.avg(F.col("is_valid").cast("double")) * 100.0).alias("valid_pct"))

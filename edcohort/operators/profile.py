@@ -3,8 +3,7 @@ A29–A34).
 
 Every report is one aggregate (or one grouped aggregate) over the data,
 turned into long form afterwards; no per-column jobs and nothing collected.
-Exact percentiles come from ``quantiles.exact_quantiles`` (bucketed ranks,
-no per-group value map); ``exact=False`` uses ``percentile_approx`` instead
+Exact percentiles come from ``quantiles.exact_quantiles`` (value counts first); ``exact=False`` uses ``percentile_approx`` instead
 (a fixed-size sketch per group, one pass fewer).
 """
 
@@ -16,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.frames import melt, pct, r6, safe_div, to_long
+from ..functions.frames import melt, pct, safe_div, to_long
 from ..sources.schemas import has
 from .quantiles import global_quantiles, quantile_frame
 
@@ -35,18 +34,18 @@ def cohort_summary(df: DataFrame) -> DataFrame:
     n = F.count(F.lit(1))
     aggs = [n.alias("n_rows"), F.count_distinct("subject_id").alias("n_patients")]
     if has(df, "age_at_ed"):
-        aggs += [r6(F.avg("age_at_ed")).alias("age_mean"), F.min("age_at_ed").alias("age_min"),
+        aggs += [F.avg("age_at_ed").alias("age_mean"), F.min("age_at_ed").alias("age_min"),
                  F.max("age_at_ed").alias("age_max")]
     if has(df, "gender"):
-        aggs += [r6(pct(F.count_if(F.col("gender") == "M"), n)).alias("pct_male"),
-                 r6(pct(F.count_if(F.col("gender") == "F"), n)).alias("pct_female")]
+        aggs += [pct(F.count_if(F.col("gender") == "M"), n).alias("pct_male"),
+                 pct(F.count_if(F.col("gender") == "F"), n).alias("pct_female")]
     if has(df, "ed_los_hours"):
-        aggs += [r6(F.avg("ed_los_hours")).alias("los_mean"),
-                 r6(global_quantiles(df, "ed_los_hours", [0.5])[0]).alias("los_median")]
+        aggs += [F.avg("ed_los_hours").alias("los_mean"),
+                 global_quantiles(df, "ed_los_hours", [0.5])[0].alias("los_median")]
     if has(df, "lengthened_ed_stay"):
-        aggs.append(r6(pct(F.count_if(F.col("lengthened_ed_stay") == 1), n)).alias("pct_lengthened"))
+        aggs.append(pct(F.count_if(F.col("lengthened_ed_stay") == 1), n).alias("pct_lengthened"))
     if has(df, "hospital_death"):
-        aggs.append(r6(pct(F.count_if(F.col("hospital_death") == 1), n)).alias("pct_death"))
+        aggs.append(pct(F.count_if(F.col("hospital_death") == 1), n).alias("pct_death"))
     return df.agg(*aggs)
 
 
@@ -54,9 +53,9 @@ def run_stats(df: DataFrame, outcome: str = "critical_outcome") -> DataFrame:
     """Rows, patients, outcome %, mean age, mean LOS (one row)."""
     return df.agg(F.count(F.lit(1)).alias("n_rows"),
                   F.count_distinct("subject_id").alias("n_patients"),
-                  r6(F.avg(F.col(outcome).cast("double")) * 100.0).alias("outcome_pct"),
-                  r6(F.avg("age_at_ed")).alias("age_mean"),
-                  r6(F.avg("ed_los_hours")).alias("los_mean"))
+                  (F.avg(F.col(outcome).cast("double")) * 100.0).alias("outcome_pct"),
+                  F.avg("age_at_ed").alias("age_mean"),
+                  F.avg("ed_los_hours").alias("los_mean"))
 
 
 def feature_summary(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -68,9 +67,9 @@ def feature_summary(df: DataFrame, cols: list[str]) -> DataFrame:
         F.min("x").alias("min"), F.max("x").alias("max")).withColumn("__n", n)
     kind = F.when(F.col("feature").startswith("triage_"), F.lit("Triage")).otherwise(F.lit("Laboratory"))
     return long.select("feature", kind.alias("kind"),
-                       r6(pct("non_null", "__n")).alias("completeness_pct"),
-                       r6("mean").alias("mean"), r6("std").alias("std"), r6("min").alias("min"),
-                       r6("max").alias("max"))
+                       pct("non_null", "__n").alias("completeness_pct"),
+                       "mean", "std", "min",
+                       "max")
 
 
 def describe(df: DataFrame, cols: list[str], by: str | None = None, exact: bool = True) -> DataFrame:
@@ -95,7 +94,7 @@ def describe(df: DataFrame, cols: list[str], by: str | None = None, exact: bool
     names = ["column", "count", "mean", "std", "min", "p25", "p50", "p75", "max", "p95"]
     long = to_long(wide, rows, names, keep=[by] if by else None)
     return long.select(*([by] if by else []), "column", "count",
-                       *[r6(c).alias(c) for c in names[2:]])
+                       *names[2:])
 
 
 def table_inventory(tables: dict[str, DataFrame]) -> DataFrame:
@@ -112,8 +111,8 @@ def value_counts(df: DataFrame, col: str, normalize: bool = False) -> DataFrame:
     out = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
     if normalize:
         total = df.where(F.col(col).isNotNull()).select(F.count(F.lit(1))).scalar()
-        out = out.withColumn("share", r6(safe_div(F.col("n"), F.lit(total))))
-    return out
+        out = out.withColumn("share", safe_div(F.col("n"), F.lit(total)))
+    return out.orderBy(F.desc("n"), col)
 
 
 def completeness(df: DataFrame, cols: list[str] | None = None,
@@ -130,7 +129,8 @@ def completeness(df: DataFrame, cols: list[str] | None = None,
     long = to_long(wide, rows, ["column", "dtype", "non_null", "present"], keep=["__n"])
     return long.select("column", "dtype", "present", F.col("non_null").cast("long").alias("non_null"),
                        (F.col("__n") - F.col("non_null")).cast("long").alias("missing"),
-                       r6(pct("non_null", "__n")).alias("completeness_pct"))
+                       pct("non_null", "__n").alias("completeness_pct")).orderBy(
+                           F.desc("completeness_pct"), "column")
 
 
 def column_metadata(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
@@ -152,8 +152,8 @@ def column_metadata(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
              F.col(f"`{c}|max`") if c in num else nul) for c in cols]
     long = to_long(wide, rows, ["column", "dtype", "non_null", "mean", "min", "max"], keep=["__n"])
     return long.select("column", "dtype",
-                       r6(pct(F.col("__n") - F.col("non_null"), "__n")).alias("null_pct"),
-                       r6("mean").alias("mean"), r6("min").alias("min"), r6("max").alias("max"))
+                       pct(F.col("__n") - F.col("non_null"), "__n").alias("null_pct"),
+                       "mean", "min", "max")
 
 
 def histogram(df: DataFrame, col: str, bins: int = 50) -> DataFrame:
@@ -172,8 +172,8 @@ def histogram(df: DataFrame, col: str, bins: int = 50) -> DataFrame:
     edges = stats.select("lo", "hi", F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"))
     width = (F.col("hi") - F.col("lo")) / bins
     return (edges.join(counts, "bin", "left")
-                 .select("bin", r6(F.col("lo") + (F.col("bin") - 1) * width).alias("bin_lo"),
-                         r6(F.col("lo") + F.col("bin") * width).alias("bin_hi"),
+                 .select("bin", (F.col("lo") + (F.col("bin") - 1) * width).alias("bin_lo"),
+                         (F.col("lo") + F.col("bin") * width).alias("bin_hi"),
                          F.coalesce("n", F.lit(0)).cast("long").alias("n")))
 
 
@@ -194,7 +194,7 @@ def box_stats(df: DataFrame, value: str, by: str, exact: bool = True) -> DataFra
         F.min(F.when(inside, F.col("v"))).alias("whisker_lo"),
         F.max(F.when(inside, F.col("v"))).alias("whisker_hi"),
         F.count_if(~inside).alias("n_outliers"))
-    return out.select(by, "n", *[r6(c).alias(c) for c in ["q1", "median", "q3", "whisker_lo", "whisker_hi"]],
+    return out.select(by, "n", "q1", "median", "q3", "whisker_lo", "whisker_hi",
                       "n_outliers")
 
 
@@ -216,8 +216,8 @@ def lab_utilization_pct(df: DataFrame, groups: list[str]) -> DataFrame:
     wide = df.agg(*aggs)
     rows = [(g, F.col(g) * 100.0) for g in groups]
     long = to_long(wide, rows, ["lab_group", "pct_ordered"], keep=["__mean_groups", "__none"])
-    return long.select("lab_group", r6("pct_ordered").alias("pct_ordered"),
-                       r6("__mean_groups").alias("mean_groups_per_stay"),
+    return long.select("lab_group", "pct_ordered",
+                       F.col("__mean_groups").alias("mean_groups_per_stay"),
                        F.col("__none").alias("stays_without_labs"))
 
 

@@ -1,123 +1,45 @@
-"""Exact quantiles without a per-group value map.
-
-Spark's exact ``percentile`` keeps every distinct value of a group (with its
-count) in the task that finishes that group, so one hot group of continuous
-values would be held by one task. Here, per group:
-
-1. count, min and max (a small aggregate);
-2. each value falls in one of ``buckets`` equal-width buckets; counts per
-   (group, bucket) form a small table whose running sums are rank offsets;
-3. the target ranks ``p·(n-1)`` (floor and ceiling) pick out at most two
-   buckets per requested quantile; only values in those buckets are read on,
-   collapsed to (value, count), ranked by a window over that bucket alone;
-4. the values at the two ranks are interpolated linearly, as ``percentile``
-   does.
-
-Every step is a join or aggregate on small keyed tables; the result equals
-Spark's ``percentile`` (and pandas / SQL ``quantile_cont``).
+"""Exact quantiles from value counts.
+
+The reported values have a bounded domain (lengths in characters, hours of
+stays in whole seconds, counts), so one aggregate by (group, value) with
+map-side partial counts reduces the data to as many rows as there are distinct
+values, however many rows a group has. Spark's ``percentile`` with these
+counts as frequencies then gives the same linear interpolation as over the
+rows. The input is read once; a hot group is spread over its values.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 4096
+
+def _probs(probs: list[float]) -> Column:
+    return F.array(*[F.lit(float(p)) for p in probs])
 
 
-def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str] | None = None,
-                    buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str] | None = None) -> DataFrame:
     """One row per non-empty group: ``by`` columns + ``q`` (array of the
-    quantiles in ``probs`` order). Without ``by``: one row, or none for an
-    empty input (read it with ``global_quantiles`` to get nulls then)."""
+    quantiles in ``probs`` order). Without ``by``: one row, null if empty."""
     by = list(by or [])
-    if not by:
-        return _global_exact(df, value, probs, buckets)
-    g = by
-    v = df.select(*by, F.col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull())
-    stats = v.groupBy(*g).agg(F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__lo"),
-                              F.max("__v").alias("__hi"))
-    span = F.when(F.col("__hi") > F.col("__lo"), F.col("__hi") - F.col("__lo")).otherwise(F.lit(1.0))
-    bucket = F.floor((F.col("__v") - F.col("__lo")) / span * (buckets - 1)).cast("long")
-    vb = v.join(stats, g).withColumn("__b", bucket)
-    counts = vb.groupBy(*g, "__b").agg(F.count(F.lit(1)).alias("__cnt"))
-    w = Window.partitionBy(*g).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("__off", F.coalesce(F.sum("__cnt").over(w), F.lit(0)))
-
-    # target ranks (0-based) for every quantile: floor and ceiling of p·(n-1)
-    targets = stats.select(*g, "__n", F.posexplode(F.array(*[F.lit(float(p)) for p in probs])).alias("__i", "__p"))
-    targets = targets.withColumn("__pos", F.col("__p") * (F.col("__n") - 1)) \
-                     .withColumn("__r", F.explode(F.array_distinct(F.array(
-                         F.floor("__pos").cast("long"), F.ceil("__pos").cast("long")))))
-    hit = targets.join(offsets, g).where((F.col("__r") >= F.col("__off"))
-                                        & (F.col("__r") < F.col("__off") + F.col("__cnt")))
-    needed = hit.select(*g, "__b").distinct()
-
-    distinct_vals = vb.join(needed, g + ["__b"], "left_semi").groupBy(*g, "__b", "__v") \
-                      .agg(F.count(F.lit(1)).alias("__k"))
-    wv = Window.partitionBy(*g, "__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-    ranged = distinct_vals.join(offsets.select(*g, "__b", "__off"), g + ["__b"]) \
-                          .withColumn("__end", F.col("__off") + F.sum("__k").over(wv) - 1) \
-                          .withColumn("__start", F.col("__end") - F.col("__k") + 1)
-    picked = hit.select(*g, "__b", "__i", "__pos", "__r").join(ranged, g + ["__b"]) \
-                .where((F.col("__r") >= F.col("__start")) & (F.col("__r") <= F.col("__end"))) \
-                .select(*g, "__i", "__pos", "__r", "__v")
-    lower, higher = F.floor("__pos"), F.ceil("__pos")
-    per_q = picked.groupBy(*g, "__i", "__pos").agg(
-        F.max(F.when(F.col("__r") == lower, F.col("__v"))).alias("__lv"),
-        F.max(F.when(F.col("__r") == higher, F.col("__v"))).alias("__hv"))
-    q = F.when(lower == higher, F.col("__lv")).otherwise(
-        (higher - F.col("__pos")) * F.col("__lv") + (F.col("__pos") - lower) * F.col("__hv"))
-    arr = per_q.groupBy(*g).agg(F.array_sort(F.collect_list(F.struct("__i", q.alias("q")))).alias("__qs"))
-    return arr.select(*g, F.transform("__qs", lambda s: s["q"]).alias("q"))
-
-
-def _global_exact(df: DataFrame, value: str, probs: list[float], buckets: int) -> DataFrame:
-    """Ungrouped variant: count, min and max are scalar subqueries and the
-    target ranks are expressions, so no step joins on a constant key. One
-    output row (nulls for an empty input)."""
-    v = df.select(F.col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull())
-    stats = v.agg(F.count(F.lit(1)).alias("n"), F.min("__v").alias("lo"), F.max("__v").alias("hi"))
-    n, lo, hi = (stats.select(c).scalar() for c in ("n", "lo", "hi"))
-    span = F.when(hi > lo, hi - lo).otherwise(F.lit(1.0))
-    vb = v.withColumn("__b", F.floor((F.col("__v") - lo) / span * (buckets - 1)).cast("long"))
-    counts = vb.groupBy("__b").agg(F.count(F.lit(1)).alias("__cnt"))
-    # the count table has at most ``buckets`` rows; ordering it in one task is cheap
-    w = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("__off", F.coalesce(F.sum("__cnt").over(w), F.lit(0)))
-    pos = [F.lit(float(p)) * (n - 1) for p in probs]
-    ranks = [r for x in pos for r in (F.floor(x), F.ceil(x))]
-    covers = [(r >= F.col("__off")) & (r < F.col("__off") + F.col("__cnt")) for r in ranks]
-    hit = offsets.where(reduce(lambda a, b: a | b, covers))
-    dv = vb.join(hit.select("__b"), "__b", "left_semi").groupBy("__b", "__v").agg(F.count(F.lit(1)).alias("__k"))
-    wv = Window.partitionBy("__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-    ranged = dv.join(hit.select("__b", "__off"), "__b") \
-               .withColumn("__end", F.col("__off") + F.sum("__k").over(wv) - 1) \
-               .withColumn("__start", F.col("__end") - F.col("__k") + 1)
-    aggs, qs = [], []
-    for i, x in enumerate(pos):
-        lower, higher = F.floor(x), F.ceil(x)
-        inside = lambda r: (r >= F.col("__start")) & (r <= F.col("__end"))
-        aggs += [F.max(F.when(inside(lower), F.col("__v"))).alias(f"l{i}"),
-                 F.max(F.when(inside(higher), F.col("__v"))).alias(f"h{i}")]
-        qs.append(F.when(lower == higher, F.col(f"l{i}")).otherwise(
-            (higher - x) * F.col(f"l{i}") + (x - lower) * F.col(f"h{i}")))
-    return ranged.agg(*aggs).select(F.array(*qs).alias("q"))
+    v = F.col(value).cast("double")
+    counts = (df.select(*by, v.alias("__v")).where(F.col("__v").isNotNull())
+              .groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("__k")))
+    q = F.percentile("__v", _probs(probs), F.col("__k")).alias("q")
+    return counts.groupBy(*by).agg(q) if by else counts.agg(q)
 
 
 def quantile_frame(df: DataFrame, value: str, probs: list[float], by: list[str] | None = None,
                    exact: bool = True) -> DataFrame:
     """``by`` columns + ``q`` array: exact (above) or a fixed-size sketch
-    (``percentile_approx``) per group."""
+    (``percentile_approx``) per group, for values without a bounded domain."""
     if exact:
         return exact_quantiles(df, value, probs, by)
-    q = F.percentile_approx(F.col(value).cast("double"), F.array(*[F.lit(float(p)) for p in probs]), 10000)
+    q = F.percentile_approx(F.col(value).cast("double"), _probs(probs), 10000)
     return df.groupBy(*by).agg(q.alias("q")) if by else df.agg(q.alias("q"))
 
 
-def global_quantiles(df: DataFrame, value: str, probs: list[float], exact: bool = True):
+def global_quantiles(df: DataFrame, value: str, probs: list[float], exact: bool = True) -> Column:
     """The quantile array as a scalar subquery column (no join; null when
     there is no value)."""
     return quantile_frame(df, value, probs, None, exact).select("q").scalar()

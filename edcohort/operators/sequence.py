@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fmt import dict_parts, one_decimal, py_str
-from ..functions.frames import pct, r6
+from ..functions.frames import pct
 from ..functions.text import complaint_text, token_count
 from ..sources.labdim import GROUP_CLASS_ID, GROUP_MINUTES, SEQUENCE_GROUPS
 from ..sources.schemas import has
@@ -135,15 +135,15 @@ def lab_group_frequency(df: DataFrame) -> DataFrame:
     total = df.select(F.count(F.lit(1))).scalar()
     counts = df.select(F.explode("lab_groups").alias("lab_group")).groupBy("lab_group").agg(
         F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("pct_of_stays", r6(pct(F.col("n"), total)))
+    return counts.withColumn("pct_of_stays", pct(F.col("n"), total))
 
 
 def sequence_stats(df: DataFrame, max_tokens: int = MAX_SEQUENCE_TOKENS) -> DataFrame:
     """Token statistics of the sequences and example counts."""
     tok = token_count("text_sequence")
-    return df.agg(F.count(F.lit(1)).alias("n_examples"), r6(F.avg(tok)).alias("mean_tokens"),
+    return df.agg(F.count(F.lit(1)).alias("n_examples"), F.avg(tok).alias("mean_tokens"),
                   F.max(tok).alias("max_tokens"), F.count_if(tok > max_tokens).alias("n_over_max"),
-                  r6(F.avg("num_labs")).alias("mean_groups"), r6(F.avg("total_time_cost")).alias("mean_time_cost"),
+                  F.avg("num_labs").alias("mean_groups"), F.avg("total_time_cost").alias("mean_time_cost"),
                   F.count_if(F.col("num_labs") == 0).alias("n_without_labs"),
                   F.count_if(F.col("has_text")).alias("n_with_text"),
                   F.count_if(F.col("outcome") == 1).alias("n_positive"))

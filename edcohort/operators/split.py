@@ -1,12 +1,11 @@
 """Reproducible stratified split (W5) and its checks.
 
-A global ``row_number`` per stratum would put each (two-valued) stratum in
-one task. Instead every row gets an order key ``k`` and a bucket ``b`` that
-is monotone in ``k``; counts per (stratum, bucket) form a small table whose
-running sums give each bucket's offset; the rank inside a bucket is a window
-over (stratum, bucket) only, so the ordering work is spread over up to
-``buckets`` tasks per stratum and a hot stratum is split like any other.
-Offset + in-bucket rank equals the global rank in (k, stay_id) order.
+Every row has a place: bucket ``b``, order key ``k``, id, where ``b`` is
+monotone in ``k``. Counts per (stratum, bucket) form a small table whose running
+sums show which bucket holds each cut; only the ids of these buckets are ranked,
+and the place of the row at each cut is all that is carried on: two places per
+stratum. A row's split then follows from comparing its own place with them, so
+the rows themselves (with their texts) are neither joined nor shuffled.
 """
 
 from __future__ import annotations
@@ -14,7 +13,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.frames import r6
 
 DEFAULT_BUCKETS = 4096
 
@@ -44,26 +42,32 @@ def stratified_split(df: DataFrame, outcome_col: str = "outcome", train_ratio: f
     """Add ``split`` ∈ {train, val, test}. Per stratum of size n:
     n_train = round(n·train), n_val = round(n·val), the rest is test
     (rounding half up). Every row lands in exactly one split, and the result
-    does not depend on the partitioning. The input is read twice (bucket
-    counts, then the ranked rows), so pass a stage table when it comes from
-    an expensive plan."""
+    does not depend on the partitioning. The input's ids, keys and outcomes
+    are read for the counts and again for the cut buckets, so pass a stage
+    table when it comes from an expensive plan."""
     k, b = order if order is not None else hash_order(id_col, seed)
-    keyed = df.withColumns({"__k": k, "__b": b, "__s": F.col(outcome_col)})
-    counts = keyed.groupBy("__s", "__b").agg(F.count(F.lit(1)).alias("__cnt"))
-    w = Window.partitionBy("__s").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("__s", "__b", F.coalesce(F.sum("__cnt").over(w), F.lit(0)).alias("__off"),
-                            F.sum("__cnt").over(Window.partitionBy("__s")).alias("__n"))
-    # null-safe join on the stratum: a null outcome is its own stratum
-    j = keyed.join(offsets, (keyed["__s"].eqNullSafe(offsets["__s"])) & (keyed["__b"] == offsets["__b"]),
-                   "inner").drop(offsets["__s"]).drop(offsets["__b"])
-    rank_w = Window.partitionBy("__s", "__b").orderBy("__k", id_col)
-    ranked = j.withColumn("__r", F.col("__off") + F.row_number().over(rank_w))
+    stratum = F.coalesce(F.col(outcome_col).cast("string"), F.lit("\0"))
+    place = F.struct(b.alias("b"), k.alias("k"), F.col(id_col).alias("id"))
+    keyed = df.select(stratum.alias("s"), place.alias("p")).select("s", "p.b", "p")
+    counts = keyed.groupBy("s", "b").agg(F.count(F.lit(1)).alias("cnt"))
+    before = Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    n = F.sum("cnt").over(Window.partitionBy("s"))
     total = train_ratio + val_ratio + test_ratio
-    n_train = _round_half_up(F.col("__n") * (train_ratio / total))
-    n_val = _round_half_up(F.col("__n") * (val_ratio / total))
-    split = F.when(F.col("__r") <= n_train, F.lit("train")) \
-             .when(F.col("__r") <= n_train + n_val, F.lit("val")).otherwise(F.lit("test"))
-    return ranked.withColumn("split", split).drop("__k", "__b", "__s", "__off", "__n", "__r")
+    n_train, n_val = _round_half_up(n * (train_ratio / total)), _round_half_up(n * (val_ratio / total))
+    cuts = counts.select("s", "b", "cnt", F.coalesce(F.sum("cnt").over(before), F.lit(0)).alias("off"), F.array(
+        F.struct(F.lit("train").alias("name"), n_train.alias("at")),
+        F.struct(F.lit("val").alias("name"), (n_train + n_val).alias("at"))).alias("cut"))
+    hit = (cuts.select("s", "b", "cnt", "off", F.inline("cut"))
+           .where((F.col("off") < F.col("at")) & (F.col("at") <= F.col("off") + F.col("cnt"))))
+    inside = keyed.join(hit.select("s", "b").distinct(), ["s", "b"], "left_semi")
+    ranked = inside.withColumn("r", F.row_number().over(Window.partitionBy("s", "b").orderBy("p")))
+    last = (ranked.join(hit, ["s", "b"]).where(F.col("off") + F.col("r") == F.col("at"))
+            .agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "s", "name"), "p")))).scalar())
+
+    def upto(name: str) -> Column:
+        return place <= F.try_element_at(last, F.concat_ws("|", stratum, F.lit(name)))
+
+    return df.withColumn("split", F.when(upto("train"), "train").when(upto("val"), "val").otherwise("test"))
 
 
 def split_validation(df: DataFrame, outcome: str = "outcome") -> DataFrame:
@@ -71,37 +75,16 @@ def split_validation(df: DataFrame, outcome: str = "outcome") -> DataFrame:
     has_text, rows with has_text but no text."""
     return df.groupBy("split").agg(
         F.count(F.lit(1)).alias("n"),
-        r6(F.avg(F.col(outcome).cast("double")) * 100.0).alias("outcome_pct"),
-        r6(F.avg(F.col("has_text").cast("double")) * 100.0).alias("text_pct"),
+        (F.avg(F.col(outcome).cast("double")) * 100.0).alias("outcome_pct"),
+        (F.avg(F.col("has_text").cast("double")) * 100.0).alias("text_pct"),
         F.count_if(F.col(outcome).isNull()).alias("null_outcome"),
         F.count_if(F.col("has_text").isNull()).alias("null_has_text"),
         F.count_if(F.col("has_text") & F.col("cleaned_text").isNull()).alias("has_text_without_text"))
 
 
-# Above this many rows a top-k would gather n rows from every task into one
-# task; the bucketed rank below keeps the work spread out instead.
-TOP_K_MAX_ROWS = 10_000
-
-
-def first_n(df: DataFrame, n: int, order_cols: list[str], buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+def first_n(df: DataFrame, n: int, order_cols: list[str]) -> DataFrame:
     """The first ``n`` rows in ``order_cols`` order (ascending, nulls first),
-    exactly. Small ``n`` is a top-k. Large ``n`` buckets rows by the first
-    (numeric) order column, counts rows per bucket (a small table), turns the
-    counts into offsets, ranks inside each bucket only, and keeps global
-    ranks ≤ n: no task ever holds more than one bucket."""
-    if n <= TOP_K_MAX_ROWS:
-        return df.orderBy(*order_cols).limit(n)
-    first = F.col(order_cols[0]).cast("double")
-    bounds = df.agg(F.min(first).alias("lo"), F.max(first).alias("hi"))
-    lo, hi = bounds.select("lo").scalar(), bounds.select("hi").scalar()
-    span = F.when(hi > lo, hi - lo).otherwise(F.lit(1.0))
-    b = F.when(first.isNull(), F.lit(-1)).otherwise(F.floor((first - lo) / span * (buckets - 1)))
-    keyed = df.withColumn("__b", b.cast("long"))
-    counts = keyed.groupBy("__b").agg(F.count(F.lit(1)).alias("__cnt")).withColumn("__all", F.lit(0))
-    w = Window.partitionBy("__all").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("__b", F.coalesce(F.sum("__cnt").over(w), F.lit(0)).alias("__off"))
-    needed = offsets.where(F.col("__off") < n)
-    ranked = (keyed.join(needed, "__b")
-                   .withColumn("__r", F.col("__off") + F.row_number().over(
-                       Window.partitionBy("__b").orderBy(*order_cols))))
-    return ranked.where(F.col("__r") <= n).drop("__b", "__off", "__r")
+    exactly, for any n and any column types. Spark takes a top-k per task while
+    ``n`` is under ``spark.sql.execution.topKSortFallbackThreshold`` and sorts
+    by range beyond it; what reaches one task is never more than ``n`` rows."""
+    return df.orderBy(*order_cols).limit(n)

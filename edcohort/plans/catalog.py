@@ -8,6 +8,7 @@ to 6 places so the SQL oracle can compare values across engines.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,10 +26,13 @@ from ..operators import notes as NO
 from ..operators import profile as PR
 from ..operators import sequence as SQ
 from ..operators.split import modular_order, split_validation
+from ..session import ensure_checkpoint_dir
 from ..operators.triage import TRIAGE_FEATURE_COLS, extract_triage_features
-from ..sources.fixtures import d_labitems_from, fixture_tables, labevents_with_unmapped, read_driver
-from ..sources.readers import assemble_tables, sample_tables, scan_labevents
-from ..sources.sinks import run_manifest
+from ..sources.fixtures import d_labitems_from, fixture_tables, read_driver
+from ..sources.labdim import relevant_itemids
+from ..sources.readers import assemble_tables, load_notes, load_tables, sample_tables, scan_labevents
+from ..sources.schemas import FEATURE_PREFIXES, NOTE_CATEGORIES, SOURCE_FILES, columns_with
+from ..sources.sinks import run_manifest, write_stage
 from . import text as TX
 from .tabular import featured_stays, labelled_stays
 
@@ -36,9 +40,25 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, QueryFn] = {}
 
 
+#: Reports whose doubles are rounded here, for comparison across engines; the
+#: operators return them in full.
+ROUNDED = {
+    "cohort_summary", "run_stats", "label_summary", "crosstab_normalized", "label_rate_check", "feature_summary",
+    "los_describe", "note_length_describe", "value_counts", "completeness", "column_metadata",
+    "lab_utilization_pct", "histogram", "box_stats", "row_loss", "source_profile", "notes_stats",
+    "retention_sweep", "retention_by_category", "notes_per_outcome", "time_coverage", "text_reduction",
+    "integration_stats", "outcome_by_text", "split_validation", "run_manifest", "label_correlations",
+    "label_correlations_signed", "sequence_stats", "lab_group_frequency",
+}
+
+
 def query(name: str):
     def wrap(fn: QueryFn) -> QueryFn:
-        REGISTRY[name] = fn
+        def rounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+            df = fn(spark, sf_dir)
+            return df.withColumns({c: r6(c) for c, kind in df.dtypes if kind == "double"})
+
+        REGISTRY[name] = rounded if name in ROUNDED else fn
         return fn
     return wrap
 
@@ -187,6 +207,19 @@ def q_lab_scan_filtered(spark, sf_dir):
     return scan_labevents(t.labevents, patients=t.patients, strategy="filtered")
 
 
+@query("lab_scan_full")
+def q_lab_scan_full(spark, sf_dir):
+    t = fixture_tables(spark, sf_dir)
+    return scan_labevents(t.labevents, patients=t.patients, strategy="full")
+
+
+@query("lab_scan_sample")
+def q_lab_scan_sample(spark, sf_dir):
+    """The sampling strategy, 20,000 rows in key order."""
+    t = fixture_tables(spark, sf_dir)
+    return scan_labevents(t.labevents, patients=t.patients, strategy="sample", max_rows=20_000)
+
+
 def _labs(spark, sf_dir, hours=12.0):
     t = fixture_tables(spark, sf_dir)
     cohort = C.apply_filters(t)
@@ -203,8 +236,7 @@ def q_labs_in_window(spark, sf_dir):
 def q_lab_group_lookup(spark, sf_dir):
     t = fixture_tables(spark, sf_dir)
     dim = t.extra["lab_dim"]
-    labs = labevents_with_unmapped(read_driver(spark, sf_dir, "lineitem"), t.edstays, dim)
-    g = LS.assign_lab_groups(labs, dim, keep_unknown=True)
+    g = LS.assign_lab_groups(t.labevents, dim, keep_unknown=True)
     return g.groupBy("itemid", "lab_group", "group_minutes").agg(F.count(F.lit(1)).alias("n_results"))
 
 
@@ -320,7 +352,8 @@ CORR_FEATURES = (["anchor_age", "hospital_expire_flag", "temperature", "heartrat
 
 @query("label_correlations")
 def q_label_correlations(spark, sf_dir):
-    return LB.label_correlations(_labelled(spark, sf_dir), features=CORR_FEATURES)
+    return LB.label_correlations(write_stage(_labelled(spark, sf_dir), "labelled", spark),
+                                 features=CORR_FEATURES)
 
 
 @query("run_stats")
@@ -485,7 +518,7 @@ MM_COLS = ["subject_id", "hadm_id", "stay_id", "cleaned_text", "outcome", "lengt
 @query("multimodal_dataset")
 def q_multimodal_dataset(spark, sf_dir):
     mm = _multimodal(spark, sf_dir)
-    feats = [c for c in mm.columns if c.startswith("triage_") or c.startswith("lab_")]
+    feats = columns_with(mm, *FEATURE_PREFIXES)
     return mm.select(*MM_COLS, *[r6(c).alias(c) if c in COST_COLS else F.col(c) for c in feats])
 
 
@@ -694,6 +727,73 @@ def q_load_table_counts(spark, sf_dir):
     return PR.table_inventory(_fixture_dict(t))
 
 
+def _scratch(spark, label: str) -> str:
+    return f"{ensure_checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def _outside_stays(t):
+    """Patients without an ED stay, each with an admission, a diagnosis and a
+    lab result, which the loader must leave out."""
+    shift, when = F.lit(10_000_000_000), F.lit("2000-01-01 00:00:00").cast("timestamp_ntz")
+    p = t.patients.select((F.col("subject_id") + shift).alias("subject_id"), "gender", "anchor_age", "anchor_year")
+    adm = p.select("subject_id", F.col("subject_id").alias("hadm_id"), when.alias("admittime"),
+                   when.alias("dischtime"), F.lit(0).alias("hospital_expire_flag"))
+    labs = adm.select("subject_id", "hadm_id", F.lit(relevant_itemids()[0]).alias("itemid"),
+                      when.alias("charttime"), F.lit(1.0).alias("valuenum"))
+    return p, adm, labs
+
+
+@query("load_tables_files")
+def q_load_tables_files(spark, sf_dir):
+    """The tables as CSV files, with patients outside any ED stay
+    among them, read back by the loader."""
+    t = fixture_tables(spark, sf_dir)
+    p, adm, labs = _outside_stays(t)
+    icd = [a.select("subject_id", "hadm_id", F.lit("I10").alias("icd_code"), F.lit(10).alias("icd_version"))
+           for a in (t.admissions, adm)]
+    root = _scratch(spark, "load-tables")
+    files = {"edstays": t.edstays, "patients": t.patients.unionByName(p), "triage": t.triage,
+             "admissions": t.admissions.unionByName(adm), "labevents": t.labevents.unionByName(labs),
+             "icustays": t.icustays.withColumnRenamed("icu_stay_id", "stay_id"),
+             "diagnoses_icd": icd[0].unionByName(icd[1])}
+    for name, df in files.items():
+        df.write.option("header", True).csv(f"{root}/{SOURCE_FILES[name]}.csv")
+    loaded = load_tables(spark, root)
+    return PR.table_inventory({k: v for k, v in loaded.items() if k in files}).select("table", "n_rows")
+
+
+@query("load_notes_files")
+def q_load_notes_files(spark, sf_dir):
+    """Note files (quoted multi-line CSV) of admitted patients."""
+    t = fixture_tables(spark, sf_dir)
+    root = _scratch(spark, "load-notes")
+    for name, spec in NOTE_CATEGORIES.items():
+        own = t.notes.where(F.col("note_category") == name).select(
+            "note_id", "subject_id", "hadm_id", "note_type", "charttime", "text")
+        (own.write.option("header", True).option("quoteAll", True).option("escape", '"')
+         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+         .csv(f"{root}/{spec['file']}.csv"))
+    notes = load_notes(spark, root, subjects=t.patients, admissions=t.admissions)
+    return notes.groupBy("note_category", "category_priority").agg(
+        F.count(F.lit(1)).alias("n_notes"), F.sum(F.char_length("text")).alias("n_chars"),
+        F.count_distinct("hadm_id").alias("n_admissions"))
+
+
+@query("text_by_category")
+def q_text_by_category(spark, sf_dir):
+    t = fixture_tables(spark, sf_dir)
+    cohort = C.apply_filters(t)
+    return FU.text_by_category(FU.associate_notes_to_stays(
+        labelled_stays(t, cohort=cohort), TX.prepared_notes(t.notes, cohort, only_valid=False)))
+
+
+@query("label_correlations_signed")
+def q_label_correlations_signed(spark, sf_dir):
+    """The top 20 by signed value."""
+    return LB.label_correlations(write_stage(_labelled(spark, sf_dir), "labelled", spark),
+                                 features=CORR_FEATURES, top=20, signed=True)
+
+
 @query("notes_sample")
 def q_notes_sample(spark, sf_dir):
     """T5: 1000 notes in an arithmetic pseudo-random order that SQL engines

@@ -7,6 +7,7 @@ oracle query is ``WITH <mapping>, <query ctes> SELECT ...``.
 
 from __future__ import annotations
 
+from ..sources.fixtures import BLANK_NOTES
 from ..sources.labdim import GROUP_MINUTES, LAB_GROUPS, item_to_group
 
 
@@ -60,21 +61,23 @@ icustays AS (
     outtime + (stay_id % 30 - 5) * INTERVAL '1' HOUR AS intime
   FROM edstays WHERE hadm_id IS NOT NULL AND stay_id % 10 = 3),
 labevents AS (
-  SELECT e.subject_id, e.hadm_id, d.itemid,
+  SELECT e.subject_id, e.hadm_id, COALESCE(d.itemid, 99999) AS itemid,
     e.intime + (l.l_linenumber * 3 - 4) * INTERVAL '1' HOUR AS charttime,
-    CASE WHEN l.l_tax = 0.08 THEN NULL ELSE l.l_quantity END AS valuenum
+    CASE WHEN l.l_tax = 0.08 THEN NULL WHEN l.l_linenumber = 5 THEN l.l_quantity / 100000
+         ELSE l.l_quantity END AS valuenum
   FROM lineitem l JOIN edstays e ON l.l_orderkey = e.stay_id
-                  JOIN lab_dim d ON d.pos = l.l_partkey % 58),
+                  LEFT JOIN lab_dim d ON d.pos = l.l_partkey % 58),
 notes AS (
   SELECT CAST(x.doc_id AS VARCHAR) AS note_id, e.subject_id, e.hadm_id,
     CASE WHEN x.doc_id % 4 = 0 THEN 'DS' ELSE 'RR' END AS note_type,
     CASE WHEN x.doc_id % 4 = 0 THEN 'discharge' ELSE 'radiology' END AS note_category,
     CASE WHEN x.doc_id % 4 = 0 THEN 1 ELSE 2 END AS category_priority,
     e.intime + ((x.doc_id * 5) % 60 - 6) * INTERVAL '1' HOUR AS charttime,
-    CASE WHEN x.doc_id % 31 = 0 THEN NULL ELSE x.text END AS text
+    x.text
   FROM (SELECT doc_id, text,
-          ((doc_id // 3) * 7919) % (SELECT count(*) FROM orders) AS stay_id
-        FROM documents) x
+          ((of_doc // 3) * 7919) % (SELECT count(*) FROM orders) AS stay_id
+        FROM (SELECT doc_id, text, doc_id AS of_doc FROM documents UNION ALL
+              SELECT doc_id + {BLANK_NOTES}, NULL, doc_id FROM documents WHERE doc_id % 31 = 0) y) x
   JOIN edstays e ON e.stay_id = x.stay_id)"""
 
 

@@ -72,6 +72,7 @@ SELECT 3, 'triage_complete', n3 FROM f""")
     q.update(tabular_queries())
     from .catalog import CORR_FEATURES
     q["label_correlations"] = correlation_sql(CORR_FEATURES)
+    q["label_correlations_signed"] = correlation_sql(CORR_FEATURES, top=20, signed=True)
     from .oracle_text import text_queries
     q.update(text_queries())
     from .oracle_profile import profile_queries
@@ -225,6 +226,19 @@ FROM cohort""")
     q["lab_scan_filtered"] = m(f"""SELECT l.* FROM labevents l
       WHERE l.valuenum IS NOT NULL AND l.itemid IN ({_relevant_items()})
         AND EXISTS (SELECT 1 FROM patients p WHERE p.subject_id = l.subject_id)""")
+    for name, extra in (("lab_scan_full", ""), ("lab_scan_sample", """
+      ORDER BY subject_id NULLS FIRST, hadm_id NULLS FIRST, charttime NULLS FIRST, itemid, valuenum LIMIT 20000""")):
+        q[name] = m(f"""SELECT l.* FROM labevents l
+      WHERE l.valuenum IS NOT NULL AND EXISTS (SELECT 1 FROM patients p WHERE p.subject_id = l.subject_id){extra}""")
+    q["load_tables_files"] = m(f"""SELECT 'edstays' AS "table", count(*) AS n_rows FROM edstays UNION ALL
+      SELECT 'patients', 2 * count(*) FROM patients UNION ALL SELECT 'triage', count(*) FROM triage UNION ALL
+      SELECT 'admissions', count(*) FROM admissions UNION ALL SELECT 'icustays', count(*) FROM icustays UNION ALL
+      SELECT 'diagnoses_icd', count(*) FROM admissions UNION ALL
+      SELECT 'labevents', count(*) FROM labevents l WHERE l.valuenum IS NOT NULL
+        AND l.itemid IN ({_relevant_items()})""")
+    q["load_notes_files"] = m("""SELECT note_category, category_priority, count(*) AS n_notes,
+      CAST(sum(length(text)) AS BIGINT) AS n_chars, count(DISTINCT hadm_id) AS n_admissions
+      FROM notes WHERE text IS NOT NULL AND text <> '' AND hadm_id IS NOT NULL GROUP BY ALL""")
     q["labs_in_window"] = m(COHORT + labs_ctes() + """
 SELECT stay_id, subject_id, hadm_id, itemid, charttime, valuenum, hours_from_ed FROM labs_g""")
     q["lab_group_lookup"] = m("""
@@ -247,7 +261,7 @@ FROM labs_g GROUP BY stay_id, lab_group""")
                     for i, item in enumerate(items))
     q["lab_items_missing"] = m(f"""
 cfg AS (SELECT * FROM (VALUES {cfg}) v(lab_group, item_pos, itemid)),
-dict AS (SELECT DISTINCT d.itemid FROM part p JOIN lab_dim d ON d.pos = p.p_partkey % 58 WHERE p.p_size <= 2)
+dict AS (SELECT DISTINCT d.itemid FROM part p JOIN lab_dim d ON d.pos = p.p_partkey % 58 WHERE d.itemid % 7 <> 3)
 SELECT lab_group, count(*) AS n_missing,
   string_agg(CAST(itemid AS VARCHAR), ',' ORDER BY item_pos, itemid) AS missing_itemids
 FROM cfg WHERE itemid NOT IN (SELECT itemid FROM dict) GROUP BY lab_group""")
@@ -303,14 +317,15 @@ SELECT count(*) AS n_rows, count(DISTINCT subject_id) AS n_patients,
     return q
 
 
-def correlation_sql(features: list[str], labels=("critical_outcome", "lengthened_ed_stay"), top=10) -> str:
+def correlation_sql(features: list[str], labels=("critical_outcome", "lengthened_ed_stay"), top=10,
+                    signed=False) -> str:
     sel = ", ".join(f"corr(CAST({f} AS DOUBLE), CAST({lbl} AS DOUBLE)) AS \"{lbl}|{f}\""
                     for lbl in labels for f in features)
     unions = " UNION ALL ".join(f"SELECT '{lbl}' AS label, '{f}' AS feature, \"{lbl}|{f}\" AS c FROM w"
                                 for lbl in labels for f in features)
     return with_mapping(labelled_ctes() + f""",
 w AS (SELECT {sel} FROM labelled),
-lg AS (SELECT label, feature, round(c, 6) AS corr FROM ({unions}) u WHERE c IS NOT NULL AND NOT isnan(c)),
-rk AS (SELECT label, feature, corr, abs(corr) AS abs_corr,
-         row_number() OVER (PARTITION BY label ORDER BY abs(corr) DESC, feature) AS rank FROM lg)
+lg AS (SELECT label, feature, round(c, 12) AS c FROM ({unions}) u WHERE c IS NOT NULL AND NOT isnan(c)),
+rk AS (SELECT label, feature, round(c, 6) AS corr, round(abs(c), 6) AS abs_corr,
+         row_number() OVER (PARTITION BY label ORDER BY {'c' if signed else 'abs(c)'} DESC, feature) AS rank FROM lg)
 SELECT label, CAST(rank AS INTEGER) AS rank, feature, corr, abs_corr FROM rk WHERE rank <= {top}""")

@@ -247,6 +247,8 @@ SELECT count(*) AS total_stays, count(*) FILTER (WHERE cleaned_text IS NOT NULL)
   {_r6('avg(CAST(cleaned_text IS NOT NULL AS DOUBLE))')} AS text_coverage,
   {_r6('avg(length(cleaned_text))')} AS avg_text_length, {len(LABELLED_COLS) + 1} AS tabular_features
 FROM integ""")
+    q["text_by_category"] = m(mm_ctes() + """
+SELECT note_type, count(*) AS n FROM integ WHERE cleaned_text IS NOT NULL GROUP BY note_type""")
     q["outcome_by_text"] = m(mm_ctes() + f"""
 SELECT has_text, count(*) AS n, {_r6('avg(CAST(outcome AS DOUBLE)) * 100.0')} AS outcome_pct
 FROM mm GROUP BY has_text""")

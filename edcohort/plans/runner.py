@@ -12,6 +12,7 @@ is recomputed because two consumers read it.
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,15 +29,18 @@ def run_all(spark: SparkSession, t: Tables, out_dir: str, strategy: str = "prior
     """Run everything and write the artefacts under ``out_dir``:
     ``labeled_data`` (Parquet), ``multimodal`` and ``linearized`` (Parquet,
     one folder per split), three summary CSVs and ``manifest`` (JSON)."""
-    cohort = write_stage(apply_filters(t), "cohort", spark)
-    labelled = write_stage(labelled_stays(t, lab_window_hours, cohort=cohort), "labelled", spark)
+    run_id = uuid.uuid4().hex
+    cohort = write_stage(apply_filters(t), "cohort", spark, run_id=run_id)
+    labelled = write_stage(labelled_stays(t, lab_window_hours, cohort=cohort), "labelled", spark,
+                           run_id=run_id)
     write_parquet(labelled, os.path.join(out_dir, "labeled_data"))
     write_summary_csv(label_summary(labelled), os.path.join(out_dir, "label_summary"))
     write_summary_csv(crosstab_margins(labelled), os.path.join(out_dir, "crosstab"))
     write_summary_csv(label_correlations(labelled), os.path.join(out_dir, "label_correlations"))
     # the split reads its input twice (bucket counts, then ranks): stage it first
-    mm = write_stage(multimodal(labelled, cohort, t, strategy), "multimodal", spark)
-    split = write_stage(split_multimodal(mm, order, seed), "multimodal_split", spark)
+    mm = write_stage(multimodal(labelled, cohort, t, strategy), "multimodal", spark, run_id=run_id)
+    split = write_stage(split_multimodal(mm, order, seed), "multimodal_split", spark,
+                        run_id=run_id)
     write_parquet(split, os.path.join(out_dir, "multimodal"), ["split"])
     seqs = sequences(split)
     write_parquet(seqs, os.path.join(out_dir, "linearized"), ["split"])

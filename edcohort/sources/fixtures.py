@@ -20,6 +20,10 @@ from .labdim import lab_dim
 from .readers import Tables
 
 
+#: Added to a document id for the note without text beside it.
+BLANK_NOTES = 1_000_000_000_020
+
+
 def _hours(ts: str | Column, n: Column) -> Column:
     return F.timestamp_add("HOUR", n, ts if isinstance(ts, Column) else F.col(ts))
 
@@ -94,7 +98,9 @@ def icustays_from(edstays: DataFrame) -> DataFrame:
 
 
 def labevents_from(lineitem: DataFrame, edstays: DataFrame, dim: DataFrame) -> DataFrame:
-    """Each line item becomes one lab result of its order's stay.
+    """Each line item becomes one lab result of its order's stay; parts
+    without a configured item get item id 99999, and the fifth line of an
+    order a small decimal value.
 
     ``dim`` is the fixed 56-row item dimension: broadcasting it is bounded by
     construction. The stay join is a shuffle join on the order key.
@@ -104,24 +110,27 @@ def labevents_from(lineitem: DataFrame, edstays: DataFrame, dim: DataFrame) -> D
         (F.col("l_partkey") % 58).cast("int").alias("pos"),
         "l_linenumber", "l_quantity", "l_tax")
     joined = (li.join(edstays.select("stay_id", "subject_id", "hadm_id", "intime"), "stay_id")
-                .join(F.broadcast(dim.select("pos", "itemid")), "pos"))
+                .join(F.broadcast(dim.select("pos", "itemid")), "pos", "left"))
+    value = F.when(F.col("l_linenumber") == 5, F.col("l_quantity") / 100000).otherwise(F.col("l_quantity"))
     return joined.select(
-        "subject_id", "hadm_id", "itemid",
+        "subject_id", "hadm_id", F.coalesce("itemid", F.lit(99999)).alias("itemid"),
         _hours("intime", F.col("l_linenumber") * 3 - 4).alias("charttime"),
-        F.when(F.col("l_tax") == 0.08, F.lit(None).cast("double"))
-         .otherwise(F.col("l_quantity")).alias("valuenum"),
+        F.when(F.col("l_tax") == 0.08, F.lit(None).cast("double")).otherwise(value).alias("valuenum"),
     )
 
 
 def notes_from(documents: DataFrame, edstays: DataFrame) -> DataFrame:
     """Documents become notes: three consecutive documents share a stay, and
     the stays are spread over the whole stay range (a scalar subquery gives
-    the stay count), so no stay collects an outsized share of the notes."""
+    the stay count), so no stay collects an outsized share of the notes. Some
+    notes without text stand beside them."""
     d = F.col("doc_id")
     n_stays = edstays.select(F.count(F.lit(1))).scalar()
-    docs = documents.select(
-        d.alias("doc_id"), "text",
-        F.pmod(F.floor(d / 3) * 7919, n_stays).alias("stay_id"))
+    source = documents.select(d, "text", d.alias("of"))
+    blank = documents.where(d % 31 == 0).select(
+        d + BLANK_NOTES, F.lit(None).cast("string").alias("text"), d.alias("of"))
+    docs = source.union(blank).select(
+        "doc_id", "text", F.pmod(F.floor(F.col("of") / 3) * 7919, n_stays).alias("stay_id"))
     joined = docs.join(edstays.select("stay_id", "subject_id", "hadm_id", "intime"), "stay_id")
     is_ds = d % 4 == 0
     return joined.select(
@@ -131,7 +140,7 @@ def notes_from(documents: DataFrame, edstays: DataFrame) -> DataFrame:
         F.when(is_ds, F.lit("discharge")).otherwise(F.lit("radiology")).alias("note_category"),
         F.when(is_ds, F.lit(1)).otherwise(F.lit(2)).alias("category_priority"),
         _hours("intime", (d * 5) % 60 - 6).alias("charttime"),
-        F.when(d % 31 == 0, F.lit(None).cast("string")).otherwise(F.col("text")).alias("text"),
+        "text",
     )
 
 
@@ -151,26 +160,11 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
     )
 
 
-def labevents_with_unmapped(lineitem: DataFrame, edstays: DataFrame, dim: DataFrame) -> DataFrame:
-    """Variant of the lab mapping that keeps line items whose part has no
-    configured item: they get item id 99999 (for the 'UNKNOWN' group rule)."""
-    li = lineitem.select(F.col("l_orderkey").alias("stay_id"),
-                         (F.col("l_partkey") % 58).cast("int").alias("pos"),
-                         "l_linenumber", "l_quantity", "l_tax")
-    joined = (li.join(edstays.select("stay_id", "subject_id", "hadm_id", "intime"), "stay_id")
-                .join(F.broadcast(dim.select("pos", "itemid")), "pos", "left"))
-    return joined.select(
-        "subject_id", "hadm_id", F.coalesce("itemid", F.lit(99999)).alias("itemid"),
-        _hours("intime", F.col("l_linenumber") * 3 - 4).alias("charttime"),
-        F.when(F.col("l_tax") == 0.08, F.lit(None).cast("double"))
-         .otherwise(F.col("l_quantity")).alias("valuenum"))
-
-
 def d_labitems_from(part: DataFrame, dim: DataFrame) -> DataFrame:
     """An item dictionary derived from the part table: the configured item
-    at position ``p_partkey % 58`` of every part of size 1 or 2 (so, at small
-    scale, some configured items are absent from the dictionary)."""
-    p = part.where(F.col("p_size") <= 2).select(
+    at position ``p_partkey % 58`` of every part, but those whose item id
+    leaves 3 on division by 7."""
+    p = part.select(
         (F.col("p_partkey") % 58).cast("int").alias("pos"), F.col("p_name").alias("label"))
-    return (p.join(F.broadcast(dim.select("pos", "itemid")), "pos")
+    return (p.join(F.broadcast(dim.select("pos", "itemid")), "pos").where(F.col("itemid") % 7 != 3)
              .groupBy("itemid").agg(F.min("label").alias("label")))

@@ -80,15 +80,3 @@ def lab_dim(spark: SparkSession) -> DataFrame:
     rows = [(i, item, groups[item], GROUP_MINUTES[groups[item]])
             for i, item in enumerate(sorted(groups))]
     return spark.createDataFrame(rows, LAB_DIM_SCHEMA)
-
-
-GROUP_DIM_SCHEMA = T.StructType([
-    T.StructField("lab_group", T.StringType(), False),
-    T.StructField("group_pos", T.IntegerType(), False),
-    T.StructField("group_minutes", T.IntegerType(), False),
-])
-
-
-def group_dim(spark: SparkSession) -> DataFrame:
-    rows = [(g, i, GROUP_MINUTES[g]) for i, g in enumerate(LAB_GROUPS)]
-    return spark.createDataFrame(rows, GROUP_DIM_SCHEMA)

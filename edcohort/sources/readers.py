@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .labdim import relevant_itemids
-from .schemas import NOTE_CATEGORIES, SCHEMAS, SOURCE_FILES, conform, has
+from .schemas import NOTE_CATEGORIES, SCHEMAS, SOURCE_FILES, has
 
 # --- fixed values: strings read as missing in CSV sources ---
 NULL_TOKENS = ["", "NA", "NULL", "null", "nan", "NaN", "N/A", "n/a", "NAN", "#N/A",
@@ -49,8 +49,23 @@ class Tables:
         return replace(self, **kw)
 
 
-def _exists(path: str) -> bool:
-    return os.path.exists(path)
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Asked of the path's own file system (local, HDFS, object store)."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def check_input(df: DataFrame | None, name: str, columns: list[str], non_empty: bool = True) -> DataFrame:
+    """The contract of a required input: present, with these columns,
+    not empty (one row is read to see that)."""
+    if df is None:
+        raise ValueError(f"required table {name} is missing")
+    missing = [c for c in columns if c not in df.columns]
+    if missing:
+        raise ValueError(f"table {name} lacks required columns {missing}")
+    if non_empty and df.isEmpty():
+        raise ValueError(f"required table {name} is empty")
+    return df
 
 
 def empty_table(spark: SparkSession, schema: T.StructType) -> DataFrame:
@@ -74,14 +89,18 @@ def null_tokens_to_null(df: DataFrame, tokens: list[str] = NULL_TOKENS) -> DataF
 
 
 def read_csv_table(spark: SparkSession, path: str, schema: T.StructType | None = None,
-                   usecols: list[str] | None = None, multiline: bool = False) -> DataFrame:
-    """Header CSV → typed table; a missing file gives an empty table.
+                   usecols: list[str] | None = None, multiline: bool = False,
+                   missing: str = "empty") -> DataFrame:
+    """Header CSV → typed table. A missing file gives an empty table, or
+    raises with ``missing="error"``.
 
     Columns are read as strings by name (no positional schema, no inference
     pass), null tokens are mapped, then each declared column is cast with
     ``try_cast`` so an unparsable value becomes null instead of failing.
     """
-    if not _exists(path):
+    if not path_exists(spark, path):
+        if missing == "error":
+            raise FileNotFoundError(path)
         target = schema if schema is not None else T.StructType([])
         if usecols:
             target = T.StructType([f for f in target.fields if f.name in usecols])
@@ -102,32 +121,40 @@ def read_csv_table(spark: SparkSession, path: str, schema: T.StructType | None =
 
 
 def read_table(spark: SparkSession, root: str, name: str, fmt: str = "csv",
-               usecols: list[str] | None = None) -> DataFrame:
-    """S8 + S1: one source table by logical name, CSV or Parquet."""
+               usecols: list[str] | None = None, missing: str = "empty") -> DataFrame:
+    """S8 + S1: one source table by logical name, CSV or Parquet; a missing
+    one is empty or an error. A ``.csv.gz`` is read by one task: convert large
+    ones to Parquet once."""
     rel = SOURCE_FILES.get(name, name)
     if fmt == "parquet":
         path = os.path.join(root, rel + ".parquet")
-        if not _exists(path):
+        if not path_exists(spark, path):
+            if missing == "error":
+                raise FileNotFoundError(path)
             return empty_table(spark, SCHEMAS[name])
         df = spark.read.parquet(path)
         return df.select(*[c for c in usecols if c in df.columns]) if usecols else df
     path = os.path.join(root, rel + ".csv")
-    if not _exists(path) and _exists(path + ".gz"):
+    if not path_exists(spark, path) and path_exists(spark, path + ".gz"):
         path = path + ".gz"
-    return read_csv_table(spark, path, SCHEMAS.get(name), usecols)
+    return read_csv_table(spark, path, SCHEMAS.get(name), usecols, missing=missing)
 
 
 def load_tables(spark: SparkSession, root: str, fmt: str = "csv",
                 load_labs: bool = True, load_vitals: bool = True,
                 sample_stays: int | None = None, lab_strategy: str = "filtered",
-                lab_max_rows: int = 10_000_000) -> Tables:
-    """The whole table set. Loading is lazy, so the memory switches of a
-    row-at-a-time loader reduce to which scans are planned at all."""
+                lab_max_rows: int | None = None) -> Tables:
+    """The whole table set. Stays and patients must exist and hold rows;
+    other missing files are empty tables. Admissions, ICU stays and lab events
+    are those of patients with an ED stay, ICD rows those of the loaded
+    admissions (semi joins, so no id set is collected). Loading is lazy, so the
+    memory switches of a row-at-a-time loader reduce to which scans are planned
+    at all."""
     t = Tables(
         patients=read_table(spark, root, "patients", fmt,
                             ["subject_id", "gender", "anchor_age", "anchor_year",
-                             "anchor_year_group", "dod"]),
-        edstays=read_table(spark, root, "edstays", fmt),
+                             "anchor_year_group", "dod"], missing="error"),
+        edstays=read_table(spark, root, "edstays", fmt, missing="error"),
         triage=read_table(spark, root, "triage", fmt),
         diagnosis=read_table(spark, root, "diagnosis", fmt),
         medrecon=read_table(spark, root, "medrecon", fmt),
@@ -138,21 +165,27 @@ def load_tables(spark: SparkSession, root: str, fmt: str = "csv",
         icustays=read_table(spark, root, "icustays", fmt,
                             ["subject_id", "hadm_id", "stay_id", "intime", "outtime"]),
     )
+    check_input(t.edstays, "edstays", ["stay_id", "subject_id"])
+    check_input(t.patients, "patients", ["subject_id"])
     if load_vitals:
         t.vitalsign = read_table(spark, root, "vitalsign", fmt)
     if sample_stays is not None:
         t = sample_tables(t, sample_stays)
+    seen = t.edstays.select("subject_id").distinct()
+    t.admissions = t.admissions.join(seen, "subject_id", "left_semi")
+    t.icustays = t.icustays.join(seen, "subject_id", "left_semi")
+    t.diagnoses_icd = t.diagnoses_icd.join(t.admissions.select("hadm_id").distinct(), "hadm_id", "left_semi")
     if load_labs:
         raw = read_table(spark, root, "labevents", fmt,
                          ["subject_id", "hadm_id", "itemid", "charttime", "valuenum", "valueuom"])
-        t.labevents = scan_labevents(raw, patients=t.patients, strategy=lab_strategy,
+        t.labevents = scan_labevents(raw, patients=seen, strategy=lab_strategy,
                                      max_rows=lab_max_rows)
     return t
 
 
 def assemble_tables(t: Tables, load_labs: bool = True, load_vitals: bool = True,
                     sample_stays: int | None = None, lab_strategy: str = "filtered",
-                    lab_max_rows: int = 10_000_000) -> Tables:
+                    lab_max_rows: int | None = None) -> Tables:
     """S2 on already-read sources: optional stay sample (S14), lab events of
     the loaded patients under the chosen strategy (S3/S3a), vital signs of
     the loaded stays (S4). Nothing is counted or collected here."""
@@ -171,13 +204,16 @@ def assemble_tables(t: Tables, load_labs: bool = True, load_vitals: bool = True,
 
 def scan_labevents(labevents: DataFrame, patients: DataFrame | None = None,
                    stays: DataFrame | None = None, strategy: str = "filtered",
-                   itemids: list[int] | None = None, max_rows: int = 10_000_000) -> DataFrame:
+                   itemids: list[int] | None = None, max_rows: int | None = None) -> DataFrame:
     """Lab events with a value, of cohort patients, of relevant items.
 
     ``filtered``: the relevant items only (a literal list, pushed into the
-    Parquet scan). ``sample``: an exact row cap taken in key order (the cap
-    is the feature of this strategy). ``full``: no item filter.
+    Parquet scan). ``sample``: the first ``max_rows`` rows in key order (the
+    cap is the feature of this strategy and must be given). ``full``: no item
+    filter.
     """
+    if strategy == "sample" and max_rows is None:
+        raise ValueError("strategy 'sample' needs max_rows")
     cols = [c for c in ["subject_id", "hadm_id", "itemid", "charttime", "valuenum", "valueuom"]
             if c in labevents.columns]
     df = labevents.select(*cols).where(F.col("valuenum").isNotNull())
@@ -214,21 +250,26 @@ def tag_notes(notes: DataFrame, category: str, priority: int | None = None) -> D
 
 def load_notes(spark: SparkSession, root: str, categories: list[str] | None = None,
                subjects: DataFrame | None = None, admissions: DataFrame | None = None,
-               fmt: str = "csv") -> DataFrame:
+               fmt: str = "csv", missing: str = "error") -> DataFrame:
     """S5 + U1: note sources (multi-line quoted CSV or Parquet), filtered to
-    given patients/admissions by semi join, tagged, unioned by name."""
+    given patients/admissions by semi join, tagged, unioned by name. A category
+    without a file is an error, or left out with ``missing="skip"``. A
+    multi-line CSV is read by one task per file: convert large ones to Parquet
+    once."""
     parts = []
     for cat in categories or list(NOTE_CATEGORIES):
         rel = NOTE_CATEGORIES[cat]["file"]
         if fmt == "parquet":
             path = os.path.join(root, rel + ".parquet")
-            if not _exists(path):
-                continue
-            df = spark.read.parquet(path)
         else:
             path = os.path.join(root, rel + ".csv")
-            if not _exists(path):
+        if not path_exists(spark, path):
+            if missing == "skip":
                 continue
+            raise FileNotFoundError(path)
+        if fmt == "parquet":
+            df = spark.read.parquet(path)
+        else:
             df = read_csv_table(spark, path, SCHEMAS["notes"], multiline=True)
         parts.append(tag_notes(df, cat))
     if not parts:
@@ -272,7 +313,3 @@ def sample_tables(t: Tables, n_stays: int) -> Tables:
         if df is not None and has(df, "stay_id"):
             setattr(out, name, df.join(stays.select("stay_id"), "stay_id", "left_semi"))
     return out
-
-
-def conform_table(df: DataFrame, name: str) -> DataFrame:
-    return conform(df, SCHEMAS[name], keep_extra=True)

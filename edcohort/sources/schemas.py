@@ -74,6 +74,15 @@ def has(df: DataFrame, *cols: str) -> bool:
     return all(c in names for c in cols)
 
 
+#: Feature columns of the multimodal table start with one of these.
+FEATURE_PREFIXES = ("triage_", "lab_")
+
+
+def columns_with(df: DataFrame, *prefixes: str, without: bool = False) -> list[str]:
+    """The columns whose names start with one of ``prefixes`` (or with none)."""
+    return [c for c in df.columns if c.startswith(prefixes) != without]
+
+
 def conform(df: DataFrame, schema: T.StructType, keep_extra: bool = False) -> DataFrame:
     """Cast present columns to the declared type and add absent ones as nulls."""
     present = set(df.columns)

@@ -10,11 +10,11 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.frames import r6
 from ..session import ensure_checkpoint_dir
 
 
@@ -34,11 +34,12 @@ def write_summary_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None
 
 
 def write_stage(df: DataFrame, name: str, spark: SparkSession | None = None,
-                root: str | None = None) -> DataFrame:
+                root: str | None = None, run_id: str | None = None) -> DataFrame:
     """Write ``df`` as a stage table under the shared checkpoint folder and
-    return the table read back (lineage cut, recomputation-free reuse)."""
+    return the table read back (lineage cut, recomputation-free reuse). Each
+    run has a folder of its own, so two runs never touch each other's tables."""
     spark = spark or df.sparkSession
-    root = root or os.path.join(ensure_checkpoint_dir(spark), "stages")
+    root = root or os.path.join(ensure_checkpoint_dir(spark), "stages", run_id or uuid.uuid4().hex)
     path = os.path.join(root, name)
     write_parquet(df, path)
     return spark.read.parquet(path)
@@ -48,12 +49,12 @@ def run_manifest(split_df: DataFrame, config: dict, outcome: str = "outcome") ->
     """One row: size, positives and rate per split, text coverage and
     the run configuration (as JSON text)."""
     aggs = [F.count(F.lit(1)).alias("n_total"),
-            r6(F.avg(F.col("has_text").cast("double"))).alias("text_coverage")]
+            F.avg(F.col("has_text").cast("double")).alias("text_coverage")]
     for s in ("train", "val", "test"):
         in_s = F.col("split") == s
         aggs += [F.count_if(in_s).alias(f"n_{s}"),
                  F.count_if(in_s & (F.col(outcome) == 1)).alias(f"pos_{s}"),
-                 r6(F.avg(F.when(in_s, F.col(outcome).cast("double"))) * 100.0).alias(f"rate_{s}")]
+                 (F.avg(F.when(in_s, F.col(outcome).cast("double"))) * 100.0).alias(f"rate_{s}")]
     return split_df.agg(*aggs).withColumn("config", F.lit(json.dumps(config, sort_keys=True)))
 
 
