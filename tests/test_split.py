@@ -46,32 +46,49 @@ def test_bucketed_rank_equals_global_rank(spark):
         assert [r.split for r in members] == expect
 
 
-def test_first_n_large_equals_sorted_limit(spark, monkeypatch):
-    from edcohort.operators import split as S
-    from conftest import SF_SMALL
-    from edcohort.sources.fixtures import fixture_tables
-    labs = fixture_tables(spark, SF_SMALL).labevents.where("valuenum is not null")
-    cols = ["subject_id", "hadm_id", "charttime", "itemid", "valuenum"]
-    expect = [tuple(r) for r in labs.orderBy(*cols).limit(3000).collect()]
-    monkeypatch.setattr(S, "TOP_K_MAX_ROWS", 0)
-    got = [tuple(r) for r in S.first_n(labs, 3000, cols).orderBy(*cols).collect()]
-    assert got == expect
-    plan = S.first_n(labs, 3000, cols)._jdf.queryExecution().executedPlan().toString()
-    assert "TakeOrderedAndProject" not in plan
+def test_first_n_any_size_and_type(spark):
+    from edcohort.operators.split import first_n
+    data = [(chr(97 + i % 7) if i % 11 else None, i) for i in range(500)]
+    df = spark.createDataFrame(data, "s string, i int").repartition(5)
+    want = sorted(data, key=lambda r: ("" if r[0] is None else r[0], r[1]))
+    for n in (0, 1, 60, 499, 15_000):
+        assert [tuple(r) for r in first_n(df, n, ["s", "i"]).collect()] == want[:n]
+
+
+def test_split_rows_are_not_shuffled(spark):
+    from pyspark.sql import functions as F
+    df = spark.range(1000).select(F.col("id").alias("stay_id"), (F.col("id") % 2).alias("outcome"),
+                                  F.repeat(F.lit("x"), 50).alias("cleaned_text"))
+    plan = stratified_split(df, "outcome")._jdf.queryExecution().executedPlan().toString()
+    main = plan.split("Subquery", 1)[0]
+    assert "Exchange" not in main and "Join" not in main
+
+
+def test_split_edges(spark):
+    df = spark.createDataFrame([(i, None if i < 3 else i % 2) for i in range(23)], "stay_id long, outcome int")
+    out = stratified_split(df, "outcome").collect()
+    assert len(out) == 23
+    for outcome in (None, 0, 1):
+        n = sum(r.outcome == outcome for r in out)
+        got = [sum(r.split == s for r in out if r.outcome == outcome) for s in ("train", "val", "test")]
+        assert got == [math.floor(n * 0.8 + 0.5), math.floor(n * 0.1 + 0.5),
+                       n - math.floor(n * 0.8 + 0.5) - math.floor(n * 0.1 + 0.5)]
+    assert stratified_split(df.limit(0), "outcome").collect() == []
 
 
 def test_exact_quantiles_equal_percentile(spark):
     from pyspark.sql import functions as F
     from edcohort.operators.quantiles import exact_quantiles
-    rows = [(g, float(v)) for g in range(3) for v in ([1, 2, 2, 2, 9, 1000, -5, 3.5] * (g + 1))]
+    rows = [(g, float(v)) for g in range(3) for v in ([1, 2, 2, 2, 9, 1000, -5, 3.5, 1e15] * (g + 1))]
     rows += [(3, 7.0), (4, None)]
     df = spark.createDataFrame(rows, "g int, v double")
     ps = [0.0, 0.25, 0.5, 0.75, 0.95, 1.0]
-    got = {r.g: r.q for r in exact_quantiles(df, "v", ps, ["g"], buckets=4).collect()}
+    got = {r.g: r.q for r in exact_quantiles(df, "v", ps, ["g"]).collect()}
     want = {r.g: r.q for r in df.groupBy("g").agg(F.percentile("v", F.array(*[F.lit(p) for p in ps])).alias("q"))
             .where("q is not null").collect()}
     assert set(got) == set(want) == {0, 1, 2, 3}
     for g in want:
-        assert all(abs(a - b) < 1e-9 for a, b in zip(got[g], want[g])), (g, got[g], want[g])
+        assert all(abs(a - b) < 1e-9 * max(1, abs(b)) for a, b in zip(got[g], want[g])), (g, got[g], want[g])
     glob = exact_quantiles(df, "v", [0.5]).collect()
     assert abs(glob[0].q[0] - df.select(F.median("v")).first()[0]) < 1e-9
+    assert exact_quantiles(df.limit(0), "v", [0.5]).first().q is None
