@@ -96,7 +96,10 @@ def notes_stats(notes: DataFrame, exact: bool = True) -> DataFrame:
     """Totals, patients, admissions, text length mean/median and date
     range, overall ('All') and per category (ROLLUP)."""
     tc = note_time_column(notes)
-    length = F.length("text")
+    # only the length of a text goes into the expanding aggregate
+    notes = notes.select("subject_id", "hadm_id", "note_category", F.length("text").alias("__len"),
+                         *([tc] if tc else []))
+    length = F.col("__len")
     aggs = [F.count(F.lit(1)).alias("n_notes"), F.count_distinct("subject_id").alias("n_patients"),
             F.count_distinct("hadm_id").alias("n_admissions"), F.avg(length).alias("avg_text_length"),
             F.grouping("note_category").alias("__g")]
@@ -105,7 +108,7 @@ def notes_stats(notes: DataFrame, exact: bool = True) -> DataFrame:
     out = notes.rollup("note_category").agg(*aggs)
     out = out.withColumn("note_category", F.when(F.col("__g") == 1, F.lit("All"))
                          .otherwise(F.col("note_category"))).drop("__g")
-    lens = notes.select("note_category", length.alias("__len"))
+    lens = notes.select("note_category", "__len")
     per_cat = quantile_frame(lens, "__len", [0.5], ["note_category"], exact).select(
         "note_category", F.col("q")[0].alias("__m"))
     overall = global_quantiles(lens, "__len", [0.5], exact)[0]
