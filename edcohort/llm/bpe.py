@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 
 from .cache import Recent
 from .common import id_text
-from .tokens import BYTE_BPE, vocabulary
+from .tokens import BYTE_BPE, byte_letters, vocabulary
 
 CACHE_WORDS = 200_000
 CACHE_PAIRS = 300_000
@@ -41,14 +41,6 @@ CACHE_PAIRS = 300_000
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-def byte_letters() -> dict[str, int]:
-    """Letter -> byte of byte-level vocabularies: printable Latin-1 stands for
-    itself, the other bytes for the letters from U+0100 on, in order."""
-    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
-    rest = [b for b in range(256) if b not in set(own)]
-    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 class Vocabulary:
     """Tokens as bytes, the merge that makes each, and the search structures.
 

@@ -1,7 +1,7 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads each word (run without ASCII white space; longer ones in
-parts of ``WORD_BYTES``) from both ends, byte by byte, and gives every byte
+The network reads each word (run without ASCII white space, a closing full stop
+or comma apart; longer ones in parts of ``WORD_BYTES``) from both ends, byte by byte, and gives every byte
 position a distribution over the languages. A document's probabilities are the
 mean over all positions of its whole text; the prediction is the largest.
 
@@ -22,10 +22,12 @@ rows get equal predictions; further columns are not read.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,10 +46,13 @@ CACHE_WORDS = 200_000
 TEXTS = 256
 WORDS = 4096
 UNKNOWN = "und"
+#: A full stop or comma after a word is a word of its own: fewer distinct words.
+WORD_END = re.compile(rb"([.,])(?<=[A-Za-z0-9\x80-\xff].)(?=\s|$)")
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
+    """A null id is not held out."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def training_sample(docs: DataFrame, per_language: int = SAMPLE, window: int = WINDOW) -> DataFrame:
@@ -73,7 +78,7 @@ def training_sample(docs: DataFrame, per_language: int = SAMPLE, window: int = W
 
 
 def words_of(text: str) -> list[bytes]:
-    out = text.encode("utf-8", "surrogatepass").split()
+    out = WORD_END.sub(rb" \1", text.encode("utf-8", "surrogatepass")).split()
     if any(len(w) > WORD_BYTES for w in out):
         out = [w[i:i + WORD_BYTES] for w in out for i in range(0, len(w), WORD_BYTES)]
     return out
@@ -108,6 +113,10 @@ class Network:
             self.w |= {f"in{d}": small(256, 3 * h), f"gate{d}": small(h, 2 * h), f"cand{d}": small(h, h),
                        f"bias{d}": np.zeros(3 * h, np.float32)}
 
+    def fingerprint(self) -> str:
+        parts = [str(self.languages).encode(), *(self.w[k].tobytes() for k in sorted(self.w))]
+        return xxhash.xxh3_128_hexdigest(b"".join(parts))
+
     def _states(self, d: str, x: np.ndarray, live: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
         """Hidden state after each place, read from the left (f) or right (b)."""
         w, h = self.w, self.hidden
@@ -227,10 +236,23 @@ class Reader:
         return mean / mean.sum()
 
 
+_READERS: dict[str, Reader] = {}
+
+
+def _reader(net: Network, key: str) -> Reader:
+    """One per Python worker and network, so later tasks find a filled cache."""
+    if key not in _READERS:
+        _READERS.clear()
+        _READERS[key] = Reader(net)
+    return _READERS[key]
+
+
 def predict(docs: DataFrame, net: Network | None) -> DataFrame:
     """doc_id, held_out, lang_pred, score per document."""
+    key = net.fingerprint() if net else ""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(net) if net else None
+        reader = _reader(net, key) if net else None
         for batch in batches:
             for a in range(0, batch.num_rows, TEXTS):
                 part = batch.slice(a, TEXTS)

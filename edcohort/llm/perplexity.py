@@ -40,6 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -192,6 +193,8 @@ class Shard:
             at = at[np.argsort(key[at], kind="stable")]
             self.tables.append((key[at], value[at]))
         self.shard, self.shards, self.order = shard, shards, order
+        self.key = xxhash.xxh3_128_hexdigest(b"".join(
+            [bytes(f"{shard}/{shards}/{order}", "ascii"), *(a.tobytes() for t in self.tables for a in t)]))
 
     @staticmethod
     def _find(table: tuple[np.ndarray, np.ndarray], key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -238,10 +241,21 @@ class Shard:
         return [row.tobytes() for row in out]
 
 
+_CACHES: dict[str, Recent] = {}
+
+
+def _cache(shard: Shard) -> Recent:
+    """One per Python worker and shard, so later tasks find it filled."""
+    if shard.key not in _CACHES:
+        _CACHES.clear()
+        _CACHES[shard.key] = Recent(lambda w: shard.costs([w.decode("utf-8", "replace")])[0], CACHE_WORDS)
+    return _CACHES[shard.key]
+
+
 def _partial(docs: DataFrame, shard: Shard) -> DataFrame:
     """doc_id, text_hash, lang, cost, squares, n: one shard's share per row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = Recent(lambda w: shard.costs([w.decode("utf-8", "replace")])[0], CACHE_WORDS)
+        cache = _cache(shard)
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)

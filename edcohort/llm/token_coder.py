@@ -34,12 +34,13 @@ U64 = np.uint64
 WORD = U64(32)
 MASK = U64(0xFFFFFFFF)
 LIMIT = U64(1 << 32)
+LOW16 = U64(0xFFFF)
 #: At most 2**18 distinct ids in one file row.
 PRIOR_BITS = 18
 #: Kinds: predicted by order 2, by order 1, by order 0, new.
 KINDS = 4
 STATES = 32
-MODEL_LANES = 16
+MODEL_LANES = 32
 #: A context's record after a hit.
 NEXT = np.array([1, 2, 3, 3], np.int64)
 
@@ -135,9 +136,10 @@ class Mixer:
         self.parts = tuple(p[:lanes] for p in self.parts)
 
 
-def _seen(states: np.ndarray, kinds: np.ndarray) -> np.ndarray:
-    lanes = len(states)
-    key = (np.arange(lanes)[:, None] * STATES + states) * KINDS + kinds
+def _tally(seen: np.ndarray) -> np.ndarray:
+    """Occurrences of each state * KINDS + kind, per block."""
+    lanes = len(seen)
+    key = np.arange(lanes)[:, None] * (STATES * KINDS) + seen
     return np.bincount(key.ravel(), minlength=lanes * STATES * KINDS).reshape(lanes, STATES, KINDS)
 
 
@@ -145,15 +147,17 @@ def _context(ids: np.ndarray, slots: np.ndarray, row: np.ndarray) -> tuple[np.nd
     """For every place of (flat) blocks: the id at the last place with the same
     slot (-1: none) and that slot's record: 0 none, 1 missed last, 2 hit once,
     3 hit twice."""
-    order = (np.argsort(slots.astype(np.uint16), axis=1, kind="stable") + row).ravel()
+    order = np.argsort(slots, axis=1, kind="stable")
+    order += row
+    order = order.ravel()
     s, x = slots.ravel()[order], ids.ravel()[order]
-    s += np.repeat(np.arange(len(ids)) * SLOTS, ids.shape[1])
-    same = np.zeros(len(s), bool)
+    same, hit = np.zeros(len(s), bool), np.zeros(len(s), bool)
     np.equal(s[1:], s[:-1], out=same[1:])
-    hit = same.copy()
-    hit[1:] &= x[1:] == x[:-1]
-    guess, record = np.full(len(s), -1, np.int64), same.astype(np.int64)
-    guess[1:][same[1:]] = x[:-1][same[1:]]
+    same[::ids.shape[1]] = False  # the first of each block
+    np.equal(x[1:], x[:-1], out=hit[1:])
+    hit &= same
+    guess = np.where(same, np.roll(x, 1), np.int32(-1))
+    record = same.astype(np.int8)
     after = same[1:] & hit[:-1]
     record[1:] += after
     record[2:] += after[1:] & hit[:-2]
@@ -168,46 +172,50 @@ def _shift(prefix: int) -> np.ndarray:
 
 
 def _model(ids: np.ndarray, prior: Prior) -> tuple[np.ndarray, ...]:
-    """Per place of equally long blocks: start and size of the kind, bits,
-    start and size of the second choice."""
+    """Per place of equally long blocks (int32): start and size of the kind,
+    bits, start and size of the second choice."""
     lanes, n = ids.shape
     row = np.arange(lanes)[:, None] * n
     before = np.zeros((lanes, n + 2), np.int64)
     before[:, 2:] = ids + 1
     p1, p2 = before[:, 1:n + 1], before[:, :n]
-    guess1, q1 = _context(ids, _slot1(p1), row)
-    guess2, q2 = _context(ids, _slot2(p1, p2), row)
-    states = 16 * (guess1 == guess2) + 4 * q2 + q1
-    order = (np.argsort(ids.astype(np.uint16) if ids.max() < 1 << 16 else ids, axis=1, kind="stable") + row).ravel()
+    guess1, q1 = _context(ids, _slot1(p1).astype(np.uint16), row)
+    guess2, q2 = _context(ids, _slot2(p1, p2).astype(np.uint16), row)
+    states = (guess1 == guess2).astype(np.int16) * 16 + 4 * q2 + q1
+    kinds = np.where(guess2 == ids, np.int8(0), np.where(guess1 == ids, np.int8(1), np.int8(2)))
+    order = np.argsort(ids.astype(np.uint16) if ids.max() < 1 << 16 else ids, axis=1, kind="stable")
+    order += row
+    order = order.ravel()
     ordered = ids.ravel()[order].reshape(lanes, n)
-    rank = np.zeros((lanes, n), np.int64)
+    rank = np.zeros((lanes, n), np.int32)
     np.cumsum(ordered[:, 1:] != ordered[:, :-1], 1, out=rank[:, 1:])
-    local = np.empty(lanes * n, np.int64)
-    local[order] = (rank + row).ravel()  # number of the id among the block's ids, plus the block's place
+    local = np.empty(lanes * n, np.int32)
+    local[order] = (rank + row.astype(np.int32)).ravel()  # the id's number in its block, plus the block's place
     local = local.reshape(lanes, n)
-    prior_start, prior_size = prior.lookup(ids)
-    counts = np.zeros(lanes * n, np.int64)
+    counts = np.zeros(lanes * n, np.int32)
     mixer = Mixer(lanes)
-    state_row = np.arange(lanes)[:, None] * STATES
+    state_row = np.arange(lanes, dtype=np.int32)[:, None] * STATES
     kind_start, kind_size = np.empty((lanes, n), np.uint16), np.empty((lanes, n), np.uint16)
-    bits, start, size = np.empty((lanes, n), np.uint8), np.empty((lanes, n), np.uint32), np.empty((lanes, n), np.uint32)
+    bits = np.empty((lanes, n), np.uint8)
+    start, size = np.zeros((lanes, n), np.uint32), np.ones((lanes, n), np.uint32)
     a = 0
     for b in chunk_ends(n):
         part = slice(a, b)
-        x, z = ids[:, part], local[:, part]
+        z, kind, s = local[:, part], kinds[:, part], states[:, part]
         cnt = counts[z]
-        kind = np.where(guess2[:, part] == x, 0, np.where(guess1[:, part] == x, 1, np.where(cnt > 0, 2, 3)))
-        s = states[:, part]
-        at = (state_row + s) * KINDS + kind
+        kind[(kind == 2) & (cnt == 0)] = 3
+        seen = s * KINDS + kind
+        at = state_row * KINDS + seen
         kind_start[:, part], kind_size[:, part] = mixer.start.ravel()[at], mixer.freq.ravel()[at]
         bits[:, part] = _shift(a)[kind]
         grid = counts.reshape(lanes, n)
-        below = (np.cumsum(grid, 1) - grid).ravel()[z]
-        start[:, part] = np.where(kind == 2, below, np.where(kind == 3, prior_start[:, part], 0))
-        size[:, part] = np.where(kind == 2, cnt, np.where(kind == 3, prior_size[:, part], 1))
+        below = (np.cumsum(grid, 1, dtype=np.int32) - grid).ravel()
+        known, new = kind == 2, kind == 3
+        start[:, part][known], size[:, part][known] = below[z[known]], cnt[known]
+        start[:, part][new], size[:, part][new] = prior.lookup(ids[:, part][new])
         if b < n:
-            mixer.learn(_seen(s, kind))
-            counts += np.bincount(z.ravel(), minlength=lanes * n)
+            mixer.learn(_tally(seen))
+            counts += np.bincount(z.ravel(), minlength=lanes * n).astype(np.int32)
         a = b
     return kind_start, kind_size, bits, start, size
 
@@ -226,39 +234,40 @@ def encode(blocks: list[np.ndarray], prior: Prior) -> list[bytes]:
         b = a + 1
         while b < lanes and b - a < MODEL_LANES and lens[b] == lens[a]:
             b += 1
-        group = np.stack([blocks[i] for i in by_len[a:b]]).astype(np.int64)
+        group = np.stack([blocks[i] for i in by_len[a:b]]).astype(np.int32)
         for t, m in zip(tables, _model(group, prior), strict=True):
             t[:lens[a], a:b] = m.T
         a = b
     low, rng = np.zeros(lanes, U64), np.full(lanes, 2**64 - 1, U64)
-    out = np.zeros((lanes, n * (KIND_BITS + PRIOR_BITS + 2) // 32 + n // 8 + 8), "<u4")
-    at = np.zeros(lanes, np.int64)
+    width = n * (KIND_BITS + PRIOR_BITS + 2) // 32 + n // 8 + 8
+    out = np.zeros(lanes * width, "<u4")
+    first = np.arange(lanes) * width
+    at = first.copy()
     alive = np.searchsorted(-lens, -np.arange(n), side="left").tolist()  # blocks longer than each step
     k = lanes
     for i in range(n):
         k = alive[i]
         kind_start, kind_size, bits, start, size = (t[i, :k] for t in tables)
-        r = rng[:k] >> U64(KIND_BITS)
-        lo = low[:k]
+        lo, r = low[:k], rng[:k]
+        r >>= U64(KIND_BITS)
         lo += r * kind_start
         r *= kind_size
-        r >>= bits.astype(U64)
+        r >>= bits
         lo += r * start
         r *= size
-        rng[:k] = r
         full = np.flatnonzero(r < LIMIT)
         if len(full):
             lf, rf = lo[full], r[full]
             top = lf >> WORD
-            out[full, at[full]] = top
-            at[full] += 1
+            spot = at[full]
+            out[spot] = top
+            at[full] = spot + 1
             rf = np.where(top != ((lf + rf - U64(1)) >> WORD), (~lf + U64(1)) & MASK, rf)
-            low[full], rng[full] = lf << WORD, rf << WORD
-    row = np.arange(lanes)
-    out[row, at], out[row, at + 1] = low >> WORD, low & MASK
+            lo[full], r[full] = lf << WORD, rf << WORD
+    out[at], out[at + 1] = low >> WORD, low & MASK
     coded: list[bytes] = [b""] * lanes
     for j, i in enumerate(by_len):
-        coded[i] = out[j, :at[j] + 2].tobytes()
+        coded[i] = out[first[j]:at[j] + 2].tobytes()
     return coded
 
 
@@ -288,8 +297,9 @@ def decode(coded: list[bytes], lengths: list[int], prior: Prior) -> list[np.ndar
         words[j, :len(w)] = w
     width, flat = words.shape[1], words.ravel()
     narrow = prior.ids[-1] < 1 << 16
-    ids = np.zeros((lanes, n), np.uint16 if narrow else np.uint32)
-    states, kinds = np.zeros((lanes, n), np.uint8), np.zeros((lanes, n), np.uint8)
+    # by step, so that a step's results lie together
+    ids = np.zeros((n, lanes), np.uint16 if narrow else np.uint32)
+    seen = np.zeros((n, lanes), np.uint8)  # state * KINDS + kind
     table1, table2 = np.zeros(lanes * SLOTS, np.int32), np.zeros(lanes * SLOTS, np.int32)  # 4 * (id + 1) + record
     base = np.arange(lanes) * SLOTS
     low, rng = np.zeros(lanes, U64), np.full(lanes, 2**64 - 1, U64)
@@ -305,17 +315,19 @@ def decode(coded: list[bytes], lengths: list[int], prior: Prior) -> list[np.ndar
         if i == ends[chunk]:
             k = alive[i]
             mixer.keep(k)
-            mixer.learn(_seen(states[:k, prefix:i].astype(np.int64), kinds[:k, prefix:i]))
+            mixer.learn(_tally(seen[prefix:i, :k].T))
             chunk, prefix = chunk + 1, i
-            slots = np.concatenate([fresh, _prefix_slots(ids[:k, :i])])
+            slots = np.concatenate([fresh, _prefix_slots(np.ascontiguousarray(ids[:i, :k].T))])
         k = alive[i]
         if i == prefix or k != len(lane):
             lane = np.arange(k)
-            start, freq = mixer.start[:k].astype(U64).ravel(), mixer.freq[:k].astype(U64).ravel()
+            start, freq = mixer.start[:k].astype(U64), mixer.freq[:k].astype(U64)
+            bounds = (start[..., 1] | start[..., 2] << U64(16) | start[..., 3] << U64(32)).ravel()
+            part = (start | freq << U64(16)).ravel()
             second = _shift(prefix).astype(U64)
             most = (U64(1) << second) - U64(1)
             row = len(fresh) + lane * prefix
-            state0 = lane * (STATES * KINDS)
+            state0 = lane * STATES
         a1 = p1[:k]
         mixed = a1 * 2654435761
         place1, place2 = base[:k] + (mixed >> 16 & (SLOTS - 1)), p2[:k] * 2246822519
@@ -326,17 +338,21 @@ def decode(coded: list[bytes], lengths: list[int], prior: Prior) -> list[np.ndar
         e1, e2 = table1[place1], table2[place2]
         id1, id2, record1, record2 = e1 >> 2, e2 >> 2, e1 & 3, e2 & 3
         state = ((id1 == id2) << 4) + (record2 << 2) + record1
-        cell = state0 + state * KINDS
-        r = rng[:k] >> U64(KIND_BITS)
-        value = rel[:k] // r
-        kind = (value >= start[cell + 1]).astype(np.int64)
-        kind += value >= start[cell + 2]
-        kind += value >= start[cell + 3]
+        cell = state0 + state
+        cut = bounds[cell]
+        lo, left, r = low[:k], rel[:k], rng[:k]
+        r >>= U64(KIND_BITS)
+        value = left // r
+        kind = (value >= (cut & LOW16)).astype(np.int64)
+        kind += value >= (cut >> U64(16) & LOW16)
+        kind += value >= cut >> U64(32)
+        cell *= KINDS
         cell += kind
-        below = r * start[cell]
-        r *= freq[cell]
+        share = part[cell]
+        below = r * (share & LOW16)
+        r *= share >> U64(16)
         r >>= second[kind]
-        left = rel[:k] - below
+        left -= below
         choice = np.minimum(left // r, most[kind])
         spot = choice.astype(np.int64)
         spot += np.where(kind == 3, 0, row)
@@ -346,20 +362,18 @@ def decode(coded: list[bytes], lengths: list[int], prior: Prior) -> list[np.ndar
         x1 = np.where(guessed, np.where(kind == 0, id2, id1), (packed >> 40) + 1)
         step = r * np.where(guessed, 0, packed >> 20 & 0xFFFFF).astype(U64)
         r *= np.where(guessed, 1, packed & 0xFFFFF).astype(U64)
-        below += step
+        lo += below
+        lo += step
         left -= step
-        low[:k] += below
-        rel[:k] = left
-        rng[:k] = r
         full = np.flatnonzero(r < LIMIT)
         if len(full):
-            lf, rf = low[full], r[full]
+            lf, rf, spot = lo[full], r[full], at[full]
             crosses = (lf >> WORD) != ((lf + rf - U64(1)) >> WORD)
-            rng[full] = np.where(crosses, (~lf + U64(1)) & MASK, rf) << WORD
-            low[full] = lf << WORD
-            rel[full] = (left[full] << WORD) | flat[at[full]]
-            at[full] += 1
-        ids[:k, i], states[:k, i], kinds[:k, i] = x1 - 1, state, kind
+            r[full] = np.where(crosses, (~lf + U64(1)) & MASK, rf) << WORD
+            lo[full] = lf << WORD
+            left[full] = (left[full] << WORD) | flat[spot]
+            at[full] = spot + 1
+        ids[i, :k], seen[i, :k] = x1 - 1, state * KINDS + kind
         entry = x1 << 2
         table1[place1] = entry + np.where(id1 == x1, NEXT[record1], 1)
         table2[place2] = entry + np.where(id2 == x1, NEXT[record2], 1)
@@ -367,5 +381,5 @@ def decode(coded: list[bytes], lengths: list[int], prior: Prior) -> list[np.ndar
         p1[:k] = x1
     out: list[np.ndarray] = [np.empty(0, np.uint32)] * lanes
     for j, i in enumerate(by_len):
-        out[i] = ids[j, :lens[j]].astype(np.uint32)
+        out[i] = ids[:lens[j], j].astype(np.uint32)
     return out

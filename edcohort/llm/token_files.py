@@ -46,7 +46,7 @@ END_ID = 1
 #: Ids of one row, at least; a document is never cut between rows.
 ROW_IDS = 1 << 20
 #: Ids coded side by side by one task.
-GROUP_IDS = 1 << 22
+GROUP_IDS = 1 << 23
 SCHEMA = ("shard int, segment int, doc_ids array<long>, doc_tokens array<long>, n_ids long, "
           "prior_ids array<int>, prior_freqs array<int>, block_ids array<int>, block_bytes array<int>, "
           "block_crc32 array<long>, payload binary")

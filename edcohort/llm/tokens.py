@@ -8,6 +8,7 @@ bounded cache) and gives only new words to the tokenizers library.
 from __future__ import annotations
 
 import os
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -15,11 +16,19 @@ import numpy as np
 from .cache import Recent
 
 #: Cached words per generation.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 400_000
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.json"
 
 
+def byte_letters() -> dict[str, int]:
+    """Letter -> byte of byte-level vocabularies: printable Latin-1 stands for
+    itself, the other bytes for the letters from U+0100 on, in order."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    rest = [b for b in range(256) if b not in set(own)]
+    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
 def vocabulary(name: str) -> str:
     """Path of a public tokenizer file; a path of one's own passes through."""
     if os.path.dirname(name):
@@ -28,10 +37,20 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: A full stop or comma that ends a word: the pre-tokeniser cuts there anyway.
+WORD_END = re.compile(rb"([.,])(?<=[a-z0-9].)(?=\s|$)")
+#: Words that the normaliser leaves as they are and the pre-tokeniser whole.
+PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+").fullmatch
+
+
 class WordTokenizer:
     """Ids of a text (uint32) as the tokenizers library gives them with
-    ``add_special_tokens=False``, for a file whose normaliser and
-    pre-tokeniser work within white-space separated words."""
+    ``add_special_tokens=False``, for a file whose normaliser (composition,
+    lower case) and pre-tokeniser (letters, digits, others) work within
+    white-space separated words.
+
+    Plain words go straight to the library's merge model in its byte letters;
+    all others through its whole pipeline, word by word."""
 
     def __init__(self, path: str = WORD_BPE, cache_words: int = CACHE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -39,33 +58,27 @@ class WordTokenizer:
         self.library = Tokenizer.from_file(vocabulary(path))
         self.library.no_truncation()
         self.library.no_padding()
-        self.cache = Recent(lambda word: self._ids([word])[0], cache_words)
-
-    def _ids(self, words: list[bytes]) -> list[bytes]:
-        """Ids of each word, by one call for all of them: the offsets say
-        where each id begins in the text of all words."""
-        texts = [w.decode("utf-8", "replace") for w in words]
-        found = self.library.encode(" ".join(texts), add_special_tokens=False)
-        ids = np.array(found.ids, "<u4")
-        ends = np.cumsum([len(t) + 1 for t in texts])
-        word_of = np.searchsorted(ends, np.array([o[0] for o in found.offsets], np.int64), side="right")
-        cuts = np.searchsorted(word_of, np.arange(len(words) + 1))
-        raw = ids.tobytes()
-        return [raw[4 * a:4 * b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        self.model = self.library.model
+        self.special = {t.content.encode() for t in self.library.get_added_tokens_decoder().values()}
+        self.letters = {b: c for c, b in byte_letters().items()}
+        self.cache = Recent(self._ids, cache_words)
+
+    def _ids(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "replace")
+        if PLAIN(text):
+            if not text.isascii():
+                text = word.decode("latin-1").translate(self.letters)
+            ids = [t.id for t in self.model.tokenize(text)]
+        else:
+            ids = self.library.encode(text, add_special_tokens=False).ids
+        return np.array(ids, "<u4").tobytes()
 
     def joined(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        words = (text or "").encode("utf-8", "surrogatepass").split()
-        cache = self.cache
-        parts = []
-        for i in range(0, len(words), 10_000):  # so that a text's new words never outgrow the cache
-            some = words[i:i + 10_000]
-            new = [w for w in set(some) if w not in cache and w not in cache.old]
-            if new:
-                for w, ids in zip(new, self._ids(new), strict=True):
-                    cache.add(w, ids)
-            parts.extend(map(cache.__getitem__, some))
-        return b"".join(parts)
+        raw = (text or "").encode("utf-8", "surrogatepass")
+        if not any(s in raw.lower() for s in self.special):  # lower case must not make a special token
+            raw = WORD_END.sub(rb" \1", raw.lower())
+        return b"".join(map(self.cache.__getitem__, raw.split()))
 
     def __call__(self, text: str | None) -> np.ndarray:
         return np.frombuffer(self.joined(text), "<u4")
