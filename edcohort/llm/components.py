@@ -37,4 +37,6 @@ def components(ws: Workspace, edges: DataFrame, name: str) -> DataFrame:
     for step in maps[1:]:
         hop = step.select(F.col("node").alias("root"), F.col("to").alias("next"))
         out = out.join(hop, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
-    return ws.put(out, f"{name}-roots")
+    roots = ws.put(out, f"{name}-roots")
+    ws.drop(*(f"{name}-{kind}-{k}" for k in range(len(maps) + 1) for kind in ("map", "edges")))
+    return roots

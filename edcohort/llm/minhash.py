@@ -49,7 +49,7 @@ from .common import Workspace, id_text
 from .components import components
 from .shingles import U64, Shingler, mix, odd_multipliers
 
-WIDTH = 4
+WIDTH = 5
 PERCENT = 80
 COORDS = 64
 MATCHES = 34
@@ -222,7 +222,11 @@ class NearDuplicates:
         short = self.links(self._across(left.filter(F.col("size") <= SHORT_LIST)), classes, sets, "short")
         long = self.ws.put(self._blocks(left.filter(F.col("size") > SHORT_LIST), sets), "long-links")
         more = short.unionAll(long)
-        return roots if more.isEmpty() else components(self.ws, edges.unionAll(more), "all")
+        if not more.isEmpty():
+            roots = components(self.ws, edges.unionAll(more), "all")
+        self.ws.drop("lists", "wanted", "sets", "open", "long-links",
+                     *(f"{name}-{kind}" for name in ("first", "short") for kind in ("candidates", "links")))
+        return roots
 
     @staticmethod
     def _star(lists: DataFrame, leads: DataFrame) -> DataFrame:
@@ -269,6 +273,7 @@ class NearDuplicates:
                 .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))))
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """op1: doc_id, n_shingles, component_id, kept per document."""
-    return NearDuplicates(spark, docs).members()
+def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept per document, for shingles of
+    ``width`` words."""
+    return NearDuplicates(spark, docs, width).members()

@@ -155,6 +155,7 @@ def nearest(spark: SparkSession, vectors: DataFrame, k: int = K, every: int = EV
     asked = query_blocks(asking, -(-n // query_rows), shards)
     # repartition by shard and block: a task searches one shard for one block
     found = ws.put(_search(asked.join(graphs, "shard"), k + 1, beam), "found")
+    ws.drop("rows", "graphs")
 
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "k1", "k2")
     top = found.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k + 1).drop("n")

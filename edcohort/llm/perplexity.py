@@ -291,6 +291,7 @@ def perplexities(spark: SparkSession, docs: DataFrame, labels: DataFrame, order:
     table = ws.put(model(ws, texts, order), "model")
     shards = max(1, -(-table.count() // shard_entries))
     keyed = ws.put(_keyed(table, shards), "keyed")
+    ws.drop("top", "model", *(f"{kind}-{k}" for k in range(1, order + 1) for kind in ("counts", "level")))
     parts = None
     for i in range(shards):
         # at most about shard_entries rows of 13 bytes

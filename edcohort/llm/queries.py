@@ -15,7 +15,7 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(spark, table(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(spark, table(spark, sf_dir, "documents"), width=4)
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,12 +7,12 @@ from llm_helpers import SF, rows
 from edcohort.llm import minhash, queries
 
 
-def brute(texts):
+def brute(texts, width=4):
     """doc_id -> (n_shingles, component_id) for (doc_id, text) pairs."""
     sets = []
     for doc_id, text in texts:
         w = (text or "").encode().lower().split()
-        n = min(len(w), 4)
+        n = min(len(w), width)
         sets.append((doc_id, frozenset(tuple(w[i:i + 4]) for i in range(len(w) - n + 1)) if w else frozenset()))
     root = {d: d for d, _ in sets if d is not None}
 
@@ -42,9 +42,10 @@ def test_components_on_the_tables(spark):
 
 def test_edges(spark, edge, empty):
     assert minhash.near_duplicates(spark, empty).collect() == []
+    assert found(minhash.near_duplicates(spark, edge, width=4)) == brute([(r[0], r[1]) for r in rows()], 4)
     out = minhash.near_duplicates(spark, edge)
     assert out.count() == len(rows())
-    assert found(out) == brute([(r[0], r[1]) for r in rows()])
+    assert found(out) == brute([(r[0], r[1]) for r in rows()], 5)
     without_id = [r for r in out.collect() if r.doc_id is None]
     assert [(r.component_id, r.kept) for r in without_id] == [(0, False)]
 
@@ -72,4 +73,4 @@ def test_families_and_shared_passages(spark, monkeypatch):
     monkeypatch.setattr(minhash, "SHORT_LIST", 4)
     monkeypatch.setattr(minhash, "LIST_BLOCK", 16)
     frame = spark.createDataFrame(data, "doc_id long, text string")
-    assert found(minhash.near_duplicates(spark, frame)) == brute(data)
+    assert found(minhash.near_duplicates(spark, frame)) == brute(data, 5)
