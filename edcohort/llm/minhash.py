@@ -221,13 +221,21 @@ class NearDuplicates:
         left = self._open(lists, roots)
         short = self.links(self._across(left.filter(F.col("size") <= SHORT_LIST)), classes, sets, "short")
         long = self.ws.put(self._blocks(left.filter(F.col("size") > SHORT_LIST), sets), "long-links")
-        more = short.unionAll(long)
+        more = short.unionAll(long).unionAll(self._same_id(classes))
         if not more.isEmpty():
             roots = components(self.ws, edges.unionAll(more), "all")
-        self.ws.drop("lists", "wanted", "sets", "open", "long-links",
+        self.ws.drop("lists", "wanted", "sets", "open", "long-links", "same-id",
                      *(f"{name}-{kind}" for name in ("first", "short") for kind in ("candidates", "links")))
         return roots
 
+    def _same_id(self, classes: DataFrame) -> DataFrame:
+        """Links between the classes of one doc_id that stands for several texts."""
+        of = self.rows.select("doc_id", "set_key").join(classes.select("set_key", "cls"), "set_key").filter(
+            "doc_id IS NOT NULL")
+        several = of.groupBy("doc_id").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).filter("a < b")
+        return self.ws.put(of.join(several.select("doc_id", "a"), "doc_id").filter("cls <> a")
+                           .select("a", F.col("cls").alias("b")).distinct(), "same-id")
+
     @staticmethod
     def _star(lists: DataFrame, leads: DataFrame) -> DataFrame:
         return (lists.join(leads, "v").filter("cls <> lead")

@@ -43,7 +43,7 @@ class Shingler:
             return np.empty(0, U64)
         h = np.fromiter(map(self.hashes.__getitem__, ws), U64, n)
         k = min(n, self.width)
-        out = np.full(n - k + 1, self.factors[self.width] * U64(k), U64)
+        out = self.factors[self.width] * np.full(n - k + 1, k, U64)
         for j in range(k):
             out += h[j:n - k + 1 + j] * self.factors[j]
         return np.unique(mix(out))

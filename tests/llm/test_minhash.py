@@ -13,7 +13,7 @@ def brute(texts, width=4):
     for doc_id, text in texts:
         w = (text or "").encode().lower().split()
         n = min(len(w), width)
-        sets.append((doc_id, frozenset(tuple(w[i:i + 4]) for i in range(len(w) - n + 1)) if w else frozenset()))
+        sets.append((doc_id, frozenset(tuple(w[i:i + width]) for i in range(len(w) - n + 1)) if w else frozenset()))
     root = {d: d for d, _ in sets if d is not None}
 
     def find(d):
