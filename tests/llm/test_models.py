@@ -181,7 +181,7 @@ def test_neighbour_edges(spark):
                                   "vec_id long, embedding array<double>, k1 string, rank int")
     got = answers(neighbours.nearest(spark, frame))
     assert set(got) == {0, 50}
-    assert [v for v, _ in got[0]] == [3, 7, 9, 50, 8]
+    assert [v for v, _ in got[0]] == [3, 7, 9, 8, 50]
     assert [v for v, _ in got[50]] == [0, 3, 7, 9, 8]
     assert [round(s, 12) for _, s in got[0]] == [1, 1, 1, 0, 0]
     many = spark.createDataFrame([(i, [3.0, 4.0]) for i in range(400)] + [(1001, [4.0, 3.0])],
