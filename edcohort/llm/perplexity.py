@@ -1,8 +1,12 @@
 """Quality by perplexity: an interpolated modified Kneser-Ney n-gram model.
 
-Units are the characters of a word between a start and an end mark, so a word's
-probability does not depend on its neighbours. The model is trained on all
-trusted rows (labels with quality 1 and toxic 0) but a held-out fifth.
+Two models are trained on all trusted rows (labels with quality 1 and toxic 0)
+but a held-out fifth. The units of the first are the characters of a word
+between a start and an end mark, so a word's probability does not depend on its
+neighbours. The second crosses the borders of words: it predicts the first
+character of a word, or that the word is its predecessor again, from the last
+``TAIL`` characters of the predecessor. So clean words that are repeated or
+shuffled cost more than clean text.
 
 Counts: words of the trusted texts are counted (combined before the shuffle),
 their n-grams are summed, lower orders take the number of distinct left
@@ -19,15 +23,19 @@ the n-grams of the corpus are never shuffled. Tasks keep the sums of words
 they have met in a bounded cache.
 
 A document's score is a lower bound of its mean negative log-probability (mean
-minus ``MARGIN`` standard errors), so that short texts need clear evidence. A
-document is rejected when its score is over its language's threshold: the
-``QUANTILE`` of the held-out trusted documents' scores in that language, times
-``SLACK``. Where a language has fewer than ``LEAST`` of them, its median times
-the same quantile of all held-out scores relative to their language's median
-stands in; where it has fewer than ``FEW``, the largest threshold of the others.
+minus ``MARGIN`` standard errors), so that short texts need clear evidence; its
+border score is the same over its borders with ``BORDER_MARGIN``. A document is
+rejected when either is over its language's threshold: the ``QUANTILE`` (or
+``BORDER_QUANTILE``) of the held-out trusted documents' scores in that language.
+Where a language has fewer than ``LEAST`` of them, its median times the same
+quantile of all held-out scores relative to their language's median (the excess)
+stands in, squared as it is itself drawn from few rows; where it has fewer than ``FEW``, the largest threshold of the others.
+The threshold of words is multiplied by their excess once more, as slack for
+clean texts on other matters than the trusted ones; that of borders has none.
 
 Defined cases: a text without words (null, empty, white space) has no
-perplexity and is rejected; without any trusted row nothing is rejected but
+perplexity and is rejected; a text of one word has no border score and is judged
+by the other; without any trusted row nothing is rejected but
 these; null is a language of its own; repeated rows have equal results; a
 doc_id with several texts has one row per text; labels with a null doc_id or
 null quality are not trusted; an empty table gives an empty result; further
@@ -36,7 +44,7 @@ columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,13 +53,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .cache import Recent
-from .common import Workspace, words
+from .common import Workspace, let, words
 
 ORDER = 5
 SHARD_ENTRIES = 4_000_000
 QUANTILE = 0.99
-SLACK = 1.2
+BORDER_QUANTILE = 0.998
 MARGIN = 2.0
+BORDER_MARGIN = 1.0
 LEAST = 200
 FEW = 3
 FOLDS = 5
@@ -59,6 +68,12 @@ CACHE_WORDS = 250_000
 #: Longer words are scored in parts of this many characters.
 WORD_CHARS = 64
 START, END = "\x02", "\x03"
+#: The next word, where it is the one before it again.
+AGAIN = "\x04"
+#: Characters of a word (after its start mark) that predict the next word.
+TAIL = 3
+#: Parts the n-gram hashes of the two models.
+BORDER_SALT = 100
 U64 = np.uint64
 MULTIPLIER = U64(0x9E3779B97F4A7C15)
 
@@ -87,10 +102,25 @@ def ngram_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
     return grams.groupBy("g").agg(F.sum("c").alias("c"))
 
 
-def _levels(ws: Workspace, texts: DataFrame, order: int) -> dict[int, DataFrame]:
+def border_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
+    """(g, c): the longest n-grams that end at the first character of a word
+    with a word before it, and their counts."""
+    w = words(F.col("text"))
+
+    def border(v: Column, n: Column) -> Column:
+        return F.concat(F.substring(F.concat(F.lit(START), v), -TAIL, TAIL), F.lit(" "),
+                        F.when(v == n, F.lit(AGAIN)).otherwise(F.substring(n, 1, 1)))
+
+    pairs = let(w, lambda a: F.zip_with(F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0))),
+                                        F.slice(a, F.lit(2), F.size(a)), border))
+    counted = texts.select(F.explode(pairs).alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c"))
+    return counted.groupBy(F.substring("s", -order, order).alias("g")).agg(F.sum("c").alias("c"))
+
+
+def _levels(ws: Workspace, grams: DataFrame, order: int) -> dict[int, DataFrame]:
     """length -> (g, c): counts for the longest n-grams and those at a word's
     start, numbers of distinct left extensions for the others."""
-    top = ws.put(ngram_counts(texts, order).withColumn("k", F.char_length("g")), "top")
+    top = ws.put(grams.withColumn("k", F.char_length("g")), "top")
     levels = {order: top.filter(F.col("k") == order).select("g", "c")}
     for k in range(order - 1, 0, -1):
         extended = levels[k + 1].select(F.substring("g", 2, k).alias("g")).groupBy("g").agg(
@@ -108,10 +138,10 @@ def discounts(n: list[int]) -> tuple[float, float, float]:
     return tuple(min(max(x, 0.1), top) for x, top in zip(d, (0.95, 1.9, 2.85), strict=True))
 
 
-def model(ws: Workspace, texts: DataFrame, order: int = ORDER) -> DataFrame:
-    """Rows (g, k, p, back): probability of each seen n-gram, and (as rows with
+def model(ws: Workspace, grams: DataFrame, order: int = ORDER) -> DataFrame:
+    """Of the longest n-grams (g, c): rows (g, k, p, back): probability of each seen n-gram, and (as rows with
     null p) the back-off weight of each context."""
-    levels = _levels(ws, texts, order)
+    levels = _levels(ws, grams, order)
     below, out = None, None
     for k in range(1, order + 1):
         level = levels[k]
@@ -149,9 +179,9 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(32))
 
 
-def _grams(codes: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+def _grams(codes: np.ndarray, at: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
     """Hashes of the k characters that end before place ``at``."""
-    h = np.full(len(at), k, U64)
+    h = np.full(len(at), k + salt, U64)
     for i in range(k, 0, -1):
         h = h * MULTIPLIER + codes[at - i] + U64(1)
     return _mix(h)
@@ -168,9 +198,11 @@ def _keyed(table: DataFrame, shards: int) -> DataFrame:
             key, shard = np.zeros(len(n), U64), np.full(len(n), -1, np.int64)
             p = batch.column("p").to_numpy(zero_copy_only=False)
             weight = np.isnan(p)
+            border = batch.column("border").to_numpy(zero_copy_only=False)
             for k in np.unique(n):
-                some = n == k
-                key[some] = _grams(codes, ends[some], int(k))
+                for salt in (0, BORDER_SALT):
+                    some = (n == k) & (border == (salt > 0))
+                    key[some] = _grams(codes, ends[some], int(k), salt)
             before = ends - ~weight  # the predicted character of an n-gram does not choose the shard
             held = n - ~weight >= 2
             shard[held] = (_grams(codes, before[held], 2) % U64(shards)).astype(np.int64)
@@ -179,7 +211,7 @@ def _keyed(table: DataFrame, shards: int) -> DataFrame:
                 [pa.array(key.view(np.int64)), pa.array(value.astype(np.float32)), pa.array(weight),
                  pa.array(shard.astype(np.int32))], ["key", "value", "weight", "shard"])
 
-    return table.select("g", "p", "back").mapInArrow(run, "key long, value float, weight boolean, shard int")
+    return table.select("g", "p", "back", "border").mapInArrow(run, "key long, value float, weight boolean, shard int")
 
 
 class Shard:
@@ -208,11 +240,19 @@ class Shard:
         """Per word (sum, sum of squares, number) of negative log-probabilities."""
         parts = [START + w[a:a + WORD_CHARS] + END for w in ws for a in range(0, len(w), WORD_CHARS)]
         owner = np.repeat(np.arange(len(ws)), [-(-len(w) // WORD_CHARS) for w in ws])
+        return self._costs(ws, parts, owner, False)
+
+    def border_costs(self, borders: list[str]) -> list[bytes]:
+        """The same per border (of which the last character is predicted)."""
+        return self._costs(borders, borders, np.arange(len(borders)), True)
+
+    def _costs(self, ws: list[str], parts: list[str], owner: np.ndarray, border: bool) -> list[bytes]:
+        salt = BORDER_SALT if border else 0
         n = np.array([len(p) for p in parts], np.int64)
         codes = _codes("".join(parts))
         start = np.repeat(np.cumsum(n) - n, n)
         place = np.arange(len(codes)) - start
-        at = np.flatnonzero(place > 0)
+        at = np.cumsum(n) - 1 if border else np.flatnonzero(place > 0)
         word = np.repeat(owner, n)[at]
         if self.shards > 1:
             two = place[at] > 1
@@ -226,10 +266,10 @@ class Shard:
             now = open_[length[open_] >= k]
             if not len(now):
                 continue
-            seen, value = self._find(self.tables[0], _grams(codes, at[now] + 1, k))
+            seen, value = self._find(self.tables[0], _grams(codes, at[now] + 1, k, salt))
             cost[now[seen]] -= value[seen]
             missed = now[~seen]
-            known, back = self._find(self.tables[1], _grams(codes, at[missed], k - 1))
+            known, back = self._find(self.tables[1], _grams(codes, at[missed], k - 1, salt))
             cost[missed[known]] -= back[known]
             done = np.zeros(len(at), bool)
             done[now[seen]] = True
@@ -241,39 +281,73 @@ class Shard:
         return [row.tobytes() for row in out]
 
 
-_CACHES: dict[str, Recent] = {}
+_CACHES: dict[str, tuple[Recent, Recent]] = {}
 
 
-def _cache(shard: Shard) -> Recent:
-    """One per Python worker and shard, so later tasks find it filled."""
+def _caches(shard: Shard) -> tuple[Recent, Recent]:
+    """Costs of words and of borders. One pair per Python worker and shard, so
+    later tasks find it filled."""
     if shard.key not in _CACHES:
         _CACHES.clear()
-        _CACHES[shard.key] = Recent(lambda w: shard.costs([w.decode("utf-8", "replace")])[0], CACHE_WORDS)
+        _CACHES[shard.key] = (Recent(lambda w: shard.costs([w])[0], CACHE_WORDS),
+                              Recent(lambda b: shard.border_costs([b])[0], CACHE_WORDS))
     return _CACHES[shard.key]
 
 
+def _looked_up(cache: Recent, make: Callable[[list[str]], list[bytes]], keys: list[str]) -> np.ndarray:
+    """[keys, 3] costs; those not in the cache are made many at a time."""
+    out = []
+    for a in range(0, len(keys), CACHE_WORDS // 2):
+        part = keys[a:a + CACHE_WORDS // 2]
+        new = [k for k in part if k not in cache and k not in cache.old]
+        for k, c in zip(new, make(new) if new else [], strict=True):
+            cache.add(k, c)
+        out.extend(map(cache.__getitem__, part))
+    return np.frombuffer(b"".join(out)).reshape(-1, 3)
+
+
+def _sums(texts: list[list[bytes]], shard: Shard) -> tuple[np.ndarray, np.ndarray]:
+    """Per text the summed costs [texts, 3] of its words and of its borders."""
+    words_, borders = _caches(shard)
+    ids: dict[bytes, int] = {}
+    at = np.array([ids.setdefault(w, len(ids)) for t in texts for w in t], np.int64)
+    owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    known = [w.decode("utf-8", "replace") for w in ids]
+    cost = _looked_up(words_, shard.costs, known)[at]
+
+    tails: dict[str, int] = {}
+    heads: dict[str, int] = {AGAIN: 0}
+    tail = np.array([tails.setdefault((START + w)[-TAIL:] + " ", len(tails)) for w in known], np.int64)
+    head = np.array([heads.setdefault(w[0], len(heads)) for w in known], np.int64)
+    inside = owner[1:] == owner[:-1]
+    before, after = at[:-1][inside], at[1:][inside]
+    pair = tail[before] * len(heads) + np.where(before == after, 0, head[after])
+    distinct, place = np.unique(pair, return_inverse=True)
+    tail_text, head_text = list(tails), list(heads)
+    keys = [tail_text[p // len(heads)] + head_text[p % len(heads)] for p in distinct.tolist()]
+    border_cost = _looked_up(borders, shard.border_costs, keys)[place]
+    return tuple(np.stack([np.bincount(o, c[:, i], len(texts)) for i in range(3)], 1)
+                 for o, c in ((owner, cost), (owner[1:][inside], border_cost)))
+
+
+SUMS = ("cost", "squares", "n", "border_cost", "border_squares", "borders")
+
+
 def _partial(docs: DataFrame, shard: Shard) -> DataFrame:
-    """doc_id, text_hash, lang, cost, squares, n: one shard's share per row."""
+    """doc_id, text_hash, lang and SUMS: one shard's share per row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _cache(shard)
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
                 texts = [(t or "").encode("utf-8", "surrogatepass").split() for t in part.column("text").to_pylist()]
-                new = [w for w in set().union(*texts) if w not in cache and w not in cache.old]
-                for b in range(0, len(new), CACHE_WORDS // 2):
-                    some = new[b:b + CACHE_WORDS // 2]
-                    for w, c in zip(some, shard.costs([w.decode("utf-8", "replace") for w in some]), strict=True):
-                        cache.add(w, c)
-                sums = np.array([np.frombuffer(b"".join(map(cache.__getitem__, t))).reshape(-1, 3).sum(0)
-                                 for t in texts]).reshape(-1, 3)
+                sums = np.concatenate(_sums(texts, shard), 1)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("text_hash"), part.column("lang"),
-                     *(pa.array(sums[:, i]) for i in range(3))],
-                    ["doc_id", "text_hash", "lang", "cost", "squares", "n"])
+                     *(pa.array(sums[:, i]) for i in range(len(SUMS)))],
+                    ["doc_id", "text_hash", "lang", *SUMS])
 
     return docs.select("doc_id", "text_hash", "lang", "text").mapInArrow(
-        run, "doc_id long, text_hash long, lang string, cost double, squares double, n double")
+        run, "doc_id long, text_hash long, lang string, " + ", ".join(f"{c} double" for c in SUMS))
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -284,14 +358,19 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 def perplexities(spark: SparkSession, docs: DataFrame, labels: DataFrame, order: int = ORDER,
                  shard_entries: int = SHARD_ENTRIES) -> DataFrame:
-    """doc_id, text_hash, lang, n_chars, perplexity, score; one row per text."""
+    """doc_id, text_hash, lang, n_chars, perplexity, score, border; one row per
+    text."""
     ws = Workspace(spark, "perplexity")
     rows = _rows(docs)
     texts = trusted_rows(rows, labels).filter(_fold(F.col("doc_id")) > 0)
-    table = ws.put(model(ws, texts, order), "model")
+    inside = ws.put(model(ws, ngram_counts(texts, order), order), "inside")
+    steps = [f"{kind}-{k}" for k in range(1, order + 1) for kind in ("counts", "level")]
+    ws.drop("top", *steps)
+    across = model(ws, border_counts(texts, order), order)
+    table = ws.put(inside.withColumn("border", F.lit(False)).unionAll(across.withColumn("border", F.lit(True))), "model")
     shards = max(1, -(-table.count() // shard_entries))
     keyed = ws.put(_keyed(table, shards), "keyed")
-    ws.drop("top", "model", *(f"{kind}-{k}" for k in range(1, order + 1) for kind in ("counts", "level")))
+    ws.drop("top", "inside", "model", *steps)
     parts = None
     for i in range(shards):
         # at most about shard_entries rows of 13 bytes
@@ -302,39 +381,52 @@ def perplexities(spark: SparkSession, docs: DataFrame, labels: DataFrame, order:
     if shards > 1:
         parts = ws.put(parts, "partial")
     sums = parts.groupBy("doc_id", "text_hash", "lang").agg(
-        *(F.sum(c).alias(c) for c in ("cost", "squares", "n")), (F.count(F.lit(1)) / shards).alias("copies"))
+        *(F.sum(c).alias(c) for c in SUMS), (F.count(F.lit(1)) / shards).alias("copies"))
     n = F.col("n") / F.col("copies")
-    mean = F.try_divide("cost", "n")
-    spread = F.sqrt(F.greatest(F.try_divide("squares", "n") - mean * mean, F.lit(0.0)))
-    scored = sums.select("doc_id", "text_hash", "lang", n.cast("long").alias("n_chars"), F.exp(mean).alias("perplexity"),
-                         (mean - MARGIN * F.try_divide(spread, F.sqrt(n))).alias("score"))
+
+    def bound(cost: str, squares: str, n: Column, margin: float) -> Column:
+        mean = F.try_divide(cost, n)
+        spread = F.sqrt(F.greatest(F.try_divide(squares, n) - mean * mean, F.lit(0.0)))
+        return mean - margin * F.try_divide(spread, F.sqrt(n))
+
+    scored = sums.select("doc_id", "text_hash", "lang", n.cast("long").alias("n_chars"), F.exp(F.try_divide("cost", "n")).alias("perplexity"),
+                         bound("cost", "squares", F.col("n"), MARGIN).alias("score"),
+                         bound("border_cost", "border_squares", F.col("borders"), BORDER_MARGIN).alias("border"))
     return ws.put(scored, "scored")
 
 
-def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``perplexities`` with threshold and kept."""
-    ws = Workspace(spark, "thresholds")
-    scored = perplexities(spark, docs, labels)
-    held = trusted_rows(scored, labels).filter((_fold(F.col("doc_id")) == 0) & F.col("score").isNotNull())
-    by_lang = held.groupBy("lang").agg(
-        F.percentile_approx("score", QUANTILE, 10_000).alias("high"),
-        F.percentile_approx("score", 0.5, 10_000).alias("median"), F.count(F.lit(1)).alias("n"))
-    by_lang = ws.put(by_lang.filter(F.col("n") >= FEW).withColumnRenamed("lang", "of_lang"), "languages")
+def _limits(held: DataFrame, scored: DataFrame, ws: Workspace, score: str, limit: str, quantile: float,
+            slack: bool) -> DataFrame:
+    """``scored`` with the language's threshold of ``score``."""
+    by_lang = held.filter(F.col(score).isNotNull()).groupBy("lang").agg(
+        F.percentile_approx(score, quantile, 10_000).alias("high"),
+        F.percentile_approx(score, 0.5, 10_000).alias("median"), F.count(F.lit(1)).alias("n"))
+    by_lang = ws.put(by_lang.filter(F.col("n") >= FEW).withColumnRenamed("lang", "of_lang"), f"languages-{score}")
     near = F.col("lang").eqNullSafe(F.col("of_lang"))
     excess = held.join(by_lang, near).agg(
-        F.percentile_approx(F.col("score") / F.col("median"), QUANTILE, 10_000)).first()[0]
-    own = F.when(F.col("n") >= LEAST, F.col("high")).otherwise(F.col("median") * F.lit(excess).cast("double"))
-    limits = by_lang.select("of_lang", (own * SLACK).alias("own"))
+        F.percentile_approx(F.col(score) / F.col("median"), quantile, 10_000)).first()[0]
+    own = F.when(F.col("n") >= LEAST, F.col("high")).otherwise(F.col("median") * F.lit(excess).cast("double") ** 2)
+    limits = by_lang.select("of_lang", (own * F.lit(excess).cast("double") if slack else own).alias("own"))
     widest = limits.agg(F.max("own")).first()[0]
-    limit = F.coalesce("own", F.lit(widest).cast("double"), F.lit(float("inf")))
     return (scored.join(limits, near, "left")
-            .withColumn("threshold", limit)
-            .withColumn("kept", F.coalesce(F.col("score") <= F.col("threshold"), F.lit(False)))
+            .withColumn(limit, F.coalesce("own", F.lit(widest).cast("double"), F.lit(float("inf"))))
             .drop("of_lang", "own"))
 
 
+def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``perplexities`` with the two thresholds and kept."""
+    ws = Workspace(spark, "thresholds")
+    scored = perplexities(spark, docs, labels)
+    held = trusted_rows(scored, labels).filter((_fold(F.col("doc_id")) == 0) & F.col("score").isNotNull())
+    limited = _limits(held, scored, ws, "score", "threshold", QUANTILE, True)
+    limited = _limits(held, limited, ws, "border", "border_threshold", BORDER_QUANTILE, False)
+    return limited.withColumn("kept", F.coalesce(F.col("score") <= F.col("threshold"), F.lit(False))
+                              & F.coalesce(F.col("border") <= F.col("border_threshold"), F.lit(True)))
+
+
 def quality_report(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """op3: doc_id, lang, n_chars, perplexity, score, threshold, kept."""
+    """op3: doc_id, lang, n_chars, perplexity, score, border, threshold,
+    border_threshold, kept."""
     return judge(spark, docs, labels).drop("text_hash")
 
 

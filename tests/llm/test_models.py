@@ -74,6 +74,24 @@ def test_junk_goes_and_clean_stays(spark):
     assert np.mean(by[1]) > 0.99 and np.mean(by[0]) < 0.3
 
 
+def test_repeated_and_shuffled_clean_words_go(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    clean = [r for r in docs.join(labels.filter("quality = 1 AND toxic = 0"), "doc_id").collect()
+             if len(r.text.split()) > 200][:30]
+    rnd, made = np.random.default_rng(4), []
+    for i, r in enumerate(clean):
+        ws = r.text.split()
+        made.append((10**9 + i, " ".join(rnd.permutation(ws)), r.lang))
+        made.append((2 * 10**9 + i, " ".join([ws[i]] * 300), r.lang))
+        made.append((3 * 10**9 + i, r.text, r.lang))
+    more = docs.select("doc_id", "text", "lang").unionAll(
+        spark.createDataFrame(made, "doc_id long, text string, lang string"))
+    out = perplexity.judge(spark, more, labels).filter("doc_id >= 1000000000").collect()
+    kept = {k: np.mean([r.kept for r in out if r.doc_id // 10**9 == k]) for k in (1, 2, 3)}
+    assert kept[3] > 0.95 and kept[2] < 0.05 and kept[1] < 0.7, kept
+
+
 def test_perplexity_edges(spark, edge, empty):
     labels = spark.createDataFrame([(0, 1, 0), (20, 1, None), (None, 1, 0), (60, None, 0)],
                                    "doc_id long, quality int, toxic int")
