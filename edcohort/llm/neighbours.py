@@ -8,8 +8,14 @@
    is built by greedy searches that propose neighbours and robust pruning.
 3. Queries (ids divisible by ``every``) form blocks; every block searches every
    shard by beam search. A task holds one shard and one block.
-4. Per query the best nodes of all shards are merged, opened into their ids,
-   and ranked by the cosine of the original vectors in double precision.
+4. All nodes a beam search returns are scored by the cosine of the original
+   vectors in double precision, rounded to ``DIGITS``, and the best ``k + 1``
+   by score and smallest id stay. Graph and beam cannot tell near copies apart:
+   where the whole beam lies within float32 error of the last place, one of the
+   best has an edge that short, or nodes were out of reach of an unfilled beam,
+   the query is compared with all vectors of the shard instead.
+5. Per query the best nodes of all shards are merged by the same order, opened
+   into their ids, and ranked.
 
 The number of searches is queries times shards, as the method has it; each
 touches a few thousand of a shard's vectors. Shards and blocks are bounded,
@@ -42,6 +48,10 @@ EVERY = 50
 SHARD_ROWS = 8192
 QUERY_ROWS = 2048
 BEAM = 160
+#: Of a score that count: further ones are rounding.
+DIGITS = 14
+#: Bound of the float32 error of a squared distance.
+FLOAT_ERROR = 1e-5
 NODE = "k1 long, k2 long"
 
 
@@ -60,9 +70,13 @@ def _matrix(column: pa.ListArray, rows: int) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(rows, -1)
 
 
-def _unit(x: np.ndarray) -> np.ndarray:
+def _directions(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(axis=1, keepdims=True)
-    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return _directions(x).astype(np.float32)
 
 
 def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -73,17 +87,17 @@ def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def shard_graphs(nodes: DataFrame) -> DataFrame:
-    """One row per shard: keys, vectors, graph, entry."""
+    """One row per shard: keys, smallest ids, vectors, graph, entry."""
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by([("k1", "ascending"), ("k2", "ascending")]).combine_chunks()
         x = _matrix(t["vec"].chunk(0), t.num_rows)
         g, entry = graph.build(_unit(x))
         return pa.table({"shard": t["shard"].slice(0, 1), "k1": [t["k1"].to_pylist()], "k2": [t["k2"].to_pylist()],
-                         "vectors": [x.tobytes()], "graph": [g.astype("<i4").tobytes()],
+                         "least": [t["vec_id"].to_pylist()], "vectors": [x.tobytes()], "graph": [g.astype("<i4").tobytes()],
                          "entry": pa.array([entry], pa.int32())})
 
     return nodes.groupBy("shard").applyInArrow(
-        run, "shard int, k1 array<long>, k2 array<long>, vectors binary, graph binary, entry int")
+        run, "shard int, k1 array<long>, k2 array<long>, least array<long>, vectors binary, graph binary, entry int")
 
 
 def query_blocks(rows: DataFrame, blocks: int, shards: int) -> DataFrame:
@@ -99,8 +113,39 @@ def query_blocks(rows: DataFrame, blocks: int, shards: int) -> DataFrame:
     return packed.select("*", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
 
 
+def _best(score: np.ndarray, least: np.ndarray, best: int) -> np.ndarray:
+    """Places [b, best] of the best nodes: by score, then smallest id."""
+    return np.lexsort((np.broadcast_to(least, score.shape), -np.round(score, DIGITS)), axis=1)[:, :best]
+
+
+def _crowded(unit: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """Nodes with an edge to a near copy."""
+    out = np.zeros(len(unit), bool)
+    for k in range(g.shape[1]):
+        short = 2.0 - 2.0 * np.einsum("nd,nd->n", unit, unit[g[:, k]]) <= FLOAT_ERROR
+        out |= short & (g[:, k] >= 0)
+    return out
+
+
+def _nearest_in_shard(unit: np.ndarray, x: np.ndarray, g: np.ndarray, entry: int, least: np.ndarray,
+                      crowded: np.ndarray, unit_q: np.ndarray, q: np.ndarray, best: int, beam: int) -> np.ndarray:
+    """[b, best] nodes (-1: none) per query."""
+    found, dist = graph.beam_search(unit, g, unit_q, entry, beam)
+    full = found[:, -1] >= 0
+    tight = np.where(full, dist[:, -1] <= dist[:, min(best, beam) - 1] + FLOAT_ERROR, (found >= 0).sum(1) < len(x))
+    tight |= (crowded[found] & (found >= 0))[:, :best].any(1)
+    at = np.nonzero(found >= 0)
+    score = np.full(found.shape, -np.inf)
+    score[at] = _cosines(q[at[0]], x[found[at]])
+    out = np.take_along_axis(found, _best(score, least[found], best), 1)
+    if tight.any():
+        near = _best(_directions(q[tight]) @ _directions(x).T, least, best)
+        out[tight] = np.pad(near, ((0, 0), (0, out.shape[1] - near.shape[1])), constant_values=-1)
+    return out
+
+
 def _search(pairs: DataFrame, best: int, beam: int) -> DataFrame:
-    """query_id, k1, k2, score: the ``best`` nodes per query and shard."""
+    """query_id, k1, k2, least, score: the ``best`` nodes per query and shard."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
@@ -110,16 +155,20 @@ def _search(pairs: DataFrame, best: int, beam: int) -> DataFrame:
                 keys = np.array([row["k1"], row["k2"]], np.int64)
                 x = np.frombuffer(row["vectors"]).reshape(keys.shape[1], -1)
                 g = np.frombuffer(row["graph"], "<i4").reshape(len(x), -1).astype(np.int64)
+                least = np.array(row["least"], np.int64)
                 unit, unit_q = _unit(x), _unit(q)
+                crowded = _crowded(unit, g)
                 for a in range(0, len(q), graph.BATCH):
-                    found = graph.beam_search(unit, g, unit_q[a:a + graph.BATCH], row["entry"], beam)[0][:, :best]
+                    some = slice(a, a + graph.BATCH)
+                    found = _nearest_in_shard(unit, x, g, row["entry"], least, crowded, unit_q[some], q[some], best,
+                                              beam)
                     at = np.nonzero(found >= 0)
                     node, who = found[at], at[0] + a
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(q_ids[who]), pa.array(keys[0, node]), pa.array(keys[1, node]),
-                         pa.array(_cosines(q[who], x[node]))], ["query_id", "k1", "k2", "score"])
+                         pa.array(least[node]), pa.array(_cosines(q[who], x[node]))], ["query_id", "k1", "k2", "least", "score"])
 
-    return pairs.mapInArrow(run, f"query_id long, {NODE}, score double")
+    return pairs.mapInArrow(run, f"query_id long, {NODE}, least long, score double")
 
 
 def nearest(spark: SparkSession, vectors: DataFrame, k: int = K, every: int = EVERY,
@@ -146,7 +195,7 @@ def nearest(spark: SparkSession, vectors: DataFrame, k: int = K, every: int = EV
     nodes = rows.join(first, ["k1", "k2", "vec_id"]).dropDuplicates(["k1", "k2"])
     shards = max(1, -(-first.count() // shard_rows))
     nodes = nodes.withColumn("shard", F.pmod(F.xxhash64("k1", "k2"), F.lit(shards)).cast("int"))
-    graphs = ws.put(shard_graphs(nodes.select("shard", "k1", "k2", "vec")), "graphs")
+    graphs = ws.put(shard_graphs(nodes.select("shard", "k1", "k2", "vec_id", "vec")), "graphs")
 
     asking = rows.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "k1", "k2"])
     n = asking.count()
@@ -157,9 +206,9 @@ def nearest(spark: SparkSession, vectors: DataFrame, k: int = K, every: int = EV
     found = ws.put(_search(asked.join(graphs, "shard"), k + 1, beam), "found")
     ws.drop("rows", "graphs")
 
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "k1", "k2")
-    top = found.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k + 1).drop("n")
+    best = Window.partitionBy("query_id").orderBy(F.round("score", DIGITS).desc(), "least", "k1", "k2")
+    top = found.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k + 1).drop("n", "least")
     opened = top.join(ids.drop("n"), ["k1", "k2"]).filter("vec_id <> query_id")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_id").orderBy(F.round("score", DIGITS).desc(), "vec_id")
     return (opened.select("query_id", "vec_id", "score").withColumn("rank", F.row_number().over(order))
             .filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))

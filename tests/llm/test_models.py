@@ -190,6 +190,22 @@ def test_sharded_search_merges_all_shards(spark):
     assert np.mean([len({v for v, _ in got[q]} & {v for v, _ in want[q]}) for q in want]) / 5 > 0.97
 
 
+def test_neighbours_in_tight_groups_and_scaled_copies(spark):
+    rng = np.random.default_rng(1)
+    base = rng.standard_normal(32)
+    tight = base + 3e-4 * rng.standard_normal((1200, 32))
+    x = np.concatenate([tight, rng.standard_normal((300, 32))])
+    ids = rng.permutation(1500) * 5
+    frame = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)],
+                                  "vec_id long, embedding array<double>")
+    got, want = answers(neighbours.nearest(spark, frame, shard_rows=800, query_rows=50)), brute_nearest(ids, x)
+    assert np.mean([len({v for v, _ in got[q]} & {v for v, _ in want[q]}) for q in want]) / 5 > 0.99
+    v = rng.standard_normal(8)
+    scaled = spark.createDataFrame([(i, (v * (i + 1)).tolist()) for i in range(400)], "vec_id long, embedding array<double>")
+    got = answers(neighbours.nearest(spark, scaled, shard_rows=150))
+    assert all([v for v, _ in got[q]] == [i for i in range(6) if i != q][:5] for q in range(0, 400, 50))
+
+
 def test_neighbour_edges(spark):
     nan, inf = float("nan"), float("inf")
     data = [(0, [1.0, 0.0]), (7, [1.0, 0.0]), (3, [1.0, 0.0]), (9, [2.0, 0.0]), (50, [0.0, 1.0]), (8, [0.0, -1.0]),
