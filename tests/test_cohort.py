@@ -1,7 +1,7 @@
 """Cohort filters and derivations on hand-written frames (edges included)."""
 from pyspark.sql import functions as F
 
-from conftest import ts
+from helpers import ts
 from edcohort.operators import cohort as C
 from edcohort.sources.readers import Tables
 
@@ -85,7 +85,7 @@ def test_age_bands(spark):
 
 def test_funnel_monotone_and_matches_filters(spark):
     from edcohort.sources.fixtures import fixture_tables
-    from conftest import SF_SMALL
+    from helpers import SF_SMALL
     t = fixture_tables(spark, SF_SMALL)
     rows = [r.n_rows for r in C.cohort_funnel(t).orderBy("step_no").collect()]
     assert rows == sorted(rows, reverse=True)

@@ -1,5 +1,5 @@
 """Outcome labels: death fallbacks, ICU existence, lengthened stay."""
-from conftest import ts
+from helpers import ts
 from edcohort.operators import labels as LB
 
 

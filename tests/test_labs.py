@@ -1,5 +1,5 @@
 """Lab window, first-value picks, pivot and time costs."""
-from conftest import ts
+from helpers import ts
 from edcohort.operators import labs as LS
 from edcohort.sources.labdim import lab_dim, item_to_group
 
@@ -78,7 +78,7 @@ def test_unknown_group(spark):
 
 
 def test_fused_events_equal_separate_operators(spark):
-    from conftest import SF_SMALL
+    from helpers import SF_SMALL
     from edcohort.operators import labels as LB
     from edcohort.operators.cohort import apply_filters
     from edcohort.plans.tabular import cohort_keys, featured_stays, labelled_stays

@@ -1,5 +1,5 @@
 """Note availability, fusion picks and note reports."""
-from conftest import ts
+from helpers import ts
 from edcohort.operators import fusion as FU
 from edcohort.operators import notes as NO
 

@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF_SMALL
+from helpers import SF_SMALL
 
 PICK = ["cohort_full", "cohort_funnel", "labs_wide", "labelled_stays", "label_correlations", "notes_temporal_hybrid",
         "segment_text", "top_keywords", "note_concat", "stratified_split", "training_examples", "histogram",

@@ -4,7 +4,7 @@ functions are consistent."""
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF_SMALL
+from helpers import SF_SMALL
 from edcohort.plans.catalog import REGISTRY
 
 NAMES = sorted(REGISTRY)

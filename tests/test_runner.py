@@ -3,7 +3,7 @@ push-down of the lab item filter."""
 import os
 import tempfile
 
-from conftest import SF_SMALL
+from helpers import SF_SMALL
 from edcohort.plans.runner import run_all
 from edcohort.plans.text import prepared_notes
 from edcohort.operators.cohort import apply_filters
