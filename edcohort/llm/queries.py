@@ -8,7 +8,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language_id, line_dedup, minhash, neighbours, packing, perplexity, quality_rules, secret_scan, token_files
+from . import (bpe, language_id, lexical_search, line_dedup, minhash, neighbours, packing, perplexity, quality_rules,
+               secret_scan, sharding, spelling, token_files)
 from .common import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -54,11 +55,27 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_report(spark, table(spark, sf_dir, "documents"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_report(spark, table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, QueryFn] = {
-    f.__name__: f for f in (op1_minhash, op2_token_files, op3_perplexity, op4_secret_scan, op5_quality_rules, op6_packing, op7_bpe, op8_language_id, op9_neighbours, op10_line_dedup)
+    f.__name__: f for f in (op1_minhash, op2_token_files, op3_perplexity, op4_secret_scan, op5_quality_rules,
+                            op6_packing, op7_bpe, op8_language_id, op9_neighbours, op10_line_dedup,
+                            op11_lexical_search, op12_sharding, op13_spelling)
 }
 
 SQL: dict[str, str] = {
     "op5_quality_rules": quality_rules.SQL,
     "op10_line_dedup": line_dedup.SQL,
+    "op11_lexical_search": lexical_search.SQL,
+    "op13_spelling": spelling.SQL,
 }
