@@ -6,18 +6,18 @@ they differ by exactly one inserted, deleted or replaced code point. A word's
 form is its near word of largest count, if that has at least ``RATIO`` times the
 word's own; its root is where following forms ends.
 
-The trie is a table of edges: (length, node, next letter) -> the smallest and
-largest word below, where a node is a prefix. There is one trie per word
-length, so a replacement stays in the word's own trie and an insertion moves to
-the next one; deletions are insertions seen from the other side. A state is
-(word, target length, node, rest of the word) with its one edit spent:
+The trie is a table of edges, (length, node, next letter) -> (label, next node),
+where a node is a prefix and the label is what all words below the edge have in
+common. There is one trie per word length, so a replacement stays in the word's
+own trie and an insertion moves to the next one; deletions are insertions seen
+from the other side. A state is (word, target length, node, rest of the word)
+with its one edit spent:
 
 * the first join takes every word at every node of its own path and spends the
   edit on each other edge there (for a replacement only on larger letters, the
   pair is found once);
-* every further join follows the edge of the next letter, and the part that all
-  words below that edge have in common is compared at once (smallest against
-  largest word), so rounds are as many as branchings, not letters;
+* every further join follows the edge of the next letter and compares its label
+  at once, so rounds are as many as branchings, not letters;
 * a state whose edge leads to one word only ends there: its rest equals the
   word's rest, or it dies.
 
@@ -61,9 +61,10 @@ NAME_CHARS = 40
 def runs(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, run: the letter runs of at least ``min_chars``, A-Z in lower case."""
     found = id_text(docs).select("doc_id", F.explode(F.regexp_extract_all(
-        "text", F.lit(f"([{LETTERS}]{{{min_chars},}})"), F.lit(1))).alias("run"))
+        "text", F.lit(f"[{LETTERS}]{{{min_chars},}}"), F.lit(0))).alias("run"))
     # lower() agrees with the rule unless the run holds an accented capital
-    return found.select("doc_id", F.when(F.rlike("run", F.lit("[À-Þ]")), ascii_lower(F.col("run")))
+    wide = F.octet_length("run") > F.char_length("run")
+    return found.select("doc_id", F.when(wide & F.rlike("run", F.lit("[À-Þ]")), ascii_lower(F.col("run")))
                         .otherwise(F.lower("run")).alias("run"))
 
 
@@ -110,17 +111,6 @@ def anchored(words: DataFrame) -> DataFrame:
     return both.join(shared, "anchor", "left_semi").select("word", "size").distinct()
 
 
-def edges(rows: DataFrame) -> DataFrame:
-    """size, node, letter -> lo, hi (smallest and largest word below), depth
-    (letters up to the node)."""
-    size = F.col("size")
-    spread = rows.select("word", "size", F.explode(F.sequence(_half(size - 1), size - 1)).alias("depth"))
-    return (spread.select("size", _node(F.col("word"), F.col("depth")).alias("node"), "depth",
-                          F.substring("word", F.col("depth") + 1, F.lit(1)).alias("letter"), "word")
-            .groupBy("size", "node", "letter")
-            .agg(F.min("word").alias("lo"), F.max("word").alias("hi"), F.min("depth").alias("depth")))
-
-
 def _common(a: Column, b: Column) -> Column:
     """Code points that ``a`` and ``b`` (of one length) have in common before
     they part: the first difference by halving."""
@@ -135,17 +125,29 @@ def _common(a: Column, b: Column) -> Column:
     return F.aggregate(rounds, start, step, lambda s: s["lo"])
 
 
+def edges(rows: DataFrame) -> DataFrame:
+    """size, node, letter -> label (the letters all words below the edge have in
+    common after ``letter``), next (the node reached), hit (the word reached,
+    null if there are several)."""
+    size = F.col("size")
+    spread = rows.select("word", "size", F.explode(F.sequence(_half(size - 1), size - 1)).alias("depth"))
+    below = (spread.select("size", _node(F.col("word"), F.col("depth")).alias("node"), "depth",
+                           F.substring("word", F.col("depth") + 1, F.lit(1)).alias("letter"), "word")
+             .groupBy("size", "node", "letter")
+             .agg(F.min("word").alias("lo"), F.max("word").alias("hi"), F.min("depth").alias("depth")))
+    single = F.col("lo") == F.col("hi")
+    below = below.withColumn("to", F.when(single, size).otherwise(_common(F.col("lo"), F.col("hi"))))
+    return below.select(
+        "size", "node", "letter",
+        F.substring("lo", F.col("depth") + 2, F.col("to") - F.col("depth") - 1).alias("label"),
+        F.when(~single, _node(F.col("lo"), F.col("to"))).alias("next"), F.when(single, F.col("lo")).alias("hit"))
+
+
 def _followed(met: DataFrame) -> DataFrame:
-    """States (word, size, rest) that took an edge (lo, hi, depth), moved to the
-    next branching: word, size, node, rest, hit (the word reached, or null)."""
-    same = F.col("lo") == F.col("hi")
-    to = F.when(same, F.col("size")).otherwise(_common(F.col("lo"), F.col("hi")))
-    met = met.withColumn("to", to)
-    label = F.substring("lo", F.col("depth") + 2, F.col("to") - F.col("depth") - 1)
-    alive = met.withColumn("label", label).filter(F.startswith("rest", F.col("label")))
-    return alive.select("word", "size", _node(F.col("lo"), F.col("to")).alias("node"),
-                        _from(F.col("rest"), F.char_length("label")).alias("rest"),
-                        F.when(same, F.col("lo")).alias("hit"))
+    """States that took an edge: word, size, node, rest, hit, if the edge's label
+    agrees with the rest of the word."""
+    return met.filter(F.startswith("rest", F.col("label"))).select(
+        "word", "size", F.col("next").alias("node"), _from(F.col("rest"), F.char_length("label")).alias("rest"), "hit")
 
 
 def _first_states(rows: DataFrame, trie: DataFrame) -> DataFrame:
@@ -158,7 +160,7 @@ def _first_states(rows: DataFrame, trie: DataFrame) -> DataFrame:
                      F.explode(F.sequence(_half(size), F.col("kind.last"))).alias("at")))
     start = start.select("word", "size", "skip", "at", _node(F.col("word"), F.col("at")).alias("node"))
     own = F.substring("word", F.col("at") + 1, F.lit(1))
-    met = start.join(trie, ["size", "node"]).filter(
+    met = start.join(trie.hint("shuffle_hash"), ["size", "node"]).filter(
         F.when(F.col("skip") == 1, F.col("letter") > own).otherwise(F.col("letter") != own))
     return _followed(met.withColumn("rest", _from(F.col("word"), F.col("at") + F.col("skip"))))
 
@@ -176,7 +178,7 @@ def _near_one_way(ws: Workspace, words: DataFrame, name: str) -> DataFrame:
         if live.isEmpty():
             return reduce(DataFrame.unionAll, hits)
         step += 1
-        states = ws.put(_followed(live.join(trie, ["size", "node", "letter"])), f"{name}-{step}")
+        states = ws.put(_followed(live.join(trie.hint("shuffle_hash"), ["size", "node", "letter"])), f"{name}-{step}")
 
 
 def near_pairs(ws: Workspace, words: DataFrame) -> DataFrame:
