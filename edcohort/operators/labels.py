@@ -10,8 +10,9 @@ from pyspark.sql import types as T
 
 from ..functions.frames import pearson, to_long
 from ..functions.frames import pct as pct_of
-from ..functions.timecols import hours_between, parse_timestamp
+from ..functions.timecols import add_hours, hours_between, parse_timestamp
 from ..sources.schemas import has
+from .intervals import window_join
 
 # --- fixed values: published label rates (percent) and the accepted drift ---
 PUBLISHED_PCT = {"critical_outcome": 9.67, "lengthened_ed_stay": 6.90,
@@ -43,12 +44,13 @@ def hospital_death(df: DataFrame) -> DataFrame:
 def icu_matches(stays: DataFrame, icustays: DataFrame, hours: float = ICU_WINDOW_HOURS,
                 anchor: str = "outtime") -> DataFrame:
     """J6 core: distinct stays with an ICU admission 0–``hours`` h after
-    ``anchor``. Equi join on the admission key, time range as residual."""
-    s = stays.select("stay_id", "subject_id", "hadm_id", parse_timestamp(anchor).alias("__anchor"))
+    ``anchor``, joined on the admission key and time bucket."""
+    s = (stays.select("stay_id", "subject_id", "hadm_id", parse_timestamp(anchor).alias("__anchor"))
+         .withColumn("__end", add_hours("__anchor", float(hours))))
     icu = icustays.select("subject_id", "hadm_id", parse_timestamp("intime").alias("__icu_in"))
     h = hours_between("__anchor", "__icu_in")
-    return (s.join(icu, ["subject_id", "hadm_id"], "inner")
-             .where(h.isNotNull() & (h >= 0) & (h <= float(hours)))
+    met = window_join(icu, s, ["subject_id", "hadm_id"], "__icu_in", "__anchor", "__end", max(float(hours), 1.0))
+    return (met.where((h >= 0) & (h <= float(hours)))
              .select("stay_id").distinct())
 
 

@@ -2,13 +2,13 @@
 
 Plan shape at scale: lab events (the one large table) are reduced at the scan
 (relevant items, non-null value), joined to the cohort on the admission key
-with the time window as a residual condition (equi keys always present, so
-never a nested loop; AQE splits a hot admission), tagged with their group by
-a broadcast of the fixed 56-row item dimension, and then reduced in ONE
-aggregate keyed by ``stay_id`` whose per-group picks are filtered
-``min_by`` terms. That aggregate is the pivot: partial aggregation combines
-rows map-side, and the result is already partitioned by ``stay_id`` for the
-join back to the cohort.
+and time bucket (``intervals``: a long history is spread over tasks), tagged
+with their group by a broadcast of the fixed 56-row item dimension, and reduced
+by two hash aggregates: one value per (stay, group, order key), which settles
+ties, then the pivot keyed by ``stay_id``, whose per-group picks are filtered
+``min_by`` terms over that key. Keys and buffers are numbers only, so both
+combine rows map-side without a sort, a hot stay is spread over its keys, and
+the result is partitioned by ``stay_id`` for the join back to the cohort.
 """
 
 from __future__ import annotations
@@ -18,10 +18,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.timecols import hours_between, parse_number, parse_timestamp
+from ..functions.timecols import MICROS_PER_HOUR, add_hours, hours_between, parse_number, parse_timestamp
 from ..sources.labdim import GROUP_MINUTES, LAB_GROUP_ITEMS, LAB_GROUPS, lab_dim
 from ..sources.readers import scan_labevents
 from ..sources.schemas import has
+from .intervals import window_join
 
 # --- fixed values: weights of the mixed time-cost estimate ---
 PARALLEL_WEIGHT = 0.7
@@ -49,15 +50,15 @@ def labs_in_window(labs: DataFrame, stays: DataFrame, hours: float = 12.0) -> Da
     0 ≤ charttime − intime ≤ ``hours``; adds ``stay_id`` and ``hours_from_ed``.
 
     Several stays under one admission each get the lab (each stay judges its
-    own window). Null keys never match.
+    own window). Null keys never match. The time bucket is part of the join
+    key, so a long history is spread over tasks.
     """
-    s = stays.select("stay_id", "subject_id", "hadm_id", parse_timestamp("intime").alias("intime"))
+    s = (stays.select("stay_id", "subject_id", "hadm_id", parse_timestamp("intime").alias("intime"))
+         .withColumn("__end", add_hours("intime", float(hours))))
     l = labs.select("subject_id", "hadm_id", "itemid", parse_timestamp("charttime").alias("charttime"),
                     parse_number("valuenum").alias("valuenum"))
-    j = l.join(s, ["subject_id", "hadm_id"], "inner")
-    h = hours_between("intime", "charttime")
-    return (j.where(F.col("charttime").isNotNull() & F.col("intime").isNotNull())
-             .withColumn("hours_from_ed", h)
+    j = window_join(l, s, ["subject_id", "hadm_id"], "charttime", "intime", "__end", max(float(hours), 1.0))
+    return (j.drop("__end").withColumn("hours_from_ed", hours_between("intime", "charttime"))
              .where((F.col("hours_from_ed") >= 0) & (F.col("hours_from_ed") <= float(hours))))
 
 
@@ -76,24 +77,25 @@ def assign_lab_groups(labs: DataFrame, dim: DataFrame, keep_unknown: bool = Fals
                 .withColumn("group_minutes", F.coalesce("group_minutes", F.lit(0))))
 
 
-def _first_pick(group: str | None = None, require_value: bool = False) -> Column:
-    """min_by over the total order (hours, itemid, value): the earliest
-    result of the group, ties broken by item id then value."""
-    ordering = F.struct("hours_from_ed", "itemid", "valuenum")
-    if group is not None:
-        cond = F.col("lab_group") == group
-        if require_value:
-            cond = cond & F.col("valuenum").isNotNull()
-        ordering = F.when(cond, ordering)
-    return F.min_by(F.struct(F.col("valuenum").alias("v"), F.col("hours_from_ed").alias("t")), ordering)
+def order_key() -> Column:
+    """The order of results within a stay, (time, item), as one number."""
+    micros = F.round(F.col("hours_from_ed") * F.lit(MICROS_PER_HOUR)).cast("decimal(20,0)")
+    return (micros * F.lit(1 << 31).cast("decimal(10,0)") + F.col("itemid").cast("decimal(10,0)")).cast("decimal(38,0)")
+
+
+def settled(labs: DataFrame, *more: str) -> DataFrame:
+    """One row per (stay, group, order key, ``more``): the smallest value of
+    those that share time and item. Rows without a value keep a null."""
+    keyed = labs.withColumn("__key", order_key())
+    return keyed.groupBy("stay_id", "lab_group", "__key", *more).agg(
+        F.min("valuenum").alias("valuenum"), F.min("hours_from_ed").alias("hours_from_ed"))
 
 
 def first_values_long(labs: DataFrame) -> DataFrame:
-    """A1: first value and its time per (stay, lab group)."""
-    agg = labs.where(F.col("valuenum").isNotNull()).groupBy("stay_id", "lab_group").agg(
-        _first_pick().alias("p"))
-    return agg.select("stay_id", "lab_group", F.col("p.v").alias("valuenum"),
-                      F.col("p.t").alias("hours_from_ed"))
+    """A1: first value and its time per (stay, lab group), by (time, item,
+    value)."""
+    return settled(labs.where(F.col("valuenum").isNotNull())).groupBy("stay_id", "lab_group").agg(
+        F.min_by("valuenum", "__key").alias("valuenum"), F.min("hours_from_ed").alias("hours_from_ed"))
 
 
 def mean_values_long(labs: DataFrame) -> DataFrame:
@@ -102,28 +104,26 @@ def mean_values_long(labs: DataFrame) -> DataFrame:
         F.avg("valuenum").alias("valuenum"), F.min("hours_from_ed").alias("hours_from_ed"))
 
 
-def wide_terms(use_first: bool = True) -> tuple[list[Column], list[Column]]:
-    """Aggregate terms of the lab pivot and the projection that unpacks them.
-    Rows of other groups (or without a value) get a null ordering and are
-    ignored, so other events may share the aggregate."""
-    if use_first:
-        aggs = [_first_pick(g, require_value=True).alias(g) for g in LAB_GROUPS]
-        cols = [c for g in LAB_GROUPS for c in (F.col(f"`{g}`.v").alias(value_col(g)),
-                                               F.col(f"`{g}`.t").alias(time_col(g)))]
-        return aggs, cols
-    aggs = []
+def wide_terms(use_first: bool = True) -> list[Column]:
+    """Aggregate terms of the lab pivot, over ``settled`` rows for first values
+    or over the results themselves for means. Rows of other groups (or without
+    a value) are ignored, so other events may share the aggregate."""
+    terms = []
     for g in LAB_GROUPS:
         inside = F.col("lab_group") == g
-        aggs += [F.avg(F.when(inside, F.col("valuenum"))).alias(value_col(g)),
-                 F.min(F.when(inside, F.col("hours_from_ed"))).alias(time_col(g))]
-    return aggs, [F.col(c) for c in WIDE_COLS]
+        value = F.avg(F.when(inside, F.col("valuenum")))
+        if use_first:
+            inside = inside & F.col("valuenum").isNotNull()
+            value = F.min_by("valuenum", F.when(inside, F.col("__key")))
+        terms += [value.alias(value_col(g)), F.min(F.when(inside, F.col("hours_from_ed"))).alias(time_col(g))]
+    return terms
 
 
 def labs_wide(labs: DataFrame, use_first: bool = True) -> DataFrame:
     """A3: one row per stay with ``lab_<G>_value`` / ``lab_<G>_time`` for the
-    fixed group list, from a single aggregate (see module note)."""
-    aggs, cols = wide_terms(use_first)
-    return labs.groupBy("stay_id").agg(*aggs).select("stay_id", *cols)
+    fixed group list (see module note)."""
+    rows = settled(labs) if use_first else labs
+    return rows.groupBy("stay_id").agg(*wide_terms(use_first))
 
 
 def add_utilization_flags(df: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
 """Clinical notes: availability in time, cleaning, reports (J7, J8, J14,
 F2, P16, A15, A22–A25, A26, A34).
 
-The availability rule is an equi join on the admission key with a one-sided
-time bound as residual. Buffer sweeps and per-category retention are one
+The availability rule is a join on the admission key and time bucket
+(``intervals.before_join``) with a one-sided time bound as residual. Buffer sweeps and per-category retention are one
 join and one aggregate, not one join per threshold.
 """
 
@@ -15,6 +15,7 @@ from ..functions.frames import pct, to_long
 from ..functions.text import clean_text, keywords
 from ..functions.timecols import add_hours, minutes_between, parse_timestamp
 from ..sources.schemas import has
+from .intervals import before_join
 from .quantiles import global_quantiles, quantile_frame
 
 # --- fixed values: hybrid availability buffers (hours) per note category ---
@@ -31,22 +32,31 @@ def note_time_column(notes: DataFrame) -> str | None:
     return None
 
 
-def _join_stays(notes: DataFrame, stays: DataFrame, time_col: str) -> DataFrame:
-    s = stays.select("subject_id", "hadm_id", parse_timestamp("intime").alias("__in"),
-                     parse_timestamp("outtime").alias("__out"))
-    n = notes.where(F.col("hadm_id").isNotNull()).withColumn("__t", parse_timestamp(time_col))
-    return (n.join(s, ["subject_id", "hadm_id"], "inner")
-             .where(F.col("__t").isNotNull() & F.col("__in").isNotNull() & F.col("__out").isNotNull()))
+def _join_stays(notes: DataFrame, stays: DataFrame, time_col: str, most_hours: float | None = None) -> DataFrame:
+    """Notes with the stays of their admission: ``__t``, ``__in``, ``__out``;
+    with ``most_hours`` only those up to so long after discharge, joined by
+    time bucket."""
+    s = (stays.select("subject_id", "hadm_id", parse_timestamp("intime").alias("__in"),
+                      parse_timestamp("outtime").alias("__out"))
+         .where(F.col("__in").isNotNull() & F.col("__out").isNotNull()))
+    n = (notes.where(F.col("hadm_id").isNotNull()).withColumn("__t", parse_timestamp(time_col))
+         .where(F.col("__t").isNotNull()))
+    if most_hours is None:
+        return n.join(s, ["subject_id", "hadm_id"])
+    s = s.withColumn("__end", add_hours("__out", float(most_hours)))
+    return before_join(n, s, ["subject_id", "hadm_id"], "__t", "__end").drop("__end")
 
 
-def filter_temporal(notes: DataFrame, stays: DataFrame, time_buffer_hours: float | Column = 0.0) -> DataFrame:
+def filter_temporal(notes: DataFrame, stays: DataFrame, time_buffer_hours: float | Column = 0.0,
+                    most_hours: float | None = None) -> DataFrame:
     """Notes known by ED discharge (+ buffer): note time ≤ outtime +
     buffer, no lower bound. Adds ``time_from_admission_min``. Notes without
-    a time column (or stays without hadm_id) are returned unchanged."""
+    a time column (or stays without hadm_id) are returned unchanged. A buffer
+    given as a column needs its largest value, ``most_hours``."""
     tc = note_time_column(notes)
     if tc is None or not has(notes, "hadm_id") or not has(stays, "hadm_id"):
         return notes
-    j = _join_stays(notes, stays, tc)
+    j = _join_stays(notes, stays, tc, time_buffer_hours if most_hours is None else most_hours)
     limit = add_hours("__out", time_buffer_hours)
     return (j.where(F.col("__t") <= limit)
              .withColumn("time_from_admission_min", minutes_between("__in", "__t"))
@@ -64,7 +74,7 @@ def filter_temporal_hybrid(notes: DataFrame, stays: DataFrame,
         cond = F.col("note_category") == cat
         b = F.when(cond, F.lit(float(h))) if b is None else b.when(cond, F.lit(float(h)))
     kept = notes.where(F.col("note_category").isin(list(buffers)))
-    return filter_temporal(kept, stays, b)
+    return filter_temporal(kept, stays, b, max(buffers.values()))
 
 
 def notes_for_stay(notes: DataFrame, admissions: DataFrame, categories: list[str] | None = None) -> DataFrame:
@@ -137,7 +147,7 @@ def retention_by_category(notes: DataFrame, stays: DataFrame, time_buffer_hours:
     """Per category: notes in, joined rows retained (fan-out counts) and
     the rate. Both counts come from one grouped aggregate over a union."""
     tc = note_time_column(notes)
-    j = _join_stays(notes, stays, tc)
+    j = _join_stays(notes, stays, tc, time_buffer_hours)
     kept = j.where(F.col("__t") <= add_hours("__out", time_buffer_hours))
     u = (notes.select("note_category", F.lit(1).alias("__in"), F.lit(0).alias("__kept"))
          .unionByName(kept.select("note_category", F.lit(0).alias("__in"), F.lit(1).alias("__kept"))))

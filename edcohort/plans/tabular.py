@@ -3,8 +3,8 @@
 One lazy plan from the scans to the write. Shuffles at scale: the three
 cohort joins (AQE may turn the small dimension sides into broadcasts at run
 time from measured sizes), one join of all stay events (lab results and ICU
-admissions) on the admission key, and one aggregate keyed by stay that is
-both the lab pivot and the ICU existence test.
+admissions) on the admission key and time bucket, and one aggregate keyed by
+stay that is both the lab pivot and the ICU existence test.
 """
 
 from __future__ import annotations
@@ -12,10 +12,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.timecols import hours_between, parse_number, parse_timestamp
+from ..functions.timecols import add_hours, hours_between, parse_number, parse_timestamp
 from ..operators.cohort import apply_filters
+from ..operators.intervals import window_join
 from ..operators.labels import create_all_labels, critical_outcome, hospital_death, lengthened_stay
-from ..operators.labs import add_utilization_flags, extract_lab_features, lab_time_costs, wide_terms
+from ..operators.labs import add_utilization_flags, extract_lab_features, lab_time_costs, settled, wide_terms
 from ..operators.triage import extract_triage_features
 from ..sources.labdim import lab_dim
 from ..sources.readers import Tables, scan_labevents
@@ -42,12 +43,12 @@ def featured_stays(t: Tables, time_window_hours: float = 12.0, use_first_value:
 
 def stay_events(keys: DataFrame, labevents: DataFrame, icustays: DataFrame, dim: DataFrame,
                 lab_hours: float = 12.0, icu_hours: float = 12.0, use_first_value: bool = True) -> DataFrame:
-    """Lab features and the ICU flag of each stay from ONE join and ONE
-    aggregate: lab results and ICU admissions are unioned into one event
-    frame, joined once to the cohort keys on the admission key, kept by
-    their own window (labs: 0–``lab_hours`` h after arrival; ICU: 0–
-    ``icu_hours`` h after leaving the ED), and reduced per stay with the lab
-    pivot terms plus an ICU hit term. Equal to running J4–A3 and J6 apart."""
+    """Lab features and the ICU flag of each stay from ONE join: lab results
+    and ICU admissions are unioned into one event frame and meet the two windows
+    of each stay (labs: 0–``lab_hours`` h after arrival; ICU: 0–``icu_hours`` h
+    after leaving the ED) by admission key, kind and time bucket; ties among
+    results are settled, then one aggregate per stay holds the lab pivot terms
+    plus an ICU hit term. Equal to running J4–A3 and J6 apart."""
     k = keys.select("stay_id", "subject_id", "hadm_id", parse_timestamp("intime").alias("__in"),
                     parse_timestamp("outtime").alias("__out"))
     labs = scan_labevents(labevents, strategy="filtered").select(
@@ -57,16 +58,20 @@ def stay_events(keys: DataFrame, labevents: DataFrame, icustays: DataFrame, dim:
     icu = icustays.select("subject_id", "hadm_id", F.lit(None).cast("int").alias("itemid"),
                           parse_timestamp("intime").alias("__t"), F.lit(None).cast("double").alias("valuenum"),
                           F.lit(True).alias("__icu"))
-    ev = labs.unionByName(icu).join(k, ["subject_id", "hadm_id"])
-    h_lab, h_icu = hours_between("__in", "__t"), hours_between("__out", "__t")
-    lab_ok = ~F.col("__icu") & F.col("__in").isNotNull() & (h_lab >= 0) & (h_lab <= float(lab_hours))
-    icu_ok = F.col("__icu") & F.col("__out").isNotNull() & (h_icu >= 0) & (h_icu <= float(icu_hours))
-    ev = ev.where(F.col("__t").isNotNull() & (lab_ok | icu_ok)) \
-           .withColumn("hours_from_ed", F.when(~F.col("__icu"), h_lab))
+    windows = [F.struct(F.lit(icu_kind).alias("__icu"), F.col(start).alias("__from"),
+                        add_hours(start, float(hours)).alias("__to"))
+               for icu_kind, start, hours in ((False, "__in", lab_hours), (True, "__out", icu_hours))]
+    spans = k.select("stay_id", "subject_id", "hadm_id", F.inline(F.array(*windows)))
+    ev = window_join(labs.unionByName(icu), spans, ["subject_id", "hadm_id", "__icu"], "__t", "__from", "__to",
+                     max(float(lab_hours), float(icu_hours), 1.0))
+    h = hours_between("__from", "__t")
+    most = F.when(F.col("__icu"), float(icu_hours)).otherwise(float(lab_hours))
+    ev = ev.where((h >= 0) & (h <= most)).withColumn("hours_from_ed", F.when(~F.col("__icu"), h))
     ev = ev.join(F.broadcast(dim.select("itemid", "lab_group")), "itemid", "left")
-    aggs, cols = wide_terms(use_first_value)
-    return ev.groupBy("stay_id").agg(*aggs, F.max(F.col("__icu").cast("int")).alias("__icu_hit")) \
-             .select("stay_id", *cols, "__icu_hit")
+    if use_first_value:
+        ev = settled(ev, "__icu")
+    return ev.groupBy("stay_id").agg(*wide_terms(use_first_value),
+                                     F.max(F.col("__icu").cast("int")).alias("__icu_hit"))
 
 
 def labelled_stays(t: Tables, time_window_hours: float = 12.0, use_first_value: bool = True,
