@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.frames import pearson, to_long
+from ..functions.frames import melt, pearson, to_long
 from ..functions.frames import pct as pct_of
 from ..functions.timecols import add_hours, hours_between, parse_timestamp
 from ..sources.schemas import has
@@ -21,8 +19,6 @@ ACCEPTED_DRIFT_POINTS = 5.0
 LABEL_COLS = ["hospital_death", "icu_transfer_12h", "critical_outcome", "lengthened_ed_stay"]
 ID_COLS = ["stay_id", "subject_id", "hadm_id"]
 ICU_WINDOW_HOURS = 12.0
-#: Feature columns of one aggregate.
-CORR_BATCH = 16
 
 
 def hospital_death(df: DataFrame) -> DataFrame:
@@ -159,22 +155,22 @@ def numeric_features(df: DataFrame, exclude: list[str] | None = None) -> list[st
 def label_correlations(df: DataFrame, labels: list[str] | None = None, top: int = 10,
                        features: list[str] | None = None, signed: bool = False) -> DataFrame:
     """Pearson correlation (pairwise complete) of every numeric feature
-    with each label, from wide aggregates of ``CORR_BATCH`` columns (no row is
-    multiplied, and each batch stays inside code generation; the batches read
-    their own columns, so pass a stage table), top ``top`` per label by
-    absolute value (ties by name); the notebook variant keeps the sign."""
+    with each label, top ``top`` per label by absolute value (ties by name); the
+    notebook variant keeps the sign.
+
+    The features are unpivoted and one aggregate keyed by feature holds the
+    co-moments with all labels: a handful of numbers per feature, in code small
+    enough to be compiled, combined inside each task, so the input is read once
+    and never shuffled."""
     from pyspark.sql import Window
     labels = [c for c in (labels or ["critical_outcome", "lengthened_ed_stay"]) if has(df, c)]
     feats = features or numeric_features(df)
-    parts = []
-    for i in range(0, len(feats), CORR_BATCH):
-        batch = feats[i:i + CORR_BATCH]
-        wide = df.agg(*[pearson(F.col(f).cast("double"), F.col(lbl).cast("double")).alias(f"{j}|{lbl}")
-                        for j, f in enumerate(batch) for lbl in labels])
-        parts.append(to_long(wide, [(lbl, f, F.col(f"`{j}|{lbl}`")) for j, f in enumerate(batch) for lbl in labels],
-                             ["label", "feature", "corr"]))
-    long = reduce(DataFrame.unionByName, parts).where(F.col("corr").isNotNull())
-    long = long.withColumn("abs_corr", F.abs("corr"))
+    pairs = melt(df.withColumns({f"__y{i}": F.col(c).cast("double") for i, c in enumerate(labels)}), feats,
+                 keep=[f"__y{i}" for i in range(len(labels))]).where(F.col("x").isNotNull())
+    moments = pairs.groupBy("feature").agg(*[pearson(F.col("x"), F.col(f"__y{i}")).alias(f"__c{i}")
+                                             for i in range(len(labels))])
+    long = to_long(moments, [(c, F.col(f"__c{i}")) for i, c in enumerate(labels)], ["label", "corr"], keep=["feature"])
+    long = long.where(F.col("corr").isNotNull()).withColumn("abs_corr", F.abs("corr"))
     # twelve places decide the order (beyond them lies rounding noise of scaled
     # copies of a feature); the table is features x labels, so one small
     # partition per label

@@ -3,8 +3,10 @@ A29–A34).
 
 Every report is one aggregate (or one grouped aggregate) over the data,
 turned into long form afterwards; no per-column jobs and nothing collected.
-Exact percentiles come from ``quantiles.exact_quantiles`` (value counts first); ``exact=False`` uses ``percentile_approx`` instead
-(a fixed-size sketch per group, one pass fewer).
+Exact percentiles come from ``quantiles`` (value counts first, then distributed
+selection, or one buffer per group for columns said to have a ``bounded``
+domain); ``exact=False`` uses ``percentile_approx`` instead (a fixed-size sketch
+per group, one pass fewer).
 """
 
 from __future__ import annotations
@@ -17,16 +19,16 @@ from pyspark.sql import types as T
 
 from ..functions.frames import melt, pct, safe_div, to_long
 from ..sources.schemas import has
-from .quantiles import global_quantiles, quantile_frame
+from .quantiles import global_quantiles, quantile_frame, value_frequencies
 
 PCTS = [0.25, 0.5, 0.75, 0.95]
 
 
-def _quantiles_by(df: DataFrame, col: str, ps: list[float], by: str | None, exact: bool):
+def _quantiles_by(df: DataFrame, col: str, ps: list[float], by: str | None, exact: bool, bounded: bool):
     """Quantile arrays per group (frame) or, without a group, as a scalar."""
     if by:
-        return quantile_frame(df, col, ps, [by], exact)
-    return global_quantiles(df, col, ps, exact)
+        return quantile_frame(df, col, ps, [by], exact, bounded)
+    return global_quantiles(df, col, ps, exact, bounded)
 
 
 def cohort_summary(df: DataFrame) -> DataFrame:
@@ -72,7 +74,8 @@ def feature_summary(df: DataFrame, cols: list[str]) -> DataFrame:
                        "max")
 
 
-def describe(df: DataFrame, cols: list[str], by: str | None = None, exact: bool = True) -> DataFrame:
+def describe(df: DataFrame, cols: list[str], by: str | None = None, exact: bool = True,
+             bounded: bool = False) -> DataFrame:
     """Count, mean, std, min, p25, p50, p75, max, p95 per column
     (optionally per group), long form: one row per (group, column)."""
     aggs = []
@@ -83,7 +86,7 @@ def describe(df: DataFrame, cols: list[str], by: str | None = None, exact: bool
                  F.max(x).alias(f"{c}|max")]
     wide = df.groupBy(by).agg(*aggs) if by else df.agg(*aggs)
     for c in cols:
-        q = _quantiles_by(df, c, PCTS, by, exact)
+        q = _quantiles_by(df, c, PCTS, by, exact, bounded)
         if by:
             wide = wide.join(q.withColumnRenamed("q", f"{c}|p"), by, "left")
         else:
@@ -177,23 +180,22 @@ def histogram(df: DataFrame, col: str, bins: int = 50) -> DataFrame:
                          F.coalesce("n", F.lit(0)).cast("long").alias("n")))
 
 
-def box_stats(df: DataFrame, value: str, by: str, exact: bool = True) -> DataFrame:
+def box_stats(df: DataFrame, value: str, by: str, exact: bool = True, bounded: bool = False) -> DataFrame:
     """Quartiles per group, 1.5·IQR whiskers (most extreme values
-    inside the fences) and the outlier count. Quartiles are joined back to
-    the values on the group key."""
-    x = F.col(value).cast("double")
-    vals = df.select(F.col(by), x.alias("v")).where(F.col("v").isNotNull())
-    q = quantile_frame(vals, "v", [0.25, 0.5, 0.75], [by], exact)
+    inside the fences) and the outlier count. The quartiles meet the counts per
+    (group, value), which are combined before any shuffle, not the rows."""
+    vals = df.select(F.col(by), F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull())
+    q = quantile_frame(vals, "v", [0.25, 0.5, 0.75], [by], exact, bounded)
     q = q.select(by, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     iqr = F.col("q3") - F.col("q1")
     lo_f, hi_f = F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr
-    j = vals.join(q, by)
-    inside = (F.col("v") >= lo_f) & (F.col("v") <= hi_f)
+    j = value_frequencies(vals, "v", [by]).join(q, by)
+    inside = (F.col("__v") >= lo_f) & (F.col("__v") <= hi_f)
     out = j.groupBy(by, "q1", "median", "q3").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min(F.when(inside, F.col("v"))).alias("whisker_lo"),
-        F.max(F.when(inside, F.col("v"))).alias("whisker_hi"),
-        F.count_if(~inside).alias("n_outliers"))
+        F.sum("__k").alias("n"),
+        F.min(F.when(inside, F.col("__v"))).alias("whisker_lo"),
+        F.max(F.when(inside, F.col("__v"))).alias("whisker_hi"),
+        F.sum(F.when(inside, 0).otherwise(F.col("__k"))).cast("long").alias("n_outliers"))
     return out.select(by, "n", "q1", "median", "q3", "whisker_lo", "whisker_hi",
                       "n_outliers")
 

@@ -48,7 +48,7 @@ ROUNDED = {
     "lab_utilization_pct", "histogram", "box_stats", "row_loss", "source_profile", "notes_stats",
     "retention_sweep", "retention_by_category", "notes_per_outcome", "time_coverage", "text_reduction",
     "integration_stats", "outcome_by_text", "split_validation", "run_manifest", "label_correlations",
-    "label_correlations_signed", "sequence_stats", "lab_group_frequency",
+    "lab_value_describe", "lab_value_box", "label_correlations_signed", "sequence_stats", "lab_group_frequency",
 }
 
 
@@ -344,7 +344,8 @@ def q_label_rate_check(spark, sf_dir):
     return LB.label_rate_check(_labelled(spark, sf_dir))
 
 
-CORR_FEATURES = (["anchor_age", "hospital_expire_flag", "temperature", "heartrate", "resprate",
+#: The numeric columns of the labelled stays (P18 finds them in the schema).
+CORR_FEATURES = (["anchor_age", "anchor_year", "hospital_expire_flag", "temperature", "heartrate", "resprate",
                   "o2sat", "sbp", "dbp", "acuity", "age_at_ed", "triage_completeness", "ed_los_hours"]
                  + [c for c in TRIAGE_FEATURE_COLS if c != "triage_chief_complaint"]
                  + LAB_FEATURE_COLS + COST_COLS)
@@ -352,8 +353,8 @@ CORR_FEATURES = (["anchor_age", "hospital_expire_flag", "temperature", "heartrat
 
 @query("label_correlations")
 def q_label_correlations(spark, sf_dir):
-    return LB.label_correlations(write_stage(_labelled(spark, sf_dir), "labelled", spark),
-                                 features=CORR_FEATURES)
+    """A12 with P18: the features are the numeric columns of the schema."""
+    return LB.label_correlations(_labelled(spark, sf_dir))
 
 
 @query("run_stats")
@@ -384,7 +385,10 @@ def _multimodal(spark, sf_dir):
 
 
 def _split(spark, sf_dir):
-    return TX.split_multimodal(_multimodal(spark, sf_dir), order=modular_order())
+    """The split of a stage table, as in ``runner.run_all``: its counts and cut
+    buckets read the table, not the plan behind it."""
+    staged = write_stage(_multimodal(spark, sf_dir), "multimodal", spark)
+    return TX.split_multimodal(staged, order=modular_order())
 
 
 @query("notes_load")
@@ -631,14 +635,26 @@ def q_feature_summary(spark, sf_dir):
 
 @query("los_describe")
 def q_los_describe(spark, sf_dir):
-    return PR.describe(_labelled(spark, sf_dir), ["ed_los_hours"])
+    return PR.describe(_labelled(spark, sf_dir), ["ed_los_hours"], bounded=True)  # whole seconds
+
+
+@query("lab_value_describe")
+def q_lab_value_describe(spark, sf_dir):
+    """A14 over values of any domain: results in the window, per lab group."""
+    return PR.describe(_labs(spark, sf_dir), ["valuenum"], by="lab_group")
+
+
+@query("lab_value_box")
+def q_lab_value_box(spark, sf_dir):
+    """A32 over values of any domain."""
+    return PR.box_stats(_labs(spark, sf_dir), "valuenum", "lab_group")
 
 
 @query("note_length_describe")
 def q_note_length_describe(spark, sf_dir):
     t = fixture_tables(spark, sf_dir)
     notes = NO.preprocess_notes(TX.available_notes(t.notes, C.apply_filters(t)))
-    return PR.describe(notes, ["cleaned_length", "original_length"], by="note_category")
+    return PR.describe(notes, ["cleaned_length", "original_length"], by="note_category", bounded=True)
 
 
 @query("table_inventory")
@@ -686,7 +702,7 @@ def q_histogram(spark, sf_dir):
 
 @query("box_stats")
 def q_box_stats(spark, sf_dir):
-    return PR.box_stats(_labelled(spark, sf_dir), "ed_los_hours", "critical_outcome")
+    return PR.box_stats(_labelled(spark, sf_dir), "ed_los_hours", "critical_outcome", bounded=True)
 
 
 @query("row_loss")
@@ -790,8 +806,7 @@ def q_text_by_category(spark, sf_dir):
 @query("label_correlations_signed")
 def q_label_correlations_signed(spark, sf_dir):
     """The top 20 by signed value."""
-    return LB.label_correlations(write_stage(_labelled(spark, sf_dir), "labelled", spark),
-                                 features=CORR_FEATURES, top=20, signed=True)
+    return LB.label_correlations(_labelled(spark, sf_dir), top=20, signed=True)
 
 
 @query("notes_sample")

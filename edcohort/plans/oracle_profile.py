@@ -6,7 +6,7 @@ import json
 
 from ..sources.labdim import LAB_GROUPS
 from .oracle import with_mapping
-from .oracle_sql import COHORT, _r6, labelled_ctes
+from .oracle_sql import COHORT, _r6, labelled_ctes, labs_ctes
 from .oracle_text import NOTES_NE, prepared_ctes, split_ctes
 
 # Spark type names of the cohort columns (schema facts, for type reports)
@@ -55,6 +55,15 @@ def profile_queries() -> dict[str, str]:
     q["los_describe"] = m(labelled_ctes() + "\n" + describe_sql("labelled", ["ed_los_hours"]))
     q["note_length_describe"] = m(prepared_ctes() + "\n" + describe_sql(
         "prep", ["cleaned_length", "original_length"], by="note_category"))
+    q["lab_value_describe"] = m(COHORT + labs_ctes() + "\n" + describe_sql("labs_g", ["valuenum"], by="lab_group"))
+    q["lab_value_box"] = m(COHORT + labs_ctes() + f""",
+qq AS (SELECT lab_group, quantile_cont(valuenum, [0.25, 0.5, 0.75]) AS q FROM labs_g GROUP BY lab_group),
+k AS (SELECT l.lab_group, valuenum AS v, q[1] AS q1, q[2] AS median, q[3] AS q3,
+        valuenum >= q[1] - 1.5 * (q[3] - q[1]) AND valuenum <= q[3] + 1.5 * (q[3] - q[1]) AS inside
+      FROM labs_g l JOIN qq USING (lab_group))
+SELECT lab_group, count(*) AS n, {_r6('q1')} AS q1, {_r6('median')} AS median, {_r6('q3')} AS q3,
+  {_r6('min(v) FILTER (WHERE inside)')} AS whisker_lo, {_r6('max(v) FILTER (WHERE inside)')} AS whisker_hi,
+  count(*) FILTER (WHERE NOT inside) AS n_outliers FROM k GROUP BY lab_group, q1, median, q3""")
     inv = [f"SELECT '{t}' AS \"table\", count(*) AS n_rows, {n} AS n_columns FROM {t}"
            for t, n in TABLE_COLUMNS.items()]
     q["table_inventory"] = m(_union(inv))
