@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fmt import dict_parts, one_decimal, py_str
+from ..functions.fmt import dict_parts, opens_dict, one_decimal, py_str
 from ..functions.frames import pct
 from ..functions.text import complaint_text, token_count
 from ..sources.labdim import GROUP_CLASS_ID, GROUP_MINUTES, SEQUENCE_GROUPS
@@ -60,17 +60,22 @@ def performed_groups(df: DataFrame, groups: list[str] | None = None) -> Column:
         flag, val, tm = f"lab_{g}_ordered", f"lab_{g}_value", f"lab_{g}_time"
         if not has(df, flag):
             continue
-        value = F.col(val).cast("string") if has(df, val) and df.schema[val].dataType.typeName() == "string" \
-            else (py_str(F.col(val)) if has(df, val) else F.lit(None).cast("string"))
+        is_text = has(df, val) and df.schema[val].dataType.typeName() == "string"
+        text, number = F.lit(None).cast("string"), F.lit(None).cast("double")
+        if has(df, val):
+            text, number = (F.col(val), number) if is_text else (text, F.col(val).cast("double"))
         items.append(F.when(F.col(flag) == 1, F.struct(
             F.col(tm).isNull().alias("no_time") if has(df, tm) else F.lit(True).alias("no_time"),
             (F.col(tm).cast("double") if has(df, tm) else F.lit(None).cast("double")).alias("time"),
-            F.lit(pos).alias("pos"), F.lit(g).alias("group"), value.alias("value"),
+            F.lit(pos).alias("pos"), F.lit(g).alias("group"), text.alias("text"), number.alias("number"),
             F.lit(GROUP_MINUTES.get(g, DEFAULT_TIME_COST)).alias("time_cost"))))
     if not items:
         return F.array().cast("array<struct<no_time:boolean,time:double,pos:int,group:string,"
                               "value:string,time_cost:int>>")
-    return F.array_sort(F.filter(F.array(*items), lambda x: x.isNotNull()))
+    # numbers become text once, for the ordered groups only
+    return F.transform(F.array_sort(F.filter(F.array(*items), lambda x: x.isNotNull())), lambda x: F.struct(
+        x["no_time"].alias("no_time"), x["time"].alias("time"), x["pos"].alias("pos"), x["group"].alias("group"),
+        F.coalesce(x["text"], py_str(x["number"])).alias("value"), x["time_cost"].alias("time_cost")))
 
 
 def lab_group_text(item: Column) -> Column:
@@ -78,6 +83,7 @@ def lab_group_text(item: Column) -> Column:
     no value gives ``G: ordered | [EOS]``."""
     parts = dict_parts(item["value"])
     return (F.when(item["value"].isNull(), F.concat(item["group"], F.lit(": ordered | " + EOS)))
+             .when(~opens_dict(item["value"]), F.concat(item["group"], F.lit(": "), item["value"], F.lit(" | " + EOS)))
              .when(parts.isNotNull() & (F.size(parts) > 0),
                    F.concat(item["group"], F.lit(": "), F.array_join(parts, " | "), F.lit(" | " + EOS)))
              .otherwise(F.concat(item["group"], F.lit(": "), item["value"], F.lit(" | " + EOS))))
