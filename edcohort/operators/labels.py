@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from ..functions.frames import melt, pearson, to_long
 from ..functions.frames import pct as pct_of
 from ..functions.timecols import add_hours, hours_between, parse_timestamp
+from ..sources.readers import STAY_KEYS, check_input
 from ..sources.schemas import has
 from .intervals import window_join
 
@@ -83,7 +84,8 @@ def lengthened_stay(df: DataFrame) -> DataFrame:
 
 def create_all_labels(df: DataFrame, icustays: DataFrame | None,
                       icu_hours: float = ICU_WINDOW_HOURS, keys: DataFrame | None = None) -> DataFrame:
-    """All labels."""
+    """All labels. P19: the stays must carry their keys."""
+    check_input(df, "stays", STAY_KEYS, non_empty=False)
     return (df.transform(hospital_death).transform(icu_transfer, icustays, icu_hours, "outtime", keys)
               .transform(critical_outcome).transform(lengthened_stay))
 

@@ -15,12 +15,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.frames import pct
 from ..functions.timecols import MICROS_PER_HOUR, add_hours, hours_between, parse_number, parse_timestamp
 from ..sources.labdim import GROUP_MINUTES, LAB_GROUP_ITEMS, LAB_GROUPS, lab_dim
-from ..sources.readers import scan_labevents
+from ..sources.readers import STAY_KEYS, check_input, scan_labevents
 from ..sources.schemas import has
 from .intervals import window_join
 
@@ -126,6 +127,15 @@ def labs_wide(labs: DataFrame, use_first: bool = True) -> DataFrame:
     return rows.groupBy("stay_id").agg(*wide_terms(use_first))
 
 
+def top_groups(labs: DataFrame, n: int = 5) -> DataFrame:
+    """The ``n`` most frequent groups of ``labs`` and their share (%) of all
+    its results (ties by name). The groups are the configured few, so the
+    totals are sums over a table of that size."""
+    counts = labs.groupBy("lab_group").agg(F.count(F.lit(1)).alias("n_results"))
+    shares = counts.withColumn("share_pct", pct("n_results", F.sum("n_results").over(Window.partitionBy(F.lit(1)))))
+    return shares.orderBy(F.desc("n_results"), "lab_group").limit(n)
+
+
 def add_utilization_flags(df: DataFrame) -> DataFrame:
     """A4: ``lab_<G>_ordered`` (value present) and their total. Absent
     values stay null (no imputation)."""
@@ -161,6 +171,7 @@ def extract_lab_features(df: DataFrame, labevents: DataFrame | None,
     """J4 → J13 → A1/A2 → A3 → J5 → A4 on the cohort frame. ``keys``
     (stay_id, subject_id, hadm_id, intime of the same stays) is the narrow
     side of the window join; by default it is projected from ``df``."""
+    check_input(df, "stays", STAY_KEYS, non_empty=False)
     if labevents is None:
         return add_empty_lab_features(df)
     dim = dim if dim is not None else lab_dim(spark or df.sparkSession)

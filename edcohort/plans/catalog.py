@@ -28,9 +28,10 @@ from ..operators import sequence as SQ
 from ..operators.split import modular_order, split_validation
 from ..session import ensure_checkpoint_dir
 from ..operators.triage import TRIAGE_FEATURE_COLS, extract_triage_features
-from ..sources.fixtures import d_labitems_from, fixture_tables, read_driver
+from ..sources.fixtures import d_labitems_from, fixture_tables, read_driver, vitalsign_from
 from ..sources.labdim import relevant_itemids
-from ..sources.readers import assemble_tables, load_notes, load_tables, sample_tables, scan_labevents
+from ..sources.readers import (STAY_KEYS, assemble_tables, check_input, load_notes, load_tables, sample_tables,
+                               scan_labevents)
 from ..sources.schemas import FEATURE_PREFIXES, NOTE_CATEGORIES, SOURCE_FILES, columns_with
 from ..sources.sinks import run_manifest, write_stage
 from . import text as TX
@@ -48,7 +49,7 @@ ROUNDED = {
     "lab_utilization_pct", "histogram", "box_stats", "row_loss", "source_profile", "notes_stats",
     "retention_sweep", "retention_by_category", "notes_per_outcome", "time_coverage", "text_reduction",
     "integration_stats", "outcome_by_text", "split_validation", "run_manifest", "label_correlations",
-    "lab_value_describe", "lab_value_box", "label_correlations_signed", "sequence_stats", "lab_group_frequency",
+    "lab_value_describe", "lab_group_distribution", "lab_value_box", "label_correlations_signed", "sequence_stats", "lab_group_frequency",
 }
 
 
@@ -778,6 +779,43 @@ def q_load_tables_files(spark, sf_dir):
     return PR.table_inventory({k: v for k, v in loaded.items() if k in files}).select("table", "n_rows")
 
 
+#: Stays of the loader's sample (S14) below.
+SAMPLE_STAYS = 2000
+
+
+@query("load_vitals_files")
+def q_load_vitals_files(spark, sf_dir):
+    """S4 in the loader: the vital signs of a sample of stays, from CSV."""
+    t = fixture_tables(spark, sf_dir)
+    root = _scratch(spark, "load-vitals")
+    vitals = vitalsign_from(read_driver(spark, sf_dir, "events"), t.edstays)
+    for name, df in {"edstays": t.edstays, "patients": t.patients, "vitalsign": vitals}.items():
+        df.write.option("header", True).csv(f"{root}/{SOURCE_FILES[name]}.csv")
+    loaded = load_tables(spark, root, load_labs=False, sample_stays=SAMPLE_STAYS).vitalsign
+    # the loader decides the columns: one that does not belong would show as a tenth
+    return loaded.groupBy("rhythm").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("stay_id").alias("n_stays"),
+        F.date_trunc("second", F.min("charttime")).cast("timestamp_ntz").alias("first"),  # CSV text holds milliseconds
+        F.count_if(F.col("pain") == "unable").alias("n_unable"), F.lit(len(loaded.columns)).alias("n_columns"),
+        *[F.sum(c).alias(f"{c}_sum") for c in ("temperature", "heartrate", "resprate", "o2sat", "sbp", "dbp")])
+
+
+@query("labels_from_stage")
+def q_labels_from_stage(spark, sf_dir):
+    """Features and labels by their own operators from a checked stage
+    table of the cohort."""
+    t = fixture_tables(spark, sf_dir)
+    cohort = check_input(write_stage(C.apply_filters(t), "cohort", spark), "cohort", STAY_KEYS)
+    return LB.create_all_labels(featured_stays(t, cohort=cohort), t.icustays).select(
+        "stay_id", "hospital_death", "icu_transfer_12h", "critical_outcome", "lengthened_ed_stay")
+
+
+@query("lab_group_distribution")
+def q_lab_group_distribution(spark, sf_dir):
+    """The five most frequent lab groups and their share of all results."""
+    return LS.top_groups(_labs(spark, sf_dir))
+
+
 @query("load_notes_files")
 def q_load_notes_files(spark, sf_dir):
     """Note files (quoted multi-line CSV) of admitted patients."""

@@ -236,6 +236,19 @@ FROM cohort""")
       SELECT 'diagnoses_icd', count(*) FROM admissions UNION ALL
       SELECT 'labevents', count(*) FROM labevents l WHERE l.valuenum IS NOT NULL
         AND l.itemid IN ({_relevant_items()})""")
+    vital = {c: f"CASE WHEN event_id % {stride} <> 0 THEN CAST({base} + event_id % {mod} AS DOUBLE) END"
+             for c, stride, base, mod in (("temperature", 11, 96, 8), ("heartrate", 7, 50, 90), ("resprate", 5, 10, 20),
+                                          ("o2sat", 3, 85, 16), ("sbp", 4, 90, 100), ("dbp", 13, 50, 60))}
+    q["load_vitals_files"] = m(f"""
+v AS (
+  SELECT (event_id * 7919) % (2 * (SELECT count(*) FROM edstays)) AS stay_id, ts, event_type, event_id % 9 = 0 AS unable,
+    {', '.join(f'{x} AS {c}' for c, x in vital.items())} FROM events)
+SELECT event_type AS rhythm, count(*) AS n_rows, count(DISTINCT stay_id) AS n_stays, CAST(date_trunc('second', min(ts)) AS TIMESTAMP) AS first,
+  count(*) FILTER (WHERE unable) AS n_unable, 11 AS n_columns, {', '.join(f'sum({c}) AS {c}_sum' for c in vital)}
+FROM v WHERE stay_id IN (SELECT stay_id FROM edstays ORDER BY stay_id LIMIT 2000) GROUP BY event_type""")
+    q["lab_group_distribution"] = m(COHORT + labs_ctes() + f"""
+SELECT lab_group, count(*) AS n_results, {_r6('count(*) * 100.0 / (SELECT count(*) FROM labs_g)')} AS share_pct
+FROM labs_g GROUP BY lab_group ORDER BY n_results DESC, lab_group LIMIT 5""")
     q["load_notes_files"] = m("""SELECT note_category, category_priority, count(*) AS n_notes,
       CAST(sum(length(text)) AS BIGINT) AS n_chars, count(DISTINCT hadm_id) AS n_admissions
       FROM notes WHERE text IS NOT NULL AND text <> '' AND hadm_id IS NOT NULL GROUP BY ALL""")
@@ -275,6 +288,7 @@ SELECT stay_id, CAST(COALESCE({_hours('intime', 'outtime')} > 24, false) AS INTE
 FROM joined WHERE hadm_id IS NOT NULL""")
     q["all_labels"] = m(labelled_ctes() + """
 SELECT stay_id, hospital_death, icu_transfer_12h, critical_outcome, lengthened_ed_stay FROM labelled""")
+    q["labels_from_stage"] = q["all_labels"]
     cost_sel = ", ".join(f"{_r6(c)} AS {c}" for c in COST_COLS)
     q["labelled_stays"] = m(labelled_ctes() + f"""
 SELECT {COHORT_COLS}, {TRIAGE_FEATURE_COLS}, {LAB_FEATURE_COLS}, {cost_sel},

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.cohort import apply_filters
 from ..operators.labels import crosstab_margins, label_correlations, label_summary
-from ..sources.readers import Tables
+from ..sources.readers import STAY_KEYS, Tables, check_input
 from ..sources.sinks import run_manifest, write_manifest, write_parquet, write_stage, write_summary_csv
 from .tabular import labelled_stays
 from .text import multimodal, sequences, split_multimodal
@@ -31,6 +31,7 @@ def run_all(spark: SparkSession, t: Tables, out_dir: str, strategy: str = "prior
     one folder per split), three summary CSVs and ``manifest`` (JSON)."""
     run_id = uuid.uuid4().hex
     cohort = write_stage(apply_filters(t), "cohort", spark, run_id=run_id)
+    check_input(cohort, "cohort", STAY_KEYS)  # P19, before features and labels: one row of the stage
     labelled = write_stage(labelled_stays(t, lab_window_hours, cohort=cohort), "labelled", spark,
                            run_id=run_id)
     write_parquet(labelled, os.path.join(out_dir, "labeled_data"))

@@ -119,6 +119,24 @@ def labevents_from(lineitem: DataFrame, edstays: DataFrame, dim: DataFrame) -> D
     )
 
 
+def vitalsign_from(events: DataFrame, edstays: DataFrame) -> DataFrame:
+    """Each event becomes a vital-sign row; about half of them belong to stays
+    that do not exist, and a column stands beside the eleven."""
+    e = F.col("event_id")
+    n_stays = edstays.select(F.count(F.lit(1))).scalar()
+
+    def vital(stride: int, base: int, mod: int) -> Column:
+        return F.when(e % stride != 0, (F.lit(base) + e % mod).cast("double"))
+
+    return events.select(
+        F.col("user_id").alias("subject_id"), F.pmod(e * 7919, 2 * n_stays).alias("stay_id"),
+        F.col("ts").cast("timestamp_ntz").alias("charttime"), vital(11, 96, 8).alias("temperature"),
+        vital(7, 50, 90).alias("heartrate"), vital(5, 10, 20).alias("resprate"), vital(3, 85, 16).alias("o2sat"),
+        vital(4, 90, 100).alias("sbp"), vital(13, 50, 60).alias("dbp"), F.col("event_type").alias("rhythm"),
+        F.when(e % 9 == 0, F.lit("unable")).otherwise((e % 11).cast("string")).alias("pain"),
+        F.col("value").alias("not_loaded"))
+
+
 def notes_from(documents: DataFrame, edstays: DataFrame) -> DataFrame:
     """Documents become notes: three consecutive documents share a stay, and
     the stays are spread over the whole stay range (a scalar subquery gives

@@ -49,6 +49,10 @@ class Tables:
         return replace(self, **kw)
 
 
+#: What every table of stays must carry.
+STAY_KEYS = ["stay_id", "subject_id"]
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Asked of the path's own file system (local, HDFS, object store)."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -147,7 +151,8 @@ def load_tables(spark: SparkSession, root: str, fmt: str = "csv",
     """The whole table set. Stays and patients must exist and hold rows;
     other missing files are empty tables. Admissions, ICU stays and lab events
     are those of patients with an ED stay, ICD rows those of the loaded
-    admissions (semi joins, so no id set is collected). Loading is lazy, so the
+    admissions (semi joins, so no id set is collected); vital signs are the eleven
+    columns (S4), of the sampled stays if there is a sample. Loading is lazy, so the
     memory switches of a row-at-a-time loader reduce to which scans are planned
     at all."""
     t = Tables(
@@ -165,12 +170,13 @@ def load_tables(spark: SparkSession, root: str, fmt: str = "csv",
         icustays=read_table(spark, root, "icustays", fmt,
                             ["subject_id", "hadm_id", "stay_id", "intime", "outtime"]),
     )
-    check_input(t.edstays, "edstays", ["stay_id", "subject_id"])
+    check_input(t.edstays, "edstays", STAY_KEYS)
     check_input(t.patients, "patients", ["subject_id"])
-    if load_vitals:
-        t.vitalsign = read_table(spark, root, "vitalsign", fmt)
     if sample_stays is not None:
         t = sample_tables(t, sample_stays)
+    if load_vitals:
+        t.vitalsign = scan_vitalsign(read_table(spark, root, "vitalsign", fmt, VITAL_COLS),
+                                     t.edstays if sample_stays is not None else None)
     seen = t.edstays.select("subject_id").distinct()
     t.admissions = t.admissions.join(seen, "subject_id", "left_semi")
     t.icustays = t.icustays.join(seen, "subject_id", "left_semi")
@@ -230,11 +236,13 @@ def scan_labevents(labevents: DataFrame, patients: DataFrame | None = None,
     return df
 
 
+VITAL_COLS = ["subject_id", "stay_id", "charttime", "temperature", "heartrate", "resprate",
+              "o2sat", "sbp", "dbp", "rhythm", "pain"]
+
+
 def scan_vitalsign(vitalsign: DataFrame, stays: DataFrame | None = None) -> DataFrame:
     """The eleven vital-sign columns, optionally of given stays."""
-    wanted = ["subject_id", "stay_id", "charttime", "temperature", "heartrate", "resprate",
-              "o2sat", "sbp", "dbp", "rhythm", "pain"]
-    df = vitalsign.select(*[c for c in wanted if c in vitalsign.columns])
+    df = vitalsign.select(*[c for c in VITAL_COLS if c in vitalsign.columns])
     if stays is not None:
         df = df.join(stays.select("stay_id").distinct(), "stay_id", "left_semi")
     return df

@@ -92,3 +92,20 @@ def test_fused_events_equal_separate_operators(spark):
     a = sorted(tuple(r) for r in fused.select(*cols).collect())
     b = sorted(tuple(r) for r in apart.select(*cols).collect())
     assert a == b and len(a) == 882
+
+
+def test_top_groups(spark):
+    labs = spark.createDataFrame([(g,) for g in "AAABBCCDEF"], "lab_group string")
+    assert [tuple(r) for r in LS.top_groups(labs).collect()] == [
+        ("A", 3, 30.0), ("B", 2, 20.0), ("C", 2, 20.0), ("D", 1, 10.0), ("E", 1, 10.0)]
+    assert LS.top_groups(labs.limit(0)).collect() == []
+
+
+def test_features_and_labels_need_their_keys(spark):
+    import pytest
+    from edcohort.operators import labels as LB
+    lacking = spark.createDataFrame([(1,)], "stay_id long")
+    with pytest.raises(ValueError, match="subject_id"):
+        LS.extract_lab_features(lacking, None)
+    with pytest.raises(ValueError, match="subject_id"):
+        LB.create_all_labels(lacking, None)
