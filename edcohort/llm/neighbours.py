@@ -26,9 +26,9 @@ Recall against brute force is over 0.99 on the given tables (see README).
 Defined cases: fewer rows than ``k`` give all of them; ties go to the smaller
 vec_id; rows with a repeated vec_id are all candidates of other ids, none of
 their own id, and as queries they give one answer per distinct vector; vectors
-of another length than the query's are no candidates (only the most frequent
-length takes part); an empty table gives an empty result; further columns are
-not read.
+of another length than the query's are no candidates for it: every length has
+shards, query blocks and answers of its own; an empty table gives an empty
+result; further columns are not read.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import graph_index as graph
@@ -56,14 +56,15 @@ NODE = "k1 long, k2 long"
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id, vec array<double>, k1, k2 (128 bits of the vector)."""
+    """vec_id, vec array<double>, its length ``width``, k1, k2 (128 bits of the
+    vector)."""
     v = F.col("embedding").cast("array<double>")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("vec")).filter(
         F.col("vec_id").isNotNull() & F.col("vec").isNotNull() & (F.size("vec") > 0))
     # abs(x) < infinity is false for NaN, which is larger than all numbers here
     rows = rows.filter(F.forall("vec", lambda x: x.isNotNull() & (F.abs(x) < F.lit(float("inf"))))
                        & F.exists("vec", lambda x: x != 0.0))
-    return rows.withColumn("k1", F.xxhash64("vec")).withColumn("k2", F.xxhash64(F.lit(1), "vec"))
+    return rows.withColumns({"width": F.size("vec"), "k1": F.xxhash64("vec"), "k2": F.xxhash64(F.lit(1), "vec")})
 
 
 def _matrix(column: pa.ListArray, rows: int) -> np.ndarray:
@@ -81,36 +82,42 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Row by row, in double precision; large components are scaled first."""
+    if not len(a):
+        return np.zeros(0)
     a, b = (v / np.abs(v).max(axis=1, keepdims=True) if np.abs(v).max() > 1e100 or np.abs(v).max(axis=1).min() < 1e-100
             else v for v in (a, b))
     return np.einsum("nd,nd->n", a, b) / np.sqrt(np.einsum("nd,nd->n", a, a) * np.einsum("nd,nd->n", b, b))
 
 
 def shard_graphs(nodes: DataFrame) -> DataFrame:
-    """One row per shard: keys, smallest ids, vectors, graph, entry."""
+    """One row per shard: keys, smallest ids, whether a node has that id alone,
+    vectors, graph, entry."""
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by([("k1", "ascending"), ("k2", "ascending")]).combine_chunks()
         x = _matrix(t["vec"].chunk(0), t.num_rows)
         g, entry = graph.build(_unit(x))
-        return pa.table({"shard": t["shard"].slice(0, 1), "k1": [t["k1"].to_pylist()], "k2": [t["k2"].to_pylist()],
-                         "least": [t["vec_id"].to_pylist()], "vectors": [x.tobytes()], "graph": [g.astype("<i4").tobytes()],
+        return pa.table({"width": t["width"].slice(0, 1), "shard": t["shard"].slice(0, 1), "k1": [t["k1"].to_pylist()], "k2": [t["k2"].to_pylist()],
+                         "least": [t["vec_id"].to_pylist()], "alone": [t["alone"].to_pylist()], "vectors": [x.tobytes()], "graph": [g.astype("<i4").tobytes()],
                          "entry": pa.array([entry], pa.int32())})
 
-    return nodes.groupBy("shard").applyInArrow(
-        run, "shard int, k1 array<long>, k2 array<long>, least array<long>, vectors binary, graph binary, entry int")
+    return nodes.groupBy("width", "shard").applyInArrow(
+        run, "width int, shard int, k1 array<long>, k2 array<long>, least array<long>, alone array<boolean>, "
+             "vectors binary, graph binary, entry int")
 
 
-def query_blocks(rows: DataFrame, blocks: int, shards: int) -> DataFrame:
-    """Blocks of queries, one copy per shard."""
+def query_blocks(rows: DataFrame) -> DataFrame:
+    """Blocks of queries of one length, one copy per shard of it. ``rows`` carry
+    the numbers of ``blocks`` and ``shards`` of their length."""
     def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by("vec_id").combine_chunks()
-        return pa.table({"queries": [t["vec_id"].to_pylist()],
+        t = t.sort_by([("vec_id", "ascending"), ("k1", "ascending"), ("k2", "ascending")]).combine_chunks()
+        return pa.table({"width": t["width"].slice(0, 1), "shards": t["shards"].slice(0, 1),
+                         "queries": [t["vec_id"].to_pylist()], "q1": [t["k1"].to_pylist()], "q2": [t["k2"].to_pylist()],
                          "wanted": [_matrix(t["vec"].chunk(0), t.num_rows).tobytes()]})
 
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    packed = dealt.select("block", "vec_id", "vec").groupBy("block").applyInArrow(
-        run, "queries array<long>, wanted binary")
-    return packed.select("*", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id", "k1"), "blocks").cast("int"))
+    packed = dealt.select("width", "shards", "block", "vec_id", "k1", "k2", "vec").groupBy("width", "block").applyInArrow(
+        run, "width int, shards int, queries array<long>, q1 array<long>, q2 array<long>, wanted binary")
+    return packed.select("*", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard")).drop("shards")
 
 
 def _best(score: np.ndarray, least: np.ndarray, best: int) -> np.ndarray:
@@ -128,59 +135,62 @@ def _crowded(unit: np.ndarray, g: np.ndarray) -> np.ndarray:
 
 
 def _nearest_in_shard(unit: np.ndarray, x: np.ndarray, g: np.ndarray, entry: int, least: np.ndarray,
-                      crowded: np.ndarray, unit_q: np.ndarray, q: np.ndarray, best: int, beam: int) -> np.ndarray:
-    """[b, best] nodes (-1: none) per query."""
+                      crowded: np.ndarray, unit_q: np.ndarray, q: np.ndarray, own: np.ndarray, best: int,
+                      beam: int) -> np.ndarray:
+    """[b, best] nodes (-1: none) per query; ``own`` [b, nodes] are those that
+    hold nothing but the query's id."""
     found, dist = graph.beam_search(unit, g, unit_q, entry, beam)
     full = found[:, -1] >= 0
     tight = np.where(full, dist[:, -1] <= dist[:, min(best, beam) - 1] + FLOAT_ERROR, (found >= 0).sum(1) < len(x))
     tight |= (crowded[found] & (found >= 0))[:, :best].any(1)
+    found = np.where(np.take_along_axis(own, np.maximum(found, 0), 1), -1, found)
+    tight |= (found >= 0).sum(1) < np.minimum(best, len(x) - own.sum(1))
     at = np.nonzero(found >= 0)
     score = np.full(found.shape, -np.inf)
     score[at] = _cosines(q[at[0]], x[found[at]])
     out = np.take_along_axis(found, _best(score, least[found], best), 1)
     if tight.any():
-        near = _best(_directions(q[tight]) @ _directions(x).T, least, best)
+        all_scores = np.where(own[tight], -np.inf, _directions(q[tight]) @ _directions(x).T)
+        near = _best(all_scores, least, best)
+        near = np.where(np.take_along_axis(own[tight], near, 1), -1, near)
         out[tight] = np.pad(near, ((0, 0), (0, out.shape[1] - near.shape[1])), constant_values=-1)
     return out
 
 
 def _search(pairs: DataFrame, best: int, beam: int) -> DataFrame:
-    """query_id, k1, k2, least, score: the ``best`` nodes per query and shard."""
+    """query_id, q1, q2, k1, k2, least, score: the ``best`` nodes per query and shard."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 q_ids = np.array(row["queries"], np.int64)
+                q_keys = np.array([row["q1"], row["q2"]], np.int64)
                 q = np.frombuffer(row["wanted"]).reshape(len(q_ids), -1)
                 keys = np.array([row["k1"], row["k2"]], np.int64)
                 x = np.frombuffer(row["vectors"]).reshape(keys.shape[1], -1)
                 g = np.frombuffer(row["graph"], "<i4").reshape(len(x), -1).astype(np.int64)
-                least = np.array(row["least"], np.int64)
+                least, alone = np.array(row["least"], np.int64), np.array(row["alone"], bool)
                 unit, unit_q = _unit(x), _unit(q)
                 crowded = _crowded(unit, g)
                 for a in range(0, len(q), graph.BATCH):
                     some = slice(a, a + graph.BATCH)
-                    found = _nearest_in_shard(unit, x, g, row["entry"], least, crowded, unit_q[some], q[some], best,
-                                              beam)
+                    found = _nearest_in_shard(unit, x, g, row["entry"], least, crowded, unit_q[some], q[some],
+                                              alone & (least == q_ids[some, None]), best, beam)
                     at = np.nonzero(found >= 0)
                     node, who = found[at], at[0] + a
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(q_ids[who]), pa.array(keys[0, node]), pa.array(keys[1, node]),
-                         pa.array(least[node]), pa.array(_cosines(q[who], x[node]))], ["query_id", "k1", "k2", "least", "score"])
+                        [pa.array(q_ids[who]), pa.array(q_keys[0, who]), pa.array(q_keys[1, who]),
+                         pa.array(keys[0, node]), pa.array(keys[1, node]), pa.array(least[node]),
+                         pa.array(_cosines(q[who], x[node]))], ["query_id", "q1", "q2", "k1", "k2", "least", "score"])
 
-    return pairs.mapInArrow(run, f"query_id long, {NODE}, least long, score double")
+    return pairs.mapInArrow(run, f"query_id long, q1 long, q2 long, {NODE}, least long, score double")
 
 
 def nearest(spark: SparkSession, vectors: DataFrame, k: int = K, every: int = EVERY,
             shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS, beam: int = BEAM) -> DataFrame:
     """op9: query_id, rank, vec_id, score."""
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     ws = Workspace(spark, "neighbours")
-    rows = usable(vectors).withColumn("width", F.size("vec"))
-    width = rows.groupBy("width").count().orderBy(F.desc("count"), "width").first()
-    if width is None:
-        return empty
-    rows = ws.put(rows.filter(F.col("width") == width["width"]).drop("width"), "rows")
+    rows = ws.put(usable(vectors), "rows")
 
     # the k + 1 smallest ids of every distinct vector, first within parts
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -191,24 +201,28 @@ def nearest(spark: SparkSession, vectors: DataFrame, k: int = K, every: int = EV
     ids = ids.withColumn("n", F.row_number().over(whole)).filter(F.col("n") <= k + 1)
     ids = ws.put(ids.select("k1", "k2", "vec_id", "n"), "ids")
 
-    first = ids.filter("n = 1").select("k1", "k2", "vec_id")
+    first = ids.groupBy("k1", "k2").agg(F.min("vec_id").alias("vec_id"), (F.count(F.lit(1)) == 1).alias("alone"))
     nodes = rows.join(first, ["k1", "k2", "vec_id"]).dropDuplicates(["k1", "k2"])
-    shards = max(1, -(-first.count() // shard_rows))
-    nodes = nodes.withColumn("shard", F.pmod(F.xxhash64("k1", "k2"), F.lit(shards)).cast("int"))
-    graphs = ws.put(shard_graphs(nodes.select("shard", "k1", "k2", "vec_id", "vec")), "graphs")
-
     asking = rows.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "k1", "k2"])
-    n = asking.count()
-    if not n:
-        return empty
-    asked = query_blocks(asking, -(-n // query_rows), shards)
-    # repartition by shard and block: a task searches one shard for one block
-    found = ws.put(_search(asked.join(graphs, "shard"), k + 1, beam), "found")
+
+    def parts_of(n: Column, size: int) -> Column:
+        return F.greatest(F.ceil(n / size), F.lit(1)).cast("int")
+
+    # one row per length: how many shards and query blocks it has
+    widths = nodes.groupBy("width").agg(parts_of(F.count(F.lit(1)), shard_rows).alias("shards"))
+    asked_of = asking.groupBy("width").agg(parts_of(F.count(F.lit(1)), query_rows).alias("blocks"))
+    widths = ws.put(widths.join(asked_of, "width", "left"), "widths")
+    nodes = nodes.join(widths, "width").withColumn("shard", F.pmod(F.xxhash64("k1", "k2"), "shards").cast("int"))
+    graphs = ws.put(shard_graphs(nodes.select("width", "shard", "k1", "k2", "vec_id", "alone", "vec")), "graphs")
+    asked = query_blocks(asking.join(widths, "width"))
+    # one row per shard and block: a task searches one shard for one block
+    found = ws.put(_search(asked.join(graphs, ["width", "shard"]), k + 1, beam), "found")
     ws.drop("rows", "graphs")
 
-    best = Window.partitionBy("query_id").orderBy(F.round("score", DIGITS).desc(), "least", "k1", "k2")
+    asker = ["query_id", "q1", "q2"]
+    best = Window.partitionBy(*asker).orderBy(F.round("score", DIGITS).desc(), "least", "k1", "k2")
     top = found.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k + 1).drop("n", "least")
     opened = top.join(ids.drop("n"), ["k1", "k2"]).filter("vec_id <> query_id")
-    order = Window.partitionBy("query_id").orderBy(F.round("score", DIGITS).desc(), "vec_id")
-    return (opened.select("query_id", "vec_id", "score").withColumn("rank", F.row_number().over(order))
+    order = Window.partitionBy(*asker).orderBy(F.round("score", DIGITS).desc(), "vec_id")
+    return (opened.select(*asker, "vec_id", "score").withColumn("rank", F.row_number().over(order))
             .filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))

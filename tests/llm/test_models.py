@@ -232,3 +232,23 @@ def test_graph_of_few_points():
     g, entry = graph_index.build(x)
     ids, _ = graph_index.beam_search(x, g, x, entry, 8)
     assert [set(r[r >= 0].tolist()) for r in ids] == [{0, 1, 2}] * 3 and ids[:, 0].tolist() == [0, 1, 2]
+
+
+def test_neighbours_of_every_length(spark):
+    rng = np.random.default_rng(6)
+    x2, x3 = rng.standard_normal((600, 2)), rng.standard_normal((200, 3))
+    i2, i3 = np.arange(600) * 25, 20_000 + np.arange(200) * 25
+    rows = [(int(i), v.tolist()) for i, v in [*zip(i2, x2, strict=True), *zip(i3, x3, strict=True)]]
+    frame = spark.createDataFrame(rows + [(7, [1.0] * 9)], "vec_id long, embedding array<double>").repartition(5)
+    got = answers(neighbours.nearest(spark, frame, shard_rows=150, query_rows=64))
+    want = brute_nearest(i2, x2) | brute_nearest(i3, x3)
+    assert set(got) == set(want) and len(got) == 400
+    assert np.mean([len({v for v, _ in got[q]} & {v for v, _ in want[q]}) for q in want]) / 5 > 0.97
+
+
+def test_a_query_id_with_two_vectors_gets_two_answers(spark):
+    data = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (50, [1.0, 0.0])] + [(i, [float(np.cos(i)), float(np.sin(i))]) for i in range(1, 8)]
+    out = neighbours.nearest(spark, spark.createDataFrame(data, "vec_id long, embedding array<double>")).collect()
+    assert sorted(r["rank"] for r in out) == sorted(list(range(1, 6)) * 2)
+    near = lambda axis: sorted(range(1, 8), key=lambda i: -(np.cos(i) if axis == 0 else np.sin(i)))[:5]
+    assert sorted(r.vec_id for r in out) == sorted(near(0) + near(1))
