@@ -59,29 +59,39 @@ def clean_text(c: str | Column, remove_special_chars: bool = False, lowercase: b
     return strip_ws(t)
 
 
+def _greedy_cuts(lengths: Column, limit: int) -> Column:
+    """Positions (from 0) at which a new segment begins, and the end. The open
+    segment's size is its last prefix sum less the one before its first
+    sentence, kept as one running number: a sentence joins while that and its
+    own length stay within the limit, and then counts with the blank before it."""
+    start = F.struct(F.lit(0).alias("size"), F.lit(0).alias("at"), F.array().cast("array<int>").alias("cuts"))
+
+    def step(acc: Column, n: Column) -> Column:
+        fits = acc["size"] + n <= limit
+        return F.struct(
+            F.when(fits, acc["size"] + n + 1).otherwise(n).alias("size"), (acc["at"] + 1).alias("at"),
+            F.when(fits & (acc["at"] > 0), acc["cuts"]).otherwise(F.array_append(acc["cuts"], acc["at"])).alias("cuts"))
+
+    return F.aggregate(lengths, start, step, lambda acc: F.array_append(acc["cuts"], acc["at"]))
+
+
 def segment_text(c: str | Column, max_tokens: int = 512) -> Column:
     """text of at most ``max_tokens``·4 characters → one segment; longer
     text is split after sentence ends and packed greedily; a sentence longer
-    than the limit stays whole. A fold over the sentence array inside the
-    row (no shuffle, no Python)."""
+    than the limit stays whole. The cuts are found on the sentence lengths
+    alone, then every segment is sliced and joined once, so the work is linear
+    in the text."""
     t = _c(c)
     max_chars = max_tokens * CHARS_PER_TOKEN
     sentences = F.split(t, SPARK_SENTENCE_SPLIT)
-    init = F.struct(F.array().cast("array<string>").alias("segs"), F.lit("").alias("cur"))
-
-    def step(acc: Column, s: Column) -> Column:
-        fits = F.length(acc["cur"]) + F.length(s) <= max_chars
-        flushed = F.when(acc["cur"] != "", F.array_append(acc["segs"], strip_ws(acc["cur"]))) \
-                   .otherwise(acc["segs"])
-        return F.when(fits, F.struct(acc["segs"].alias("segs"),
-                                     F.concat(acc["cur"], F.lit(" "), s).alias("cur"))) \
-                .otherwise(F.struct(flushed.alias("segs"), s.alias("cur")))
 
-    def finish(acc: Column) -> Column:
-        return F.when(acc["cur"] != "", F.array_append(acc["segs"], strip_ws(acc["cur"]))) \
-                .otherwise(acc["segs"])
+    def sliced(parts: Column) -> Column:
+        cuts = F.array(_greedy_cuts(F.transform(parts, F.length), max_chars))
+        return F.flatten(F.transform(cuts, lambda at: F.transform(
+            F.sequence(F.lit(0), F.size(at) - 2),
+            lambda i: strip_ws(F.array_join(F.slice(parts, F.get(at, i) + 1, F.get(at, i + 1) - F.get(at, i)), " ")))))
 
-    packed = F.aggregate(sentences, init, step, finish)
+    packed = F.flatten(F.transform(F.array(sentences), sliced))  # the sentences are split once
     return F.when(t.isNull(), F.lit(None).cast("array<string>")) \
             .when(F.length(t) <= max_chars, F.array(t)).otherwise(packed)
 
