@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.frames import pct
@@ -129,11 +129,14 @@ def labs_wide(labs: DataFrame, use_first: bool = True) -> DataFrame:
 
 def top_groups(labs: DataFrame, n: int = 5) -> DataFrame:
     """The ``n`` most frequent groups of ``labs`` and their share (%) of all
-    its results (ties by name). The groups are the configured few, so the
-    totals are sums over a table of that size."""
+    its results (ties by name). One row holds the counts of the configured few
+    groups and their total."""
     counts = labs.groupBy("lab_group").agg(F.count(F.lit(1)).alias("n_results"))
-    shares = counts.withColumn("share_pct", pct("n_results", F.sum("n_results").over(Window.partitionBy(F.lit(1)))))
-    return shares.orderBy(F.desc("n_results"), "lab_group").limit(n)
+    whole = counts.agg(F.sum("n_results").alias("__total"),
+                       F.collect_list(F.struct("lab_group", "n_results")).alias("__groups"))
+    shares = whole.select("__total", F.inline("__groups"))
+    return (shares.select("lab_group", "n_results", pct("n_results", "__total").alias("share_pct"))
+            .orderBy(F.desc("n_results"), "lab_group").limit(n))
 
 
 def add_utilization_flags(df: DataFrame) -> DataFrame:
