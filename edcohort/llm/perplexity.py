@@ -8,18 +8,21 @@ character of a word, or that the word is its predecessor again, from the last
 ``TAIL`` characters of the predecessor. So clean words that are repeated or
 shuffled cost more than clean text.
 
-Counts: words of the trusted texts are counted (combined before the shuffle),
-their n-grams are summed, lower orders take the number of distinct left
-extensions. Probabilities follow order by order from joins of count tables that
+Counts: words and borders of the trusted texts are counted in one pass
+(combined before the shuffle), their n-grams are summed, lower orders take the
+number of distinct left extensions. Trust is looked up in masks of 64 ids, a
+table that is broadcast up to ``MASKS`` rows, so that texts stay where they are
+read; only beyond that are they joined by a shuffle. Probabilities follow order by order from joins of count tables that
 are sharded by context: n-gram with the sums of its context, then with the
 probability of its suffix.
 
 Scoring: the table is cut into shards of ``SHARD_ENTRIES`` entries by the two
 characters before the predicted one, so all n-grams a position can ask for lie
-in one shard (orders 1 and 2 in every one). Each shard is sent to the tasks
-and joined with the n-grams of all texts inside them, and the partial sums of
-a document are added. So memory is bounded however large the model grows, and
-the n-grams of the corpus are never shuffled. Tasks keep the sums of words
+in one shard (orders 1 and 2 in every one). One shard after the other is
+sent to the tasks and joined with the n-grams of all texts inside them, and the
+partial sums of a document are added. So the driver holds one shard at a time
+however large the model grows, and the n-grams of the corpus are never shuffled
+(pairs of document and word would take more room than the texts). Tasks keep the sums of words
 they have met in a bounded cache.
 
 A document's score is a lower bound of its mean negative log-probability (mean
@@ -64,6 +67,8 @@ BORDER_MARGIN = 1.0
 LEAST = 200
 FEW = 3
 FOLDS = 5
+#: Rows (of 16 bytes) up to which the trusted ids are broadcast.
+MASKS = 2_000_000
 CACHE_WORDS = 250_000
 #: Longer words are scored in parts of this many characters.
 WORD_CHARS = 64
@@ -78,22 +83,53 @@ U64 = np.uint64
 MULTIPLIER = U64(0x9E3779B97F4A7C15)
 
 
+def _trusted_ids(labels: DataFrame) -> DataFrame:
+    return (labels.filter((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0))
+            .select(F.col("doc_id").cast("long").alias("doc_id")).filter(F.col("doc_id").isNotNull()))
+
+
 def trusted_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    good = (labels.filter((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0))
-            .select(F.col("doc_id").cast("long").alias("doc_id")).distinct())
-    return docs.join(good, "doc_id", "left_semi")
+    return docs.join(_trusted_ids(labels).distinct(), "doc_id", "left_semi")
+
+
+def trusted_texts(ws: Workspace, docs: DataFrame, labels: DataFrame, limit: int = MASKS) -> DataFrame:
+    """The trusted rows of ``docs``. Ids are kept as (id div 64, mask of 64 bits):
+    an eighth of a byte to 16 bytes an id. Up to ``limit`` such rows are
+    broadcast, more are joined by a shuffle."""
+    def place(doc_id: Column) -> Column:
+        return doc_id.bitwiseAND(F.lit(63)).cast("int")
+
+    block = F.shiftright(F.col("doc_id"), 6).alias("block")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place(F.col("doc_id")))
+    masks = ws.put(_trusted_ids(labels).groupBy(block).agg(F.bit_or(bit).alias("mask")), "masks")
+    small = masks.count() <= limit
+    rows = docs.withColumn("block", block).join(F.broadcast(masks) if small else masks, "block")
+    return rows.filter(F.getbit("mask", place(F.col("doc_id"))) == 1).drop("block", "mask")
 
 
 def _fold(doc_id: Column) -> Column:
     return F.pmod(F.xxhash64(F.lit("fold"), doc_id), F.lit(FOLDS))
 
 
-def ngram_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
-    """(g, c): the longest n-grams that end at each position, and their counts."""
-    counted = (texts.select(F.explode(words(F.col("text"))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("c")))
-    parts = counted.select(F.explode(F.transform(
-        F.sequence(F.lit(0), F.floor((F.char_length("w") - 1) / F.lit(WORD_CHARS)).cast("int")),
-        lambda i: F.concat(F.lit(START), F.substring(F.col("w"), i * WORD_CHARS + 1, F.lit(WORD_CHARS)), F.lit(END)))
+def unit_counts(texts: DataFrame) -> DataFrame:
+    """(s, c): the words of the texts and the borders between them, and their
+    counts. A border is the end of a word, a space (which no word holds) and the
+    first character of the next word, or ``AGAIN``."""
+    def border(v: Column, n: Column) -> Column:
+        return F.concat(F.substring(F.concat(F.lit(START), v), -TAIL, TAIL), F.lit(" "),
+                        F.when(v == n, F.lit(AGAIN)).otherwise(F.substring(n, 1, 1)))
+
+    units = let(words(F.col("text")), lambda a: F.concat(a, F.zip_with(
+        F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0))), F.slice(a, F.lit(2), F.size(a)), border)))
+    return texts.select(F.explode(units).alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c"))
+
+
+def ngram_counts(units: DataFrame, order: int = ORDER) -> DataFrame:
+    """(g, c): the longest n-grams that end at each position of the words, and
+    their counts."""
+    parts = units.filter(~F.contains(F.col("s"), F.lit(" "))).select(F.explode(F.transform(
+        F.sequence(F.lit(0), F.floor((F.char_length("s") - 1) / F.lit(WORD_CHARS)).cast("int")),
+        lambda i: F.concat(F.lit(START), F.substring(F.col("s"), i * WORD_CHARS + 1, F.lit(WORD_CHARS)), F.lit(END)))
     ).alias("s"), "c")
     grams = parts.select(F.explode(F.transform(
         F.sequence(F.lit(2), F.char_length("s")),
@@ -102,19 +138,11 @@ def ngram_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
     return grams.groupBy("g").agg(F.sum("c").alias("c"))
 
 
-def border_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
+def border_counts(units: DataFrame, order: int = ORDER) -> DataFrame:
     """(g, c): the longest n-grams that end at the first character of a word
     with a word before it, and their counts."""
-    w = words(F.col("text"))
-
-    def border(v: Column, n: Column) -> Column:
-        return F.concat(F.substring(F.concat(F.lit(START), v), -TAIL, TAIL), F.lit(" "),
-                        F.when(v == n, F.lit(AGAIN)).otherwise(F.substring(n, 1, 1)))
-
-    pairs = let(w, lambda a: F.zip_with(F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0))),
-                                        F.slice(a, F.lit(2), F.size(a)), border))
-    counted = texts.select(F.explode(pairs).alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c"))
-    return counted.groupBy(F.substring("s", -order, order).alias("g")).agg(F.sum("c").alias("c"))
+    borders = units.filter(F.contains(F.col("s"), F.lit(" ")))
+    return borders.groupBy(F.substring("s", -order, order).alias("g")).agg(F.sum("c").alias("c"))
 
 
 def _levels(ws: Workspace, grams: DataFrame, order: int) -> dict[int, DataFrame]:
@@ -362,24 +390,24 @@ def perplexities(spark: SparkSession, docs: DataFrame, labels: DataFrame, order:
     text."""
     ws = Workspace(spark, "perplexity")
     rows = _rows(docs)
-    texts = trusted_rows(rows, labels).filter(_fold(F.col("doc_id")) > 0)
-    inside = ws.put(model(ws, ngram_counts(texts, order), order), "inside")
+    texts = trusted_texts(ws, rows, labels).filter(_fold(F.col("doc_id")) > 0)
+    units = ws.put(unit_counts(texts), "units")
+    inside = ws.put(model(ws, ngram_counts(units, order), order), "inside")
     steps = [f"{kind}-{k}" for k in range(1, order + 1) for kind in ("counts", "level")]
     ws.drop("top", *steps)
-    across = model(ws, border_counts(texts, order), order)
+    across = model(ws, border_counts(units, order), order)
     table = ws.put(inside.withColumn("border", F.lit(False)).unionAll(across.withColumn("border", F.lit(True))), "model")
     shards = max(1, -(-table.count() // shard_entries))
     keyed = ws.put(_keyed(table, shards), "keyed")
-    ws.drop("top", "inside", "model", *steps)
+    ws.drop("top", "inside", "model", "units", "masks", *steps)
     parts = None
     for i in range(shards):
-        # at most about shard_entries rows of 13 bytes
+        # at most about shard_entries rows of 13 bytes, freed before the next shard
         own = keyed.filter(F.col("shard").isin(i, -1)).toArrow()
-        shard = Shard(*(own.column(c).to_numpy() for c in ("key", "value", "weight")), i, shards, order)
-        part = _partial(rows, shard)
+        part = _partial(rows, Shard(*(own.column(c).to_numpy() for c in ("key", "value", "weight")), i, shards, order))
+        if shards > 1:
+            part = ws.put(part, f"partial-{i}")
         parts = part if parts is None else parts.unionAll(part)
-    if shards > 1:
-        parts = ws.put(parts, "partial")
     sums = parts.groupBy("doc_id", "text_hash", "lang").agg(
         *(F.sum(c).alias(c) for c in SUMS), (F.count(F.lit(1)) / shards).alias("copies"))
     n = F.col("n") / F.col("copies")

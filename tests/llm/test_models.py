@@ -66,6 +66,19 @@ def test_perplexity_by_definition(spark, order):
             assert got[i].perplexity == pytest.approx(math.exp(total / n), rel=1e-5), (entries, text)
 
 
+@pytest.mark.parametrize("limit", [0, 10**6])
+def test_trusted_texts_by_masks(spark, limit):
+    ids = [-130, -64, -1, 0, 1, 63, 64, 65, 127, 128, 2**40, 2**63 - 1, -2**63, None]
+    docs = spark.createDataFrame([(i, f"t{i}") for i in ids] + [(64, "again")], "doc_id long, text string")
+    labels = spark.createDataFrame(
+        [(i, 1, None) for i in (-130, -1, 0, 63, 64, 64, 128, 2**63 - 1, -2**63, None, 5)]
+        + [(65, 0, 0), (1, 1, 1), (127, None, 0)], "doc_id long, quality int, toxic int")
+    ws = perplexity.Workspace(spark, "test-masks")
+    got = perplexity.trusted_texts(ws, docs, labels, limit).collect()
+    want = perplexity.trusted_rows(docs, labels).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(want) == 9
+
+
 def test_junk_goes_and_clean_stays(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
