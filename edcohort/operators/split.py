@@ -1,4 +1,4 @@
-"""Reproducible stratified split (W5) and its checks.
+"""Reproducible stratified split (W5), its checks (A21) and exact first rows (T4).
 
 Every row has a place: bucket ``b``, order key ``k``, id, where ``b`` is
 monotone in ``k``. Counts per (stratum, bucket) form a small table whose running
@@ -12,9 +12,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..sources.sinks import write_stage
 
 DEFAULT_BUCKETS = 4096
+#: Rows that a top-k may bring into one task; also the aim for a range partition.
+ONE_TASK_ROWS = 1_000_000
+#: Accuracy of the sketch that finds a cut (its ranks are off by rows / SKETCH at most).
+SKETCH = 10_000
 
 
 def hash_order(id_col: str = "stay_id", seed: int = 42, buckets_log2: int = 12) -> tuple[Column, Column]:
@@ -82,9 +88,60 @@ def split_validation(df: DataFrame, outcome: str = "outcome") -> DataFrame:
         F.count_if(F.col("has_text") & F.col("cleaned_text").isNull()).alias("has_text_without_text"))
 
 
-def first_n(df: DataFrame, n: int, order_cols: list[str]) -> DataFrame:
+def _below_cut(df: DataFrame, n: int, column: str) -> DataFrame:
+    """Rows that can be among the first ``n`` by ``column``: those up to a value
+    whose rank a sketch puts safely beyond ``n`` (a filter that reaches the
+    scan). Columns a sketch does not take leave ``df`` as it is."""
+    if not isinstance(df.schema[column].dataType, (T.NumericType, T.DateType)):
+        return df
+    c = F.col(column)
+    rows, valued = df.agg(F.count(F.lit(1)), F.count(c)).first()
+    if n <= rows - valued:
+        return df.where(c.isNull())
+    share = (n - (rows - valued)) / max(valued, 1) + 2.0 / SKETCH
+    if share >= 1.0:
+        return df
+    last = df.agg(F.percentile_approx(c, F.lit(share), F.lit(SKETCH))).first()[0]
+    return df.where(c.isNull() | (c <= F.lit(last)))
+
+
+def _range_stage(df: DataFrame, order_cols: list[str], partitions: int) -> tuple[DataFrame, dict[int, int]]:
+    """``df`` as a written table (row, keys ``k``, range partition ``part``) and
+    the rows per partition. Ties are told apart by the row's hash and place, so
+    that no value of the order columns is bound to one task."""
+    hashed = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    keys = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order_cols)],
+                    F.xxhash64(*hashed).alias("h"), F.monotonically_increasing_id().alias("i"))
+    rows = df.select(F.struct("*").alias("row"), keys.alias("k"))
+    spread = rows.repartitionByRange(partitions, "k").withColumn("part", F.spark_partition_id())
+    stage = write_stage(spread, "first_n")
+    return stage, {r["part"]: r["count"] for r in stage.groupBy("part").count().collect()}
+
+
+def first_n(df: DataFrame, n: int, order_cols: list[str], one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
     """The first ``n`` rows in ``order_cols`` order (ascending, nulls first),
-    exactly, for any n and any column types. Spark takes a top-k per task while
-    ``n`` is under ``spark.sql.execution.topKSortFallbackThreshold`` and sorts
-    by range beyond it; what reaches one task is never more than ``n`` rows."""
-    return df.orderBy(*order_cols).limit(n)
+    exactly, for any n and any column types; which of several rows equal in all
+    of ``order_cols`` are taken is not defined.
+
+    Up to ``one_task_rows`` this is Spark's top-k, and rows come in order.
+    Beyond it, the rows up to the cut (found by a sketch of the first column)
+    are written partitioned by range, the partitions' counts (a few numbers each
+    on the driver) show which of them holds the n-th row, and only that one is
+    cut by a sort: whole partitions pass as they are, in no particular order,
+    and no task sees more rows than a partition. Jobs run at the call."""
+    if n <= one_task_rows:
+        return df.orderBy(*order_cols).limit(n)
+    partitions = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * n // ONE_TASK_ROWS)
+    near = _below_cut(df, n, order_cols[0])
+    stage, counts = _range_stage(near, order_cols, partitions)
+    if near is not df and sum(counts.values()) < n:
+        stage, counts = _range_stage(df, order_cols, partitions)
+    border, before = -1, 0
+    for part in sorted(counts):
+        border = part
+        if before + counts[part] >= n:
+            break
+        before += counts[part]
+    whole = stage.where(F.col("part") < border)
+    rest = stage.where(F.col("part") == border).orderBy("k").limit(n - before)
+    return whole.unionAll(rest).select("row.*")

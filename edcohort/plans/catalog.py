@@ -25,7 +25,7 @@ from ..operators import labs as LS
 from ..operators import notes as NO
 from ..operators import profile as PR
 from ..operators import sequence as SQ
-from ..operators.split import modular_order, split_validation
+from ..operators.split import first_n, modular_order, split_validation
 from ..session import ensure_checkpoint_dir
 from ..operators.triage import TRIAGE_FEATURE_COLS, extract_triage_features
 from ..sources.fixtures import d_labitems_from, fixture_tables, read_driver, vitalsign_from
@@ -221,6 +221,14 @@ def q_lab_scan_sample(spark, sf_dir):
     return scan_labevents(t.labevents, patients=t.patients, strategy="sample", max_rows=20_000)
 
 
+@query("labs_first_half")
+def q_labs_first_half(spark, sf_dir):
+    """T4: the first half of all lab events with a value, by the distributed cut."""
+    labs = scan_labevents(fixture_tables(spark, sf_dir).labevents, strategy="full")
+    order = ["subject_id", "hadm_id", "charttime", "itemid", "valuenum"]
+    return first_n(labs, labs.count() // 2, order, one_task_rows=0)
+
+
 def _labs(spark, sf_dir, hours=12.0):
     t = fixture_tables(spark, sf_dir)
     cohort = C.apply_filters(t)

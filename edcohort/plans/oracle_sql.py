@@ -230,6 +230,9 @@ FROM cohort""")
       ORDER BY subject_id NULLS FIRST, hadm_id NULLS FIRST, charttime NULLS FIRST, itemid, valuenum LIMIT 20000""")):
         q[name] = m(f"""SELECT l.* FROM labevents l
       WHERE l.valuenum IS NOT NULL AND EXISTS (SELECT 1 FROM patients p WHERE p.subject_id = l.subject_id){extra}""")
+    q["labs_first_half"] = m("""SELECT * FROM labevents WHERE valuenum IS NOT NULL
+      ORDER BY subject_id NULLS FIRST, hadm_id NULLS FIRST, charttime NULLS FIRST, itemid NULLS FIRST, valuenum
+      LIMIT (SELECT count(*) // 2 FROM labevents WHERE valuenum IS NOT NULL)""")
     q["load_tables_files"] = m(f"""SELECT 'edstays' AS "table", count(*) AS n_rows FROM edstays UNION ALL
       SELECT 'patients', 2 * count(*) FROM patients UNION ALL SELECT 'triage', count(*) FROM triage UNION ALL
       SELECT 'admissions', count(*) FROM admissions UNION ALL SELECT 'icustays', count(*) FROM icustays UNION ALL

@@ -55,6 +55,38 @@ def test_first_n_any_size_and_type(spark):
         assert [tuple(r) for r in first_n(df, n, ["s", "i"]).collect()] == want[:n]
 
 
+def test_first_n_by_ranges(spark):
+    """The distributed cut: nulls, ties, identical rows, extra columns named like its own."""
+    import collections
+
+    from edcohort.operators.split import first_n
+    data = [(None if i % 10 == 3 else i // 7 % 900, "x" if i % 3 else f"s{i}", i % 5, {"m": i % 2}) for i in range(20_000)]
+    data += [(400, "x", 1, {"m": 1})] * 10_000                      # a third of the rows alike
+    df = spark.createDataFrame(data, "k int, row string, part int, h map<string,int>").repartition(7)
+
+    def key(r):
+        return (r[0] is not None, r[0] or 0, r[1], r[2])
+
+    want = sorted(data, key=key)
+    for n in (1, 1_500, 2_000, 12_345, 29_999, 30_000, 50_000):
+        out = first_n(df, n, ["k", "row", "part"], one_task_rows=0)
+        assert out.columns == df.columns
+        got = collections.Counter(key(r) for r in out.collect())
+        assert got == collections.Counter(key(r) for r in want[:n])
+    for cols in (["row", "k"], ["part"]):                           # a text first; ties beyond the order
+        assert first_n(df, 9_000, cols, one_task_rows=0).count() == 9_000
+    assert first_n(df.limit(0), 5, ["k"], one_task_rows=0).collect() == []
+
+
+def test_first_n_spreads_equal_rows(spark):
+    from edcohort.operators.split import _below_cut, _range_stage
+    df = spark.range(100_000).selectExpr("CAST(id % 4 AS INT) AS k", "'same' AS v")
+    _, counts = _range_stage(df, ["k"], 16)
+    assert len(counts) == 16 and max(counts.values()) < 20_000
+    near = _below_cut(spark.range(100_000), 5_000, "id")
+    assert 5_000 <= near.count() < 6_000
+
+
 def test_split_rows_are_not_shuffled(spark):
     from pyspark.sql import functions as F
     df = spark.range(1000).select(F.col("id").alias("stay_id"), (F.col("id") % 2).alias("outcome"),
