@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -209,6 +209,12 @@ def row_loss(stages: list[tuple[str, DataFrame]]) -> DataFrame:
     return u.select("stage_no", "stage", "n_rows", (n_first - F.col("n_rows")).alias("rows_lost"))
 
 
+def observed_row_loss(spark: SparkSession, counts: list[tuple[str, int]]) -> DataFrame:
+    """A33 from row counts observed while the stages were written."""
+    rows = [(i, name, n, counts[0][1] - n) for i, (name, n) in enumerate(counts)]
+    return spark.createDataFrame(rows, "stage_no int, stage string, n_rows long, rows_lost long")
+
+
 def lab_utilization_pct(df: DataFrame, groups: list[str]) -> DataFrame:
     """% of stays with each group ordered; mean groups; stays with none."""
     aggs = [F.count(F.lit(1)).alias("__n"),

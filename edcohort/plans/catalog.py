@@ -33,7 +33,7 @@ from ..sources.labdim import relevant_itemids
 from ..sources.readers import (STAY_KEYS, assemble_tables, check_input, load_notes, load_tables, sample_tables,
                                scan_labevents)
 from ..sources.schemas import FEATURE_PREFIXES, NOTE_CATEGORIES, SOURCE_FILES, columns_with
-from ..sources.sinks import run_manifest, write_stage
+from ..sources.sinks import run_manifest, write_observed, write_stage
 from . import text as TX
 from .tabular import featured_stays, labelled_stays
 
@@ -717,8 +717,11 @@ def q_box_stats(spark, sf_dir):
 @query("row_loss")
 def q_row_loss(spark, sf_dir):
     t = fixture_tables(spark, sf_dir)
-    return PR.row_loss([("stays", t.edstays), ("joined", C.merge_initial(t)), ("cohort", C.apply_filters(t)),
-                        ("labelled", labelled_stays(t))])
+    n_rows = [F.count(F.lit(1)).alias("n")]
+    cohort, in_cohort = write_observed(C.apply_filters(t), "cohort", n_rows)
+    _, in_labelled = write_observed(labelled_stays(t, cohort=cohort).select("stay_id"), "labelled_ids", n_rows)
+    return PR.observed_row_loss(spark, [("stays", t.edstays.count()), ("joined", C.merge_initial(t).count()),
+                                        ("cohort", in_cohort["n"]), ("labelled", in_labelled["n"])])
 
 
 @query("source_profile")

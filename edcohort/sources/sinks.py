@@ -12,7 +12,7 @@ import json
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
@@ -45,9 +45,20 @@ def write_stage(df: DataFrame, name: str, spark: SparkSession | None = None,
     return spark.read.parquet(path)
 
 
-def run_manifest(split_df: DataFrame, config: dict, outcome: str = "outcome") -> DataFrame:
-    """One row: size, positives and rate per split, text coverage and
-    the run configuration (as JSON text)."""
+def write_observed(df: DataFrame, name: str, metrics: list[Column], spark: SparkSession | None = None,
+                   root: str | None = None, run_id: str | None = None) -> tuple[DataFrame, dict]:
+    """``write_stage``, and the values of the aggregates ``metrics`` (each with
+    an alias) over the rows written, observed while they pass: nothing is read
+    again. The observation is the last node before the sink, where Spark counts
+    every task once, however often it is tried. A plan that Spark finds empty
+    may drop the observation; the written (empty) table is then asked."""
+    seen = Observation(f"{name}-{uuid.uuid4().hex}")
+    stage = write_stage(df.observe(seen, *metrics), name, spark, root, run_id)
+    return stage, seen.get or stage.agg(*metrics).first().asDict()
+
+
+def manifest_metrics(outcome: str = "outcome") -> list[Column]:
+    """The aggregates of the manifest over the split table."""
     aggs = [F.count(F.lit(1)).alias("n_total"),
             F.avg(F.col("has_text").cast("double")).alias("text_coverage")]
     for s in ("train", "val", "test"):
@@ -55,7 +66,20 @@ def run_manifest(split_df: DataFrame, config: dict, outcome: str = "outcome") ->
         aggs += [F.count_if(in_s).alias(f"n_{s}"),
                  F.count_if(in_s & (F.col(outcome) == 1)).alias(f"pos_{s}"),
                  (F.avg(F.when(in_s, F.col(outcome).cast("double"))) * 100.0).alias(f"rate_{s}")]
-    return split_df.agg(*aggs).withColumn("config", F.lit(json.dumps(config, sort_keys=True)))
+    return aggs
+
+
+def run_manifest(split_df: DataFrame, config: dict, outcome: str = "outcome") -> DataFrame:
+    """One row: size, positives and rate per split, text coverage and
+    the run configuration (as JSON text)."""
+    return split_df.agg(*manifest_metrics(outcome)).withColumn("config", F.lit(json.dumps(config, sort_keys=True)))
+
+
+def observed_manifest(spark: SparkSession, values: dict, config: dict) -> DataFrame:
+    """``run_manifest`` from observed ``manifest_metrics``."""
+    kinds = {c: "long" if c.startswith(("n_", "pos_")) else "double" for c in values}
+    row = (*values.values(), json.dumps(config, sort_keys=True))
+    return spark.createDataFrame([row], ", ".join([*(f"{c} {k}" for c, k in kinds.items()), "config string"]))
 
 
 def write_manifest(manifest: DataFrame, path: str) -> None:
