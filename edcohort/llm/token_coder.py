@@ -26,11 +26,13 @@ from __future__ import annotations
 import numpy as np
 
 BLOCK = 4096
+PLACE_BITS = 12  # of a place in a block
 FIRST_CHUNK = 256
 SLOTS = 4096  # entries of a context table
 KIND_BITS = 12
 TOTAL = 1 << KIND_BITS
-U64 = np.uint64
+U32, U64 = np.uint32, np.uint64
+HASH1, HASH2 = U32(2654435761), U32(2246822519)  # modulo 2**32
 WORD = U64(32)
 MASK = U64(0xFFFFFFFF)
 LIMIT = U64(1 << 32)
@@ -41,8 +43,6 @@ PRIOR_BITS = 18
 KINDS = 4
 STATES = 32
 MODEL_LANES = 32
-#: A context's record after a hit.
-NEXT = np.array([1, 2, 3, 3], np.int64)
 
 
 def chunk_ends(n: int) -> list[int]:
@@ -54,11 +54,11 @@ def chunk_ends(n: int) -> list[int]:
 
 
 def _slot1(p1: np.ndarray) -> np.ndarray:
-    return (p1 * 2654435761 >> 16) & (SLOTS - 1)
+    return p1 * HASH1 >> U32(16) & U32(SLOTS - 1)
 
 
 def _slot2(p1: np.ndarray, p2: np.ndarray) -> np.ndarray:
-    return ((p1 * 2654435761 + p2 * 2246822519) >> 16) & (SLOTS - 1)
+    return p1 * HASH1 + p2 * HASH2 >> U32(16) & U32(SLOTS - 1)
 
 
 class Prior:
@@ -70,7 +70,13 @@ class Prior:
 
     @classmethod
     def of(cls, blocks: list[np.ndarray]) -> Prior:
-        ids, n = np.unique(np.concatenate(blocks), return_counts=True)
+        every = np.concatenate(blocks)
+        if every.max() < 1 << 20:
+            n = np.bincount(every)
+            ids = np.flatnonzero(n)
+            n = n[ids]
+        else:
+            ids, n = np.unique(every, return_counts=True)
         total = 1 << PRIOR_BITS
         if len(ids) > total:
             raise ValueError(f"more than {total} distinct ids in one file row")
@@ -119,6 +125,10 @@ class Mixer:
         self.freq = freq
         self.start = np.cumsum(freq, -1) - freq
 
+    def packed(self) -> np.ndarray:
+        """Start and (from bit 16 on) size of every block's states' kinds."""
+        return (self.start | self.freq << 16).astype(np.uint32).ravel()
+
     def learn(self, seen: np.ndarray) -> None:
         """``seen``: occurrences of (state, kind) since the last call."""
         merit = np.stack([(seen * p).sum((1, 2)) for p in self.parts], 1) + 1
@@ -143,20 +153,32 @@ def _tally(seen: np.ndarray) -> np.ndarray:
     return np.bincount(key.ravel(), minlength=lanes * STATES * KINDS).reshape(lanes, STATES, KINDS)
 
 
+def _order(keys: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Flat: the keys of every row in order, equal ones by place, and their
+    places. Keys are sorted together with their place, as whole numbers."""
+    wide = np.uint64 if keys.max() >= 1 << (32 - PLACE_BITS) else np.uint32
+    packed = keys.astype(wide) << wide(PLACE_BITS)
+    packed |= np.arange(keys.shape[1], dtype=wide)
+    packed.sort(axis=1)
+    places = (packed & wide(BLOCK - 1)).astype(np.int64)
+    places += row
+    packed >>= wide(PLACE_BITS)
+    return packed.ravel(), places.ravel()
+
+
 def _context(ids: np.ndarray, slots: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For every place of (flat) blocks: the id at the last place with the same
     slot (-1: none) and that slot's record: 0 none, 1 missed last, 2 hit once,
     3 hit twice."""
-    order = np.argsort(slots, axis=1, kind="stable")
-    order += row
-    order = order.ravel()
-    s, x = slots.ravel()[order], ids.ravel()[order]
+    s, order = _order(slots, row)
+    x = ids.ravel().take(order)
     same, hit = np.zeros(len(s), bool), np.zeros(len(s), bool)
     np.equal(s[1:], s[:-1], out=same[1:])
     same[::ids.shape[1]] = False  # the first of each block
     np.equal(x[1:], x[:-1], out=hit[1:])
     hit &= same
-    guess = np.where(same, np.roll(x, 1), np.int32(-1))
+    guess = np.full_like(x, -1)
+    np.copyto(guess[1:], x[:-1], where=same[1:])
     record = same.astype(np.int8)
     after = same[1:] & hit[:-1]
     record[1:] += after
@@ -176,43 +198,45 @@ def _model(ids: np.ndarray, prior: Prior) -> tuple[np.ndarray, ...]:
     bits, start and size of the second choice."""
     lanes, n = ids.shape
     row = np.arange(lanes)[:, None] * n
-    before = np.zeros((lanes, n + 2), np.int64)
+    before = np.zeros((lanes, n + 2), np.uint32)
     before[:, 2:] = ids + 1
     p1, p2 = before[:, 1:n + 1], before[:, :n]
-    guess1, q1 = _context(ids, _slot1(p1).astype(np.uint16), row)
-    guess2, q2 = _context(ids, _slot2(p1, p2).astype(np.uint16), row)
+    guess1, q1 = _context(ids, _slot1(p1), row)
+    guess2, q2 = _context(ids, _slot2(p1, p2), row)
     states = (guess1 == guess2).astype(np.int16) * 16 + 4 * q2 + q1
     kinds = np.where(guess2 == ids, np.int8(0), np.where(guess1 == ids, np.int8(1), np.int8(2)))
-    order = np.argsort(ids.astype(np.uint16) if ids.max() < 1 << 16 else ids, axis=1, kind="stable")
-    order += row
-    order = order.ravel()
-    ordered = ids.ravel()[order].reshape(lanes, n)
+    ordered, order = _order(ids, row)
+    ordered = ordered.reshape(lanes, n)
     rank = np.zeros((lanes, n), np.int32)
     np.cumsum(ordered[:, 1:] != ordered[:, :-1], 1, out=rank[:, 1:])
-    local = np.empty(lanes * n, np.int32)
-    local[order] = (rank + row.astype(np.int32)).ravel()  # the id's number in its block, plus the block's place
+    local = np.empty(lanes * n, np.int64)
+    local[order] = (rank + row).ravel()  # the id's number in its block, plus the block's place
     local = local.reshape(lanes, n)
     counts = np.zeros(lanes * n, np.int32)
     mixer = Mixer(lanes)
-    state_row = np.arange(lanes, dtype=np.int32)[:, None] * STATES
+    cell_row = np.arange(lanes)[:, None] * (STATES * KINDS)
     kind_start, kind_size = np.empty((lanes, n), np.uint16), np.empty((lanes, n), np.uint16)
     bits = np.empty((lanes, n), np.uint8)
-    start, size = np.zeros((lanes, n), np.uint32), np.ones((lanes, n), np.uint32)
+    start, size = np.empty((lanes, n), np.uint32), np.empty((lanes, n), np.uint32)
     a = 0
     for b in chunk_ends(n):
         part = slice(a, b)
         z, kind, s = local[:, part], kinds[:, part], states[:, part]
-        cnt = counts[z]
-        kind[(kind == 2) & (cnt == 0)] = 3
+        cnt = counts.take(z)
+        kind += (kind == 2) & (cnt == 0)
         seen = s * KINDS + kind
-        at = state_row * KINDS + seen
-        kind_start[:, part], kind_size[:, part] = mixer.start.ravel()[at], mixer.freq.ravel()[at]
-        bits[:, part] = _shift(a)[kind]
+        share = mixer.packed().take(cell_row + seen)
+        kind_start[:, part], kind_size[:, part] = share & U32(0xFFFF), share >> U32(16)
+        bits[:, part] = _shift(a).take(kind)
         grid = counts.reshape(lanes, n)
-        below = (np.cumsum(grid, 1, dtype=np.int32) - grid).ravel()
-        known, new = kind == 2, kind == 3
-        start[:, part][known], size[:, part][known] = below[z[known]], cnt[known]
-        start[:, part][new], size[:, part][new] = prior.lookup(ids[:, part][new])
+        below = np.cumsum(grid, 1, dtype=np.int32) - grid
+        known = kind == 2
+        first, many = below.take(z), cnt
+        first *= known
+        many[~known] = 1
+        new = np.flatnonzero(kind == 3)
+        first.ravel()[new], many.ravel()[new] = prior.lookup(ids[:, part].ravel().take(new))
+        start[:, part], size[:, part] = first, many
         if b < n:
             mixer.learn(_tally(seen))
             counts += np.bincount(z.ravel(), minlength=lanes * n).astype(np.int32)
@@ -305,7 +329,7 @@ def decode(coded: list[bytes], lengths: list[int], prior: Prior) -> list[np.ndar
     low, rng = np.zeros(lanes, U64), np.full(lanes, 2**64 - 1, U64)
     rel = (words[:, 0] << WORD) | words[:, 1]  # code minus low
     at = np.arange(lanes) * width + 2
-    p1, p2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+    p1, p2 = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
     alive = np.searchsorted(-lens, -np.arange(n), side="left").tolist()
     mixer = Mixer(lanes)
     fresh = np.repeat(prior.ids << 40 | prior.starts << 20 | prior.freqs, prior.freqs)
@@ -329,39 +353,36 @@ def decode(coded: list[bytes], lengths: list[int], prior: Prior) -> list[np.ndar
             row = len(fresh) + lane * prefix
             state0 = lane * STATES
         a1 = p1[:k]
-        mixed = a1 * 2654435761
-        place1, place2 = base[:k] + (mixed >> 16 & (SLOTS - 1)), p2[:k] * 2246822519
-        place2 += mixed
-        place2 >>= 16
-        place2 &= SLOTS - 1
-        place2 += base[:k]
-        e1, e2 = table1[place1], table2[place2]
-        id1, id2, record1, record2 = e1 >> 2, e2 >> 2, e1 & 3, e2 & 3
-        state = ((id1 == id2) << 4) + (record2 << 2) + record1
+        mixed = a1 * HASH1
+        place1 = base[:k] + (mixed >> U32(16) & U32(SLOTS - 1))
+        mixed += p2[:k] * HASH2
+        place2 = base[:k] + (mixed >> U32(16) & U32(SLOTS - 1))
+        e1, e2 = table1.take(place1), table2.take(place2)
+        record1, record2 = e1 & 3, e2 & 3
+        state = (((e1 ^ e2) < 4) << 4) + (record2 << 2) + record1
         cell = state0 + state
-        cut = bounds[cell]
+        cut = bounds.take(cell)
         lo, left, r = low[:k], rel[:k], rng[:k]
         r >>= U64(KIND_BITS)
-        value = left // r
-        kind = (value >= (cut & LOW16)).astype(np.int64)
-        kind += value >= (cut >> U64(16) & LOW16)
-        kind += value >= cut >> U64(32)
+        kind = (left >= r * (cut & LOW16)).view(np.int8) + (left >= r * (cut >> U64(16) & LOW16)).view(np.int8)
+        kind += (left >= r * (cut >> U64(32))).view(np.int8)
         cell *= KINDS
         cell += kind
-        share = part[cell]
+        share = part.take(cell)
         below = r * (share & LOW16)
         r *= share >> U64(16)
-        r >>= second[kind]
+        r >>= second.take(kind)
         left -= below
-        choice = np.minimum(left // r, most[kind])
-        spot = choice.astype(np.int64)
-        spot += np.where(kind == 3, 0, row)
+        spot = np.minimum(left // r, most.take(kind)).view(np.int64)
+        spot += row * (kind == 2)
         guessed = kind < 2
-        spot[guessed] = 0
-        packed = slots[spot]
-        x1 = np.where(guessed, np.where(kind == 0, id2, id1), (packed >> 40) + 1)
-        step = r * np.where(guessed, 0, packed >> 20 & 0xFFFFF).astype(U64)
-        r *= np.where(guessed, 1, packed & 0xFFFFF).astype(U64)
+        spot *= ~guessed
+        packed = slots.take(spot)
+        # a predicted id is the only one of its kind: from 0, 1 wide
+        np.copyto(packed, ((np.where(kind == 0, e2, e1) >> 2).astype(np.int64) - 1) << 40 | 1, where=guessed)
+        x1 = ((packed >> 40) + 1).astype(np.int32)
+        step = r * (packed >> 20 & 0xFFFFF).view(U64)
+        r *= (packed & 0xFFFFF).view(U64)
         lo += below
         lo += step
         left -= step
@@ -374,9 +395,10 @@ def decode(coded: list[bytes], lengths: list[int], prior: Prior) -> list[np.ndar
             left[full] = (left[full] << WORD) | flat[spot]
             at[full] = spot + 1
         ids[i, :k], seen[i, :k] = x1 - 1, state * KINDS + kind
-        entry = x1 << 2
-        table1[place1] = entry + np.where(id1 == x1, NEXT[record1], 1)
-        table2[place2] = entry + np.where(id2 == x1, NEXT[record2], 1)
+        # the record after this: 1, or one more than before a hit, 3 at most
+        entry = (x1 << 2) + 1
+        table1[place1] = entry + ((e1 ^ entry) < 4) * np.minimum(record1, 2)
+        table2[place2] = entry + ((e2 ^ entry) < 4) * np.minimum(record2, 2)
         p2[:k] = a1
         p1[:k] = x1
     out: list[np.ndarray] = [np.empty(0, np.uint32)] * lanes

@@ -67,16 +67,18 @@ class _Group:
     def __init__(self, shard: int):
         self.shard, self.segment = shard, 0
         self.rows: list[tuple[list, list, list]] = []
-        self.size = 0
+        self.size = self.row_size = 0
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
-        if not self.rows or sum(self.rows[-1][1]) >= ROW_IDS:
+        if not self.rows or self.row_size >= ROW_IDS:
             self.rows.append(([], [], []))
+            self.row_size = 0
         ids_of, tokens, parts = self.rows[-1]
         ids_of.append(doc_id)
         tokens.append(len(ids) // 4)
         parts.append(ids)
         self.size += len(ids) // 4
+        self.row_size += len(ids) // 4
 
     def coded(self) -> pa.RecordBatch:
         out, blocks, priors = [], [], []
@@ -104,15 +106,15 @@ def encoded(docs: DataFrame, tokenizer: str = WORD_BPE, end_id: int = END_ID) ->
         tok, end = word_tokenizer(tokenizer), np.array([end_id], "<u4").tobytes()
         group = _Group(TaskContext.get().partitionId())
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                group.add(doc_id, tok.joined(text.as_py()) + end)
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), tok.batch(batch.column("text")), strict=True):
+                group.add(doc_id, ids + end)
                 if group.size >= GROUP_IDS:
                     yield group.coded()
         if group.size:
             yield group.coded()
 
-    ordered = (id_text(docs).withColumn("tie", F.xxhash64("text"))
-               .repartitionByRange("doc_id").sortWithinPartitions("doc_id", "tie").drop("tie"))
+    ordered = (id_text(docs).repartitionByRange("doc_id").withColumn("tie", F.xxhash64("text"))
+               .sortWithinPartitions("doc_id", "tie").drop("tie"))
     return ordered.mapInArrow(run, SCHEMA)
 
 

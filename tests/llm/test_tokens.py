@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_helpers import SF, TEXTS, rows
 
@@ -33,6 +34,27 @@ def test_word_tokenizer_equals_the_library():
         assert mine(t).tolist() == lib.encode(t or "", add_special_tokens=False).ids, repr(t)
 
 
+def test_batches_equal_the_library(monkeypatch):
+    lib = library(tokens.WORD_BPE)
+    texts = [*TEXTS[:20], *fuzz(), *["Él. straße,... no-one $$$ été$$$ ÿ×÷ don't. x''"] * 3]
+    want = [lib.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for words, size in ((400_000, 1 << 24), (50, 500)):  # also with words forgotten and met again
+        monkeypatch.setattr(tokens, "BATCH_BYTES", size)
+        got = tokens.WordTokenizer(cache_words=words).batch(pa.array(texts, pa.string()))
+        for t, ids, w in zip(texts, got, want, strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == w, repr(t)
+
+
+def test_a_batch_encodes_a_word_once(monkeypatch):
+    tok, asked = tokens.WordTokenizer(), []
+    one = tok._ids
+    monkeypatch.setattr(tok, "_ids", lambda w: asked.append(w) or one(w))
+    texts = ["plain words repeat. plain words repeat, 12a plain", "12a words plain$$$"]
+    assert len(list(tok.batch(pa.array(texts)))) == 2
+    assert asked == [b"12a"]  # words of letters go to the merge model together
+    assert sorted(tok.words.to_pylist()) == sorted({w for t in texts for w in t.split()})
+
+
 def test_backtracking_encoder_equals_the_library():
     mine, lib = bpe.Encoder(), library(bpe.BYTE_BPE)
     for t in [*TEXTS, *fuzz()]:
