@@ -15,6 +15,7 @@ from ..functions.frames import pct, to_long
 from ..functions.text import clean_text, keywords
 from ..functions.timecols import add_hours, minutes_between, parse_timestamp
 from ..sources.schemas import has
+from ..sources.sinks import write_stage
 from .intervals import before_join
 from .quantiles import global_quantiles, quantile_frame
 
@@ -104,11 +105,12 @@ def valid_notes(notes: DataFrame) -> DataFrame:
 
 def notes_stats(notes: DataFrame, exact: bool = True) -> DataFrame:
     """Totals, patients, admissions, text length mean/median and date
-    range, overall ('All') and per category (ROLLUP)."""
+    range, overall ('All') and per category (ROLLUP). The texts are read (and
+    joined, if ``notes`` is a join) once: their lengths become a stage table that
+    the aggregate and both medians read."""
     tc = note_time_column(notes)
-    # only the length of a text goes into the expanding aggregate
-    notes = notes.select("subject_id", "hadm_id", "note_category", F.length("text").alias("__len"),
-                         *([tc] if tc else []))
+    notes = write_stage(notes.select("subject_id", "hadm_id", "note_category", F.length("text").alias("__len"),
+                                     *([tc] if tc else [])), "note_lengths")
     length = F.col("__len")
     aggs = [F.count(F.lit(1)).alias("n_notes"), F.count_distinct("subject_id").alias("n_patients"),
             F.count_distinct("hadm_id").alias("n_admissions"), F.avg(length).alias("avg_text_length"),

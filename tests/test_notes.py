@@ -81,3 +81,20 @@ def test_top_keywords_whole_corpus(spark):
     df = spark.createDataFrame([("1", "Alpha beta alpha gamma"), ("2", "alpha gamma delta épée")], "note_id string, text string")
     got = [(r.word, r.n) for r in NO.top_keywords(df, top=2).collect()]
     assert got == [("alpha", 3), ("gamma", 2)]
+
+
+def test_notes_stats_reads_the_texts_once(spark):
+    rows = [(i, 10 + i % 3, "discharge" if i % 2 else "radiology", "x" * (i % 5 + 1)) for i in range(20)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    schema = "subject_id long, hadm_id long, note_category string, text string"
+    notes = spark.createDataFrame(rows, schema).mapInArrow(passed, schema)
+    got = {r.note_category: (r.n_notes, r.n_patients, r.n_admissions, r.avg_text_length, r.median_text_length)
+           for r in NO.notes_stats(notes).collect()}
+    assert got == {"All": (20, 20, 3, 3.0, 3.0), "discharge": (10, 10, 3, 3.0, 3.0), "radiology": (10, 10, 3, 3.0, 3.0)}
+    assert seen.value == len(rows)
