@@ -56,6 +56,8 @@ RATIO = 10
 SLIP = 31
 #: Prefixes longer than this are named by their hash.
 NAME_CHARS = 40
+#: Edges of words up to this length are small enough for a hash join.
+HASH_CHARS = 64
 
 
 def runs(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -150,6 +152,14 @@ def _followed(met: DataFrame) -> DataFrame:
         "word", "size", F.col("next").alias("node"), _from(F.col("rest"), F.char_length("label")).alias("rest"), "hit")
 
 
+def _at_edges(states: DataFrame, trie: DataFrame, keys: list[str]) -> DataFrame:
+    """States with the edges at their node. A hash join holds its edges in memory
+    and cannot spill; those of long words, that hold the word each, are sorted."""
+    short = F.col("size") <= HASH_CHARS
+    return (states.filter(short).join(trie.filter(short).hint("shuffle_hash"), keys)
+            .unionByName(states.filter(~short).join(trie.filter(~short).hint("merge"), keys)))
+
+
 def _first_states(rows: DataFrame, trie: DataFrame) -> DataFrame:
     """Every word at the nodes of its path, the edit spent on another edge."""
     size = F.col("size")
@@ -160,7 +170,7 @@ def _first_states(rows: DataFrame, trie: DataFrame) -> DataFrame:
                      F.explode(F.sequence(_half(size), F.col("kind.last"))).alias("at")))
     start = start.select("word", "size", "skip", "at", _node(F.col("word"), F.col("at")).alias("node"))
     own = F.substring("word", F.col("at") + 1, F.lit(1))
-    met = start.join(trie.hint("shuffle_hash"), ["size", "node"]).filter(
+    met = _at_edges(start, trie, ["size", "node"]).filter(
         F.when(F.col("skip") == 1, F.col("letter") > own).otherwise(F.col("letter") != own))
     return _followed(met.withColumn("rest", _from(F.col("word"), F.col("at") + F.col("skip"))))
 
@@ -178,7 +188,7 @@ def _near_one_way(ws: Workspace, words: DataFrame, name: str) -> DataFrame:
         if live.isEmpty():
             return reduce(DataFrame.unionAll, hits)
         step += 1
-        states = ws.put(_followed(live.join(trie.hint("shuffle_hash"), ["size", "node", "letter"])), f"{name}-{step}")
+        states = ws.put(_followed(_at_edges(live, trie, ["size", "node", "letter"])), f"{name}-{step}")
 
 
 def near_pairs(ws: Workspace, words: DataFrame) -> DataFrame:
