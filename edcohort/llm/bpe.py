@@ -12,8 +12,11 @@ merges give in order. Pair checks are kept in a table.
 Decoding: all token bytes lie in one buffer; an offset table gives each id's
 part, gathered for a whole document at once.
 
-Tasks keep the ids of pre-tokens they have met (bounded caches); texts are
-mapped row by row, nothing is shuffled.
+Texts are cut, by their bytes, at borders that are surely pre-token borders.
+Each distinct part of some ``BATCH_BYTES`` of text is looked up once among those
+a task has met (bounded); new ones go through the encoder together: one
+Aho-Corasick pass over all their bytes, then all take their next step at once.
+Nothing is shuffled.
 
 Defined cases: null and empty texts have no ids and decode to the empty text;
 an empty table gives an empty result; repeated rows give equal rows; further
@@ -26,17 +29,26 @@ import hashlib
 import json
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .cache import Recent
 from .common import id_text
-from .tokens import BYTE_BPE, byte_letters, vocabulary
+from .tokens import BYTE_BPE, _runs, byte_letters, vocabulary
 
-CACHE_WORDS = 200_000
+#: Text parts kept between batches, and their bytes.
+CACHE_WORDS = 500_000
+CACHE_BYTES = 1 << 26
 CACHE_PAIRS = 300_000
+#: Places of the pair table of a batch's steps (a pair has one; the last stays).
+PAIR_BITS = 21
+BATCH_BYTES = 1 << 23
+#: Bytes of pre-tokens that are encoded together; longer pre-tokens go alone.
+STEP_BYTES = 1 << 18
+LONG = 64
 #: The pre-token pattern of the byte-level vocabulary (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -71,8 +83,11 @@ class Vocabulary:
         self.shorter: list[int] = [-1] * size
         automaton = ahocorasick.Automaton()
         for t, i in of.items():
-            automaton.add_word(t.decode("latin-1"), (len(t), i))
+            if len(t) > 1:
+                automaton.add_word(t.decode("latin-1"), i)
             self.shorter[i] = next((of[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in of), -1)
+        self.single = np.array([of.get(bytes([b]), -1) for b in range(256)], np.int64)
+        self.shorter_of = np.array(self.shorter, np.int64)
         automaton.make_automaton()
         self.automaton = automaton
         for text, i in self.special.items():
@@ -119,28 +134,63 @@ class _Pairs(dict):
                 return True
 
 
+def _byte_sets() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per byte: 1, 2, 3 for ASCII letters, digits and signs (but ', which can
+    start a pre-token of letters), else 0; whether white space can start with
+    it; whether white space can end with it."""
+    kind = np.zeros(256, np.uint8)
+    for b in range(33, 127):
+        c = chr(b)
+        kind[b] = 1 if c.isalpha() else 2 if c.isdigit() else 3 if c != "'" else 0
+    starts, ends = np.zeros(256, bool), np.zeros(256, bool)
+    for c in filter(str.isspace, map(chr, range(0x3001))):
+        starts[c.encode()[0]] = ends[c.encode()[-1]] = True
+    return kind, starts, ends
+
+
+KIND, STARTS_SPACE, ENDS_SPACE = _byte_sets()
+
+
+def part_starts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Places in the bytes of texts, which start at ``offsets``, where a part
+    starts, and the end. No pre-token crosses one, and a part alone is cut as
+    it is within its text: the last white space before a word ends the run
+    before it, a space is the word's, a line break a pre-token."""
+    if not len(raw):
+        return np.zeros(1, np.int64)
+    edge = np.zeros(len(raw) + 1, bool)
+    edge[offsets] = True
+    kind = KIND[raw]
+    cut = edge.copy()
+    cut[1:-1] |= (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)
+    gap = np.flatnonzero((raw == 32) | (raw == 10))
+    word_after = ~edge[gap + 1] & ~STARTS_SPACE[raw[np.minimum(gap + 1, len(raw) - 1)]]
+    cut[gap[word_after | ~ENDS_SPACE[raw[gap - 1]]]] = True
+    cut[gap[word_after & (raw[gap] == 10)] + 1] = True
+    return np.flatnonzero(cut)
+
+
 class Encoder:
     def __init__(self, path: str = BYTE_BPE):
         import regex
         self.v = load(path)
         self.pairs = _Pairs(self.v)
+        # pair * 2 + whether it is compatible, at a place given by the pair
+        self.known = np.full(1 << PAIR_BITS, -1, np.int64)
         self.find = regex.compile(PATTERN).findall
-        self.after_break = Recent(self.pieces, CACHE_WORDS)
-        self.after_space = Recent(lambda word: self.pieces(" " + word), CACHE_WORDS)
-        self.newline = self.piece("\n")
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.v.special)) + ")").split \
             if self.v.special else None
+        # parts met: part i has ``size[i]`` ids from ``start[i]`` on in the pool
+        self.words, self.pool = pa.array([], pa.string()), np.zeros(0, np.uint32)
+        self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def piece(self, text: str) -> bytes:
-        """Ids (little-endian uint32) of one pre-token."""
+    def piece(self, text: str) -> list[int]:
+        """Ids of one pre-token."""
         raw = text.encode("utf-8")
         n, tokens, shorter, pairs = len(raw), self.v.tokens, self.v.shorter, self.pairs
-        longest = [-1] * n
-        size = [0] * n
-        for end, (length, i) in self.v.automaton.iter(raw.decode("latin-1")):
-            start = end - length + 1
-            if length > size[start]:
-                size[start], longest[start] = length, i
+        longest = self.v.single[list(raw)].tolist()
+        for end, i in self.v.automaton.iter(raw.decode("latin-1")):
+            longest[end + 1 - len(tokens[i])] = i  # of one start, later ends are longer
         out: list[int] = []
         dead = bytearray(n + 1)
         at, token = 0, longest[0] if n else -1
@@ -158,34 +208,154 @@ class Encoder:
                 before = out.pop()
                 at -= len(tokens[before])
                 token = shorter[before]
-        return np.array(out, "<u4").tobytes()
-
-    def pieces(self, text: str) -> bytes:
-        return b"".join(map(self.piece, self.find(text)))
-
-    def _plain(self, text: str) -> bytes:
-        words = text.split()
-        gaps = max(len(words) - 1, 0)
-        if (sum(map(len, words)) + gaps != len(text) or text.count(" ") + text.count("\n") != gaps):
-            return b"".join(map(self.after_break.__getitem__, self.find(text)))
-        # single spaces and line breaks only: a break is a pre-token, a space
-        # belongs to the word after it, so words can be looked up whole
-        out: list[bytes] = []
-        for line in text.split("\n"):
-            head, *rest = line.split(" ")
-            out.append(self.newline)
-            out.append(self.after_break[head])
-            out.extend(map(self.after_space.__getitem__, rest))
-        return b"".join(out[1:])
+        return out
+
+    def _fit(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """``_Pairs`` for many pairs; those not at their place are looked up once."""
+        pair = left * len(self.v.order) + right
+        place = (pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - PAIR_BITS)
+        known = self.known[place]
+        missed = np.flatnonzero(known >> 1 != pair)
+        if len(missed):
+            new, first, at = np.unique(pair[missed], return_index=True, return_inverse=True)
+            one = missed[first]
+            new = 2 * new + np.fromiter(map(self.pairs.__getitem__, zip(left[one].tolist(), right[one].tolist(),
+                                                                        strict=True)), bool, len(new))
+            self.known[place[one]] = new
+            known[missed] = new[at]
+        return known & 1 == 1
+
+    def _steps(self, raw: np.ndarray, first: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``piece`` for all pre-tokens that lie side by side in ``raw``, each
+        taking its next step at the same time: ids and each one's number of them."""
+        v, n, starts = self.v, len(raw), first
+        hits = np.fromiter(chain.from_iterable(v.automaton.iter(raw.tobytes().decode("latin-1"))), np.int64)
+        end, token = hits[::2] + 1, hits[1::2]
+        begin = end - v.lengths[token]
+        inside = end <= np.repeat(stop, stop - first)[begin]
+        longest = np.append(v.single[raw], -1)
+        longest[begin[inside]] = token[inside]  # of one start, later ends are longer
+        # the token taken at a place, where the one before it starts, whether it is in the result
+        taken, before = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
+        used, dead = np.zeros(n + 1, bool), np.zeros(n + 1, bool)
+        at, token, left = first, longest[first], np.full(len(first), -1)
+        while len(at):
+            end = at + v.lengths[token]
+            ok = ~dead[end]
+            test = np.flatnonzero(ok & (left >= 0))
+            ok[test] = self._fit(left[test], token[test])
+            here, there, took = at[ok], end[ok], token[ok]
+            taken[here], used[here], before[there] = took, True, here
+            bad = np.flatnonzero(~ok)
+            token, left, at = np.where(ok, longest[end], v.shorter_of[token]), np.where(ok, token, left), \
+                np.where(ok, end, at)
+            bad = bad[token[bad] < 0]
+            while len(bad):
+                # nothing fits here: the token before must be a shorter one
+                back = before[at[bad]]
+                dead[at[bad]], used[back] = True, False
+                at[bad], token[bad] = back, v.shorter_of[taken[back]]
+                left[bad] = np.where(back == first[bad], -1, taken[before[back]])
+                bad = bad[token[bad] < 0]
+            going = at < stop
+            at, token, left, first, stop = at[going], token[going], left[going], first[going], stop[going]
+        return taken[used].astype(np.uint32), np.add.reduceat(used, starts, dtype=np.int64)
+
+    def _encode(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of pre-tokens in a pool, where each one's start and how many they are."""
+        short = pc.less_equal(pc.binary_length(pieces), LONG)
+        together, alone = pieces.filter(short), pieces.filter(pc.invert(short)).to_pylist()
+        ids, sizes = [], []
+        bounds = np.concatenate([[0], np.cumsum(pc.binary_length(together).to_numpy(), dtype=np.int64)])
+        raw = np.frombuffer("".join(together.to_pylist()).encode(), np.uint8)
+        cuts = np.flatnonzero(np.diff(bounds[:-1] // STEP_BYTES)) + 1
+        for part in np.split(np.arange(len(together)), cuts) if len(together) else []:
+            a, b = bounds[part[0]], bounds[part[-1] + 1]
+            for all_of, one in zip((ids, sizes), self._steps(raw[a:b], bounds[part] - a, bounds[part + 1] - a),
+                                   strict=True):
+                all_of.append(one)
+        for text in alone:
+            ids.append(np.array(self.piece(text), np.uint32))
+            sizes.append(np.array([len(ids[-1])]))
+        order = np.concatenate([np.flatnonzero(short), np.flatnonzero(pc.invert(short))])
+        size, start = np.empty(len(pieces), np.int64), np.empty(len(pieces), np.int64)
+        size[order] = counted = np.concatenate(sizes)
+        start[order] = np.cumsum(counted) - counted
+        return np.concatenate(ids), start, size
+
+    def _meet(self, words: pa.Array) -> None:
+        """Adds distinct parts not met before."""
+        found = list(map(self.find, words.to_pylist()))
+        pieces = pa.array(chain.from_iterable(found), pa.string()).dictionary_encode()
+        ids, start, size = self._encode(pieces.dictionary)
+        at = pieces.indices.to_numpy()
+        count = np.fromiter(map(len, found), np.int64, len(found))
+        of_word = np.add.reduceat(size[at], np.cumsum(count) - count)
+        self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(of_word) - of_word])
+        self.size = np.concatenate([self.size, of_word])
+        self.pool = np.concatenate([self.pool, ids[_runs(start[at], size[at])]])
+        self.words = pa.concat_arrays([self.words, words])
+
+    def _numbers(self, words: pa.Array) -> np.ndarray:
+        """Numbers of distinct parts among those met."""
+        at = pc.index_in(words, value_set=self.words)
+        new = at.is_null().to_numpy(zero_copy_only=False)
+        at = at.fill_null(0).to_numpy().astype(np.int64)
+        if new.any():
+            if len(self.words) + new.sum() > CACHE_WORDS or self.words.nbytes + words.nbytes > CACHE_BYTES:
+                # forgets all but these
+                kept = at[~new]
+                size = self.size[kept]
+                self.pool = self.pool[_runs(self.start[kept], size)]
+                self.words, self.start, self.size = self.words.take(pa.array(kept)), np.cumsum(size) - size, size
+                at[~new] = np.arange(len(kept))
+            at[new] = len(self.words) + np.arange(new.sum())
+            self._meet(words.filter(pa.array(new)))
+        return at
+
+    def _plain(self, texts: pa.Array) -> Iterator[bytes]:
+        offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:texts.offset + len(texts) + 1]
+        data = texts.buffers()[2]
+        if offsets[0] == offsets[-1]:
+            yield from [b""] * len(texts)
+            return
+        raw = np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]]
+        cuts = part_starts(raw, offsets - offsets[0])
+        parts = pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer((cuts + offsets[0]).astype(np.int32)), data)
+        coded = parts.dictionary_encode()
+        at = self._numbers(coded.dictionary)[coded.indices.to_numpy()]
+        n = self.size[at]
+        ids = self.pool[_runs(self.start[at], n)]
+        ends = np.concatenate([[0], np.cumsum(n)])[np.searchsorted(cuts, offsets - offsets[0])].tolist()
+        for a, b in zip(ends, ends[1:], strict=False):
+            yield ids[a:b].tobytes()
+
+    def batch(self, texts: pa.Array) -> Iterator[bytes]:
+        """Ids of each whole text as little-endian unsigned 32-bit integers."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        part = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64) // BATCH_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            some = texts.slice(a, b - a)
+            special = np.zeros(len(some), bool)
+            for s in self.v.special:
+                special |= pc.match_substring(some, s).to_numpy(zero_copy_only=False)
+            if not special.any():
+                yield from self._plain(some)
+                continue
+            # the texts between special tokens go first, all at once
+            split = {i: [p for p in self.split(some[i].as_py()) if p] for i in np.flatnonzero(special).tolist()}
+            between = [p for parts in split.values() for p in parts if p not in self.v.special]
+            found = self._plain(pa.concat_arrays([pa.array(between, pa.string()),
+                                                  pc.if_else(pa.array(special), "", some)]))
+            inner = iter(list(islice(found, len(between))))
+            for i, ids in enumerate(found):
+                yield ids if i not in split else b"".join(
+                    np.array([self.v.special[p]], "<u4").tobytes() if p in self.v.special else next(inner)
+                    for p in split[i])
 
     def __call__(self, text: str | None) -> bytes:
-        """Ids of a whole text as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        if self.split is None or not any(s in text for s in self.v.special):
-            return self._plain(text)
-        return b"".join(np.array([self.v.special[p]], "<u4").tobytes() if p in self.v.special else self._plain(p)
-                        for p in self.split(text) if p)
+        return next(self.batch(pa.array([text], pa.string())))
 
 
 @lru_cache(maxsize=2)
@@ -208,7 +378,7 @@ def encode_documents(docs: DataFrame, path: str = BYTE_BPE) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(path)
         for batch in batches:
-            ids = [np.frombuffer(encoder(t.as_py()), "<i4") for t in batch.column("text")]
+            ids = [np.frombuffer(x, "<i4") for x in encoder.batch(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))],
                                              ["doc_id", "ids"])
 
@@ -235,8 +405,7 @@ def round_trip(docs: DataFrame, path: str = BYTE_BPE) -> DataFrame:
         encoder = encoder_of(path)
         for batch in batches:
             n, ids_sha, text_sha = [], [], []
-            for text in batch.column("text"):
-                ids = encoder(text.as_py())
+            for ids in encoder.batch(batch.column("text")):
                 back = decode(np.frombuffer(ids, "<u4"), encoder.v)
                 n.append(len(ids) // 4)
                 ids_sha.append(hashlib.sha256(ids).hexdigest())

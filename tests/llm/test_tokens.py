@@ -64,6 +64,43 @@ def test_backtracking_encoder_equals_the_library():
         assert bpe.decode(ids, mine.v).decode() == lib.decode(want, skip_special_tokens=False)
 
 
+def test_backtracking_batches_equal_the_library(monkeypatch):
+    lib, rnd = library(bpe.BYTE_BPE), random.Random(9)
+    spaces = " \n\n  \t\r\x0b\x0c\x1c\x1f\x85\xa0\u1680\u2003\u2028\u202f\u205f\u3000\u200b\u180e"
+    texts = ["".join(rnd.choices(spaces + "aé漢1½.'s(", k=rnd.randrange(12))) for _ in range(1500)]
+    texts += [None, "", *fuzz(700), "x" * 300 + " " + "ñ" * 90 + "\n" + "ab" * 200, " " * 200, "it's 'so'; we're(ok)'s",
+              "".join(rnd.choices("thenationrsd", k=3000))]
+    want = [lib.encode(t or "", add_special_tokens=False).ids for t in texts]
+    # also with parts forgotten and met again, pairs sharing a place, few bytes at a time
+    for words, size, bits, step in ((500_000, 1 << 23, 21, 1 << 18), (60, 700, 3, 50)):
+        monkeypatch.setattr(bpe, "CACHE_WORDS", words)
+        monkeypatch.setattr(bpe, "BATCH_BYTES", size)
+        monkeypatch.setattr(bpe, "PAIR_BITS", bits)
+        monkeypatch.setattr(bpe, "STEP_BYTES", step)
+        encoder = bpe.Encoder()
+        got = encoder.batch(pa.array(["cut off", *texts], pa.string()).slice(1))
+        for t, ids, w in zip(texts, got, want, strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == w, repr(t)
+        assert len(encoder.words) <= max(words, 700)
+
+
+def test_a_batch_takes_each_pre_token_once_and_together(monkeypatch):
+    encoder, steps, alone = bpe.Encoder(), [], []
+    many, one = encoder._steps, encoder.piece
+    monkeypatch.setattr(encoder, "_steps", lambda raw, *at: steps.append(raw.tobytes()) or many(raw, *at))
+    monkeypatch.setattr(encoder, "piece", lambda text: alone.append(text) or one(text))
+    texts = pa.array(["a word, a word. A word\na word!", "a word? " + "w" * 100])
+    assert len(list(encoder.batch(texts))) == 2
+    # signs and breaks do not make a new pre-token of a word, and all go one way at once
+    assert steps == [b"a word, a. A\n!?"] and alone == [" " + "w" * 100]
+    list(encoder.batch(texts))
+    assert len(steps) == len(alone) == 1
+    # special tokens do not send texts through one by one
+    steps.clear()
+    list(encoder.batch(pa.array(["new<|endoftext|> words", "here", " more<|endoftext|>"])))
+    assert steps == [b"new words morehere"]
+
+
 def test_bpe_query_and_edges(spark, edge, empty):
     lib = library(bpe.BYTE_BPE)
     assert bpe.round_trip(empty).collect() == []
