@@ -26,16 +26,21 @@ class Workspace:
     ``put`` writes a DataFrame as Parquet and returns it read back, which cuts
     the lineage: a lost executor costs only the tasks that read the table.
     Spark's commit protocol keeps partial or speculative attempts out.
-    ``drop`` deletes a table that no later step reads.
+    Very large rows ask for few ``rows_per_file``: Parquet's pages and batches
+    would else hold a hundred of them and more. ``drop`` deletes a table that no
+    later step reads.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
-    def put(self, df: DataFrame, name: str) -> DataFrame:
+    def put(self, df: DataFrame, name: str, rows_per_file: int | None = None) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.mode("error").parquet(path)
+        writer = df.write.mode("error")
+        if rows_per_file:
+            writer = writer.option("maxRecordsPerFile", rows_per_file)
+        writer.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

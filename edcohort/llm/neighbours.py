@@ -7,15 +7,18 @@
 2. Nodes are dealt by hash to shards of about ``SHARD_ROWS``; each shard's graph
    is built by greedy searches that propose neighbours and robust pruning.
 3. Queries (ids divisible by ``every``) form blocks; every block searches every
-   shard by beam search. A task holds one shard and one block.
+   shard by beam search. A task takes some shards, one after another, and some
+   blocks, at most ``TASK_BLOCKS``; tasks form a grid of shards by blocks and
+   read their two sides where they lie, so no copies of blocks or shards are
+   shuffled or broadcast.
 4. All nodes a beam search returns are scored by the cosine of the original
    vectors in double precision, rounded to ``DIGITS``, and the best ``k + 1``
    by score and smallest id stay. Graph and beam cannot tell near copies apart:
    where the whole beam lies within float32 error of the last place, one of the
    best has an edge that short, or nodes were out of reach of an unfilled beam,
    the query is compared with all vectors of the shard instead.
-5. Per query the best nodes of all shards are merged by the same order, opened
-   into their ids, and ranked.
+5. Per query the best nodes of all shards are merged by the same order, first
+   within tasks, opened into their ids, and ranked.
 
 The number of searches is queries times shards, as the method has it; each
 touches a few thousand of a shard's vectors. Shards and blocks are bounded,
@@ -33,6 +36,7 @@ result; further columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,6 +51,10 @@ K = 5
 EVERY = 50
 SHARD_ROWS = 8192
 QUERY_ROWS = 2048
+#: Query blocks a search task holds, at most.
+TASK_BLOCKS = 16
+#: Shards staged in one file, at most.
+FILE_SHARDS = 4
 BEAM = 160
 #: Of a score that count: further ones are rounding.
 DIGITS = 14
@@ -106,18 +114,28 @@ def shard_graphs(nodes: DataFrame) -> DataFrame:
 
 
 def query_blocks(rows: DataFrame) -> DataFrame:
-    """Blocks of queries of one length, one copy per shard of it. ``rows`` carry
-    the numbers of ``blocks`` and ``shards`` of their length."""
+    """Blocks of queries of one length. ``rows`` carry the number of ``blocks``
+    of their length."""
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by([("vec_id", "ascending"), ("k1", "ascending"), ("k2", "ascending")]).combine_chunks()
-        return pa.table({"width": t["width"].slice(0, 1), "shards": t["shards"].slice(0, 1),
+        return pa.table({"width": t["width"].slice(0, 1), "block": t["block"].slice(0, 1),
                          "queries": [t["vec_id"].to_pylist()], "q1": [t["k1"].to_pylist()], "q2": [t["k2"].to_pylist()],
                          "wanted": [_matrix(t["vec"].chunk(0), t.num_rows).tobytes()]})
 
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id", "k1"), "blocks").cast("int"))
-    packed = dealt.select("width", "shards", "block", "vec_id", "k1", "k2", "vec").groupBy("width", "block").applyInArrow(
-        run, "width int, shards int, queries array<long>, q1 array<long>, q2 array<long>, wanted binary")
-    return packed.select("*", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard")).drop("shards")
+    return dealt.select("width", "block", "vec_id", "k1", "k2", "vec").groupBy("width", "block").applyInArrow(
+        run, "width int, block int, queries array<long>, q1 array<long>, q2 array<long>, wanted binary")
+
+
+def search_pairs(graphs: DataFrame, asked: DataFrame, shards: int, blocks: int, tasks: int) -> DataFrame:
+    """Every shard with every block of its length, in about ``tasks`` tasks. A
+    join by key would copy every block to every shard, through a shuffle or, as
+    Spark judges by the size before the copies, a broadcast."""
+    per_task = min(TASK_BLOCKS, math.ceil(blocks / math.ceil(math.sqrt(tasks))))
+    columns = math.ceil(blocks / per_task)
+    lanes = min(shards, math.ceil(tasks / columns))
+    asked = asked.repartitionByRange(columns, "width", "block")
+    return graphs.coalesce(lanes).hint("shuffle_replicate_nl").join(asked, "width")
 
 
 def _best(score: np.ndarray, least: np.ndarray, best: int) -> np.ndarray:
@@ -157,31 +175,63 @@ def _nearest_in_shard(unit: np.ndarray, x: np.ndarray, g: np.ndarray, entry: int
     return out
 
 
+def _leading(who: np.ndarray, node: np.ndarray, score: np.ndarray, best: int) -> np.ndarray:
+    """Places of the rows that can be among the ``best`` of their query ``who``
+    by rounded score and ``node`` [3, n] (smallest id, keys), however scores are
+    rounded: only equal ones, and those a round-off apart, are told by more."""
+    if not len(who):
+        return np.zeros(0, np.int64)
+    order = np.lexsort((node[2], node[1], node[0], -score, who))
+    who, score = who[order], score[order]
+    place = np.arange(len(order))
+    query = np.append(True, who[1:] != who[:-1])
+    equal = query | np.append(True, score[1:] != score[:-1])
+    last = np.minimum(np.maximum.accumulate(np.where(query, place, 0)) + best - 1, len(order) - 1)
+    floor = np.where(who[last] == who, score[last], -np.inf) - 2 * 10.0 ** -DIGITS
+    return order[(score >= floor) & (place - np.maximum.accumulate(np.where(equal, place, 0)) < best)]
+
+
 def _search(pairs: DataFrame, best: int, beam: int) -> DataFrame:
-    """query_id, q1, q2, k1, k2, least, score: the ``best`` nodes per query and shard."""
+    """query_id, q1, q2, k1, k2, least, score: the ``best`` nodes per query, of
+    all shards that a task meets."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met, blocks = None, {}
         for batch in batches:
             for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                q_ids = np.array(row["queries"], np.int64)
-                q_keys = np.array([row["q1"], row["q2"]], np.int64)
-                q = np.frombuffer(row["wanted"]).reshape(len(q_ids), -1)
-                keys = np.array([row["k1"], row["k2"]], np.int64)
-                x = np.frombuffer(row["vectors"]).reshape(keys.shape[1], -1)
-                g = np.frombuffer(row["graph"], "<i4").reshape(len(x), -1).astype(np.int64)
-                least, alone = np.array(row["least"], np.int64), np.array(row["alone"], bool)
-                unit, unit_q = _unit(x), _unit(q)
-                crowded = _crowded(unit, g)
+                row = batch.slice(i, 1)
+
+                def longs(name: str, row: pa.RecordBatch = row) -> np.ndarray:
+                    return np.array(row.column(name).flatten(), np.int64)
+
+                width, shard, block = (row.column(c)[0].as_py() for c in ("width", "shard", "block"))
+                if met != (width, shard):
+                    met = width, shard
+                    nodes = np.array([longs("least"), longs("k1"), longs("k2")])
+                    alone = np.array(row.column("alone").flatten().to_pylist(), bool)
+                    x = np.frombuffer(row.column("vectors")[0].as_py()).reshape(nodes.shape[1], -1)
+                    g = np.frombuffer(row.column("graph")[0].as_py(), "<i4").reshape(len(x), -1).astype(np.int64)
+                    entry, unit = row.column("entry")[0].as_py(), _unit(x)
+                    crowded = _crowded(unit, g)
+                if (width, block) not in blocks:
+                    blocks[width, block] = (np.array([longs("queries"), longs("q1"), longs("q2")]),
+                                            np.zeros(0, np.int64), np.zeros((3, 0), np.int64), np.zeros(0))
+                asker, *held = blocks[width, block]
+                q = np.frombuffer(row.column("wanted")[0].as_py()).reshape(asker.shape[1], -1)
+                unit_q, parts = _unit(q), [held]
                 for a in range(0, len(q), graph.BATCH):
                     some = slice(a, a + graph.BATCH)
-                    found = _nearest_in_shard(unit, x, g, row["entry"], least, crowded, unit_q[some], q[some],
-                                              alone & (least == q_ids[some, None]), best, beam)
+                    found = _nearest_in_shard(unit, x, g, entry, nodes[0], crowded, unit_q[some], q[some],
+                                              alone & (nodes[0] == asker[0, some, None]), best, beam)
                     at = np.nonzero(found >= 0)
                     node, who = found[at], at[0] + a
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(q_ids[who]), pa.array(q_keys[0, who]), pa.array(q_keys[1, who]),
-                         pa.array(keys[0, node]), pa.array(keys[1, node]), pa.array(least[node]),
-                         pa.array(_cosines(q[who], x[node]))], ["query_id", "q1", "q2", "k1", "k2", "least", "score"])
+                    parts.append((who, nodes[:, node], _cosines(q[who], x[node])))
+                who, node, score = (np.concatenate(c, -1) for c in zip(*parts, strict=True))
+                keep = _leading(who, node, score, best)
+                blocks[width, block] = asker, who[keep], node[:, keep], score[keep]
+        for asker, who, node, score in blocks.values():
+            yield pa.RecordBatch.from_arrays(
+                [*map(pa.array, asker[:, who]), pa.array(node[1]), pa.array(node[2]), pa.array(node[0]), pa.array(score)],
+                ["query_id", "q1", "q2", "k1", "k2", "least", "score"])
 
     return pairs.mapInArrow(run, f"query_id long, q1 long, q2 long, {NODE}, least long, score double")
 
@@ -213,10 +263,11 @@ def nearest(spark: SparkSession, vectors: DataFrame, k: int = K, every: int = EV
     asked_of = asking.groupBy("width").agg(parts_of(F.count(F.lit(1)), query_rows).alias("blocks"))
     widths = ws.put(widths.join(asked_of, "width", "left"), "widths")
     nodes = nodes.join(widths, "width").withColumn("shard", F.pmod(F.xxhash64("k1", "k2"), "shards").cast("int"))
-    graphs = ws.put(shard_graphs(nodes.select("width", "shard", "k1", "k2", "vec_id", "alone", "vec")), "graphs")
+    graphs = ws.put(shard_graphs(nodes.select("width", "shard", "k1", "k2", "vec_id", "alone", "vec")), "graphs",
+                    FILE_SHARDS)
     asked = query_blocks(asking.join(widths, "width"))
-    # one row per shard and block: a task searches one shard for one block
-    found = ws.put(_search(asked.join(graphs, ["width", "shard"]), k + 1, beam), "found")
+    shards, blocks = (n or 1 for n in widths.agg(F.sum("shards"), F.sum("blocks")).first())
+    found = ws.put(_search(search_pairs(graphs, asked, shards, blocks, parts), k + 1, beam), "found")
     ws.drop("rows", "graphs")
 
     asker = ["query_id", "q1", "q2"]

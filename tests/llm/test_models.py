@@ -265,3 +265,49 @@ def test_a_query_id_with_two_vectors_gets_two_answers(spark):
     assert sorted(r["rank"] for r in out) == sorted(list(range(1, 6)) * 2)
     near = lambda axis: sorted(range(1, 8), key=lambda i: -(np.cos(i) if axis == 0 else np.sin(i)))[:5]
     assert sorted(r.vec_id for r in out) == sorted(near(0) + near(1))
+
+
+def broadcast_bytes(plan):
+    """Data size of all broadcasts of an executed plan."""
+    name = plan.nodeName()
+    if name == "AdaptiveSparkPlan":
+        return broadcast_bytes(plan.executedPlan())
+    if name.endswith("QueryStage"):
+        return broadcast_bytes(plan.plan())
+    own = plan.metrics().apply("dataSize").value() if name == "BroadcastExchange" else 0
+    children = plan.children()
+    return own + sum(broadcast_bytes(children.apply(i)) for i in range(children.size()))
+
+
+def test_query_blocks_are_not_copied_through_the_driver(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x, ids = rng.standard_normal((600, 64)), np.arange(600) * 25
+    frame = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)],
+                                  "vec_id long, embedding array<double>")
+    search, sent = neighbours._search, []
+
+    def watched(pairs, *a):
+        met = [(r.shard, *r.queries) for r in pairs.collect()]
+        assert len(met) == len(set(met)) and sorted(q for m in met for q in m[1:]) == sorted([*ids[::2]] * len({m[0] for m in met}))
+        sent.append(broadcast_bytes(pairs._jdf.queryExecution().executedPlan()))
+        return search(pairs, *a)
+
+    monkeypatch.setattr(neighbours, "_search", watched)
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "256k")  # more than the queries, less than the shards
+    try:
+        got, want = answers(neighbours.nearest(spark, frame, shard_rows=10, query_rows=64)), brute_nearest(ids, x)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+    # 300 queries of 512 bytes times some 60 shards are 9 MB; a small hash table is 1 MB
+    assert sent[0] < 3e6
+    assert {q: [v for v, _ in a] for q, a in got.items()} == {q: [v for v, _ in a] for q, a in want.items()}
+
+
+def test_leading_rows_keep_what_rounding_could_put_first():
+    s = np.array([0.5, 0.5, 0.5, 0.5 - 1e-14, 0.5 - 4e-14, 0.9, 0.1])
+    node = np.array([[4, 3, 2, 1, 0, 8, 9], [0] * 7, [0] * 7])
+    who = np.array([0, 0, 0, 0, 0, 1, 1])
+    assert sorted(neighbours._leading(who, node, s, 2)) == [1, 2, 3, 5, 6]
+    assert sorted(neighbours._leading(who, node, s, 3)) == [0, 1, 2, 3, 5, 6]
+    assert len(neighbours._leading(who[:0], node[:, :0], s[:0], 2)) == 0
